@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,7 +49,7 @@ def text_or_empty(name: str = "text"):
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with bounded rows and characters (a single longer row is a slice of its own)."""
-    sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     begin = held = 0
     for i, n in enumerate(sizes):
         if i > begin and (i - begin >= CHUNK_ROWS or held + n > CHUNK_CHARS):
