@@ -52,10 +52,10 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     sizes = pc.binary_length(batch.column(column)).to_pylist()
     begin = held = 0
     for i, n in enumerate(sizes):
-        if i > begin and (i - begin >= CHUNK_ROWS or held + n > CHUNK_CHARS):
+        if i > begin and (i - begin >= CHUNK_ROWS or held + (n or 0) > CHUNK_CHARS):
             yield batch.slice(begin, i - begin)
             begin, held = i, 0
-        held += n
+        held += n or 0
     if begin < batch.num_rows:
         yield batch.slice(begin)
 
