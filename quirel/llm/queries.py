@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, simhash, spm
+from . import exact_dedup, media, mixing, pii, secrets, simhash, spm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _joined(spans):
+    """kind:start:end of spans in their order, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", *[_count("spans", k) for k in pii.KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", *[_count("spans", k) for k in secrets.BASE_KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -94,7 +115,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_mixing, op5_exact_dedup, op7_sentencepiece, op8_media)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_mixing, op5_exact_dedup, op7_sentencepiece, op8_media, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
