@@ -60,14 +60,15 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list], dict]], added: str, drop: bool = True, as_bytes: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list], dict]], added: str, drop: bool = True, as_bytes: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """df with the columns `added` (a DDL string) that Python makes of `column`, in Arrow batches without a shuffle.
 
     make() runs once a task and returns a function from a list of values to a dict of lists;
-    df must have no column named as an added one. With drop, `column` itself isn't returned.
+    the function also gets the lists of the columns `also`. df must have no column named as an added one.
+    With drop, `column` and `also` aren't returned.
     """
     new = _parse_datatype_string(added)
-    kept = [f for f in df.schema.fields if not (drop and f.name == column)]
+    kept = [f for f in df.schema.fields if not (drop and f.name in (column, *also))]
     schema = StructType([*kept, *new.fields])
     arrow = to_arrow_schema(schema)
     names = [f.name for f in kept]
@@ -77,7 +78,7 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list], di
         for batch in batches:
             for part in chunks(batch, column):
                 values = part.column(column)
-                made = apply((values.cast(pa.binary()) if as_bytes else values).to_pylist())
+                made = apply((values.cast(pa.binary()) if as_bytes else values).to_pylist(), *[part.column(n).to_pylist() for n in also])
                 arrays = [part.column(n).cast(arrow.field(n).type) for n in names]
                 arrays += [pa.array(made[f.name], type=arrow.field(f.name).type) for f in new.fields]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, pii, secrets, simhash, spm
+from . import exact_dedup, html, media, mixing, pii, secrets, simhash, spm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 OP3_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -115,7 +120,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_mixing, op5_exact_dedup, op7_sentencepiece, op8_media, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_mixing, op5_exact_dedup, op7_sentencepiece, op8_media, op9_html, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
