@@ -49,7 +49,8 @@ def text_or_empty(name: str = "text"):
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with bounded rows and characters (a single longer row is a slice of its own)."""
-    sizes = pc.binary_length(batch.column(column)).to_pylist()
+    values = batch.column(column)
+    sizes = (pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)).to_pylist()
     begin = held = 0
     for i, n in enumerate(sizes):
         if i > begin and (i - begin >= CHUNK_ROWS or held + (n or 0) > CHUNK_CHARS):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html, media, mixing, pii, secrets, simhash, spm
+from . import exact_dedup, html, media, mixing, pii, secrets, simhash, spm, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -120,7 +125,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_mixing, op5_exact_dedup, op7_sentencepiece, op8_media, op9_html, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_mixing, op4_toxicity, op5_exact_dedup, op7_sentencepiece, op8_media, op9_html, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
