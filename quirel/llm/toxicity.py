@@ -208,43 +208,54 @@ def _counted(places: dict[str, int]) -> Callable[[list], dict]:
     return apply
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, held_out, score, predicted, evidence (array of id, cosine, label).
-
-    A text without any term, empty and null ones included, gets the rate of label 1 among such examples. Without examples of both
-    labels every score is the base rate. Equal texts get equal scores. Repeated rows are scored alike, null ids
-    count as the id ''. Other columns are ignored. No rows give no rows.
-    """
-    spark = docs.sparkSession
+def fit_votes(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> tuple[NeighbourVotes, DataFrame]:
+    """The model, and the term counts of all documents (id, terms, counts), from which its frequencies come."""
     rows = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("body"))
     sample = stored(sample_labels(docs, labels, label, id_col), "sample")
-    counts = {r.y: (r.n, r.rows) for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.first("rows").alias("rows")).collect()}
+    counts = {r.y: r.rows for r in sample.select("y", "rows").distinct().collect()}
     # At most 2 * EXAMPLES ids are broadcast; a repeated id is learned from once.
-    learned = rows.join(F.broadcast(sample), "id").groupBy("id").agg(F.first("y").alias("y"), F.first("body").alias("body"))
+    learned = rows.join(F.broadcast(sample), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("body").alias("body"))
     learned = stored(_once(stored(map_texts(learned, "body", _presence, "terms array<string>, m1 long, m2 long"), "learned")), "learned")
     terms = telling_terms(learned, {r.y: r["count"] for r in learned.groupBy("y").count().collect()})
 
     places = {t: i for i, t in enumerate(terms)}
     vectors = stored(map_texts(rows, "body", lambda: _counted(places), "terms array<int>, counts array<int>"), "vectors")
-    totals = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()
     frequency = np.zeros(len(terms))
-    for r in totals:
+    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
         frequency[r.t] = r.n
-    examples = vectors.join(F.broadcast(sample), "id").groupBy("id").agg(F.first("y").alias("y"), F.first(F.struct("terms", "counts")).alias("v"))
+    examples = vectors.join(F.broadcast(sample), "id").groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct("terms", "counts")).alias("v"))
     got = sorted((r.id, r.y, r.v.terms, r.v.counts) for r in examples.collect())
-    model = NeighbourVotes(terms, frequency, vectors.count(), got, {y: n for y, (_, n) in counts.items()})
-    carried = spark.sparkContext.broadcast(model)
+    return NeighbourVotes(terms, frequency, vectors.count(), got, counts), vectors
 
-    def make():
-        fitted, known = carried.value, {}
 
-        def one(t: list[int], c: list[int]) -> tuple[float, list]:
-            key = xxhash.xxh128_digest(np.array([*sorted(zip(t, c))], np.int64).tobytes())
-            if key not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                known[key] = fitted.score(*map(list, zip(*sorted(zip(t, c))))) if t else fitted.score([], [])
-            return known[key]
+def _remembering(model: NeighbourVotes) -> Callable[[list[int], list[int]], tuple[float, list]]:
+    """The model's score, remembered for the term counts that a task has met."""
+    known: dict[bytes, tuple[float, list]] = {}
+
+    def one(terms: list[int], counts: list[int]) -> tuple[float, list]:
+        pairs = sorted(zip(terms, counts))
+        key = xxhash.xxh128_digest(np.array(pairs, np.int64).tobytes())
+        if key not in known:
+            if len(known) > 50_000:
+                known.clear()
+            known[key] = model.score([t for t, _ in pairs], [c for _, c in pairs])
+        return known[key]
+
+    return one
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, held_out, score, predicted, evidence (array of id, cosine, label).
+
+    A text without any term, empty and null ones included, gets the rate of label 1 among such examples. Without examples of both
+    labels every score is the base rate. Equal texts get equal scores. Repeated rows are scored alike, null ids
+    count as the id ''. Other columns are ignored. No rows give no rows.
+    """
+    model, vectors = fit_votes(docs, labels, label, id_col, text_col)
+    carried = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        one = _remembering(carried.value)
 
         def apply(terms, counts):
             found = [one(t, c) for t, c in zip(terms, counts)]
@@ -254,3 +265,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", id
 
     scored = map_texts(vectors, "terms", make, "score double, evidence array<struct<id:long,cosine:double,label:int>>", also=("counts",))
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below 0.5, as score_documents has it; each row is decided by its own text, no text is shuffled."""
+    model, _ = fit_votes(docs, labels, label, id_col, text_col)
+    carried = docs.sparkSession.sparkContext.broadcast(model)
+    named = [f"c{i}" for i in range(len(docs.columns))]
+    text_at = named[docs.columns.index(text_col)]
+
+    def make():
+        one = _remembering(carried.value)
+        count = _counted(carried.value.places)
+
+        def apply(texts):
+            found = count([t or "" for t in texts])
+            return {"score": [one(t, c)[0] for t, c in zip(found["terms"], found["counts"])]}
+
+        return apply
+
+    return map_texts(docs.toDF(*named), text_at, make, "score double", drop=False).where("score < 0.5").select(*named).toDF(*docs.columns)
