@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html, media, mixing, pii, secrets, simhash, spm, toxicity
+from . import cotraining, exact_dedup, html, media, mixing, pii, secrets, simhash, spm, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_model() -> str:
     """Place of the public 32k model; the same on every executor."""
     import public_tokenizers
@@ -125,7 +129,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_mixing, op4_toxicity, op5_exact_dedup, op7_sentencepiece, op8_media, op9_html, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_mixing, op4_toxicity, op5_exact_dedup, op6_quality, op7_sentencepiece, op8_media, op9_html, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
