@@ -5,13 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirel.operators import text as T
+from quirel.plans.stages import materialize
+from quirel.sources import synthesis as Y
+from quirel.sources.objects import read_objects
+from quirel.sources.writer import assemble
 
 FLAGSHIP = "text_roundtrip"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF with a line of text at a time, read back as text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    objects = materialize(read_objects(assemble(Y.text_documents(docs))))
+    return T.document_texts(T.page_texts(T.run_lines(T.runs(objects))))
+
+
+TEXT_ROUNDTRIP = """
+WITH lines AS (
+  SELECT doc_id, i AS line, rtrim(string_split(text, chr(10))[i + 1]) AS t
+  FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+kept AS (SELECT doc_id, line, t FROM lines WHERE trim(t) <> '')
+SELECT doc_id, count(DISTINCT line // 40) AS pages, count(*) AS lines, string_agg(t, chr(10) ORDER BY line) AS text
+FROM kept GROUP BY doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (text_roundtrip,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"text_roundtrip": TEXT_ROUNDTRIP}
