@@ -65,8 +65,7 @@ def tokenizer_model() -> str:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer_model()
-    found = spm.decode(spm.encode(table(spark, sf_dir, "documents"), model), model)
+    found = spm.encode(table(spark, sf_dir, "documents"), tokenizer_model(), decoded=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -25,7 +25,7 @@ from .common import columns, map_texts, text_or_empty
 
 MARK = "▁"
 #: Different words that a task remembers.
-WORDS = 300_000
+WORDS = 150_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
@@ -179,11 +179,11 @@ def _encoder(model_file: str, end_id: bool) -> OffsetEncoder:
     return OffsetEncoder(model_file, end_id)
 
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: bool = True, spans: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: bool = True, spans: bool = True, decoded: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, ids_text (decimal, joined by a space), ids, begins, ends (little-endian int32 arrays as bytes).
 
-    begins and ends are byte offsets in the text's UTF-8, end exclusive; null without spans. model_file is read on
-    every executor. Null text counts as empty and has the end id only. Other columns are ignored.
+    begins and ends are byte offsets in the text's UTF-8, end exclusive; null without spans. With decoded, a column has the
+    text that the ids decode to, by the same Python worker. model_file is read on every executor. Null text counts as empty and has the end id only. Other columns are ignored.
     """
     rows = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("body"))
 
@@ -192,19 +192,25 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
         def apply(texts):
             found = encoder.encode(texts, spans)
+            if decoded:
+                found["decoded"] = _decoded(encoder.processor, found["ids"])
             return found if spans else found | {"begins": [None] * len(texts), "ends": [None] * len(texts)}
 
         return apply
 
-    found = map_texts(rows, "body", make, "n_tokens long, ids_text string, ids binary, begins binary, ends binary")
+    found = map_texts(rows, "body", make, "n_tokens long, ids_text string, ids binary, begins binary, ends binary" + ", decoded string" * decoded)
     return found.withColumnRenamed("id", id_col)
 
 
+def _decoded(processor, ids: list[bytes | None]) -> list[str]:
+    return [processor.decode(np.frombuffer(v or b"", "<i4").tolist()) for v in ids]
+
+
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
     """rows with `decoded`, the text of int32 id bytes; null ids decode to the empty text."""
 
     def make():
         processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        return lambda values: {"decoded": processor.decode([np.frombuffer(v or b"", "<i4").tolist() for v in values], num_threads=1)}
+        return lambda values: {"decoded": _decoded(processor, values)}
 
     return map_texts(rows, ids_col, make, "decoded string", drop=False)
