@@ -36,8 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with the ids of their texts' pieces and the digests of the ids and of the decoded text."""
-    model = tokenizer_model()
-    found = spm.decode(spm.encode(docs, model), model)
+    found = spm.encode(docs, tokenizer_model(), decoded=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
