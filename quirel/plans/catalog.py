@@ -1,44 +1,334 @@
-"""Named queries of the library and the SQL that gives the same rows."""
+"""Named queries of the library and the SQL that gives the same rows.
+
+Most make PDF files of a table's rows, read them back and are held against SQL over the table itself.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirel.functions import codecs, colour, crypto, strings
+from quirel.operators import catalogue as C
+from quirel.operators import pages as P
+from quirel.operators import reading as R
 from quirel.operators import text as T
 from quirel.plans.stages import materialize
+from quirel.sources import objects as O
 from quirel.sources import synthesis as Y
-from quirel.sources.objects import read_objects
-from quirel.sources.writer import assemble
+from quirel.sources import writer as W
 
 FLAGSHIP = "text_roundtrip"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a PDF with a line of text at a time, read back as text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    objects = materialize(read_objects(assemble(Y.text_documents(docs))))
-    return T.document_texts(T.page_texts(T.run_lines(T.runs(objects))))
+def _objects(parts: DataFrame, extra: str = "") -> DataFrame:
+    return materialize(O.read_objects(W.assemble(parts, extra=extra)))
+
+
+def _rows(*pairs: tuple[Column, Column]) -> Column:
+    """Objects of a row, to be exploded."""
+    return F.explode(F.array(*[F.struct(n.cast("long").alias("obj_num"), b.alias("body")) for n, b in pairs])).alias("o")
+
+
+def _text(n) -> Column:
+    return n.cast("string")
+
+
+def _cat(*parts) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-TEXT_ROUNDTRIP = """
-WITH lines AS (
+LINES = """
+lines AS (
   SELECT doc_id, i AS line, rtrim(string_split(text, chr(10))[i + 1]) AS t
   FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
-kept AS (SELECT doc_id, line, t FROM lines WHERE trim(t) <> '')
-SELECT doc_id, count(DISTINCT line // 40) AS pages, count(*) AS lines, string_agg(t, chr(10) ORDER BY line) AS text
-FROM kept GROUP BY doc_id"""
+kept AS (SELECT doc_id, line, line // 40 AS page, t FROM lines WHERE trim(t) <> '')"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (text_roundtrip,)}
+def _document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.runs(_objects(Y.text_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"text_roundtrip": TEXT_ROUNDTRIP}
+@query(f"WITH {LINES} SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS lines, string_agg(t, chr(10) ORDER BY line) AS text FROM kept GROUP BY doc_id")
+def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF with a line of text at a time, read back as text."""
+    return T.document_texts(T.page_texts(T.run_lines(_document_runs(spark, sf_dir))))
+
+
+@query(f"WITH {LINES}, ranked AS (SELECT doc_id, page, line, length(t) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY length(t) DESC, line) AS place FROM kept) SELECT doc_id, CAST(page AS BIGINT) AS page_index, CAST(place AS BIGINT) AS place, CAST(n AS BIGINT) AS n FROM ranked WHERE place <= 3")
+def longest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three longest extracted lines of each document."""
+    lines = T.run_lines(_document_runs(spark, sf_dir)).withColumn("n", F.length("text").cast("long"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "page_index", "line_seq"))
+    return lines.withColumn("place", place.cast("long")).where("place <= 3").select("doc_id", F.col("page_index").cast("long").alias("page_index"), "place", "n")
+
+
+@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS pages, 612e0 AS width, 792e0 AS height FROM (SELECT DISTINCT doc_id, i // 40 AS page FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) GROUP BY doc_id")
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each document, with the size that they inherit."""
+    leaves = P.pages(_objects(Y.text_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return leaves.groupBy("doc_id").agg(F.count("*").alias("pages"), F.max("width").alias("width"), F.min("height").alias("height"))
+
+
+@query("""WITH named AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name || ' in a column of text, part ' || k AS t, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, k) - 1 AS i FROM nation, (SELECT unnest(range(2)) AS k))
+SELECT doc_id, 'Head over both of the columns that stand below' || chr(10) || string_agg(t, chr(10) ORDER BY i % 2, i) AS text FROM named GROUP BY doc_id""")
+def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in two columns, the right one painted first and the head last, read head, left, right."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), "n_nationkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "n_name")
+    lines = nation.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("n_nationkey", "k")) - 1)
+    op = Y.show(F.when(F.col("i") % 2 == 0, 60).otherwise(340), 700 - 12 * F.floor(F.col("i") / 2), _cat(F.col("n_name"), " in a column of text, part ", _text(F.col("k"))))
+    shows = lines.select("doc_id", F.lit(0).alias("page"), F.when(F.col("i") % 2 == 0, 100 + F.col("i")).otherwise(F.col("i")).alias("seq"), op.alias("op"))
+    head = lines.select("doc_id").distinct().select("doc_id", F.lit(0).alias("page"), F.lit(999).alias("seq"), Y.show(F.lit(180), F.lit(750), F.lit("Head over both of the columns that stand below")).alias("op"))
+    return R.layout_text(T.runs(_objects(Y.page_objects(Y.page_contents(shows.unionByName(head)))))).select("doc_id", "text")
+
+
+@query("SELECT conv_id AS doc_id, string_agg(text_line, chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, role || ' ' || turn AS text_line FROM conversations) GROUP BY conv_id")
+def structure_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations painted in another order than their tagged structure has."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.concat_ws(" ", "role", "turn").alias("t"))
+    shown = turns.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("turn"))))
+    op = _cat("/P << /MCID ", _text(F.col("turn")), " >> BDC ", Y.show(F.lit(60), 700 - 20 * F.col("seq"), F.col("t")), " EMC")
+    contents = Y.page_contents(shown.select("doc_id", F.lit(0).alias("page"), "seq", op.alias("op")))
+    kids = turns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("turn").cast("long"))).alias("k"))
+    tree = kids.select("doc_id", F.lit(9000).cast("int").alias("obj_num"), _cat("<< /Type /StructTreeRoot /K << /S /Document /Pg 4 0 R /K [", F.array_join(F.transform("k", lambda k: _cat("<< /S /P /K ", k.cast("string"), " >>")), " "), "] >> >>").alias("body"))
+    objects = _objects(Y.page_objects(contents, catalog=F.lit("/StructTreeRoot 9000 0 R")).unionByName(tree))
+    places = C.structure_text(objects, T.runs(objects))
+    return places.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+
+
+@query("SELECT o_orderkey AS doc_id, 'Order ' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS created_at, o_orderpriority AS priority, CAST(2 AS BIGINT) AS keywords FROM orders")
+def info_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as information dictionaries with dates, keywords and a key of their own."""
+    orders = table(spark, sf_dir, "orders")
+    info = _cat("<< /Title ", W.text_string(_cat("Order ", _text(F.col("o_orderkey")))), " /CreationDate ", W.literal_string(strings.iso_to_date(F.col("o_orderdate"))), " /Keywords (a, b ,) /Priority ", W.literal_string(F.col("o_orderpriority")), " >>")
+    parts = orders.select(F.col("o_orderkey").alias("doc_id"), _rows((F.lit(1), F.lit("<< /Type /Catalog >>")), (F.lit(2), info))).select("doc_id", "o.*")
+    return C.metadata(_objects(parts, extra="/Info 2 0 R")).select("doc_id", "title", "created_at", F.col("custom")["Priority"].alias("priority"), F.size("keywords").cast("long").alias("keywords"))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(3 AS BIGINT) AS obj_num, o_orderstatus || '2' AS status, CAST(1 AS BIGINT) AS older FROM orders")
+def newest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders rewritten in a second revision: the newest object counts, one older entry is under it."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus")
+    first = orders.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog /Status 3 0 R >>")), (F.lit(2), F.lit("null")), (F.lit(3), W.literal_string(F.col("o_orderstatus"))))).select("doc_id", "o.*")
+    once = W.assemble(first)
+    again = orders.join(once, "doc_id").select("doc_id", F.lit(3).cast("long").alias("obj_num"), W.literal_string(_cat(F.col("o_orderstatus"), "2")).alias("body"), "content")
+    files = materialize(W.assemble(again, prefix="content"))
+    xref = O.read_xref(files)
+    older = xref.join(O.newest(xref).select("doc_id", "obj_num", "rev"), ["doc_id", "obj_num", "rev"], "left_anti").where("kind = 'used'").groupBy("doc_id", "obj_num").agg(F.count("*").alias("older"))
+    status = O.read_objects(files).where("obj_num = 3").select("doc_id", "obj_num", strings.variant_text(F.col("value"), "$").alias("status"))
+    return status.join(older, ["doc_id", "obj_num"])
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS page_index, CASE n_regionkey % 3 WHEN 0 THEN 'A-' || (7 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)) WHEN 1 THEN (['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x'])[row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)] ELSE chr(CAST(64 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER)) END AS label FROM nation")
+def page_label_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per region with a page per nation, labelled by a range that is joined as of its start."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), "n_name", (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("page"))
+    contents = nation.select("doc_id", "page", Y.show(F.lit(60), F.lit(700), F.col("n_name")).alias("content"))
+    kind = F.max("doc_id") % 3
+    style = F.when(kind == 0, "/S /D /P (A-) /St 8").when(kind == 1, "/S /r").otherwise("/S /A")
+    catalog = _cat("/PageLabels << /Kids [<< /Nums [0 << ", style, " >>] >>] >>")
+    return C.page_labels(_objects(Y.page_objects(contents, catalog=catalog))).select("doc_id", F.col("page_index").cast("long").alias("page_index"), "label")
+
+
+@query("""WITH c AS (SELECT n_regionkey, n_name, c_name, c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+nodes AS (
+  SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_nationkey, -1 AS custkey, n_name AS title, 0 AS depth FROM nation
+  UNION ALL SELECT CAST(n_regionkey AS BIGINT), n_nationkey, c_custkey, c_name, 1 FROM c)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n_nationkey, custkey) - 1 AS node_id, title, CAST(depth AS BIGINT) AS depth,
+  CASE WHEN depth = 0 THEN count(*) OVER (PARTITION BY doc_id, n_nationkey) - 1 ELSE 0 END AS descendants FROM nodes""")
+def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as documents, nations and their customers as bookmarks."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").cast("long").alias("nation"), "n_name")
+    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").alias("key"), "c_name").join(nation, "nation")
+    in_nation, in_doc = Window.partitionBy("nation").orderBy("key"), Window.partitionBy("doc_id").orderBy("nation")
+    link = lambda name, num: F.coalesce(_cat(f" /{name} ", _text(num), " 0 R"), F.lit(""))
+    leaf = people.select("doc_id", (1000 + F.col("key")).alias("obj_num"), _cat("<< /Title ", W.text_string(F.col("c_name")), " /Parent ", _text(10 + F.col("nation")), " 0 R", link("Next", 1000 + F.lead("key").over(in_nation)), " >>").alias("body"))
+    firsts = people.groupBy("nation").agg((1000 + F.min("key")).alias("first"))
+    tops = nation.join(firsts, "nation", "left").select("doc_id", (10 + F.col("nation")).alias("obj_num"), _cat("<< /Title ", W.literal_string(F.col("n_name")), " /Parent 2 0 R", link("First", F.col("first")), link("Next", 10 + F.lead("nation").over(in_doc)), " >>").alias("body"))
+    roots = nation.groupBy("doc_id").agg(F.min("nation").alias("f")).select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog /Outlines 2 0 R >>")), (F.lit(2), _cat("<< /Type /Outlines /First ", _text(10 + F.col("f")), " 0 R >>")))).select("doc_id", "o.*")
+    nodes = materialize(C.outline(_objects(leaf.unionByName(tops).unionByName(roots))))
+    return nodes.join(C.outline_descendants(nodes), ["doc_id", "node_id"]).select("doc_id", "node_id", "title", F.col("depth").cast("long").alias("depth"), "descendants")
+
+
+@query("SELECT page_id AS doc_id, CAST(0 AS BIGINT) AS seq, url AS uri, CAST(NULL AS VARCHAR) AS dest_name, CAST(-1 AS BIGINT) AS dest_page FROM pages UNION ALL SELECT page_id, 1, NULL, 'top', 0 FROM pages UNION ALL SELECT page_id, 2, NULL, 'nowhere', -1 FROM pages")
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A web address, a name that is known and one that isn't, as links of a page."""
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    contents = rows.select("doc_id", F.lit(0).alias("page"), F.lit("").alias("content"))
+    extra = rows.select("doc_id", _rows((F.lit(100), _cat("<< /Subtype /Link /Rect [0 0 9 9] /A << /S /URI /URI ", W.literal_string(F.col("url")), " >> >>")), (F.lit(101), F.lit("<< /Subtype /Link /Rect [0 0 9 9] /Dest (top) >>")), (F.lit(102), F.lit("<< /Subtype /Link /Rect [0 0 9 9] /A << /S /GoTo /D (nowhere) >> >>")), (F.lit(103), F.lit("<< /Subtype /Text /Rect [0 0 9 9] >>")))).select("doc_id", "o.*")
+    entries, catalog = F.lit("/Annots [100 0 R 101 0 R 102 0 R 103 0 R]"), F.lit("/Names << /Dests << /Names [(top) [4 0 R /Fit]] >> >> /Dests << /top [4 0 R /FitB] >>")
+    found = C.links(_objects(Y.page_objects(contents, entries, catalog).unionByName(extra.withColumn("obj_num", F.col("obj_num").cast("int")))))
+    return found.select("doc_id", F.col("seq").cast("long").alias("seq"), "uri", "dest_name", F.coalesce(F.col("dest_page").cast("long"), F.lit(-1)).alias("dest_page"))
+
+
+@query("SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, 'event-' || event_id AS name, 'application/json' AS mime, props AS body, CAST(strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS VARCHAR) AS modified FROM events")
+def attached_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as files embedded in one document."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", "props", "ts", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k"))
+    spec, data = 10 + 2 * F.col("k"), 11 + 2 * F.col("k")
+    files = events.select("doc_id", _rows((spec, _cat("<< /Type /Filespec /UF ", W.text_string(_cat("event-", _text(F.col("event_id")))), " /EF << /F ", _text(data), " 0 R >> >>")), (data, W.stream(F.col("props"), _cat("/Subtype /application#2Fjson /Params << /ModDate ", W.literal_string(strings.iso_to_date(F.col("ts"))), " >>"))))).select("doc_id", "o.*")
+    names = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "event_id"))).alias("e"))
+    tree = F.array_join(F.transform("e", lambda e: _cat("(", F.lpad(e["k"].cast("string"), 8, "0"), ") ", (10 + 2 * e["k"]).cast("string"), " 0 R")), " ")
+    roots = names.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog /Names << /EmbeddedFiles 2 0 R >> >>")), (F.lit(2), _cat("<< /Names [", tree, "] >>")))).select("doc_id", "o.*")
+    return C.attachments(_objects(files.unionByName(roots))).select("doc_id", F.col("seq").cast("long").alias("seq"), "name", "mime", F.col("bytes").cast("string").alias("body"), "modified")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS doc_id, n_name AS name, n_regionkey <> 2 AS visible FROM nation")
+def layer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as layers; those of one region are off, some of which are also listed as on."""
+    nation = table(spark, sf_dir, "nation").withColumn("doc_id", F.lit(1).cast("long"))
+    groups = nation.select("doc_id", (10 + F.col("n_nationkey")).cast("long").alias("obj_num"), _cat("<< /Type /OCG /Name ", W.literal_string(F.col("n_name")), " >>").alias("body"))
+    listed = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.col("n_nationkey")))), lambda n: _cat((10 + n).cast("string"), " 0 R")), " ")
+    heads = nation.groupBy("doc_id").agg(listed(F.lit(True)).alias("every"), listed(F.col("n_regionkey") == 2).alias("off"), listed(F.col("n_nationkey") % 2 == 0).alias("on"))
+    roots = heads.select("doc_id", _rows((F.lit(1), _cat("<< /Type /Catalog /OCProperties << /OCGs [", F.col("every"), "] /D << /ON [", F.col("on"), "] /OFF [", F.col("off"), "] >> >> >>")))).select("doc_id", "o.*")
+    return C.layers(_objects(groups.unionByName(roots))).select("doc_id", "name", "visible")
+
+
+@query("SELECT n_regionkey AS doc_id, policy AS member_id, CASE policy WHEN 'AllOn' THEN min(CASE WHEN n_nationkey % 3 > 0 THEN 1 ELSE 0 END) = 1 WHEN 'AnyOn' THEN max(CASE WHEN n_nationkey % 3 > 0 THEN 1 ELSE 0 END) = 1 WHEN 'AllOff' THEN max(CASE WHEN n_nationkey % 3 > 0 THEN 1 ELSE 0 END) = 0 ELSE min(CASE WHEN n_nationkey % 3 > 0 THEN 1 ELSE 0 END) = 0 END AS visible FROM nation, (SELECT unnest(['AllOn', 'AnyOn', 'AllOff', 'AnyOff']) AS policy) GROUP BY n_regionkey, policy")
+def layer_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four membership policies over each region's nations."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("obj_num"))
+    members = nation.select("doc_id", "obj_num", F.explode(F.array(*[F.lit(p) for p in ("AllOn", "AnyOn", "AllOff", "AnyOff")])).alias("policy")).withColumn("member_id", F.col("policy"))
+    return C.membership_visible(members, nation.withColumn("visible", F.col("obj_num") % 3 > 0))
+
+
+@query("SELECT doc_id, md5(text) AS flate, md5(text) AS base85, md5(text) AS hexed, md5(text) AS runs, CAST(NULL AS VARCHAR) AS unknown FROM documents")
+def filter_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through encoders, and back through chains of filters; an unknown filter gives null."""
+    data = F.encode("text", "UTF-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", data.alias("raw"))
+    back = lambda c, *names: F.md5(codecs.decoded(c, F.array(*[F.lit(n) for n in names])))
+    hexed = F.encode(F.concat(F.hex("raw"), F.lit(">")), "ISO-8859-1")
+    return docs.select("doc_id", back(codecs.deflated("raw"), "FlateDecode").alias("flate"), back(codecs.encoded85(codecs.deflated("raw")), "ASCII85Decode", "Fl").alias("base85"), back(hexed, "AHx").alias("hexed"), back(codecs.run_lengths("raw"), "RunLengthDecode").alias("runs"), back(F.col("raw"), "DCTDecode").alias("unknown"))
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS rc4_text, p_name AS aes_text, p_name AS plain_text FROM part")
+def decrypted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names encrypted under keys of revisions 3 and 4, and decrypted by method."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.encode("p_name", "UTF-8").alias("raw"), F.encode(F.col("p_brand"), "UTF-8").alias("password"))
+    key = crypto.file_key(F.col("password"), F.lit(bytes(range(32))), F.lit(-44), F.unhex(F.md5(_text(F.col("doc_id")).cast("binary"))), 3, 16)
+    keyed = part.withColumn("key", key).withColumns({"k": crypto.object_key(F.col("key"), F.col("doc_id"), F.lit(0), False), "k_aes": crypto.object_key(F.col("key"), F.col("doc_id"), F.lit(0), True)})
+    vector = F.unhex(F.md5("raw"))
+    sealed = keyed.withColumns({"a": crypto.rc4("k", "raw"), "b": crypto.encrypt_aes(F.col("raw"), F.col("k_aes"), vector)})
+    text = lambda data, identity, method, k: crypto.decrypt(F.col(data), F.lit(identity), F.lit(method), F.col(k)).cast("string")
+    return sealed.select("doc_id", text("a", False, "V2", "k").alias("rc4_text"), text("b", False, "AESV2", "k_aes").alias("aes_text"), text("raw", True, "V2", "k").alias("plain_text"))
+
+
+@query("SELECT p_partkey AS doc_id, CAST(floor((1 - least(0.1 + (p_size % 10) / 20e0, 1e0)) * 255 + 0.5) AS BIGINT) AS r, CAST(floor((1 - least((p_size % 7) / 8e0 + (p_size % 10) / 20e0, 1e0)) * 255 + 0.5) AS BIGINT) AS g, CAST(floor((1 - least(0.75 + (p_size % 10) / 20e0, 1e0)) * 255 + 0.5) AS BIGINT) AS b, 0.25 + ((p_size % 50) / 50e0) * ((p_size % 50) / 50e0) * 0.5 AS tint FROM part")
+def ink_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' sizes as inks, and as tints through an exponential function."""
+    n = F.col("p_size")
+    ink = colour.cmyk(F.lit(0.1), (n % 7) / 8.0, F.lit(0.75), (n % 10) / 20.0)
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), ink.alias("c"), colour.exponential((n % 50) / 50.0, [0.25], [0.75], 2.0)[0].alias("tint"))
+    return part.select("doc_id", *[F.col(f"c.{x}").cast("long").alias(x) for x in "rgb"], "tint")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(2 * l_quantity + 3, 6) AS x, round(-l_discount * 4 + 1, 6) AS y, round(l_quantity, 6) AS back FROM lineitem")
+def affine_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points through a composed matrix and back through its inverse."""
+    m = colour.compose(colour.matrix(2, 0, 0, 4, 0, 0), colour.matrix(1, 0, 0, -1, 3, 1))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", colour.apply(m, F.col("l_quantity"), F.col("l_discount")).alias("p"))
+    return rows.select("l_orderkey", "l_linenumber", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), F.round(colour.apply(colour.invert(m), F.col("p.x"), F.col("p.y"))["x"], 6).alias("back"))
+
+
+@query("SELECT l_suppkey AS doc_id, CAST((y - 1992) // 2 AS BIGINT) AS version, count(*) AS valid FROM (SELECT l_suppkey, extract(year FROM l_shipdate) AS y FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) WHERE y BETWEEN 1992 AND 1999 GROUP BY l_suppkey, (y - 1992) // 2")
+def certificates_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments joined to the supplier's certificate version whose validity holds their date: a range join within an equi-join."""
+    store = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("version"))
+    store = store.withColumns({"low": F.make_date((1992 + 2 * F.col("version")).cast("int"), F.lit(1), F.lit(1)), "high": F.make_date((1993 + 2 * F.col("version")).cast("int"), F.lit(12), F.lit(31))})
+    sent = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.to_date("l_shipdate").alias("day"))
+    return sent.join(store, "doc_id").where("day between low and high").groupBy("doc_id", "version").agg(F.count("*").alias("valid"))
+
+
+@query("SELECT n_nationkey AS doc_id, 'error' AS severity, 'Count 7 over 2 pages' AS message FROM nation WHERE n_nationkey % 2 = 1")
+def tree_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page trees whose stated count is wrong in every other document."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"))
+    count = F.when(F.col("doc_id") % 2 == 1, "7").otherwise("2")
+    parts = nation.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog /Pages 2 0 R >>")), (F.lit(2), _cat("<< /Type /Pages /MediaBox [0 0 9 9] /Kids [3 0 R 4 0 R] /Count ", count, " >>")), (F.lit(3), F.lit("<< /Type /Page /Parent 2 0 R >>")), (F.lit(4), F.lit("<< /Type /Page /Parent 2 0 R >>")))).select("doc_id", "o.*")
+    return P.hierarchy_issues(_objects(parts)).select(F.col("doc_id").cast("int").alias("doc_id"), "severity", "message")
+
+
+@query("SELECT c_custkey AS doc_id, c_name AS title, 'x|' || c_mktsegment AS subject, '2' AS part, 'PDF/A-2b' AS declared, false AS sound FROM customer")
+def archive_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata packets with an archive claim that the catalogue doesn't bear out."""
+    people = table(spark, sf_dir, "customer")
+    packet = _cat("<x:xmpmeta><rdf:Description pdfaid:part='2' pdfaid:conformance='B'><dc:title><rdf:Alt><rdf:li xml:lang='x-default'>", F.col("c_name"), "</rdf:li></rdf:Alt></dc:title><dc:subject><rdf:Bag><rdf:li>x</rdf:li><rdf:li>", F.col("c_mktsegment"), "</rdf:li></rdf:Bag></dc:subject></rdf:Description></x:xmpmeta>")
+    parts = people.select(F.col("c_custkey").alias("doc_id"), _rows((F.lit(1), F.lit("<< /Type /Catalog /Metadata 2 0 R >>")), (F.lit(2), W.stream(packet, "/Type /Metadata /Subtype /XML")))).select("doc_id", "o.*")
+    objects = _objects(parts)
+    return C.xmp(objects).select("doc_id", "title", F.array_join("subject", "|").alias("subject"), "part").join(C.pdfa(objects).select("doc_id", "declared", "sound"), "doc_id")
+
+
+@query("SELECT o_orderkey AS doc_id, repeat('M', CAST(o_orderkey // 1000 AS INTEGER)) || (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[CAST(o_orderkey // 100 % 10 + 1 AS INTEGER)] || (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[CAST(o_orderkey // 10 % 10 + 1 AS INTEGER)] || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[CAST(o_orderkey % 10 + 1 AS INTEGER)] AS numeral, repeat(chr(CAST(97 + (o_orderkey % 100) % 26 AS INTEGER)), CAST((o_orderkey % 100) // 26 + 1 AS INTEGER)) AS letter FROM orders WHERE o_orderkey > 0")
+def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order numbers in Roman numerals and repeated letters."""
+    n = F.col("doc_id")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")).where("doc_id > 0").select("doc_id", strings.roman(n).alias("numeral"), strings.page_label(F.lit("a"), F.lit(None), n % 100 + 1).alias("letter"))
+
+
+@query("SELECT p_partkey AS doc_id, 'an ' || replace(lower(p_name), ' ', '') || 'ending|then office' AS lines FROM part")
+def joined_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names broken over hyphenated rows in chains, joined again; ligatures spelled out."""
+    word = F.replace("p_name", F.lit(" "), F.lit("-\n"))
+    rows = F.split(_cat("an ", F.lower(word), "-\nending\n\nthen oﬃce"), "\n")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array_join(R.finished(rows), "|").alias("lines"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS n, 'aaa' || l_linenumber || 'cccc' AS signed, true AS matches FROM lineitem")
+def signed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes on both sides of a signature, and their digest against a stated one."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"))
+    content = F.encode(_cat("aaa", _text(F.col("n")), "<sig>cccc"), "UTF-8")
+    cut = 3 + F.length(_text(F.col("n")))
+    rows = rows.withColumns({"content": content, "r": F.array(F.lit(0), cut, cut + 5, F.lit(4))})
+    stated = F.unhex(F.sha2(_cat("aaa", _text(F.col("n")), "cccc"), 256))
+    return rows.select("doc_id", "n", crypto.signed_bytes(F.col("content"), F.col("r")).cast("string").alias("signed"), crypto.digest_matches(F.col("content"), F.col("r"), stated).alias("matches"))
+
+
+@query("SELECT n_regionkey AS doc_id, 0 AS source_rank, 'open' AS source, CAST(0 AS BIGINT) AS depth, 'URI' AS kind, 'http://' || r_name AS target FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY n_regionkey, r_name UNION ALL SELECT r_regionkey, 0, 'open', 1, 'Named', 'NextPage' FROM region UNION ALL SELECT r_regionkey, 2, 'page O', 0, 'Named', 'NextPage' FROM region")
+def action_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An action at opening with one chained to it, which a page also has as its own."""
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), "r_name")
+    contents = region.select("doc_id", F.lit(0).alias("page"), F.lit("").alias("content"))
+    extra = region.select("doc_id", _rows((F.lit(50), _cat("<< /S /URI /URI ", W.literal_string(_cat("http://", F.col("r_name"))), " /Next 51 0 R >>")), (F.lit(51), F.lit("<< /S /Named /N /NextPage /Next 50 0 R >>")))).select("doc_id", F.col("o.obj_num").cast("int").alias("obj_num"), "o.body")
+    objects = _objects(Y.page_objects(contents, F.lit("/AA << /O 51 0 R >>"), F.lit("/OpenAction 50 0 R")).unionByName(extra))
+    return C.actions(objects).where("depth < 2 and not (depth = 1 and source_rank = 2)").select(F.col("doc_id").cast("int").alias("doc_id"), "source_rank", "source", F.col("depth").cast("long").alias("depth"), "kind", "target")
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS bead_seq, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS page_index, 'Story' AS title FROM nation")
+def article_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of beads over a region's pages, one for each nation."""
+    by = Window.partitionBy("doc_id")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("page"))
+    nation = nation.withColumn("n", F.count("*").over(by))
+    contents = nation.select("doc_id", "page", F.lit("").alias("content"))
+    beads = nation.select("doc_id", (500 + F.col("page")).alias("obj_num"), _cat("<< /R [0 0 9 9] /P ", _text(4 + 2 * F.col("page")), " 0 R /N ", _text(500 + (F.col("page") + 1) % F.col("n")), " 0 R >>").alias("body"))
+    catalog = F.lit("/Threads [<< /F 500 0 R /I << /Title (Story) >> >>]")
+    found = C.threads(_objects(Y.page_objects(contents, catalog=catalog).unionByName(beads.withColumn("obj_num", F.col("obj_num").cast("int")))))
+    return found.select("doc_id", F.col("bead_seq").cast("long").alias("bead_seq"), F.col("page_index").cast("long").alias("page_index"), "title")
