@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,6 +72,21 @@ def rc4(key: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([_rc4(k, d) if k and d is not None else None for k, d in zip(key, data)])
 
 
+@pandas_udf(BinaryType())
+def user_entry_r3(key: pd.Series, file_id: pd.Series) -> pd.Series:
+    """The first 16 bytes that U must have from revision 3 on: the padding's digest through twenty rounds of changed keys."""
+
+    def one(k, i):
+        if not k:
+            return None
+        data = hashlib.md5(PADDING + (i or b"")).digest()
+        for turn in range(20):
+            data = _rc4(bytes(c ^ turn for c in k), data)
+        return data
+
+    return pd.Series([one(*x) for x in zip(key, file_id)])
+
+
 def user_entry_r2(key: Column) -> Column:
     """What U must be for a revision 2 file whose password gives this key."""
     return rc4(key, F.lit(PADDING))

@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirel.functions import codecs, colour, crypto, strings
+from quirel.functions import calculator, codecs, colour, crypto, samples, strings
 from quirel.operators import catalogue as C
+from quirel.operators import encryption as E
 from quirel.operators import pages as P
 from quirel.operators import reading as R
+from quirel.operators import scene as S
 from quirel.operators import text as T
 from quirel.plans.stages import materialize
 from quirel.sources import objects as O
@@ -332,3 +334,52 @@ def article_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = F.lit("/Threads [<< /F 500 0 R /I << /Title (Story) >> >>]")
     found = C.threads(_objects(Y.page_objects(contents, catalog=catalog).unionByName(beads.withColumn("obj_num", F.col("obj_num").cast("int")))))
     return found.select("doc_id", F.col("bead_seq").cast("long").alias("bead_seq"), F.col("page_index").cast("long").alias("page_index"), "title")
+
+
+@query("SELECT c_custkey AS doc_id, c_name AS body, true AS opened, CAST(1 AS BIGINT) AS refused FROM customer")
+def encrypted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams under 128-bit AES, opened with the empty password; with another one the document refuses."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
+    owner, ident = F.lit(bytes(range(32))), F.unhex(F.md5(_text(F.col("doc_id")).cast("binary")))
+    keyed = people.withColumns({"ident": ident}).withColumn("key", crypto.file_key(F.lit(b""), owner, F.lit(-44), F.col("ident"), 4, 16))
+    user = crypto.user_entry_r3("key", "ident")
+    sealed = crypto.encrypt_aes(F.encode("c_name", "UTF-8"), crypto.object_key(F.col("key"), F.lit(2), F.lit(0), True), F.unhex(F.md5("c_name")))
+    made = materialize(keyed.select("doc_id", "ident", user.alias("u"), sealed.alias("sealed")))
+    entry = _cat("<< /Filter /Standard /V 4 /R 4 /Length 128 /P -44 /O <", F.lit(bytes(range(32)).hex()), "> /U <", F.hex("u"), "00000000000000000000000000000000> /CF << /StdCF << /CFM /AESV2 >> >> /StmF /StdCF >>")
+    parts = made.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog >>")), (F.lit(2), W.stream(W.byte_text(F.col("sealed")))), (F.lit(3), entry))).select("doc_id", "o.*")
+    files = W.assemble(parts, extra="/Encrypt 3 0 R").join(made.select("doc_id", "ident"), "doc_id")
+    # The identifier differs by file, so it is put into each trailer afterwards; nothing before it moves.
+    content = F.encode(F.replace(W.byte_text(F.col("content")), F.lit("/Encrypt 3 0 R"), _cat("/Encrypt 3 0 R /ID [<", F.hex("ident"), "> <00>]")), "ISO-8859-1")
+    objects = materialize(O.read_objects(files.select("doc_id", content.alias("content"))))
+    body = E.unlocked(objects).where("obj_num = 2").select("doc_id", F.col("data").cast("string").alias("body"))
+    opened = E.file_keys(objects).select("doc_id", "opened")
+    refused = E.unlocked(objects, b"other").where("error = 'wrong password' and obj_num = 2").groupBy("doc_id").agg(F.count("*").alias("refused"))
+    return body.join(opened, "doc_id").join(refused, "doc_id")
+
+
+@query("SELECT p_partkey AS doc_id, CAST(i AS BIGINT) AS node_id, CASE i WHEN 0 THEN '#ff0000' END AS fill, CASE i WHEN 1 THEN '#333333' END AS stroke, CASE i WHEN 0 THEN 5 ELSE 2 END AS steps, CASE i WHEN 0 THEN 2e0 * p_size ELSE CAST(p_size AS DOUBLE) END AS x FROM part, (SELECT unnest(range(2)) AS i)")
+def painted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filled rectangle under a matrix and a stroked line, for each part."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_size")
+    content = _cat("q 2 0 0 2 0 0 cm 1 0 0 rg ", _text(F.col("p_size")), " 0 10 10 re f Q 0.2 G ", _text(F.col("p_size")), " 1 m 5 5 l S 7 7 m n")
+    nodes = S.scene_nodes(_objects(Y.page_objects(part.select("doc_id", F.lit(0).alias("page"), content.alias("content")))))
+    first = F.get("path", 0)["p"]
+    return nodes.select("doc_id", F.col("node_id").cast("long").alias("node_id"), "fill", "stroke", F.size("path").alias("steps"), (F.get("ctm", 0) * F.get(first, 0) + F.get("ctm", 2) * F.get(first, 1) + F.get("ctm", 4)).alias("x"))
+
+
+@query("SELECT p_partkey AS doc_id, CASE WHEN p_size > 25 THEN 1 - p_size / 50e0 ELSE round(p_size / 50e0 * (p_size / 50e0), 9) END AS y, 0e0 AS failed FROM part")
+def calculated_tints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calculator program with a branch, compiled to columns; one that fails gives zero."""
+    x = F.col("p_size") / 50.0
+    y = calculator.calculator("{ dup 0.5 gt { 1 exch sub } { dup mul 1 mul } ifelse }", [x], [0, 1], [0, 1])[0]
+    failed = calculator.calculator("{ pop pop add }", [x], [0, 1], [0, 1])[0]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") > 25, y).otherwise(F.round(y, 9)).alias("y"), failed.alias("failed"))
+
+
+@query("SELECT p_partkey AS doc_id, upper(hex(chr(CAST(65 + p_size AS INTEGER)))) AS grey, 'FF' AS alpha FROM part WHERE p_size < 60")
+def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grey image of one pixel for each part, through its object and back as pixels."""
+    part = table(spark, sf_dir, "part").where("p_size < 60").select(F.col("p_partkey").alias("doc_id"), F.chr((65 + F.col("p_size")).cast("long")).alias("c"))
+    parts = part.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog >>")), (F.lit(2), W.stream(F.col("c"), "/Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceGray")))).select("doc_id", "o.*")
+    pixels = C.images(_objects(parts)).select("doc_id", F.hex(samples.image_rgba("data", "width", "height", "bits", "color_space")).alias("p"))
+    return pixels.select("doc_id", F.substring("p", 1, 2).alias("grey"), F.substring("p", 7, 2).alias("alpha"))

@@ -261,7 +261,8 @@ def _object_rows(data: bytes) -> Iterator[tuple]:
         try:
             value, body = file.get(number)
             value = value.decode("latin-1") if isinstance(value, bytes) else value
-            yield (number, json.dumps(value), None if body is None else file._decoded(value, body), None)
+            # Encrypted streams are decoded once they are unlocked.
+            yield (number, json.dumps(value), body if body is None or "Encrypt" in file.trailer else file._decoded(value, body), None)
         except FilterError as e:
             yield (number, json.dumps(value), body, str(e))
         except broken as e:
