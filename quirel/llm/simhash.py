@@ -108,7 +108,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(roots, "root").select("fp", F.col("component_id").alias("linked_id"), "links")
     classes = classes.join(linked, "fp", "left").select("fp", F.when(F.col("links").isNull(), F.col("first")).otherwise(F.col("linked_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    # Both sides come from tables, so that a fingerprint which many rows have is split over tasks.
+    return rows.join(stored(classes, "classes"), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
