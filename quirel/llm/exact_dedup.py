@@ -8,10 +8,10 @@ identifier. Only texts whose digest occurs more than once are compared, byte for
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, columns, shared_dir, text_or_empty
+from .common import BROADCAST_ROWS, columns, shared_dir, stored, text_or_empty
 
 
 class DigestIndex:
@@ -81,16 +81,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index.compact()
 
     single = _hits(index, rows, "left_anti").select("id", F.sha2("body", 256).alias("text_sha256"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    # Byte verification: hits are grouped by their texts, copies of a task are merged before the shuffle.
-    hits = _hits(index, rows, "left_semi").groupBy("digest", "body", "id").agg(F.count("*").alias("m"))
-    groups = hits.groupBy("digest", "body").agg(best("id").alias("keep_id"), F.sum("m").alias("group_size"))
-    found = hits.join(groups, ["digest", "body"]).select(
-        "id",
-        F.sha2("body", 256).alias("text_sha256"),
-        "keep_id",
-        "group_size",
-        F.explode(F.transform(F.sequence(F.lit(1), F.col("m").cast("int")), lambda i: (i == 1) & F.col("id").eqNullSafe(F.col("keep_id")))).alias("kept"),
-    )
+    # Byte verification: hits are grouped by their texts, copies of a task are merged before the shuffle. The groups
+    # are a table of their own, so that the rows of a text with many copies are split over tasks when they meet it.
+    hits = _hits(index, rows, "left_semi").select("digest", "body", "id")
+    groups = stored(hits.groupBy("digest", "body").agg(best("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    found = hits.join(groups, ["digest", "body"]).select("id", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
+    heads = F.col("id").eqNullSafe(F.col("keep_id"))
+    turn = F.row_number().over(Window.partitionBy("text_sha256").orderBy("id"))
+    columns_ = ("id", "text_sha256", "keep_id", "group_size")
+    found = found.where(~heads).select(*columns_, F.lit(False).alias("kept")).unionByName(found.where(heads).select(*columns_, (turn == 1).alias("kept")))
     return single.unionByName(found).withColumnRenamed("id", id_col)
 
 
