@@ -103,3 +103,31 @@ def invert(m: Column) -> Column:
 
 def apply(m: Column, x: Column, y: Column) -> Column:
     return F.struct((m["a"] * x + m["c"] * y + m["e"]).alias("x"), (m["b"] * x + m["d"] * y + m["f"]).alias("y"))
+
+
+def arc_point(cx: Column, cy: Column, rx: Column, ry: Column, turn: Column, angle: Column) -> Column:
+    """A point of an ellipse whose axes are turned; angles in radians."""
+    x, y = rx * F.cos(angle), ry * F.sin(angle)
+    return F.struct((cx + x * F.cos(turn) - y * F.sin(turn)).alias("x"), (cy + x * F.sin(turn) + y * F.cos(turn)).alias("y"))
+
+
+def arc_cubics(cx: Column, cy: Column, rx: Column, ry: Column, turn: Column, start: Column, sweep: Column) -> Column:
+    """An arc as cubic curves of a quarter turn at most: an array of (c1, c2, end)."""
+    n = F.greatest(F.ceil(F.abs(sweep) / (3.141592653589793 / 2) - 1e-9), F.lit(1)).cast("int")
+    step = sweep / n
+    k = 4.0 / 3.0 * F.tan(step / 4)
+
+    def curve(i: Column) -> Column:
+        a, b = start + (i - 1) * step, start + i * step
+        p, q = arc_point(cx, cy, rx, ry, turn, a), arc_point(cx, cy, rx, ry, turn, b)
+        slope = lambda t: arc_point(F.lit(0.0), F.lit(0.0), rx, ry, turn, t + 3.141592653589793 / 2)
+        move = lambda o, d, s: F.struct((o["x"] + s * k * d["x"]).alias("x"), (o["y"] + s * k * d["y"]).alias("y"))
+        return F.struct(move(p, slope(a), 1).alias("c1"), move(q, slope(b), -1).alias("c2"), q.alias("end"))
+
+    return F.transform(F.sequence(F.lit(1), n), curve)
+
+
+def number_text(x: Column, places: int = 4) -> Column:
+    """The shortest fixed decimal of a number."""
+    fixed = F.regexp_replace(F.format_string(f"%.{places}f", x.cast("double")), r"\.?0+$", "")
+    return F.when(F.round(x, places) == 0, "0").when(F.round(x, places) == F.floor(F.round(x, places)), F.format_string("%.0f", x.cast("double"))).otherwise(fixed)

@@ -170,6 +170,19 @@ def page_labels(objects: DataFrame) -> DataFrame:
     return held.select("doc_id", "page_index", F.when(F.col("range").isNull(), (F.col("page_index") + 1).cast("string")).otherwise(page_label(F.col("range.style"), F.col("range.prefix"), value)).alias("label"))
 
 
+def page_label_map(objects: DataFrame) -> DataFrame:
+    """(doc_id, labels): a map from page to label."""
+    return page_labels(objects).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page_index", "label"))).alias("labels"))
+
+
+def appearances(found: DataFrame) -> DataFrame:
+    """(doc_id, page_index, seq, normal, rollover, down, states): which appearances annotations have, and their states' names, each once, sorted."""
+    sides = {"normal": "N", "rollover": "R", "down": "D"}
+    names = F.concat(*[F.coalesce(F.when(F.try_variant_get("value", f"$.AP.{k}.r", "variant").isNull(), F.map_keys(F.try_variant_get("value", f"$.AP.{k}", "map<string,variant>"))), F.array().cast("array<string>")) for k in sides.values()])
+    has = [F.try_variant_get("value", f"$.AP.{k}", "variant").isNotNull().alias(n) for n, k in sides.items()]
+    return found.select("doc_id", "page_index", "seq", *has, F.array_sort(F.array_distinct(names)).alias("states"))
+
+
 def layers(objects: DataFrame) -> DataFrame:
     """(doc_id, obj_num, name, visible): optional content groups with the default configuration's base state, then ON, then OFF."""
     held = _from_catalog(objects, "OCProperties")

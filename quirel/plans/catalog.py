@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirel.functions import calculator, codecs, colour, crypto, samples, strings
 from quirel.operators import catalogue as C
+from quirel.operators import content as N
 from quirel.operators import encryption as E
 from quirel.operators import pages as P
 from quirel.operators import reading as R
@@ -383,3 +384,39 @@ def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = part.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog >>")), (F.lit(2), W.stream(F.col("c"), "/Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceGray")))).select("doc_id", "o.*")
     pixels = C.images(_objects(parts)).select("doc_id", F.hex(samples.image_rgba("data", "width", "height", "bits", "color_space")).alias("p"))
     return pixels.select("doc_id", F.substring("p", 1, 2).alias("grey"), F.substring("p", 7, 2).alias("alpha"))
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS name, 'stream of ' || p_brand AS body FROM part")
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose small objects are packed into a stream and whose table is a stream."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_brand")
+    parts = part.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog /Name 2 0 R >>")), (F.lit(2), W.literal_string(F.col("p_name"))), (F.lit(3), W.stream(_cat("stream of ", F.col("p_brand")))))).select("doc_id", "o.*")
+    objects = materialize(O.read_objects(W.assemble_packed(parts)))
+    names = objects.where("obj_num = 2").select("doc_id", strings.variant_text(F.col("value"), "$").alias("name"))
+    return names.join(objects.where("obj_num = 3").select("doc_id", F.col("data").cast("string").alias("body")), "doc_id")
+
+
+@query("SELECT n_nationkey AS doc_id, i AS seq, (['BMC', 'BDC', 'MP', 'EMC', 'EMC'])[i + 1] AS op, (['Outer', 'Span', 'Point', NULL, NULL])[i + 1] AS tag, (['1', '2', '2', '1', '0'])[i + 1] AS depth FROM nation, (SELECT unnest(range(5)) AS i)")
+def marked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked-content events of a page with their depth."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(0).alias("page"), F.lit("/Outer BMC /Span << /MCID 3 >> BDC /Point MP EMC EMC").alias("content"))
+    found = N.marked_content(_objects(Y.page_objects(nation)))
+    return found.select(F.col("doc_id").cast("int").alias("doc_id"), F.col("seq").cast("long").alias("seq"), "op", "tag", F.col("depth").cast("string").alias("depth"))
+
+
+@query("SELECT n_nationkey AS doc_id, CAST(2 AS BIGINT) AS width, 'DeviceGray' AS color_space, upper(hex(chr(CAST(65 + n_nationkey AS INTEGER)) || 'z')) AS bytes FROM nation")
+def inline_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images inside content streams, through a filter."""
+    digits = F.hex(F.concat(F.chr((65 + F.col("n_nationkey")).cast("long")), F.lit("z")))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(0).alias("page"), _cat("q BI /W 2 /H 1 /BPC 8 /CS /G /F /AHx ID ", digits, ">\nEI Q").alias("content"))
+    found = N.inline_images(_objects(Y.page_objects(nation)))
+    return found.select(F.col("doc_id").cast("int").alias("doc_id"), F.col("width").cast("long").alias("width"), "color_space", F.hex("data").alias("bytes"))
+
+
+@query("SELECT c_custkey AS doc_id, CAST(2 AS BIGINT) AS curves, round(10e0 + c_nationkey, 6) AS end_x, CASE WHEN c_nationkey = 0 THEN '0' ELSE CAST(c_nationkey AS VARCHAR) || '.5' END AS text FROM customer")
+def arcs_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A half turn as two curves, and numbers as the shortest text."""
+    n = F.col("c_nationkey").cast("double")
+    curves = colour.arc_cubics(F.lit(10.0), F.lit(0.0), n, n, F.lit(0.0), F.lit(3.141592653589793), F.lit(3.141592653589793))
+    text = colour.number_text(F.when(n == 0, 0.0).otherwise(n + 0.5))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.size(curves).cast("long").alias("curves"), F.round(F.element_at(curves, -1)["end"]["x"], 6).alias("end_x"), text.alias("text"))

@@ -64,6 +64,34 @@ def assemble(objects: DataFrame, root: int = 1, extra: str = "", prefix: str | N
     return docs.select("doc_id", F.encode(text, "ISO-8859-1").alias("content"))
 
 
+def assemble_packed(objects: DataFrame, root: int = 1) -> DataFrame:
+    """(doc_id, content): as assemble(), but objects without streams are packed into one object stream, and the table is a stream too.
+
+    The table's numbers are hexadecimal text behind a filter, so that it needs nothing but string functions.
+    """
+    rows = objects.select("doc_id", F.struct(F.col("obj_num").cast("long").alias("n"), F.col("body").alias("t"), F.col("body").contains("\nstream\n").alias("s")).alias("o"))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("o")).alias("all"))
+    docs = docs.select("doc_id", F.filter("all", lambda o: ~o["s"]).alias("small"), F.filter("all", lambda o: o["s"]).alias("large"), (F.element_at("all", -1)["n"] + 1).alias("pack"))
+    prefix = lambda items, begin, length: F.aggregate(items, F.array(begin.cast("long")), lambda acc, o: F.concat(acc, F.array(F.element_at(acc, -1) + length(o))))
+    docs = docs.withColumn("inner", prefix("small", F.lit(0), lambda o: F.length(o["t"]) + 1))
+    heads = F.array_join(F.zip_with("small", F.slice("inner", F.lit(1), F.size("small")), lambda o, at: F.concat(o["n"].cast("string"), F.lit(" "), at.cast("string"))), " ")
+    docs = docs.withColumn("heads", F.concat(heads, F.lit(" ")))
+    packed = stream(F.concat("heads", F.array_join(F.transform("small", lambda o: o["t"]), "\n")), F.concat(F.lit("/Type /ObjStm /N "), F.size("small").cast("string"), F.lit(" /First "), F.length("heads").cast("string")))
+    wrap = lambda n, t: F.concat(n.cast("string"), F.lit(" 0 obj\n"), t, F.lit("\nendobj\n"))
+    docs = docs.withColumn("parts", F.concat(F.transform("large", lambda o: F.struct(o["n"].alias("n"), wrap(o["n"], o["t"]).alias("t"))), F.array(F.struct(F.col("pack").alias("n"), wrap(F.col("pack"), packed).alias("t")))))
+    docs = docs.withColumn("sums", prefix("parts", F.lit(len(HEADER)), lambda o: F.length(o["t"])))
+    field = lambda kind, a, b: F.concat(F.lit(kind), F.lpad(F.hex(a.cast("long")), 8, "0"), F.lpad(F.hex(b.cast("long")), 4, "0"))
+    used = F.zip_with("parts", F.slice("sums", F.lit(1), F.size("parts")), lambda o, at: F.struct(o["n"].alias("n"), field("01", at, F.lit(0)).alias("e")))
+    inside = F.transform("small", lambda o, i: F.struct(o["n"].alias("n"), field("02", F.col("pack"), i).alias("e")))
+    table = F.array_sort(F.concat(used, inside, F.array(F.struct((F.col("pack") + 1).alias("n"), field("01", F.element_at("sums", -1), F.lit(0)).alias("e")))))
+    docs = docs.withColumn("table", table)
+    index = F.array_join(F.transform("table", lambda e: F.concat(e["n"].cast("string"), F.lit(" 1"))), " ")
+    body = F.concat(F.array_join(F.transform("table", lambda e: e["e"]), ""), F.lit(">"))
+    xref = stream(body, F.concat(F.lit(f"/Type /XRef /Root {root} 0 R /W [1 4 2] /Filter /ASCIIHexDecode /Index ["), index, F.lit("] /Size "), (F.col("pack") + 2).cast("string")))
+    text = F.concat(F.lit(HEADER), F.array_join(F.transform("parts", lambda o: o["t"]), ""), wrap(F.col("pack") + 1, xref), F.lit("startxref\n"), F.element_at("sums", -1).cast("string"), F.lit("\n%%EOF\n"))
+    return docs.select("doc_id", F.encode(text, "ISO-8859-1").alias("content"))
+
+
 def write_pdf(files: DataFrame, folder: str) -> None:
     """Writes (doc_id, content) as files doc_id.pdf below a folder that executors share, one task per partition of rows.
 
