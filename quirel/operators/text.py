@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,14 @@ def _times(m: tuple, n: tuple) -> tuple:
     return a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + o
 
 
+_FLOAT = struct.Struct("f")
+
+
+def _single(v: float) -> float:
+    """v in single precision."""
+    return _FLOAT.unpack(_FLOAT.pack(v))[0] if abs(v) < 3e38 else 0.0
+
+
 class Walker:
     """The text state of a content stream; sequential by nature, so a page is one pass."""
 
@@ -135,12 +143,12 @@ class Walker:
                     continue
                 if origin is None:
                     origin = moved
-                for code, width in font.codes(raw):
-                    moved += (width * s["size"] + s["Tc"] + (s["Tw"] if code == b" " else 0.0)) * s["Tz"]
+                width, n, spaces = font.measure(raw)
+                moved += (width * s["size"] + n * s["Tc"] + spaces * s["Tw"]) * s["Tz"]
                 text += font.decode(raw)
         full = _times(self.tm, self.ctm)
         if text and origin is not None:
-            f32 = lambda v: float(np.float32(v))
+            f32 = _single
             run = moved - origin
             start = _times((1, 0, 0, 1, origin, s["Ts"]), full)
             mcid, artifact = self.marks[-1] if self.marks else (None, False)

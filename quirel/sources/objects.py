@@ -27,6 +27,13 @@ _SPACE = rb"\x00\t\n\x0c\r "
 _TOKEN = re.compile(
     rb"(?:[" + _SPACE + rb"]|%[^\r\n]*)*(?:(?P<ref>\d+\s+\d+\s+R(?![A-Za-z0-9]))|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))|/(?P<name>[^" + _SPACE + rb"()<>\[\]{}/%]*)|(?P<open><<|\[)|(?P<close>>>|\])|<(?P<hex>[^>]*)>|(?P<lit>\()|(?P<word>[A-Za-z'\"*]+[0-9]*\*?))"
 )
+_XREF = re.compile(rb"\s*xref\s*")
+_HEAD = re.compile(rb"(\d+)[ \t]+(\d+)\s*")
+_ENTRY = re.compile(rb"(\d{10}) (\d{5}) ([nf])\s*")
+_TRAILER = re.compile(rb"\s*trailer")
+_OBJ = re.compile(rb"\s*(\d+)\s+(\d+)\s+obj")
+_STREAM = re.compile(rb"\s*stream(\r\n|\n|\r)")
+_ENDSTREAM = re.compile(rb"\s*endstream")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 _LITERAL = re.compile(rb"[()\\\r]")
 
@@ -155,21 +162,19 @@ class File:
         self.packs: dict[int, dict[int, int]] = {}
 
     def _section(self, at: int, rev: int) -> dict:
-        m = re.compile(rb"\s*xref\s*").match(self.data, at)
+        m = _XREF.match(self.data, at)
         if not m:
             return self._stream_section(at, rev, 2)
         at = m.end()
-        head = re.compile(rb"(\d+)[ \t]+(\d+)\s*")
-        entry = re.compile(rb"(\d{10}) (\d{5}) ([nf])\s*")
-        while h := head.match(self.data, at):
+        while h := _HEAD.match(self.data, at):
             at = h.end()
             for i in range(int(h[2])):
-                e = entry.match(self.data, at)
+                e = _ENTRY.match(self.data, at)
                 if not e:
                     raise PdfError("cross-reference entry")
                 at = e.end()
                 self.rows.append((rev, 0, int(h[1]) + i, "used" if e[3] == b"n" else "free", int(e[1]), int(e[2])))
-        t = re.compile(rb"\s*trailer").match(self.data, at)
+        t = _TRAILER.match(self.data, at)
         if not t:
             raise PdfError("no trailer")
         trailer, _ = parse(self.data, t.end())
@@ -199,18 +204,18 @@ class File:
         return value
 
     def _indirect(self, at: int, number: int | None):
-        m = re.compile(rb"\s*(\d+)\s+(\d+)\s+obj").match(self.data, at)
+        m = _OBJ.match(self.data, at)
         if not m or number is not None and int(m[1]) != number:
             raise PdfError("another object here")
         value, end = parse(self.data, m.end())
-        s = re.compile(rb"\s*stream(\r\n|\n|\r)").match(self.data, end)
+        s = _STREAM.match(self.data, end)
         if not s or not isinstance(value, dict):
             return value, None
         n = value.get("Length")
         if isinstance(n, dict):
             kind, a, _ = self.at.get(n["r"][0], ("free", 0, 0))
             n = self._indirect(a, n["r"][0])[0] if kind == "used" else None
-        if not isinstance(n, int) or not re.compile(rb"\s*endstream").match(self.data, s.end() + n):
+        if not isinstance(n, int) or not _ENDSTREAM.match(self.data, s.end() + n):
             stop = self.data.find(b"endstream", s.end())
             if stop < 0:
                 raise PdfError("stream without end")
