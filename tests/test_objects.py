@@ -69,6 +69,16 @@ def test_encodings(spark):
     assert lines(spark, "BT /F0 9 Tf 5 5 Td (caf\\351 \\200) Tj ET") == ["café €"]
 
 
+def test_wide_fonts(spark):
+    cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0041> <0043> <0416> <0050> <0051> [<00660069> <4E2D>] endbfrange"
+    file = pdf(
+        "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", "<< /Type /Page /Parent 2 0 R /Resources << /Font << /F0 4 0 R >> >> /Contents 5 0 R >>",
+        "<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [6 0 R] /ToUnicode 7 0 R >>", stream("BT /F0 10 Tf 5 5 Td <0041004200500051> Tj <0043> Tj ET"), "<< /Type /Font /Subtype /CIDFontType2 /DW 500 /W [65 [1000 250] 80 81 2000] >>", stream(cmap),
+    )
+    rows = text.runs(read(spark, file)).orderBy("run_seq").collect()
+    assert [r.text for r in rows] == ["ЖЗfi中", "И"] and abs(rows[0].adv_x - 52.5) < 1e-4 and abs(rows[1].x - 57.5) < 1e-4
+
+
 def test_states_forms_and_marks(spark):
     objects = read(spark, page("/P << /MCID 4 >> BDC BT /F0 10 Tf 3 Tr 2 0 0 2 10 20 Tm (big) Tj ET EMC /Artifact BMC BT (foot) Tj ET EMC q 1 0 0 1 5 5 cm BT 1 1 Td (in) Tj ET Q (out) Tj"))
     runs = text.runs(objects).orderBy("run_seq").collect()
