@@ -204,6 +204,45 @@ def membership_visible(members: DataFrame, states: DataFrame) -> DataFrame:
     return each.select("doc_id", "member_id", F.coalesce(rule, F.lit(True)).alias("visible"))
 
 
+def visibility_expressions(objects: DataFrame) -> DataFrame:
+    """(doc_id, member_id, node): the expressions of memberships, as arrays of an operator and its operands."""
+    held = objects.select("doc_id", F.col("obj_num").alias("member_id"), F.try_variant_get("value", "$.VE", "variant").alias("node"))
+    return follow(held.where("node is not null"), objects, "node").select("doc_id", "member_id", "node")
+
+
+def expression_visible(expressions: DataFrame, states: DataFrame) -> DataFrame:
+    """(doc_id, member_id, visible) of rows (doc_id, member_id, node) and layer states (doc_id, obj_num, visible).
+
+    Operands are unfolded a level at a time and folded up again by boolean aggregates. An unknown layer
+    is hidden, And of nothing holds, Or of nothing doesn't, Not takes its first operand and is void without one.
+    A member whose expression is void has no row.
+    """
+    key = ["doc_id", "member_id"]
+    front = expressions.select(*key, F.array().cast("array<int>").alias("path"), "node")
+    levels, leaves = [], None
+    for _ in range(TREE_DEPTH + 1):
+        front = materialize(front)
+        if front.isEmpty():
+            break
+        op = F.try_variant_get("node", "$[0].n", "string")
+        levels.append(front.select(*key, "path", op.alias("op")).where(F.col("op").isin("And", "Or", "Not")))
+        items = front.where(op.isin("And", "Or", "Not")).select(*key, "path", F.posexplode(F.expr("slice(try_variant_get(node, '$', 'array<variant>'), 2, 2147483647)")).alias("place", "node"))
+        items = items.select(*key, F.concat("path", F.array("place")).alias("path"), "node")
+        found = items.select(*key, "path", ref(F.col("node"), "$").alias("obj_num")).where("obj_num is not null")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        front = items.where(F.try_variant_get("node", "$", "array<variant>").isNotNull())
+    if leaves is None:
+        return expressions.select(*key, F.lit(True).alias("visible")).limit(0)
+    values = leaves.join(states.select("doc_id", "obj_num", "visible"), ["doc_id", "obj_num"], "left").select(*key, "path", F.coalesce("visible", F.lit(False)).alias("visible"))
+    for depth in range(len(levels) - 1, -1, -1):
+        below = values.where(F.size("path") == depth + 1).select(*key, F.slice("path", 1, depth).alias("path"), F.element_at("path", -1).alias("place"), "visible")
+        folded = below.groupBy(*key, "path").agg(F.bool_and("visible").alias("every"), F.bool_or("visible").alias("some"), F.min_by("visible", "place").alias("first"))
+        rule = F.when(F.col("op") == "And", F.coalesce("every", F.lit(True))).when(F.col("op") == "Or", F.coalesce("some", F.lit(False))).otherwise(~F.col("first"))
+        up = levels[depth].join(folded, [*key, "path"], "left").select(*key, "path", rule.alias("visible")).where("visible is not null")
+        values = values.where(F.size("path") <= depth).unionByName(up)
+    return values.select(*key, "visible")
+
+
 # ---- files, metadata, claims ----
 
 

@@ -420,3 +420,66 @@ def arcs_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     curves = colour.arc_cubics(F.lit(10.0), F.lit(0.0), n, n, F.lit(0.0), F.lit(3.141592653589793), F.lit(3.141592653589793))
     text = colour.number_text(F.when(n == 0, 0.0).otherwise(n + 0.5))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.size(curves).cast("long").alias("curves"), F.round(F.element_at(curves, -1)["end"]["x"], 6).alias("end_x"), text.alias("text"))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS doc_id, CAST(1000 + n_nationkey AS BIGINT) AS member_id, (n_nationkey % 3 > 0) <> ((n_nationkey + 1) % 3 > 0 AND n_nationkey < (SELECT max(n_nationkey) FROM nation)) AS visible FROM nation")
+def layer_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memberships that hold where one of two layers is on and the other isn't; a layer behind the last one is unknown."""
+    nation = table(spark, sf_dir, "nation").select(F.lit(1).cast("long").alias("doc_id"), F.col("n_nationkey").cast("long").alias("n"))
+    a, b = _cat(_text(10 + F.col("n")), " 0 R"), _cat(_text(11 + F.col("n")), " 0 R")
+    group = _cat("<< /Type /OCG /Name ", W.literal_string(_text(F.col("n"))), " >>")
+    member = _cat("<< /Type /OCMD /VE [/Or [/And ", a, " [/Not ", b, "]] [/And [/Not ", a, "] ", b, "]] >>")
+    rows = nation.select("doc_id", _rows((10 + F.col("n"), group), (1000 + F.col("n"), member))).select("doc_id", "o.*")
+    listed = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.col("n")))), lambda n: _cat((10 + n).cast("string"), " 0 R")), " ")
+    heads = nation.groupBy("doc_id").agg(listed(F.lit(True)).alias("every"), listed(F.col("n") % 3 == 0).alias("off"))
+    roots = heads.select("doc_id", _rows((F.lit(1), _cat("<< /Type /Catalog /OCProperties << /OCGs [", F.col("every"), "] /D << /OFF [", F.col("off"), "] >> >> >>")))).select("doc_id", "o.*")
+    objects = _objects(rows.unionByName(roots))
+    return C.expression_visible(C.visibility_expressions(objects), C.layers(objects))
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name AS name, CAST(0 AS BIGINT) AS dest_page, CASE WHEN n_nationkey % 2 = 0 THEN 'FitH' ELSE 'Fit' END AS dest_kind, CASE WHEN n_nationkey % 2 = 0 THEN 700e0 + n_nationkey END AS top FROM nation")
+def named_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a tree and of an older dictionary; where both have one the tree's counts."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").alias("n"), "n_name")
+    newer = F.when(F.col("n") % 2 == 0, _cat(W.literal_string(F.col("n_name")), " [4 0 R /FitH ", _text(700 + F.col("n")), "]"))
+    older = _cat(W.name(F.col("n_name")), " [4 0 R /Fit]")
+    held = nation.select("doc_id", newer.alias("newer"), older.alias("older")).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("newer")), " ").alias("newer"), F.array_join(F.array_sort(F.collect_list("older")), " ").alias("older"))
+    contents = held.select("doc_id", F.lit(0).alias("page"), F.lit("").alias("content"), _cat("/Names << /Dests << /Names [", F.col("newer"), "] >> >> /Dests << ", F.col("older"), " >>").alias("dests"))
+    found = C.named_destinations(_objects(Y.page_objects(contents, catalog=F.first("dests"))))
+    return found.select("doc_id", "name", F.col("dest_page").cast("long").alias("dest_page"), "dest_kind", F.get("dest_args", F.lit(0)).alias("top"))
+
+
+@query("SELECT p_partkey AS doc_id, p_name || ' & ' || p_type AS title, p_brand AS creator, p_type AS producer, p_brand || ',' || p_type AS subjects FROM part")
+def packet_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of metadata packets: list items, an attribute, a bag and escaped characters."""
+    part = table(spark, sf_dir, "part")
+    item = lambda c: _cat("<rdf:li>", c, "</rdf:li>")
+    packet = _cat(
+        '<rdf:Description pdf:Producer="', F.col("p_type"), '"><dc:title><rdf:Alt>', item(_cat(F.col("p_name"), " &amp; ", F.col("p_type"))), "</rdf:Alt></dc:title><dc:creator><rdf:Seq>", item(F.col("p_brand")),
+        "</rdf:Seq></dc:creator><dc:subject><rdf:Bag>", item(F.col("p_brand")), item(F.col("p_type")), "</rdf:Bag></dc:subject></rdf:Description>",
+    )
+    rows = part.select(F.col("p_partkey").alias("doc_id"), _rows((F.lit(1), F.lit("<< /Type /Catalog /Metadata 2 0 R >>")), (F.lit(2), W.stream(packet, "/Type /Metadata /Subtype /XML")))).select("doc_id", "o.*")
+    return C.xmp(_objects(rows)).select("doc_id", "title", "creator", "producer", F.array_join("subject", ",").alias("subjects"))
+
+
+@query("SELECT p_partkey AS doc_id, 'Text' AS subtype, p_name AS contents, p_brand AS name, CAST(p_size AS BIGINT) AS flags, p_size + 0e0 AS wide, p_size % 2 = 0 AS down, array_to_string(list_sort(CASE WHEN p_size % 2 = 0 THEN ['Off', 'On', p_type] ELSE ['Off', 'On'] END), ',') AS states FROM part")
+def note_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as notes, with the states that their appearances name."""
+    part = table(spark, sf_dir, "part").withColumn("doc_id", F.col("p_partkey"))
+    down = F.when(F.col("p_size") % 2 == 0, _cat(" /D << /On 5 0 R ", W.name(F.col("p_type")), " 5 0 R >>")).otherwise("")
+    note = _cat("<< /Subtype /Text /Rect [0 0 ", _text(F.col("p_size")), " 9] /Contents ", W.text_string(F.col("p_name")), " /NM ", W.literal_string(F.col("p_brand")), " /F ", _text(F.col("p_size")), " /AP << /N << /On 5 0 R /Off 5 0 R >>", down, " >> >>")
+    contents = part.select("doc_id", F.lit(0).alias("page"), F.lit("").alias("content"))
+    notes = part.select("doc_id", F.lit(100).alias("obj_num"), note.alias("body"))
+    found = C.annotations(_objects(Y.page_objects(contents, F.lit("/Annots [100 0 R]")).unionByName(notes)))
+    return found.join(C.appearances(found), ["doc_id", "page_index", "seq"]).select("doc_id", "subtype", "contents", "name", "flags", F.element_at("rect", 3).alias("wide"), "down", F.array_join("states", ",").alias("states"))
+
+
+@query("SELECT p_partkey AS doc_id, p_partkey * 7 AS start, CASE WHEN p_size % 2 = 0 THEN p_partkey + 1000 ELSE -1 END AS length, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) ELSE -1 END AS hint, CASE WHEN p_size % 2 = 0 THEN p_partkey + 2 ELSE -1 END AS pages FROM part")
+def file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where files say that their last table begins, and what the linearized of them say in front."""
+    number = F.col("p_partkey")
+    front = F.when(F.col("p_size") % 2 == 0, _cat("/Linearized 1 /L ", _text(number + 1000), " /H [", _text(F.col("p_size")), " 20] /O 3 /E 9 /N ", _text(number + 2), " /T 5")).otherwise("/Type /Catalog")
+    content = F.encode(_cat("%PDF-1.4\n1 0 obj\n<< ", front, " >>\nendobj\nstartxref\n1\n%%EOF\nstartxref\n", _text(number * 7), "\n%%EOF\n"), "ISO-8859-1")
+    files = table(spark, sf_dir, "part").select(number.alias("doc_id"), content.alias("content"))
+    found = files.select("doc_id", O.startxref("content").alias("start"), O.linearization("content").alias("lin"))
+    return found.select("doc_id", "start", *[F.coalesce(c, F.lit(-1)).cast("long").alias(n) for n, c in (("length", F.col("lin.L")), ("hint", F.get("lin.H", F.lit(0))), ("pages", F.col("lin.N")))])
