@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirel.llm import exact_dedup, mixing, simhash, spm, toxicity
+from quirel.llm import exact_dedup, mixing, similar, spm, toxicity
 from quirel.llm.common import stored
 from quirel.llm.queries import table, tokenizer_model
 
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that fingerprints link."""
-    return simhash.drop_near_duplicates(docs)
+    """One document, that of the smallest id, of each group that shared five-word shingles link (Jaccard of 0.8 or more)."""
+    return similar.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,23 +22,34 @@ BITS, SHINGLE, SEED, MOST = 64, 3, 42, 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    """64-bit SimHash of word shingles, as a signed integer; 0 without words."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """64-bit hashes of the word shingles, in their order; a text with fewer words is one shingle, one without words none."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     width = min(width, len(words))
     begins = np.concatenate(([0], ends[: len(words) - width])).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())], dtype="<u8")
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())], dtype="<u8")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes, as a signed integer; 0 without any."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+    """64-bit SimHash of word shingles, as a signed integer; 0 without words."""
+    return folded(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `fp` in place of the text; copies of a fingerprint aren't merged."""
 
