@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, columns, map_texts, stored, text_or_empty
@@ -20,7 +20,7 @@ from .simhash import MOST, folded, shingle_hashes, trie_links
 #: Words of a shingle, and the least similarity of a link in fifths.
 WIDTH, FIFTHS = 5, 4
 #: Documents and shingles that order the shingles by frequency.
-ORDER_DOCS, ORDER_SHINGLES = 20_000, 50_000
+ORDER_DOCS, ORDER_SHINGLES = 4_000, 50_000
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -37,12 +37,12 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(rows: DataFrame) -> DataFrame:
-    """rows with cls (digest of the set of shingles), fp, size, head (the prefix that is joined) and set in place of body."""
+    """rows with cls (digest of the set of shingles), fp, size, head (the prefix that is joined) in place of body."""
     known, often = _common(rows)
 
     def make():
         def apply(texts):
-            out: dict[str, list] = {"cls": [], "fp": [], "size": [], "head": [], "set": []}
+            out: dict[str, list] = {"cls": [], "fp": [], "size": [], "head": []}
             for t in texts:
                 hashes = shingle_hashes(t, WIDTH)
                 found = np.unique(hashes).view("<i8")
@@ -55,12 +55,11 @@ def shingles(rows: DataFrame) -> DataFrame:
                 out["fp"].append(folded(hashes))
                 out["size"].append(n)
                 out["head"].append(found[np.lexsort((found, rank))][: n - (FIFTHS * n + 4) // 5 + 1])
-                out["set"].append(found)
             return out
 
         return apply
 
-    return map_texts(rows, "body", make, "cls long, fp long, size int, head array<long>, set array<long>", as_bytes=True)
+    return map_texts(rows, "body", make, "cls long, fp long, size int, head array<long>", as_bytes=True)
 
 
 def _near(a, b):
@@ -76,25 +75,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.where((5 + FIFTHS) * common >= FIFTHS * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
-def links_of(rows: DataFrame) -> DataFrame:
-    """(a, b): links between the classes of shingles()'s rows, whose components are those of all similar pairs.
+def _few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast where they are few, so that the texts that they are joined to stay where they are."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
+def links_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of shingles()'s rows, whose components are those of all similar pairs; texts: (digest, body).
 
     Pairs of a large group of copies would be its size squared. So each class is first compared to one other
     of those that it meets, and then only pairs that the links found don't yet connect are.
     """
-    classes = stored(rows.select("cls", "fp", "size", "head").dropDuplicates(["cls"]), "classes")
-    heads = classes.select("cls", "size", F.explode("head").alias("token"))
-    met = heads.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("cls", "size")).alias("first")).where("n > 1")
-    posts = stored(heads.join(met, "token").select("token", "cls", "size", "first"), "posts")
+    classes = stored(rows.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest")), "classes")
+    one = Window.partitionBy("token")
+    heads = rows.select("cls", "size", F.explode("head").alias("token"))
+    heads = heads.withColumns({"first": F.min(F.struct("cls", "size")).over(one), "last": F.max("cls").over(one)})
+    posts = stored(heads.where("first.cls <> last").select("token", "cls", "size", "first"), "posts")
     first = classes.groupBy("fp").agg(F.min("cls").alias("first"))
     ends = stored(trie_links(first.select(F.col("fp").alias("key")), MOST), "fp-links")
     of = lambda n: first.select(F.col("fp").alias(n), F.col("first").alias(f"first_{n}"))
     tried = ends.join(of("a"), "a").join(of("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     tried = tried.unionByName(classes.join(first, "fp").select(F.col("cls").alias("a"), F.col("first").alias("b")))
     tried = stored(tried.unionByName(posts.where(_near(F.col("size"), F.col("first.size"))).select(F.col("cls").alias("a"), F.col("first.cls").alias("b"))).where("a <> b").distinct(), "tried")
-    wanted = stored(posts.select("cls").unionByName(tried.select(F.explode(F.array("a", "b")).alias("cls"))).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    sets = stored(rows.select("cls", "set").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    wanted = posts.select("cls").unionByName(tried.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
+    wanted = stored(classes.select("cls", "digest").join(wanted, "cls", "left_semi"), "wanted")
+    bodies = texts.join(_few(wanted.select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
+    sets = map_texts(bodies, "body", lambda: lambda found: {"set": [shingle_set(t) for t in found]}, "set array<long>", as_bytes=True)
+    sets = stored(sets.join(wanted, "digest").select("cls", "set"), "sets")
     links = stored(_verified(tried, sets), "links")
     member = components(links).withColumnRenamed("node", "cls")
     posts = stored(posts.join(member, "cls", "left").select("token", "cls", "size", F.coalesce("root", "cls").alias("root")), "posts")
@@ -115,10 +122,16 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     key, digest = F.col(f"`{id_col}`"), F.xxhash64(text_or_empty(text_col))
     rows = columns(docs, id_col, text_col).where(key.isNotNull()).select(key.alias("id"), digest.alias("digest"), text_or_empty(text_col).alias("body"))
+    texts = rows.select("digest", "body")
     rows = stored(shingles(rows), "shingles")
-    member = components(links_of(rows)).withColumnRenamed("node", "cls")
-    held = rows.select("id", "digest", "cls").join(member, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    kept = held.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("k")).select(F.col("k.id").alias("kept id"), F.col("k.digest").alias("kept digest")).distinct()
+    member = components(links_of(rows, texts)).withColumnRenamed("node", "cls")
+    held = stored(rows.select("id", "digest", "cls").join(member, "cls", "left").select("id", "digest", F.coalesce("root", "cls").alias("root")), "groups")
+    kept = held.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("k")).select("k.*")
+    named = lambda keys: _few(stored(keys.distinct().toDF("kept id", "kept digest"), "keys"))
     marked = docs.where(key.isNotNull()).withColumn("kept digest of", digest)
-    stays = marked.join(kept, (key == F.col("kept id")) & (F.col("kept digest of") == F.col("kept digest")), "left_semi")
-    return stays.dropDuplicates([id_col, "kept digest of"]).drop("kept digest of").unionByName(docs.where(key.isNull()))
+    same = (key == F.col("kept id")) & (F.col("kept digest of") == F.col("kept digest"))
+    stays = marked.join(named(held.select("id", "digest").join(kept, ["id", "digest"], "left_anti")), same, "left_anti")
+    # Only rows that repeat both id and text are dealt out to leave one of each.
+    repeated = named(held.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("id", "digest"))
+    once = stays.join(repeated, same, "left_semi").dropDuplicates([id_col, "kept digest of"])
+    return stays.join(repeated, same, "left_anti").unionByName(once).drop("kept digest of").unionByName(docs.where(key.isNull()))
