@@ -142,12 +142,23 @@ def outline(objects: DataFrame) -> DataFrame:
 
 
 def outline_descendants(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, descendants): in reading order a node's descendants are the run of deeper nodes behind it."""
-    order = Window.partitionBy("doc_id").orderBy("node_id")
-    later = nodes.select("doc_id", F.col("node_id").alias("at"), F.col("depth").alias("d"))
-    ends = nodes.join(later, "doc_id", "left").where("at > node_id and d <= depth").groupBy("doc_id", "node_id").agg(F.min("at").alias("end"))
-    total = nodes.withColumn("total", F.max("node_id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 1)
-    return total.join(ends, ["doc_id", "node_id"], "left").select("doc_id", "node_id", (F.coalesce("end", "total") - F.col("node_id") - 1).alias("descendants"))
+    """(doc_id, node_id, descendants): in reading order a node's descendants are the run of deeper nodes behind it.
+
+    One pass over a document with the open nodes on a stack; nodes aren't joined to nodes.
+    """
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node_id")
+        ids, depths = rows["node_id"].tolist(), rows["depth"].tolist()
+        below, open_ = [0] * len(ids), []
+        for i, depth in enumerate([*depths, -1]):
+            while open_ and depths[open_[-1]] >= depth:
+                at = open_.pop()
+                below[at] = i - at - 1
+            open_.append(i)
+        return pd.DataFrame({"doc_id": rows["doc_id"], "node_id": ids, "descendants": below})
+
+    return nodes.select("doc_id", "node_id", "depth").groupBy("doc_id").applyInPandas(count, "doc_id long, node_id long, descendants long")
 
 
 # ---- labels and layers ----

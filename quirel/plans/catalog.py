@@ -166,17 +166,27 @@ nodes AS (
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n_nationkey, custkey) - 1 AS node_id, title, CAST(depth AS BIGINT) AS depth,
   CASE WHEN depth = 0 THEN count(*) OVER (PARTITION BY doc_id, n_nationkey) - 1 ELSE 0 END AS descendants FROM nodes""")
 def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as documents, nations and their customers as bookmarks."""
-    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").cast("long").alias("nation"), "n_name")
-    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").alias("key"), "c_name").join(nation, "nation")
-    in_nation, in_doc = Window.partitionBy("nation").orderBy("key"), Window.partitionBy("doc_id").orderBy("nation")
+    """Nations and their customers as bookmarks of regions; a document holds one nation's customers of a range of keys, so that none grows with the table."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("region"), F.col("n_nationkey").cast("long").alias("nation"), "n_name")
+    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").cast("long").alias("key"), "c_name").join(nation.select("nation"), "nation")
+    people = people.withColumn("bucket", F.floor(F.col("key") / C.LEVEL_ITEMS))
+    doc = (F.col("nation") * F.lit(1 << 32) + F.col("bucket")).alias("doc_id")
+    num = 1000 + F.col("key") - F.col("bucket") * C.LEVEL_ITEMS
+    in_part = Window.partitionBy("nation", "bucket").orderBy("key")
     link = lambda name, num: F.coalesce(_cat(f" /{name} ", _text(num), " 0 R"), F.lit(""))
-    leaf = people.select("doc_id", (1000 + F.col("key")).alias("obj_num"), _cat("<< /Title ", W.text_string(F.col("c_name")), " /Parent ", _text(10 + F.col("nation")), " 0 R", link("Next", 1000 + F.lead("key").over(in_nation)), " >>").alias("body"))
-    firsts = people.groupBy("nation").agg((1000 + F.min("key")).alias("first"))
-    tops = nation.join(firsts, "nation", "left").select("doc_id", (10 + F.col("nation")).alias("obj_num"), _cat("<< /Title ", W.literal_string(F.col("n_name")), " /Parent 2 0 R", link("First", F.col("first")), link("Next", 10 + F.lead("nation").over(in_doc)), " >>").alias("body"))
-    roots = nation.groupBy("doc_id").agg(F.min("nation").alias("f")).select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog /Outlines 2 0 R >>")), (F.lit(2), _cat("<< /Type /Outlines /First ", _text(10 + F.col("f")), " 0 R >>")))).select("doc_id", "o.*")
-    nodes = materialize(C.outline(_objects(leaf.unionByName(tops).unionByName(roots))))
-    return nodes.join(C.outline_descendants(nodes), ["doc_id", "node_id"]).select("doc_id", "node_id", "title", F.col("depth").cast("long").alias("depth"), "descendants")
+    leaf = people.select(doc, num.alias("obj_num"), _cat("<< /Title ", W.text_string(F.col("c_name")), " /Parent 10 0 R", link("Next", F.lead(num).over(in_part)), " >>").alias("body"))
+    parts = nation.join(people.groupBy("nation", "bucket").agg(F.min(num).alias("first")), "nation", "left").withColumn("bucket", F.coalesce("bucket", F.lit(0)))
+    top = _cat("<< /Title ", W.literal_string(F.col("n_name")), " /Parent 2 0 R", link("First", F.col("first")), " >>")
+    tops = parts.select(doc, _rows((F.lit(1), F.lit("<< /Type /Catalog /Outlines 2 0 R >>")), (F.lit(2), F.lit("<< /Type /Outlines /First 10 0 R >>")), (F.lit(10), top))).select("doc_id", "o.*")
+    nodes = materialize(C.outline(_objects(leaf.unionByName(tops))))
+    nodes = nodes.join(C.outline_descendants(nodes), ["doc_id", "node_id"])
+    # Documents are few; their places in the region follow from their numbers of nodes. A nation's bookmark counts in its first one.
+    held = nodes.groupBy("doc_id").agg(F.count("*").alias("n")).join(parts.select("region", "nation", "bucket", doc), "doc_id")
+    of_nation, in_region = Window.partitionBy("nation"), Window.partitionBy("region").orderBy("nation", "bucket")
+    held = held.withColumns({"again": (F.col("bucket") > F.min("bucket").over(of_nation)).cast("long"), "people": F.sum(F.col("n") - 1).over(of_nation)})
+    held = held.withColumn("before", F.coalesce(F.sum(F.col("n") - F.col("again")).over(in_region.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("again"))
+    found = nodes.join(held.select("doc_id", "region", "again", "people", "before"), "doc_id").where("depth > 0 or again = 0")
+    return found.select(F.col("region").alias("doc_id"), (F.col("before") + F.col("node_id")).alias("node_id"), "title", F.col("depth").cast("long").alias("depth"), F.when(F.col("depth") == 0, F.col("people")).otherwise(F.col("descendants")).alias("descendants"))
 
 
 @query("SELECT page_id AS doc_id, CAST(0 AS BIGINT) AS seq, url AS uri, CAST(NULL AS VARCHAR) AS dest_name, CAST(-1 AS BIGINT) AS dest_page FROM pages UNION ALL SELECT page_id, 1, NULL, 'top', 0 FROM pages UNION ALL SELECT page_id, 2, NULL, 'nowhere', -1 FROM pages")
