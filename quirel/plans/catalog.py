@@ -24,6 +24,8 @@ from quirel.sources import synthesis as Y
 from quirel.sources import writer as W
 
 FLAGSHIP = "text_roundtrip"
+#: Embedded files of a document, and event ids that are numbered together.
+FILES, EVENT_BLOCK = 1000, 65_536
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -202,14 +204,21 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, 'event-' || event_id AS name, 'application/json' AS mime, props AS body, CAST(strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS VARCHAR) AS modified FROM events")
 def attached_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user as files embedded in one document."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", "props", "ts", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k"))
+    """Events of a user as embedded files, FILES at most in a document."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), "event_id", "props", "ts").withColumn("block", F.floor(F.col("event_id") / EVENT_BLOCK))
+    # A user's events are numbered within blocks of ids, so that a hot user's are split over tasks.
+    sizes = rows.groupBy("user", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("user").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    events = rows.withColumn("at", F.row_number().over(Window.partitionBy("user", "block").orderBy("event_id")) - 1).join(sizes.select("user", "block", before.alias("before")), ["user", "block"]).withColumn("place", F.col("at") + F.col("before"))
+    doc = F.shiftleft(F.col("user").cast("long"), 20) + F.floor(F.col("place") / FILES)
+    events = events.select(doc.alias("doc_id"), "event_id", "props", "ts", (F.col("place") % FILES + 1).alias("k"))
     spec, data = 10 + 2 * F.col("k"), 11 + 2 * F.col("k")
     files = events.select("doc_id", _rows((spec, _cat("<< /Type /Filespec /UF ", W.text_string(_cat("event-", _text(F.col("event_id")))), " /EF << /F ", _text(data), " 0 R >> >>")), (data, W.stream(F.col("props"), _cat("/Subtype /application#2Fjson /Params << /ModDate ", W.literal_string(strings.iso_to_date(F.col("ts"))), " >>"))))).select("doc_id", "o.*")
     names = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "event_id"))).alias("e"))
     tree = F.array_join(F.transform("e", lambda e: _cat("(", F.lpad(e["k"].cast("string"), 8, "0"), ") ", (10 + 2 * e["k"]).cast("string"), " 0 R")), " ")
     roots = names.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog /Names << /EmbeddedFiles 2 0 R >> >>")), (F.lit(2), _cat("<< /Names [", tree, "] >>")))).select("doc_id", "o.*")
-    return C.attachments(_objects(files.unionByName(roots))).select("doc_id", F.col("seq").cast("long").alias("seq"), "name", "mime", F.col("bytes").cast("string").alias("body"), "modified")
+    seq = F.col("doc_id").bitwiseAND(F.lit((1 << 20) - 1)) * FILES + F.col("seq")
+    return C.attachments(_objects(files.unionByName(roots))).select(F.shiftright("doc_id", 20).alias("doc_id"), seq.cast("long").alias("seq"), "name", "mime", F.col("bytes").cast("string").alias("body"), "modified")
 
 
 @query("SELECT CAST(1 AS BIGINT) AS doc_id, n_name AS name, n_regionkey <> 2 AS visible FROM nation")
