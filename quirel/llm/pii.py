@@ -3,7 +3,8 @@
 The field scores whole candidate segments (all their digits, separators, checks and
 surroundings at once). A dynamic program over tokens, in which an entity has at most
 MAX_TOKENS tokens, chooses boundaries and types together. Away from digits and at signs nothing can be an entity, so
-the program runs over the islands around them, which gives what a run over the whole text would.
+the program runs over the islands around them, which gives what a run over the whole text would. Its time grows
+with the length of the text, whatever that holds.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import columns, map_texts, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of an entity at most, and tokens without digit or at sign that end an island.
-MAX_TOKENS, GAP = 14, 3
+#: Tokens and characters of an entity of the field at most (an address has up to 64 + 1 + 255).
+MAX_TOKENS, MAX_CHARS = 14, 320
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -77,6 +79,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _SEED = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]")
 _CUES = {"tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "server": "ip", "mail": "email", "email": "email", "contact": "email"}
+_LONGEST_CUE = max(map(len, _CUES))
 _INSIDE = frozenset("()[]{}.-+@_%/ ")
 
 
@@ -91,13 +94,12 @@ def _bucket(n: int) -> str:
     return next((name for most, name in ((0, "0"), (3, "1-3"), (7, "4-7"), (9, "8-9"), (11, "10-11"), (15, "12-15"), (19, "16-19")) if n <= most), "20+")
 
 
-def _features(text: str, begin: int, end: int, cue: str) -> list[str]:
+def _features(s: str, left: str, right: str, cue: str) -> list[str]:
     """What a whole segment looks like; the field has a weight for each of these with each type."""
-    s = text[begin:end]
     digits = [c for c in s if "0" <= c <= "9"]
     letters = any(c.isalpha() for c in s)
     groups = re.findall(r"[0-9]+", s)
-    found = ["any", f"digits {_bucket(len(digits))}", f"letters {letters}", f"left {_side(text, begin - 1)}", f"right {_side(text, end)}", f"cue {cue}", f"first {s[0] if not s[0].isalnum() else 'alnum'}", f"last {s[-1] if not s[-1].isalnum() else 'alnum'}"]
+    found = ["any", f"digits {_bucket(len(digits))}", f"letters {letters}", f"left {left}", f"right {right}", f"cue {cue}", f"first {s[0] if not s[0].isalnum() else 'alnum'}", f"last {s[-1] if not s[-1].isalnum() else 'alnum'}"]
     if len(groups) > 1 and not letters:
         found.append("groups " + "-".join(str(min(len(g), 5)) for g in groups[:5]))
         found.append("separators " + "".join(sorted(set(s) - set("0123456789"))))
@@ -113,66 +115,80 @@ def _features(text: str, begin: int, end: int, cue: str) -> list[str]:
     return found
 
 
-def _islands(text: str, blocked: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Tokens (begin, end) around seeds outside blocked spans; an island ends at a blocked span or after GAP other tokens."""
-    out, last = [], -1
-    seeds = [m.start() for m in _SEED.finditer(text)]
-    walls = sorted(blocked)
-    free, w = [], 0
-    for x in seeds:
-        while w < len(walls) and walls[w][1] <= x:
-            w += 1
-        if w == len(walls) or x < walls[w][0]:
-            free.append((x, walls[w - 1][1] if w else 0, walls[w][0] if w < len(walls) else len(text)))
-    for x, low, high in free:
-        if x < last:
-            continue
-        begin = x
-        for _ in range(GAP):
-            begin = _word_begin(text, begin, low)
-        tokens, quiet = [], 0
-        for m in _TOKEN.finditer(text, begin, high):
-            if m.end() > x and not _SEED.search(m[0]) and m[0] not in "()[].-+_%":
-                quiet += 1
-            elif _SEED.search(m[0]):
-                quiet = 0
-            tokens.append(m.span())
-            last = m.end()
-            if quiet > GAP:
-                break
-        if tokens:
-            out.append(tokens)
-    return out
+def _islands(text: str, blocked: list[tuple[int, int]]) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+    """Tokens (begin, end) and their cues around seeds outside blocked spans.
+
+    No segment crosses a blocked span or a break between tokens, and each has a seed and at most MAX_TOKENS tokens: so
+    what the program finds on the tokens near seeds of each unbroken run is what it finds on the whole text.
+    """
+    low = 0
+    for begin, end in [*sorted(blocked), (len(text), len(text))]:
+        if low < begin and _SEED.search(text, low, begin):
+            yield from _runs(text, low, begin)
+        low = max(low, end)
+
+
+def _runs(text: str, low: int, high: int) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+    seeds = [m.start() for m in _SEED.finditer(text, low, high)]
+    cue, seed, last = "none", 0, low
+    tokens: list[tuple[int, int]] = []
+    cues: list[str] = []
+    near: list[int] = []
+    for m in _TOKEN.finditer(text, low, high):
+        a, b = m.span()
+        if tokens and (a - last > 1 or (a > last and text[last] != " ") or not (text[a].isalnum() or text[a] in _INSIDE)):
+            if near:
+                yield from _windows(tokens, cues, near)
+            tokens, cues, near = [], [], []
+        while seed < len(seeds) and seeds[seed] < b:
+            if seeds[seed] >= a and near[-1:] != [len(tokens)]:
+                near.append(len(tokens))
+            seed += 1
+        tokens.append((a, b))
+        cues.append(cue)
+        if b - a > 1:
+            cue = _CUES.get(text[a:b].lower(), "none") if b - a <= _LONGEST_CUE else "none"
+        last = b
+    if near:
+        yield from _windows(tokens, cues, near)
 
 
-def _word_begin(text: str, at: int, low: int) -> int:
-    while at > low and text[at - 1].isspace():
-        at -= 1
-    while at > low and not text[at - 1].isspace():
-        at -= 1
-    return at
+def _windows(tokens: list[tuple[int, int]], cues: list[str], near: list[int]) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+    """The parts of a run that segments with a seed can reach."""
+    begin, end = max(0, near[0] - MAX_TOKENS + 1), near[0] + MAX_TOKENS
+    for at in near[1:]:
+        if at - MAX_TOKENS + 1 > end:
+            yield tokens[begin:end], cues[begin:end]
+            begin = at - MAX_TOKENS + 1
+        end = at + MAX_TOKENS
+    yield tokens[begin:end], cues[begin:end]
 
 
-def _segments(text: str, tokens: list[tuple[int, int]]):
-    """Candidate segments: (first token, behind the last, features)."""
-    cue, cues = "none", []
-    for a, b in tokens:
-        cues.append(cue)
-        cue = _CUES.get(text[a:b].lower(), cue if b - a <= 1 else "none")
-    starts = [bool(text[a:b][0].isalnum() or text[a] in "+(") for a, b in tokens]
-    for i, (a, _) in enumerate(tokens):
-        if not starts[i]:
+def _segments(text: str, tokens: list[tuple[int, int]], cues: list[str]) -> Iterator[tuple[int, int, tuple[str, str, str, str]]]:
+    """Candidate segments of tokens without a break: (first token, behind the last, what features are made of).
+
+    An entity without letters has 4 to 19 digits, one with letters has one at sign or written one; both end in
+    a letter, a digit or a closing bracket.
+    """
+    digits, letters, ats = [0], [0], [0]
+    for k, (a, b) in enumerate(tokens):
+        s = text[a:b] if b - a <= MAX_CHARS else text[a : a + MAX_CHARS]
+        digits.append(digits[-1] + len(_DIGIT.findall(s)))
+        letters.append(letters[-1] + (not s.isdecimal() and s[0].isalnum()))
+        at = s == "@" or (s.lower() == "at" and 0 < k and text[a - 1] in "([ " and b < len(text) and text[b] in ")] ")
+        ats.append(ats[-1] + at)
+    for i, (a, b) in enumerate(tokens):
+        if not (text[a].isalnum() or text[a] in "+("):
             continue
-        seeded = False
         for j in range(i, min(i + MAX_TOKENS, len(tokens))):
-            x, y = tokens[j]
-            if j > i:
-                gap = text[tokens[j - 1][1] : x]
-                if len(gap) > 1 or (gap and gap != " ") or not (text[x].isalnum() or text[x] in _INSIDE):
-                    break
-            seeded = seeded or bool(_SEED.search(text, a, y))
-            if seeded:
-                yield i, j + 1, _features(text, a, y, cues[i])
+            y = tokens[j][1]
+            if y - a > MAX_CHARS or ats[j + 1] > ats[i] + 1:
+                break
+            if not (text[y - 1].isalnum() or text[y - 1] in ")]"):
+                continue
+            if ats[j + 1] > ats[i] if letters[j + 1] > letters[i] else 4 <= digits[j + 1] - digits[i] <= 19:
+                if _SEED.search(text, a, y):
+                    yield i, j + 1, (text[a:y], _side(text, a - 1), _side(text, y), cues[i])
 
 
 def _example(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
@@ -228,10 +244,11 @@ def trained(examples: int = 260, rounds: int = 40, seed: int = 20) -> dict[tuple
     gold_rows = []
     for _ in range(examples):
         text, spans = _example(rng)
-        for tokens in _islands(text, []):
+        for tokens, cues in _islands(text, []):
             want = {(a, b): k for k, a, b in spans}
             arcs = []
-            for i, j, features in _segments(text, tokens):
+            for i, j, made in _segments(text, tokens, cues):
+                features = _features(*made)
                 for kind in KINDS:
                     if want.get((tokens[i][0], tokens[j - 1][1])) == kind:
                         gold_rows.append(len(begins))
@@ -275,14 +292,25 @@ def _posterior(n: int, arcs: list[tuple[int, int, int]], scores: list[float], ou
         out[k] = math.exp(forward[i] + scores[k] + backward[j] - forward[n])
 
 
-def field_spans(text: str, base: list[tuple[str, int, int]], weights: dict[tuple[str, str], float]) -> list[tuple[str, int, int]]:
+def best_type(weights: dict[tuple[str, str], float]) -> Callable[..., tuple[float, str]]:
+    """The weight and type of the best type of a segment, remembered for segments that recur."""
+
+    @lru_cache(maxsize=20_000)
+    def one(*made: str) -> tuple[float, str]:
+        features = _features(*made)
+        return max((sum(weights.get((kind, f), 0.0) for f in features), kind) for kind in KINDS)
+
+    return one
+
+
+def field_spans(text: str, base: list[tuple[str, int, int]], score_of: Callable[..., tuple[float, str]]) -> list[tuple[str, int, int]]:
     """Entities of the best segmentation outside base spans."""
     found = []
-    for tokens in _islands(text, [(a, b) for _, a, b in base]):
+    for tokens, cues in _islands(text, [(a, b) for _, a, b in base]):
         best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
         arcs: dict[int, list] = {}
-        for i, j, features in _segments(text, tokens):
-            score, kind = max((sum(weights.get((kind, f), 0.0) for f in features), kind) for kind in KINDS)
+        for i, j, made in _segments(text, tokens, cues):
+            score, kind = score_of(*made)
             if score > 0:
                 arcs.setdefault(j, []).append((i, score, kind))
         if not arcs:
@@ -307,20 +335,26 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id and spans, an array of (kind, start, end, base), by kind as in KINDS, then start.
 
     Offsets are code points, end exclusive. base marks those of the fixed patterns, which
-    always stay; the field adds others that don't overlap them. Null and empty texts have no spans.
-    Rows that repeat are treated alike; other columns are ignored.
+    always stay; the field adds others that don't overlap them, of at most MAX_TOKENS tokens and MAX_CHARS characters.
+    Null and empty texts have no spans, very long ones are searched whole. Rows that repeat are treated
+    alike, ids may be null or repeat; other columns are ignored, whatever their names. No rows give no rows.
     """
     weights = trained()
     place = {k: i for i, k in enumerate(KINDS)}
     rows = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("body"))
 
-    def one(text: str) -> list[dict]:
-        base = base_spans(text)
-        spans = [(k, a, b, True) for k, a, b in base]
-        if _SEED.search(text):
-            spans += [(k, a, b, False) for k, a, b in field_spans(text, base, weights)]
-        spans.sort(key=lambda s: (place[s[0]], s[1], not s[3]))
-        return [dict(zip(("kind", "start", "end", "base"), s)) for s in spans]
+    def make():
+        score_of = best_type(weights)
+
+        def one(text: str) -> list[dict]:
+            base = base_spans(text)
+            spans = [(k, a, b, True) for k, a, b in base]
+            if _SEED.search(text):
+                spans += [(k, a, b, False) for k, a, b in field_spans(text, base, score_of)]
+            spans.sort(key=lambda s: (place[s[0]], s[1], not s[3]))
+            return [dict(zip(("kind", "start", "end", "base"), s)) for s in spans]
+
+        return lambda texts: {"spans": [one(t) for t in texts]}
 
-    found = map_texts(rows, "body", lambda: lambda texts: {"spans": [one(t) for t in texts]}, "spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+    found = map_texts(rows, "body", make, "spans array<struct<kind:string,start:int,end:int,base:boolean>>")
     return found.withColumnRenamed("id", id_col)

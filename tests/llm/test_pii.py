@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -54,11 +55,11 @@ def test_query_equals_brute_force(spark, sf_dir):
 
 
 def test_field_on_held_out_windows():
-    weights, rng = pii.trained(), random.Random(4242)
+    score_of, rng = pii.best_type(pii.trained()), random.Random(4242)
     right = wrong = missed = 0
     for _ in range(400):
         text, gold = pii._example(rng)
-        found = set(pii.field_spans(text, [], weights))
+        found = set(pii.field_spans(text, [], score_of))
         right, wrong, missed = right + len(found & set(gold)), wrong + len(found - set(gold)), missed + len(set(gold) - found)
     assert right / (right + wrong) > 0.93 and right / (right + missed) > 0.9
 
@@ -70,3 +71,51 @@ def test_field_adds_other_forms_and_keeps_base(spark):
     found = [[(s.kind, s.base) for s in v] for v in rows.values()]
     assert found[0] == [("email", True), ("phone", False)] and found[1] == found[2] == [] and found[3] == [("phone", False)]
     assert pii.find_personal(docs.where("false")).collect() == []
+
+
+def whole_text_program(text, base, score_of):
+    """The field's spans by one program over all tokens of each stretch between base spans."""
+    found, low = [], 0
+    for begin, end in [*sorted((a, b) for _, a, b in base), (len(text), len(text))]:
+        tokens = [m.span() for m in pii._TOKEN.finditer(text, low, begin)] if low < begin else []
+        low = max(low, end)
+        cues, cue = [], "none"
+        for a, b in tokens:
+            cues.append(cue)
+            cue = cue if b - a == 1 else pii._CUES.get(text[a:b].lower(), "none")
+        joined = [True] + [text[b:a] in ("", " ") and (text[a].isalnum() or text[a] in pii._INSIDE) for (_, b), (a, _) in zip(tokens, tokens[1:])]
+        best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
+        for t in range(1, len(tokens) + 1):
+            best[t] = best[t - 1]
+            for i in range(max(0, t - pii.MAX_TOKENS), t):
+                if all(joined[i + 1 : t]):
+                    for x, y, made in pii._segments(text, tokens[i:t], cues[i:t]):
+                        if (x, y) == (0, t - i):
+                            score, kind = score_of(*made)
+                            if score > 0 and best[i] + score > best[t]:
+                                best[t], back[t] = best[i] + score, (i, kind)
+        t = len(tokens)
+        while t:
+            if back[t]:
+                found.append((back[t][1], tokens[back[t][0]][0], tokens[t - 1][1]))
+            t = back[t][0] if back[t] else t - 1
+    return found
+
+
+def test_islands_equal_whole_text():
+    score_of, rng = pii.best_type(pii.trained()), random.Random(77)
+    parts = ["call ", "tel: ", "555-123-4567", "(616) 555 3963", "+49 30 1234567", "10[.]0[.]0[.]1", "ann (at) example (dot) org", "a.b@c", "word", ", ", ". ", " ", "\n", "x9", "(", ") ", "2021-03-04", "1.2.3.4", "/", "at "]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(40))
+        base = pii.base_spans(text)
+        assert sorted(pii.field_spans(text, base, score_of)) == sorted(whole_text_program(text, base, score_of)), text
+
+
+def test_time_grows_with_the_text_alone():
+    score_of, rng = pii.best_type(pii.trained()), random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    hard = ["a1b2" * 250_000, "".join(rng.choice(letters + "+/=") for _ in range(1_000_000)), "." * 1_000_000 + "1", "@" * 1_000_000, "a@" * 500_000, "1" * 1_000_000]
+    for text in hard:
+        began = time.process_time()
+        pii.field_spans(text, pii.base_spans(text), score_of)
+        assert time.process_time() - began < 20, text[:20]
