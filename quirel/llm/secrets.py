@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ REACH = 300
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_IDENTIFIER = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.ASCII | re.IGNORECASE)
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal|local)\b(?::[0-9]{2,5})?")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
+_IDENTIFIER = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE)
+_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|(?<![A-Za-z0-9_.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++(?:(?<=\.internal)|(?<=\.local)|(?<=\.amazonaws\.com))(?![A-Za-z0-9_])(?::[0-9]{2,5})?")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 _BLANK = re.compile(r"\n[ \t]*\n")
 #: Hexadecimal digits become x, everything else a space: a run of 24 is then found by a plain search.
 _HEX_MAP = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
@@ -68,11 +69,33 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             found += [("identifier", *m.span(1)) for m in _IDENTIFIER.finditer(text)]
     if any("0" <= c <= "9" for c in set(text)):
         found += [("secret", *m.span()) for m in _OPAQUE.finditer(text) if random_looking(m[0])]
-    out, taken = [], list(base)
-    for kind, a, b in found:
-        if not any(a < y and x < b for _, x, y in taken):
+    out, taken = [], _merged((a, b) for _, a, b in base)
+    for kind in ("endpoint", "identifier", "secret"):
+        free = _outside([s for s in found if s[0] == kind], taken)
+        out += free
+        taken = _merged([*taken, *((a, b) for _, a, b in free)])
+    return out
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans in order that cover the same places."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _outside(spans: list[tuple[str, int, int]], taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Those of spans (in order) that overlap none of taken (disjoint, in order)."""
+    out, at = [], 0
+    for kind, a, b in spans:
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if at == len(taken) or b <= taken[at][0]:
             out.append((kind, a, b))
-            taken.append((kind, a, b))
     return out
 
 
@@ -94,7 +117,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Offsets are code points, end exclusive. base marks the fixed patterns' spans, which all
     stay. A weak secret needs an identifier or an endpoint within reach in its scope, a weak identifier
-    or endpoint needs a secret. Null and empty texts have no spans; rows that repeat are treated each on its own.
+    or endpoint needs a secret. Null and empty texts have no spans, very long ones are searched whole and no span is cut.
+    Rows that repeat, and null or repeated ids, are treated each on its own; parts of equal place are ordered by kind.
+    Other columns are ignored, whatever their names. No rows give no rows.
     """
     rows = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("body"))
     parts = map_texts(rows, "body", lambda: lambda texts: {"parts": [_parts(t) for t in texts]}, "parts array<struct<kind:string,start:int,end:int,base:boolean,role:string,scope:int>>")
@@ -103,8 +128,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # The interval join: parts of a scope meet in order of their starts, so each looks at its nearest complements only.
     near = parts.where(F.exists("parts", lambda p: ~p["base"]) & (F.size("parts") > 1)).select("row", F.explode("parts").alias("p")).select("row", "p.*")
-    order = Window.partitionBy("row", "scope").orderBy("start", "end", "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # Both windows grow row by row, so a scope costs its length (a frame to the end would be computed anew at each row).
+    order = Window.partitionBy("row", "scope")
+    before = order.orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = order.orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
 
     def close(role: str):
         mine = F.col("role") == role
