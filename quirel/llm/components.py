@@ -8,11 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
+
+
+#: Nodes that a task holds at a time.
+HELD = 500_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's edges as stars (node, smallest node that its own edges reach)."""
+    """A task's edges as stars (node, smallest node that its own edges reach), for HELD nodes at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -20,14 +24,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent[parent[x]]
         return x
 
+    def flushed() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in parent if root(x) != x]
+        for at in range(0, len(nodes), 10_000):
+            part = nodes[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["a", "b"])
+        parent.clear()
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if root(x) != x]
-    for at in range(0, len(nodes), 10_000):
-        part = nodes[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["a", "b"])
+        if len(parent) > HELD:
+            yield from flushed()
+    yield from flushed()
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,16 +51,20 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
-    Tasks first contract the edges that they hold; the star operations then
-    run until nothing changes, each round written to the shared folder. Nodes without edges aren't returned.
+    Tasks first contract the edges that they hold; the star operations then run until nothing changes, each round written
+    to the shared folder. They halve the distance to the root, so a run that isn't done after `rounds` is an error. Nodes
+    without edges aren't returned.
     """
     stars = stored(edges.select("a", "b").where("a != b").mapInArrow(_forest, "a long, b long"), "stars")
     mark = None
     for _ in range(rounds):
-        stars = stored(_stars(_stars(stars, True), False), "stars")
+        before, stars = stars, stored(_stars(_stars(stars, True), False), "stars")
+        discard(before)
         row = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(row) == mark:
             break
         mark = tuple(row)
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
     nodes = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_texts, stored, text_or_empty
+from .common import columns, discard, few, map_texts, stored, text_or_empty
 from .components import components
 
 BITS, SHINGLE, SEED, MOST = 64, 3, 42, 3
@@ -72,7 +72,7 @@ def trie_links(keys: DataFrame, most: int = MOST, step: int = 8) -> DataFrame:
     of the other that an error mask within the room left gives, both by equality. A pair
     of nodes with one leaf each is compared at once and leaves the walk; it ends when no pair is left.
     """
-    half, first = BITS // 2, most // 2
+    half, first, levels = BITS // 2, most // 2, []
     swapped = F.shiftleft("key", half).bitwiseOR(F.shiftrightunsigned("key", half))
     tries = stored(keys.select(F.lit(0).alias("trie"), "key").unionByName(keys.select(F.lit(1).alias("trie"), swapped.alias("key"))), "tries")
     masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in range(1 << step) if m.bit_count() <= k]) for k in range(most + 1)])
@@ -89,6 +89,7 @@ def trie_links(keys: DataFrame, most: int = MOST, step: int = 8) -> DataFrame:
         apart = F.bit_count(F.col("leaf_a").bitwiseXOR(F.col("leaf_b")))
         alone = (F.col("leaves_a") == 1) & (F.col("leaves_b") == 1)
         met = stored(grown.join(other, ["trie", "b"]).where(~alone | (F.col("leaf_a") != F.col("leaf_b")) & (apart <= most)).withColumn("done", alone), f"level{depth}")
+        levels.append(met)
         links.append(met.where("done").select("trie", "leaf_a", "leaf_b"))
         pairs = met.where("not done").select("trie", F.col("a").alias("up_a"), F.col("b").alias("up_b"), "errors")
         if pairs.isEmpty():
@@ -98,7 +99,9 @@ def trie_links(keys: DataFrame, most: int = MOST, step: int = 8) -> DataFrame:
         found = found.unionByName(x)
     back = lambda c: F.when(F.col("trie") == 0, F.col(c)).otherwise(F.shiftleft(c, half).bitwiseOR(F.shiftrightunsigned(c, half)))
     a, b = back("leaf_a"), back("leaf_b")
-    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    found = stored(found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "trie-links")
+    discard(tries, *levels)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -112,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("body"))
     rows = stored(fingerprints(rows, "body"), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    links = stored(trie_links(classes.select(F.col("fp").alias("key")), most), "links")
+    links = trie_links(classes.select(F.col("fp").alias("key")), most)
     member = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
     linked = classes.join(member.withColumnRenamed("node", "fp"), "fp").join(degree, "fp")
@@ -124,7 +127,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """The rows of docs whose id is their component's; of rows that repeat that id one stays. Null ids all stay."""
-    kept = near_duplicates(docs, id_col, text_col, most).where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("kept id")).distinct()
+    """One row of each group that links connect: that of the smallest id, and of rows that share it that of the smallest fingerprint.
+
+    A row goes only if its own fingerprint is in a group with a row that stays, so rows that repeat an id with texts of
+    two groups can both stay; of rows that repeat id and fingerprint one stays. Null ids all stay. Null, empty and
+    long texts are treated as near_duplicates does; no rows give no rows.
+    """
     key = F.col(f"`{id_col}`")
-    return docs.join(kept, key == F.col("kept id"), "left_semi").dropDuplicates([id_col]).unionByName(docs.where(key.isNull()))
+    named = [f"c{i}" for i in range(len(docs.columns))]
+    id_at, text_at = (named[docs.columns.index(n)] for n in (id_col, text_col))
+    rows = stored(map_texts(docs.where(key.isNotNull()).toDF(*named).withColumn("body", text_or_empty(text_at)), "body", lambda: lambda texts: {"fp": [fingerprint(t) for t in texts]}, "fp long", as_bytes=True), "fingerprinted")
+    member = components(trie_links(rows.select(F.col("fp").alias("key")).distinct(), most)).withColumnRenamed("node", "fp")
+    held = rows.select(F.col(id_at).alias("id"), "fp").distinct().join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = stored(held.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k")).select(F.col("k.id").alias(id_at), F.col("k.fp").alias("fp")), "kept")
+    stays = rows.join(few(kept), [id_at, "fp"], "left_semi").dropDuplicates([id_at, "fp"]).select(*named)
+    return stays.toDF(*docs.columns).unionByName(docs.where(key.isNull()))

@@ -13,12 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, columns, map_texts, stored, text_or_empty
+from .common import columns, discard, few, map_texts, stored, text_or_empty
 from .components import components
 from .simhash import MOST, folded, shingle_hashes, trie_links
 
 #: Words of a shingle, and the least similarity of a link in fifths.
 WIDTH, FIFTHS = 5, 4
+#: Words of 64 parities of a set.
+WORDS = 16
 #: Documents and shingles that order the shingles by frequency.
 ORDER_DOCS, ORDER_SHINGLES = 4_000, 50_000
 
@@ -36,13 +38,19 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts["s"].to_numpy("<i8"), counts["n"].to_numpy("<i8")
 
 
+def _parities(found: np.ndarray) -> np.ndarray:
+    """Bits that tell of each of 64 * WORDS buckets whether an odd number of the set's shingles fall into it."""
+    odd = np.bincount(found.view("<u8") % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def shingles(rows: DataFrame) -> DataFrame:
-    """rows with cls (digest of the set of shingles), fp, size, head (the prefix that is joined) in place of body."""
+    """rows with cls (digest of the set of shingles), fp, size, bits, head (the prefix that is joined) in place of body."""
     known, often = _common(rows)
 
     def make():
         def apply(texts):
-            out: dict[str, list] = {"cls": [], "fp": [], "size": [], "head": []}
+            out: dict[str, list] = {"cls": [], "fp": [], "size": [], "bits": [], "head": []}
             for t in texts:
                 hashes = shingle_hashes(t, WIDTH)
                 found = np.unique(hashes).view("<i8")
@@ -54,17 +62,28 @@ def shingles(rows: DataFrame) -> DataFrame:
                 out["cls"].append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
                 out["fp"].append(folded(hashes))
                 out["size"].append(n)
+                out["bits"].append(_parities(found))
                 out["head"].append(found[np.lexsort((found, rank))][: n - (FIFTHS * n + 4) // 5 + 1])
             return out
 
         return apply
 
-    return map_texts(rows, "body", make, "cls long, fp long, size int, head array<long>", as_bytes=True)
+    return map_texts(rows, "body", make, "cls long, fp long, size int, bits array<long>, head array<long>", as_bytes=True)
 
 
-def _near(a, b):
-    """Whether two sets' sizes allow the similarity."""
-    return 5 * F.least(a, b) >= FIFTHS * F.greatest(a, b)
+def _may_link(a: str, b: str, places: bool = True):
+    """What two sets must meet whose similarity is 4/5 or more, so that a pair without it needn't be made.
+
+    They have at least c = (size_a + size_b) * 4/9 shingles in common. So neither's first common shingle stands
+    behind all but c of its own, and at most size_a + size_b - 2c shingles are in one of them alone, each of which changes one parity.
+    """
+    sizes = F.col(f"size_{a}") + F.col(f"size_{b}")
+    common = F.floor((4 * sizes + 8) / 9)
+    apart = sum((F.bit_count(F.col(f"bits_{a}")[i].bitwiseXOR(F.col(f"bits_{b}")[i])) for i in range(1, WORDS)), F.bit_count(F.col(f"bits_{a}")[0].bitwiseXOR(F.col(f"bits_{b}")[0])))
+    met = (common <= F.least(f"size_{a}", f"size_{b}")) & (apart <= sizes - 2 * common)
+    for n in (a, b) if places else ():
+        met = (F.col(f"pos_{n}") <= F.col(f"size_{n}") - common) & met
+    return met
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -75,43 +94,57 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.where((5 + FIFTHS) * common >= FIFTHS * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """keys, to be broadcast where they are few, so that the texts that they are joined to stay where they are."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+def _checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are similar, by their whole sets; only the texts of those classes are read for that."""
+    pairs = stored(pairs.where("a <> b").distinct(), "pairs")
+    wanted = stored(classes.select("cls", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"), "wanted")
+    bodies = texts.join(few(wanted.select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
+    sets = map_texts(bodies, "body", lambda: lambda found: {"set": [shingle_set(t) for t in found]}, "set array<long>", as_bytes=True)
+    sets = stored(sets.join(wanted, "digest").select("cls", "set"), "sets")
+    links = stored(_verified(pairs, sets), "links")
+    discard(pairs, wanted, sets)
+    return links
 
 
 def links_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links between the classes of shingles()'s rows, whose components are those of all similar pairs; texts: (digest, body).
 
-    Pairs of a large group of copies would be its size squared. So each class is first compared to one other
-    of those that it meets, and then only pairs that the links found don't yet connect are.
+    Pairs of a large group of copies would be its size squared. So each class is first compared to one other for each
+    of its prefix's shingles, that which has the shingle foremost: in a group of copies those with the fewest changes. Then
+    only pairs that the links found don't yet connect are compared.
     """
-    classes = stored(rows.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest")), "classes")
-    one = Window.partitionBy("token")
-    heads = rows.select("cls", "size", F.explode("head").alias("token"))
-    heads = heads.withColumns({"first": F.min(F.struct("cls", "size")).over(one), "last": F.max("cls").over(one)})
-    posts = stored(heads.where("first.cls <> last").select("token", "cls", "size", "first"), "posts")
+    classes = stored(rows.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("bits").alias("bits")), "classes")
+    heads = rows.select("cls", "size", F.posexplode("head").alias("pos", "token")).where("size > 0")
+    shared = stored(heads.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("token"), "shared")
+    posts = stored(heads.join(few(shared), "token").distinct(), "posts")
+    discard(shared)
+
+    # Fingerprints' links, and of each token the class that has it foremost.
+    of = lambda n: classes.select(F.col("cls").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}"))
     first = classes.groupBy("fp").agg(F.min("cls").alias("first"))
-    ends = stored(trie_links(first.select(F.col("fp").alias("key")), MOST), "fp-links")
-    of = lambda n: first.select(F.col("fp").alias(n), F.col("first").alias(f"first_{n}"))
-    tried = ends.join(of("a"), "a").join(of("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    tried = tried.unionByName(classes.join(first, "fp").select(F.col("cls").alias("a"), F.col("first").alias("b")))
-    tried = stored(tried.unionByName(posts.where(_near(F.col("size"), F.col("first.size"))).select(F.col("cls").alias("a"), F.col("first.cls").alias("b"))).where("a <> b").distinct(), "tried")
-    wanted = posts.select("cls").unionByName(tried.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
-    wanted = stored(classes.select("cls", "digest").join(wanted, "cls", "left_semi"), "wanted")
-    bodies = texts.join(_few(wanted.select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
-    sets = map_texts(bodies, "body", lambda: lambda found: {"set": [shingle_set(t) for t in found]}, "set array<long>", as_bytes=True)
-    sets = stored(sets.join(wanted, "digest").select("cls", "set"), "sets")
-    links = stored(_verified(tried, sets), "links")
+    ends = trie_links(first.select(F.col("fp").alias("key")), MOST)
+    end = lambda n: first.select(F.col("fp").alias(f"fp_{n}"), F.col("first").alias(n))
+    near = ends.toDF("fp_a", "fp_b").join(end("a"), "fp_a").join(end("b"), "fp_b").select("a", "b")
+    near = near.unionByName(classes.join(first, "fp").select(F.col("cls").alias("a"), F.col("first").alias("b")))
+    lead = posts.groupBy("token").agg(F.min(F.struct("pos", "cls", "size")).alias("lead"))
+    common = F.floor((4 * (F.col("size") + F.col("lead.size")) + 8) / 9)
+    met = posts.join(lead, "token").where((F.col("pos") <= F.col("size") - common) & (F.col("lead.pos") <= F.col("lead.size") - common))
+    tried = stored(near.unionByName(met.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"))).where("a <> b").distinct(), "tried")
+    links = _checked(tried.join(of("a"), "a").join(of("b"), "b").where(_may_link("a", "b", places=False)).select("a", "b"), classes, texts)
+    discard(tried, ends)
+
+    # What is left: pairs in different components that meet in a token.
     member = components(links).withColumnRenamed("node", "cls")
-    posts = stored(posts.join(member, "cls", "left").select("token", "cls", "size", F.coalesce("root", "cls").alias("root")), "posts")
-    groups = posts.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots"))
-    open_ = stored(posts.join(groups.where("roots > 1").drop("roots"), "token"), "open")
-    side = lambda n: open_.select("token", "major", *[F.col(c).alias(f"{c}_{n}") for c in ("cls", "size", "root")])
-    pairs = side("a").where("root_a <> major").join(side("b").drop("major"), "token")
-    pairs = pairs.where("root_a <> root_b and (root_b = major or cls_a < cls_b)").where(_near(F.col("size_a"), F.col("size_b")))
-    rest = _verified(stored(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), "pairs"), sets)
-    return stored(links.unionByName(rest), "links")
+    held = stored(posts.join(member, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "held")
+    groups = held.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots"))
+    open_ = held.join(few(stored(groups.where("roots > 1").drop("roots"), "groups")), "token").join(classes.select("cls", "bits"), "cls")
+    open_ = stored(open_, "open")
+    side = lambda n: open_.select("token", "major", *[F.col(c).alias(f"{c}_{n}") for c in ("cls", "size", "pos", "root", "bits")])
+    a, b = side("a").where("root_a <> major"), side("b").drop("major")
+    pairs = a.join(b, (a["token"] == b["token"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major")) | (F.col("cls_a") < F.col("cls_b"))) & _may_link("a", "b"))
+    rest = _checked(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), classes, texts)
+    discard(posts, held, open_, classes)
+    return links.unionByName(rest)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +160,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = components(links_of(rows, texts)).withColumnRenamed("node", "cls")
     held = stored(rows.select("id", "digest", "cls").join(member, "cls", "left").select("id", "digest", F.coalesce("root", "cls").alias("root")), "groups")
     kept = held.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("k")).select("k.*")
-    named = lambda keys: _few(stored(keys.distinct().toDF("kept id", "kept digest"), "keys"))
+    named = lambda keys: few(stored(keys.distinct().toDF("kept id", "kept digest"), "keys"))
     marked = docs.where(key.isNotNull()).withColumn("kept digest of", digest)
     same = (key == F.col("kept id")) & (F.col("kept digest of") == F.col("kept digest"))
     stays = marked.join(named(held.select("id", "digest").join(kept, ["id", "digest"], "left_anti")), same, "left_anti")

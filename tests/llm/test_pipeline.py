@@ -7,7 +7,7 @@ import sentencepiece
 import __spark_entry__
 import corpus_pipeline
 from quirel.llm import mixing, queries, toxicity
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_similar import brute_kept
 
 
 def plain(spark, sf_dir):
@@ -31,8 +31,7 @@ def plain(spark, sf_dir):
     for d in rows:
         if d.text not in best or d.doc_id > best[d.text].doc_id:
             best[d.text] = d
-    fps = {d.doc_id: brute_fingerprint(d.text) for d in best.values()}
-    heads = set(brute_components(fps).values())
+    heads = set(brute_kept({d.doc_id: d.text for d in best.values()}))
     rows = [d for d in best.values() if d.doc_id in heads]
     size = {d.doc_id: len(re.findall("[^\x20\x09-\x0d]+", d.text)) for d in rows}
     total = Counter()
