@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, columns
+from .common import columns, few, stored
 
+#: Amounts by which a source's draws can be turned.
+TURNS = 64
 #: What separates words: the space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,36 +44,72 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return cut.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def copies(id_col, rate, seed: str = "mix"):
-    """floor(rate) plus one Bernoulli copy whose draw is a hash of seed and id: equal on every run and cluster."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+def _drawn(id_col):
+    """A number from 0 to under TURNS: a hash of the id, equal on every run and cluster."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(id_col.cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0 / TURNS)
 
 
-def _planned(docs: DataFrame, id_at: str, source_at: str, text_at: str, **targets) -> DataFrame:
-    rows = docs.withColumn("size", word_count(F.col(text_at)))
-    plan = source_targets(rows.select(F.col(source_at).alias("source"), "size"), **targets)
-    few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    plan = plan.withColumnRenamed("source", "plan_source")
-    joined = rows.join(F.broadcast(plan) if few else plan, F.col(source_at).eqNullSafe(F.col("plan_source")), "left")
+def _copies(draw):
+    """floor(rate) plus one Bernoulli copy, taken where the draw, turned by the source's turn, is below the rate's fraction."""
+    place = (F.floor(draw) + F.col("turn")) % TURNS
+    taken = (place < F.col("full")) | ((place == F.col("full")) & (draw - F.floor(draw) < F.col("part")))
+    return (F.floor("rate") + F.when(taken, 1).otherwise(0)).cast("long")
+
+
+def source_rates(sizes: DataFrame, **targets) -> DataFrame:
+    """(source, source_size, target, rate, full, part, turn) of rows (source, size, draw).
+
+    full + part is the rate's fraction in units of 1 / TURNS. Independent draws of few documents miss the target by chance, so each
+    source's draws are all turned by the same amount, the one of TURNS that brings its words nearest to the target
+    (the smallest such). Each draw alone stays uniform. Words are summed by source and unit of the draw first.
+    """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return joined.withColumn("copies", copies(F.col(id_at), rate))
+    fraction = (F.col("rate") - F.floor("rate")) * TURNS
+    plan = source_targets(sizes, **targets).withColumn("rate", rate).withColumn("full", F.floor(fraction)).withColumn("part", fraction - F.col("full"))
+    plan = stored(plan, "targets")
+    rows = sizes.withColumnRenamed("source", "of").join(few(plan), F.col("of").eqNullSafe(F.col("source")))
+    draw = F.col("draw")
+    units = rows.groupBy("source", F.floor(draw).alias("unit")).agg(F.sum("size").alias("whole"), F.sum(F.when(draw - F.floor(draw) < F.col("part"), F.col("size")).otherwise(0)).alias("below"))
+    units = units.groupBy("source").agg(F.collect_list(F.struct("unit", "whole", "below")).alias("units")).withColumnRenamed("source", "of")
+    joined = plan.join(few(stored(units, "units")), F.col("of").eqNullSafe(F.col("source")), "left")
+
+    def missed(turn):
+        place = lambda u: (u["unit"] + turn) % TURNS
+        taken = F.aggregate("units", F.lit(0).cast("long"), lambda total, u: total + F.when(place(u) < F.col("full"), u["whole"]).when(place(u) == F.col("full"), u["below"]).otherwise(0))
+        return F.struct(F.abs(taken - (F.col("target") - F.floor("rate") * F.col("source_size"))).alias("missed"), turn.alias("turn"))
+
+    turn = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(TURNS - 1)), missed))["turn"]
+    return joined.select("source", "source_size", "target", "rate", "full", "part", turn.alias("turn"))
+
+
+def _planned(rows: DataFrame, plan: DataFrame, id_at: str, source_at: str) -> DataFrame:
+    plan = few(stored(plan.withColumnRenamed("source", "plan_source"), "plan"))
+    joined = rows.join(plan, F.col(source_at).eqNullSafe(F.col("plan_source")), "left")
+    return joined.withColumn("copies", _copies(F.col("draw") if id_at == "draw" else _drawn(F.col(id_at))))
+
+
+def _sizes(docs: DataFrame, id_at: str, source_at: str, text_at: str) -> DataFrame:
+    """(id, source, size, draw), written once: all that the plan needs of a text is its number of words."""
+    return stored(docs.select(F.col(id_at).alias("id"), F.col(source_at).alias("source"), word_count(F.col(text_at)).alias("size"), _drawn(F.col(id_at)).alias("draw")), "sizes")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **targets) -> DataFrame:
     """One row per document: id, size, source_size, target, copies, taken.
 
-    Null text has size 0, a null source is a source of its own, rows that repeat an id
-    get the same draw. Sources without words have target 0. No rows give no rows.
+    Null text has size 0, very long ones are counted whole, a null source is a source of its own, rows that repeat an id
+    and a source get the same draw. Sources without words have target 0. Sources of equal size per weight are
+    filled by code point. Other columns are ignored, whatever their names. No rows give no rows.
     """
-    rows = columns(docs, id_col, source_col, text_col).toDF("c0", "c1", "c2")
-    planned = _planned(rows, "c0", "c1", "c2", **targets)
-    return planned.select(F.col("c0").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    sizes = _sizes(columns(docs, id_col, source_col, text_col).toDF("c0", "c1", "c2"), "c0", "c1", "c2")
+    planned = _planned(sizes, source_rates(sizes, **targets), "draw", "source")
+    return planned.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **targets) -> DataFrame:
-    """The mix itself: docs with each row emitted as many times as it is taken; the columns are those of docs."""
+    """The mix itself: docs with each row emitted as many times as mix() takes it; the columns are those of docs."""
     named = [f"c{i}" for i in range(len(docs.columns))]
     at = {n: named[docs.columns.index(n)] for n in (id_col, source_col, text_col)}
-    planned = _planned(docs.toDF(*named), at[id_col], at[source_col], at[text_col], **targets)
+    rows = docs.toDF(*named)
+    sizes = _sizes(rows, at[id_col], at[source_col], at[text_col])
+    planned = _planned(rows, source_rates(sizes, **targets), at[id_col], at[source_col])
     return planned.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*named).toDF(*docs.columns)

@@ -107,14 +107,29 @@ targets AS (
     CAST(CASE WHEN f.place IS NULL OR s.place < f.place THEN 2e0 * s.source_size ELSE least(f.rest * s.weight / f.weights, 2e0 * s.source_size) END AS DOUBLE) AS target
   FROM sums s LEFT JOIN first_open f ON true),
 rates AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0e0 END AS rate,
-    CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 AS draw
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies,
-  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rates"""
+  SELECT source, source_size, target, rate, CAST(floor((rate - floor(rate)) * 64) AS BIGINT) AS full_units,
+    (rate - floor(rate)) * 64 - floor((rate - floor(rate)) * 64) AS part
+  FROM (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate FROM targets) t),
+drawn AS (
+  SELECT doc_id, source, size, CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 67108864e0 AS draw
+  FROM docs),
+units AS (
+  SELECT r.source, CAST(floor(d.draw) AS BIGINT) AS unit, sum(d.size) AS whole,
+    sum(CASE WHEN d.draw - floor(d.draw) < r.part THEN d.size ELSE 0 END) AS below
+  FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source GROUP BY r.source, CAST(floor(d.draw) AS BIGINT)),
+turns AS (
+  SELECT r.source, t.turn, abs(CAST(sum(CASE WHEN (u.unit + t.turn) % 64 < r.full_units THEN u.whole WHEN (u.unit + t.turn) % 64 = r.full_units THEN u.below ELSE 0 END) AS DOUBLE)
+      - (max(r.target) - floor(max(r.rate)) * max(r.source_size))) AS missed
+  FROM rates r JOIN units u ON r.source IS NOT DISTINCT FROM u.source CROSS JOIN (SELECT CAST(unnest(range(64)) AS BIGINT) AS turn) t
+  GROUP BY r.source, t.turn),
+chosen AS (SELECT source, turn FROM (SELECT source, turn, row_number() OVER (PARTITION BY source ORDER BY missed, turn) AS place FROM turns) t WHERE place = 1),
+plan AS (
+  SELECT d.doc_id, d.size, r.source_size, r.target,
+    floor(r.rate) + CASE WHEN (CAST(floor(d.draw) AS BIGINT) + c.turn) % 64 < r.full_units
+      OR ((CAST(floor(d.draw) AS BIGINT) + c.turn) % 64 = r.full_units AND d.draw - floor(d.draw) < r.part) THEN 1 ELSE 0 END AS copies
+  FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(size * copies AS BIGINT) AS taken
+FROM plan"""
 
 OP5_SQL = """
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),

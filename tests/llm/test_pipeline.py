@@ -46,14 +46,22 @@ def plain(spark, sf_dir):
             break
         full |= set(over)
         rest -= sum(2 * total[s] for s in over)
+    rate = {s: 2.0 if s in full else each * weight[s] / total[s] for s in total}
+    draw = {d.doc_id: int(hashlib.md5(f"mix:{d.doc_id}".encode()).hexdigest()[:8], 16) / 2**26 for d in rows}
+
+    def extra(d, turn):
+        return (int(draw[d.doc_id]) + turn) % 64 + draw[d.doc_id] % 1 < rate[d.source] % 1 * 64
+
+    turns = {}
+    for s in total:
+        wanted = rate[s] * total[s] - int(rate[s]) * total[s]
+        turns[s] = min(range(64), key=lambda t: (abs(sum(size[d.doc_id] for d in rows if d.source == s and extra(d, t)) - wanted), t))
     library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_model(), add_eos=True)
     out = Counter()
     for d in rows:
-        rate = 2.0 if d.source in full else each * weight[d.source] / total[d.source]
-        draw = int(hashlib.md5(f"mix:{d.doc_id}".encode()).hexdigest()[:8], 16) / 2**32
         ids = library.encode(d.text)
         row = d.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
-        out[row] += int(rate) + (draw < rate % 1)
+        out[row] += int(rate[d.source]) + extra(d, turns[d.source])
     return +out
 
 
