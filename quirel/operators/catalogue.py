@@ -9,23 +9,12 @@ from pyspark.sql import functions as F
 from quirel.functions.strings import date_to_iso, page_label, text_string, variant_text
 from quirel.plans.stages import materialize
 
-from .pages import catalogs, pages, ref
+from .pages import catalogs, follow, pages, ref
 
 #: Levels of name and number trees, outline levels, items of a level, beads of a thread, actions of a chain.
 TREE_DEPTH, OUTLINE_DEPTH, LEVEL_ITEMS, BEADS, CHAIN = 32, 64, 10_000, 10_000, 32
 
 
-def follow(rows: DataFrame, objects: DataFrame, column: str, hops: int = 1) -> DataFrame:
-    """rows with the VARIANT `column` replaced by what it refers to, where it is a reference; `column`_num keeps the number."""
-    for hop in range(hops):
-        at = rows.withColumn("_num", ref(F.col(column), "$"))
-        held = objects.where("obj_num > 0").select("doc_id", F.col("obj_num").alias("_num"), F.col("value").alias("_value"))
-        rows = at.join(held, ["doc_id", "_num"], "left").withColumn(column, F.coalesce("_value", column)).drop("_value")
-        number = F.col("_num") if hop == 0 else F.coalesce(f"{column}_num", "_num")
-        rows = rows.withColumn(f"{column}_num", number).drop("_num")
-    return rows
-
-
 def tree_entries(objects: DataFrame, start: DataFrame, leaf: str) -> DataFrame:
     """(doc_id, path, key, entry): entries of name trees (leaf "Names") or number trees ("Nums") in tree order; start: (doc_id, node)."""
     front = follow(start, objects, "node").withColumns({"path": F.array().cast("array<int>"), "above": F.array(F.coalesce("node_num", F.lit(0).cast("long")))})
@@ -342,30 +331,87 @@ def images(objects: DataFrame) -> DataFrame:
     return objects.where(get("$.Subtype.n", "string") == "Image").select("doc_id", "obj_num", get("$.Width", "int").alias("width"), get("$.Height", "int").alias("height"), get("$.BitsPerComponent", "int").alias("bits"), get("$.ColorSpace.n", "string").alias("color_space"), F.coalesce(get("$.Filter.n", "string"), get("$.Filter[0].n", "string")).alias("filter"), "data", ref(F.col("value"), "$.SMask").alias("mask_num"))
 
 
+def form_fields(objects: DataFrame) -> DataFrame:
+    """(doc_id, path, field_num, name, value): form fields and their kids, a level a join, in tree order; name is a field's own part of it."""
+    held = follow(_from_catalog(objects, "AcroForm").select("doc_id", F.try_variant_get("node", "$.Fields", "variant").alias("fields")), objects, "fields")
+    front = held.select("doc_id", F.posexplode(F.try_variant_get("fields", "$", "array<variant>")).alias("place", "value")).withColumns({"path": F.array("place"), "above": F.array().cast("array<long>")})
+    found = None
+    for _ in range(TREE_DEPTH):
+        front = follow(front.drop("place"), objects, "value").where(~F.coalesce(F.array_contains("above", F.col("value_num")), F.lit(False)))
+        front = materialize(front.withColumn("above", F.concat("above", F.array(F.coalesce("value_num", F.lit(0))))))
+        if found is not None and front.isEmpty():
+            break
+        level = front.select("doc_id", "path", F.col("value_num").alias("field_num"), variant_text(F.col("value"), "$.T").alias("name"), "value")
+        found = level if found is None else found.unionByName(level)
+        below = follow(front.select("doc_id", "path", "above", F.try_variant_get("value", "$.Kids", "variant").alias("kids")).where("kids is not null"), objects, "kids")
+        front = below.select("doc_id", "path", "above", F.posexplode(F.try_variant_get("kids", "$", "array<variant>")).alias("place", "value")).withColumn("path", F.concat("path", F.array("place")))
+    return found
+
+
+def action_sources(objects: DataFrame) -> DataFrame:
+    """(doc_id, source_rank, source, place, action): what starts an action, from six places in their order.
+
+    Opening, the document's triggers, those of pages, actions and triggers of annotations and of form fields, and named scripts.
+    """
+
+    def triggers(rows: DataFrame, rank: int, source: str, place: Column, value: str) -> DataFrame:
+        held = follow(rows.select("doc_id", place.alias("place"), F.try_variant_get(value, "$.AA", "variant").alias("aa")).where("aa is not null"), objects, "aa")
+        each = held.select("doc_id", "place", F.explode(F.try_variant_get("aa", "$", "map<string,variant>")).alias("trigger", "action"))
+        return each.select("doc_id", F.lit(rank).alias("source_rank"), F.concat(F.lit(source + " "), "trigger").alias("source"), "place", "action")
+
+    def own(rows: DataFrame, rank: int, source: str, place: Column, value: Column) -> DataFrame:
+        return rows.select("doc_id", F.lit(rank).alias("source_rank"), F.lit(source).alias("source"), place.alias("place"), value.alias("action"))
+
+    heads, noted, fields = catalogs(objects), annotations(objects), materialize(form_fields(objects))
+    of_note, of_field = F.concat_ws(".", "page_index", "seq"), F.concat(F.array_join(F.col("path").cast("array<string>"), "."), F.lit(" "), F.coalesce("name", F.lit("")))
+    scripts = tree_entries(objects, _from_catalog(objects, "Names.JavaScript"), "Names")
+    parts = [
+        own(heads, 0, "open", F.lit(""), F.try_variant_get("catalog", "$.OpenAction", "variant")),
+        triggers(heads, 1, "document", F.lit(""), "catalog"),
+        triggers(pages(objects, "navigation"), 2, "page", F.col("page_index").cast("string"), "value"),
+        own(noted, 3, "annotation", of_note, F.try_variant_get("value", "$.A", "variant")),
+        triggers(noted, 4, "annotation", of_note, "value"),
+        own(fields, 5, "field", of_field, F.try_variant_get("value", "$.A", "variant")),
+        triggers(fields, 6, "field", of_field, "value"),
+        own(scripts, 7, "script", F.array_join(F.col("path").cast("array<string>"), "."), F.col("entry")),
+    ]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return every.where("action is not null")
+
+
 def actions(objects: DataFrame) -> DataFrame:
-    """(doc_id, source_rank, source, place, depth, kind, target): actions of catalogue, pages and annotations, with their chains.
+    """(doc_id, source_rank, source, place, depth, kind, target): actions of all sources, with their chains of up to CHAIN.
 
-    An action that is chained to by reference counts once in a document.
+    Sources' own actions always count. One that is chained to counts once in a document, for the first source that leads
+    to it, so cycles end. An action that stands in another is named by that and its place there.
     """
-    opened = catalogs(objects).select("doc_id", F.lit(0).alias("source_rank"), F.lit("open").alias("source"), F.lit("").alias("place"), F.try_variant_get("catalog", "$.OpenAction", "variant").alias("action"))
-    triggers = lambda rows, rank, source, place, value: rows.select("doc_id", F.lit(rank).alias("source_rank"), place.alias("place"), F.explode(F.try_variant_get(value, "$.AA", "map<string,variant>")).alias("trigger", "action")).select("doc_id", "source_rank", F.concat(F.lit(source + " "), "trigger").alias("source"), "place", "action")
-    of_pages = pages(objects, "navigation")
-    noted = annotations(objects)
-    where = F.concat_ws(".", "page_index", "seq")
-    every = opened.unionByName(triggers(catalogs(objects), 1, "document", F.lit(""), "catalog")).unionByName(triggers(of_pages, 2, "page", F.col("page_index").cast("string"), "value"))
-    every = every.unionByName(noted.select("doc_id", F.lit(3).alias("source_rank"), F.lit("annotation").alias("source"), where.alias("place"), F.try_variant_get("value", "$.A", "variant").alias("action"))).unionByName(triggers(noted, 4, "annotation", where, "value"))
-    front = follow(every.where("action is not null"), objects, "action").where(F.try_variant_get("action", "$.S.n", "string").isNotNull()).withColumn("depth", F.lit(0))
-    found = front.drop("action_num")
-    for depth in range(1, CHAIN):
-        following = front.select("doc_id", "source_rank", "source", "place", F.explode(F.coalesce(F.try_variant_get("action", "$.Next", "array<variant>"), F.array(F.try_variant_get("action", "$.Next", "variant")))).alias("action")).where("action is not null")
-        front = materialize(follow(following, objects, "action").where(F.try_variant_get("action", "$.S.n", "string").isNotNull()).withColumn("depth", F.lit(depth)))
+    is_action = F.try_variant_get("action", "$.S.n", "string").isNotNull()
+    source = ["doc_id", "source_rank", "source", "place"]
+    start = materialize(follow(action_sources(objects), objects, "action").where(is_action))
+    front = start.withColumns({"depth": F.lit(0), "id": F.concat_ws(":", F.lit("c"), "source_rank", "source", "place")}).drop("action_num")
+    first, chained, met = front, None, None
+    for depth in range(1, CHAIN + 1):
+        following = follow(front.select(*source, "id", F.try_variant_get("action", "$.Next", "variant").alias("next")).where("next is not null"), objects, "next")
+        items = F.coalesce(F.try_variant_get("next", "$", "array<variant>"), F.array("next"))
+        listed = following.select(*source, "id", F.when(F.try_variant_get("next", "$", "array<variant>").isNull(), F.col("next_num")).alias("whole"), F.posexplode(items).alias("at", "action"))
+        front = follow(listed, objects, "action").where(is_action).withColumn("number", F.coalesce("action_num", "whole"))
+        front = front.withColumn("id", F.coalesce(F.concat(F.lit("n"), F.col("number").cast("string")), F.concat("id", F.lit("/"), F.col("at").cast("string"))))
+        front = front.select(*source, "id", "action").withColumn("turn", F.row_number().over(Window.partitionBy(*source, "id").orderBy(F.lit(1)))).where("turn = 1").drop("turn")
+        front = materialize((front if met is None else front.join(met, [*source, "id"], "left_anti")).withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        once = front.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", F.coalesce(F.col("action_num").cast("string"), F.concat_ws("/", "source", "place"))).orderBy("source_rank", "source", "place"))).where("turn = 1").drop("turn", "action_num")
-        found = found.unionByName(once)
+        chained = front if chained is None else chained.unionByName(front)
+        seen = front.select(*source, "id")
+        met = seen if met is None else met.unionByName(seen)
+    found = first
+    if chained is not None:
+        once = chained.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("source_rank", "source", "place", "depth")))
+        found = first.unionByName(once.where("turn = 1").drop("turn"))
     kind = F.try_variant_get("action", "$.S.n", "string")
     target = F.coalesce(variant_text(F.col("action"), "$.URI"), variant_text(F.col("action"), "$.D"), variant_text(F.col("action"), "$.N"), variant_text(F.col("action"), "$.JS"), variant_text(F.col("action"), "$.F"))
-    return found.select("doc_id", "source_rank", "source", "place", "depth", kind.alias("kind"), target.alias("target"))
+    return found.select(*source, "depth", kind.alias("kind"), target.alias("target"))
 
 
 # ---- structure ----

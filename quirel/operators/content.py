@@ -66,7 +66,7 @@ def _inline(content: bytes) -> Iterator[tuple]:
 
 
 def _rows(objects: DataFrame, found: Callable[[bytes], Iterator[tuple]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    inputs = page_inputs(objects).select("doc_id", "page_index", "content")
+    inputs = page_inputs(objects, resources=False)
     arrow = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), ("seq", pa.int32()), *[(n, t) for n, _, t in fields]])
 
     def walk(batches):

@@ -76,7 +76,7 @@ def paint_nodes(content: bytes) -> list[dict]:
 
 def scene_nodes(objects: DataFrame, mode: str = "lenient") -> DataFrame:
     """(doc_id, page_index, node_id, depth, fill, stroke, even_odd, line_width, path, clip, ctm) in paint order."""
-    inputs = page_inputs(objects, mode).select("doc_id", "page_index", "content")
+    inputs = page_inputs(objects, mode, resources=False)
     steps = pa.list_(pa.struct([("op", pa.string()), ("p", pa.list_(pa.float64()))]))
     arrow = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), ("node_id", pa.int32()), ("depth", pa.int32()), ("fill", pa.string()), ("stroke", pa.string()), ("even_odd", pa.bool_()), ("line_width", pa.float64()), ("path", steps), ("clip", steps), ("ctm", pa.list_(pa.float64()))])
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 import re
 import struct
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirel.plans.stages import materialize
 from quirel.sources.objects import PdfError, parse
 
 from .fonts import Font, fonts
-from .pages import pages
+from .pages import follow, pages
 
 #: Fixed values, in em: gap of a word, shift and backtrack of a new line, overprint; and the walker's budgets.
 WORD, SHIFT, BACKTRACK, OVERPRINT = 0.15, 0.5, 0.5, 0.1
@@ -36,11 +38,26 @@ def _single(v: float) -> float:
     return _FLOAT.unpack(_FLOAT.pack(v))[0] if abs(v) < 3e38 else 0.0
 
 
+class Scope:
+    """The fonts, forms and property lists that names stand for in a page or a form."""
+
+    def __init__(self, names: dict, known: dict[str, Font]):
+        self.fonts = {k: known.get(f) or known.setdefault(f, Font(json.loads(f))) for k, f in (names.get("fonts") or {}).items()}
+        self.forms = {k: int(n) for k, n in (names.get("forms") or {}).items()}
+        self.properties = {k: json.loads(v) for k, v in (names.get("properties") or {}).items()}
+
+
+class Form(NamedTuple):
+    matrix: tuple
+    data: bytes
+    scope: Scope | None
+
+
 class Walker:
     """The text state of a content stream; sequential by nature, so a page is one pass."""
 
-    def __init__(self, fonts: dict[str, Font], forms: dict[str, dict], properties: dict):
-        self.fonts, self.forms, self.properties = fonts, forms, properties
+    def __init__(self, scope: Scope, forms: dict[int, Form]):
+        self.scope, self.forms, self.painting = scope, forms, []
         self.runs: list[dict] = []
         self.ctm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
         self.state = {"font": None, "name": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Tr": 0, "Ts": 0.0}
@@ -83,7 +100,7 @@ class Walker:
             self.open = False
         elif op == "Tf" and len(args) == 2:
             s["name"] = args[0].get("n") if isinstance(args[0], dict) else None
-            s["font"], s["size"] = self.fonts.get(s["name"]), number(1)
+            s["font"], s["size"] = self.scope.fonts.get(s["name"]), number(1)
         elif op in ("Td", "TD"):
             if op == "TD":
                 s["TL"] = -number(1)
@@ -108,19 +125,22 @@ class Walker:
         elif op in ("BDC", "BMC") and len(self.marks) < MARKED_DEPTH:
             tag = args[0].get("n") if args and isinstance(args[0], dict) else None
             values = args[1] if len(args) > 1 else {}
-            values = self.properties.get(values["n"], {}) if isinstance(values, dict) and "n" in values else values
+            values = self.scope.properties.get(values["n"], {}) if isinstance(values, dict) and "n" in values else values
             mcid = values.get("MCID") if isinstance(values, dict) else None
             above = self.marks[-1] if self.marks else (None, False)
             self.marks.append((mcid if isinstance(mcid, int) else above[0], above[1] or tag == "Artifact"))
         elif op == "EMC" and self.marks:
             self.marks.pop()
         elif op == "Do" and args and isinstance(args[0], dict) and depth < FORM_DEPTH:
-            form = self.forms.get(args[0].get("n"))
-            if form:
-                saved = self.ctm, dict(s), self.open
-                self.ctm = _times(tuple(form["matrix"]), self.ctm)
-                self.run(form["data"], depth + 1)
-                self.ctm, self.state, self.open = saved
+            number = self.scope.forms.get(args[0].get("n"))
+            form = self.forms.get(number)
+            if form and number not in self.painting:
+                saved = self.ctm, dict(s), self.open, self.scope
+                self.ctm, self.scope = _times(form.matrix, self.ctm), form.scope or self.scope
+                self.painting.append(number)
+                self.run(form.data, depth + 1)
+                self.painting.pop()
+                self.ctm, self.state, self.open, self.scope = saved
 
     def move(self, x: float, y: float) -> None:
         self.tm = self.tlm = _times((1, 0, 0, 1, x, y), self.tlm)
@@ -156,28 +176,62 @@ class Walker:
         self.tm = _times((1, 0, 0, 1, moved, 0), self.tm)
 
 
-def page_inputs(objects: DataFrame, mode: str = "lenient") -> DataFrame:
-    """(doc_id, page_index, page_obj, content, fonts, forms, properties): what a page's walk needs, joined from its resources."""
+def resource_scopes(objects: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(doc_id, scope, fonts, forms, properties): names of resource dictionaries, as JSON by name.
+
+    A scope is a page (minus its index less one) or a form (its object number). Dictionaries, their sections and entries stand in
+    place or are referred to; `forms` gives object numbers.
+    """
+    stood = leaves.select("doc_id", (-F.col("page_index") - 1).cast("long").alias("scope"), F.try_parse_json("resources").alias("value"))
+    of_forms = objects.where("data is not null").where(F.try_variant_get("value", "$.Subtype.n", "string") == "Form").select("doc_id", F.col("obj_num").alias("scope"), F.try_variant_get("value", "$.Resources", "variant").alias("value"))
+    held = follow(stood.unionByName(of_forms).where("value is not null"), objects, "value")
+    sections = held.select("doc_id", "scope", F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.try_variant_get("value", f"$.{k}", "variant").alias("value")) for k in ("Font", "XObject", "Properties")])).alias("s")).select("doc_id", "scope", "s.section", "s.value")
+    sections = follow(sections.where("value is not null"), objects, "value")
+    entries = sections.select("doc_id", "scope", "section", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("key", "value"))
+    entries = materialize(entries.withColumn("obj_num", ref_of("value")))
+    # A font that is no object gets a number of its own, below zero.
+    inline = entries.where("section = 'Font' and obj_num is null").select("doc_id", (-1 - F.shiftrightunsigned(F.xxhash64("doc_id", "scope", "key"), 1)).alias("obj_num"), "value", "scope", "key")
+    known = fonts(objects, inline.select("doc_id", "obj_num", "value")).withColumn("json", F.to_json("font"))
+    named = entries.where("section = 'Font' and obj_num is not null").select("doc_id", "scope", "key", "obj_num").unionByName(inline.select("doc_id", "scope", "key", "obj_num"))
+    named = named.join(known, ["doc_id", "obj_num"]).select("doc_id", "scope", F.lit("fonts").alias("section"), "key", "json")
+    forms = entries.where("section = 'XObject' and obj_num is not null").select("doc_id", "scope", F.lit("forms").alias("section"), "key", F.col("obj_num").cast("string").alias("json"))
+    properties = follow(entries.where("section = 'Properties'").select("doc_id", "scope", "key", "value"), objects, "value")
+    properties = properties.select("doc_id", "scope", F.lit("properties").alias("section"), "key", F.to_json("value").alias("json"))
+    of = lambda name: F.map_from_entries(F.collect_list(F.when(F.col("section") == name, F.struct("key", "json")))).alias(name)
+    return named.unionByName(forms).unionByName(properties).groupBy("doc_id", "scope").agg(of("fonts"), of("forms"), of("properties"))
+
+
+def page_inputs(objects: DataFrame, mode: str = "lenient", resources: bool = True) -> DataFrame:
+    """(doc_id, page_index, page_obj, content, scope, forms): what a page's walk needs, joined from its resources.
+
+    scope holds the page's own names, forms the forms that it may paint, by object number, with the names of their own. A
+    form without resources of its own uses those of what paints it.
+    """
     leaves = pages(objects, mode)
+    leaves = materialize(leaves) if resources else leaves
     streams = objects.where("data is not null").select("doc_id", F.col("obj_num").alias("stream_num"), "data")
-    bodies = leaves.select("doc_id", "page_index", F.posexplode("contents").alias("place", "stream_num")).join(streams, ["doc_id", "stream_num"])
-    bodies = bodies.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("place", F.decode("data", "ISO-8859-1").alias("t")))).alias("parts"))
-    bodies = bodies.select("doc_id", "page_index", F.array_join(F.transform("parts", lambda p: p["t"]), "\n").alias("content"))
-    # Resources stand in the page (or an ancestor), or are an object that it refers to.
-    held = leaves.select("doc_id", "page_index", "page_obj", F.parse_json("resources").alias("own"))
-    shared = objects.select("doc_id", F.col("obj_num").alias("resource_num"), F.col("value").alias("referred"))
-    held = held.withColumn("resource_num", ref_of("own")).join(shared, ["doc_id", "resource_num"], "left")
-    held = held.select("doc_id", "page_index", "page_obj", F.coalesce("referred", "own").alias("res"))
-
-    def entries(key: str) -> DataFrame:
-        return held.select("doc_id", "page_index", F.explode(F.try_variant_get("res", f"$.{key}", "map<string,variant>")).alias("key", "entry")).withColumn("obj_num", ref_of("entry"))
-
-    known = fonts(objects)
-    font_map = entries("Font").join(known, ["doc_id", "obj_num"]).groupBy("doc_id", "page_index").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "font")))).alias("fonts"))
-    forms = objects.where("data is not null").where(F.try_variant_get("value", "$.Subtype.n", "string") == "Form").select("doc_id", "obj_num", F.struct(F.coalesce(F.try_variant_get("value", "$.Matrix", "array<double>"), F.array(*[F.lit(float(x)) for x in (1, 0, 0, 1, 0, 0)])).alias("matrix"), F.base64("data").alias("data")).alias("form"))
-    form_map = entries("XObject").join(forms, ["doc_id", "obj_num"]).groupBy("doc_id", "page_index").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "form")))).alias("forms"))
-    props = held.select("doc_id", "page_index", "page_obj", F.to_json(F.try_variant_get("res", "$.Properties", "variant")).alias("properties"))
-    return props.join(bodies, ["doc_id", "page_index"]).join(font_map, ["doc_id", "page_index"], "left").join(form_map, ["doc_id", "page_index"], "left")
+    bodies = leaves.select("doc_id", "page_index", "page_obj", F.posexplode("contents").alias("place", "stream_num")).join(streams, ["doc_id", "stream_num"])
+    bodies = bodies.groupBy("doc_id", "page_index", "page_obj").agg(F.array_sort(F.collect_list(F.struct("place", F.decode("data", "ISO-8859-1").alias("t")))).alias("parts"))
+    bodies = bodies.select("doc_id", "page_index", "page_obj", F.array_join(F.transform("parts", lambda p: p["t"]), "\n").alias("content"))
+    if not resources:
+        return bodies
+    scopes = materialize(resource_scopes(objects, leaves)).select("doc_id", "scope", F.struct("fonts", "forms", "properties").alias("names"))
+    is_form = objects.where("data is not null").where(F.try_variant_get("value", "$.Subtype.n", "string") == "Form")
+    forms = is_form.select("doc_id", F.col("obj_num").alias("form"), F.coalesce(F.try_variant_get("value", "$.Matrix", "array<double>"), F.array(*[F.lit(float(x)) for x in (1, 0, 0, 1, 0, 0)])).alias("matrix"), F.base64("data").alias("data"))
+    # Which forms a page reaches: its own, and those of these, a level a join.
+    edges = scopes.select("doc_id", "scope", F.explode(F.map_values("names.forms")).alias("form")).withColumn("form", F.col("form").cast("long")).distinct()
+    edges = materialize(edges.join(forms.select("doc_id", "form"), ["doc_id", "form"]))
+    front = edges.where("scope < 0").select("doc_id", (-F.col("scope") - 1).cast("int").alias("page_index"), "form")
+    reached = front
+    for _ in range(FORM_DEPTH - 1):
+        front = materialize(front.withColumnRenamed("form", "scope").join(edges, ["doc_id", "scope"]).select("doc_id", "page_index", "form").distinct().join(reached, ["doc_id", "page_index", "form"], "left_anti"))
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front)
+    painted = reached.distinct().join(forms, ["doc_id", "form"]).join(scopes.withColumnRenamed("scope", "form"), ["doc_id", "form"], "left")
+    form_map = painted.groupBy("doc_id", "page_index").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("form").cast("string"), F.struct("matrix", "data", "names"))))).alias("forms"))
+    own = scopes.where("scope < 0").select("doc_id", (-F.col("scope") - 1).cast("int").alias("page_index"), F.to_json("names").alias("scope"))
+    return bodies.join(own, ["doc_id", "page_index"], "left").join(form_map, ["doc_id", "page_index"], "left")
 
 
 def ref_of(column: str):
@@ -188,21 +242,19 @@ def runs(objects: DataFrame, mode: str = "lenient") -> DataFrame:
     """(doc_id, page_index, page_obj, run_seq, text, x, y, …): text runs in paint order; a page's walk is its only Python."""
     import base64
 
-    inputs = page_inputs(objects, mode).select("doc_id", "page_index", "page_obj", "content", "fonts", "forms", "properties")
+    inputs = page_inputs(objects, mode)
     schema = f"doc_id long, page_index int, page_obj long, {RUN}"
     names = [c.split()[0] for c in RUN.split(", ")]
 
     def walk(batches):
-        known: dict[str, dict[str, Font]] = {}
+        known: dict[str, Font] = {}
         for batch in batches:
             rows = []
+            if len(known) > 2000:
+                known.clear()
             for r in batch.to_pylist():
-                if r["fonts"] not in known:
-                    if len(known) > 200:
-                        known.clear()
-                    known[r["fonts"]] = {k: Font(v) for k, v in json.loads(r["fonts"] or "{}").items()}
-                forms = {k: v | {"data": base64.b64decode(v["data"])} for k, v in json.loads(r["forms"] or "{}").items()}
-                walker = Walker(known[r["fonts"]], forms, json.loads(r["properties"] or "null") or {})
+                forms = {int(k): Form(tuple(v["matrix"]), base64.b64decode(v["data"]), Scope(v["names"], known) if v.get("names") else None) for k, v in json.loads(r["forms"] or "{}").items()}
+                walker = Walker(Scope(json.loads(r["scope"] or "{}"), known), forms)
                 walker.run(r["content"].encode("latin-1"))
                 rows += [{"doc_id": r["doc_id"], "page_index": r["page_index"], "page_obj": r["page_obj"], **run} for run in walker.runs]
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.float32(), pa.float32(), pa.string(), pa.float32(), pa.int32(), pa.float32(), pa.list_(pa.float32()), pa.float32(), pa.float32(), pa.int64(), pa.bool_()]

@@ -101,6 +101,34 @@ def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.groupBy("doc_id").agg(F.count("*").alias("pages"), F.max("width").alias("width"), F.min("height").alias("height"))
 
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(300 + n_nationkey AS DOUBLE) AS width, 4e2 AS height, n_name || chr(10) || 'inline ' || n_name || chr(10) || 'form ' || n_name || chr(10) || 'below ' || n_name AS text FROM nation")
+def foreign_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as files of other shapes: kids, box, contents and resources are references, a font stands inline, forms have names of their own; beside them files whose kids are no array."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), "n_name")
+    line = lambda font, y, *parts: _cat(f"BT /{font} 10 Tf 50 {y} Td ", W.literal_string(_cat(*parts)), " Tj ET")
+    bodies = {
+        1: F.lit("<< /Type /Catalog /Pages 2 0 R >>"),
+        2: F.lit("<< /Type /Pages /Kids 10 0 R /MediaBox 11 0 R /Count 1 >>"),
+        3: F.lit("<< /Type /Page /Parent 2 0 R /Contents 12 0 R /Resources << /Font 13 0 R /XObject 14 0 R >> >>"),
+        4: W.stream(line("F0", 360, F.col("n_name"))),
+        5: W.stream(_cat(line("F1", 340, "inline ", F.col("n_name")), " q 1 0 0 1 0 -20 cm /X Do Q")),
+        6: F.lit(Y.FONT),
+        7: W.stream(_cat(line("G", 340, "form ", F.col("n_name")), " /Y Do"), "/Type /XObject /Subtype /Form /Resources 15 0 R"),
+        8: W.stream(line("G", 320, "below ", F.col("n_name")), "/Type /XObject /Subtype /Form"),
+        10: F.lit("[3 0 R]"),
+        11: _cat("[0 0 ", _text(300 + F.col("doc_id")), " 400]"),
+        12: F.lit("[4 0 R 5 0 R]"),
+        13: F.lit(f"<< /F0 6 0 R /F1 {Y.FONT} >>"),
+        14: F.lit("<< /X 7 0 R >>"),
+        15: F.lit("<< /Font << /G 6 0 R >> /XObject << /Y 8 0 R >> >>"),
+    }
+    good = nation.select("doc_id", _rows(*[(F.lit(n), b) for n, b in bodies.items()])).select("doc_id", "o.*")
+    broken = nation.select((1000 + F.col("doc_id")).alias("doc_id"), _rows((F.lit(1), bodies[1]), (F.lit(2), F.when(F.col("doc_id") % 2 == 0, "<< /Type /Pages /Kids 7 >>").otherwise("<< /Type /Pages /Kids 3 0 R >>")), (F.lit(3), F.lit("(no array)")))).select("doc_id", "o.*")
+    objects = _objects(good.unionByName(broken))
+    texts = T.document_texts(T.page_texts(T.run_lines(T.runs(objects))))
+    return P.pages(objects).join(texts, "doc_id").select("doc_id", "width", "height", "text")
+
+
 @query("""WITH named AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name || ' in a column of text, part ' || k AS t, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, k) - 1 AS i FROM nation, (SELECT unnest(range(2)) AS k))
 SELECT doc_id, 'Head over both of the columns that stand below' || chr(10) || string_agg(t, chr(10) ORDER BY i % 2, i) AS text FROM named GROUP BY doc_id""")
 def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +172,8 @@ def newest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = W.assemble(first)
     again = orders.join(once, "doc_id").select("doc_id", F.lit(3).cast("long").alias("obj_num"), W.literal_string(_cat(F.col("o_orderstatus"), "2")).alias("body"), "content")
     files = materialize(W.assemble(again, prefix="content"))
-    xref = O.read_xref(files)
-    older = xref.join(O.newest(xref).select("doc_id", "obj_num", "rev"), ["doc_id", "obj_num", "rev"], "left_anti").where("kind = 'used'").groupBy("doc_id", "obj_num").agg(F.count("*").alias("older"))
+    # One scan of the tables serves both: of an object's entries the first is the newest, the others are under it.
+    older = O.ranked(O.read_xref(files)).where("place > 1 and kind = 'used'").groupBy("doc_id", "obj_num").agg(F.count("*").alias("older"))
     status = O.read_objects(files).where("obj_num = 3").select("doc_id", "obj_num", strings.variant_text(F.col("value"), "$").alias("status"))
     return status.join(older, ["doc_id", "obj_num"])
 
@@ -333,14 +361,24 @@ def signed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", crypto.signed_bytes(F.col("content"), F.col("r")).cast("string").alias("signed"), crypto.digest_matches(F.col("content"), F.col("r"), stated).alias("matches"))
 
 
-@query("SELECT n_regionkey AS doc_id, 0 AS source_rank, 'open' AS source, CAST(0 AS BIGINT) AS depth, 'URI' AS kind, 'http://' || r_name AS target FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY n_regionkey, r_name UNION ALL SELECT r_regionkey, 0, 'open', 1, 'Named', 'NextPage' FROM region UNION ALL SELECT r_regionkey, 2, 'page O', 0, 'Named', 'NextPage' FROM region")
+@query("""WITH shape(source_rank, source, depth, kind) AS (VALUES (0, 'open', 0, 'URI'), (0, 'open', 1, 'Named'), (0, 'open', 2, 'URI'), (2, 'page O', 0, 'Named'), (5, 'field', 0, 'JavaScript'), (6, 'field K', 0, 'URI'), (7, 'script', 0, 'JavaScript'), (7, 'script', 1, 'Named'))
+SELECT r_regionkey AS doc_id, source_rank, source, CAST(depth AS BIGINT) AS depth, kind,
+  CASE WHEN source_rank = 5 THEN 'one' WHEN source_rank = 7 AND depth = 0 THEN 'two' WHEN source_rank = 7 THEN 'LastPage' WHEN kind = 'URI' THEN 'http://' || r_name ELSE 'NextPage' END AS target FROM region CROSS JOIN shape""")
 def action_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An action at opening with one chained to it, which a page also has as its own."""
+    """A cycle of two actions at opening, which a page and a form field also have as their own, and scripts of a field and of a name."""
     region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), "r_name")
     contents = region.select("doc_id", F.lit(0).alias("page"), F.lit("").alias("content"))
-    extra = region.select("doc_id", _rows((F.lit(50), _cat("<< /S /URI /URI ", W.literal_string(_cat("http://", F.col("r_name"))), " /Next 51 0 R >>")), (F.lit(51), F.lit("<< /S /Named /N /NextPage /Next 50 0 R >>")))).select("doc_id", F.col("o.obj_num").cast("int").alias("obj_num"), "o.body")
-    objects = _objects(Y.page_objects(contents, F.lit("/AA << /O 51 0 R >>"), F.lit("/OpenAction 50 0 R")).unionByName(extra))
-    return C.actions(objects).where("depth < 2 and not (depth = 1 and source_rank = 2)").select(F.col("doc_id").cast("int").alias("doc_id"), "source_rank", "source", F.col("depth").cast("long").alias("depth"), "kind", "target")
+    bodies = {
+        50: _cat("<< /S /URI /URI ", W.literal_string(_cat("http://", F.col("r_name"))), " /Next 51 0 R >>"),
+        51: F.lit("<< /S /Named /N /NextPage /Next [50 0 R] >>"),
+        52: F.lit("<< /T (group) /Kids [53 0 R] >>"),
+        53: F.lit("<< /T (child) /Parent 52 0 R /A << /S /JavaScript /JS (one) >> /AA << /K 50 0 R >> >>"),
+        54: F.lit("<< /Names [(first) << /S /JavaScript /JS (two) /Next << /S /Named /N /LastPage >> >>] >>"),
+    }
+    extra = region.select("doc_id", _rows(*[(F.lit(n), b) for n, b in bodies.items()])).select("doc_id", F.col("o.obj_num").cast("int").alias("obj_num"), "o.body")
+    catalog = F.lit("/OpenAction 50 0 R /AcroForm << /Fields [52 0 R] >> /Names << /JavaScript 54 0 R >>")
+    found = C.actions(_objects(Y.page_objects(contents, F.lit("/AA << /O 51 0 R >>"), catalog).unionByName(extra)))
+    return found.select(F.col("doc_id").cast("int").alias("doc_id"), "source_rank", "source", F.col("depth").cast("long").alias("depth"), "kind", "target")
 
 
 @query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS bead_seq, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS page_index, 'Story' AS title FROM nation")

@@ -295,10 +295,15 @@ def read_xref(raw: DataFrame, id_col: str = "doc_id", content_col: str = "conten
     return _scan(raw, id_col, content_col, _xref_rows, XREF)
 
 
+def ranked(xref: DataFrame) -> DataFrame:
+    """Entries with their place among those of their object, 1 for the newest: by revision, and there by rank."""
+    order = Window.partitionBy("doc_id", "obj_num").orderBy("rev", "rank")
+    return xref.where("error is null").withColumn("place", F.row_number().over(order))
+
+
 def newest(xref: DataFrame) -> DataFrame:
     """The entry of each object that counts: of the newest revision, and there of the lowest rank."""
-    order = Window.partitionBy("doc_id", "obj_num").orderBy("rev", "rank")
-    return xref.where("error is null").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    return ranked(xref).where("place = 1").drop("place")
 
 
 def read_objects(raw: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:

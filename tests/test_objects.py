@@ -142,3 +142,34 @@ def test_signatures_and_timestamps(spark):
     f = pdf("<< /Type /Catalog >>", "<< /FT /Sig /T (s) /V 3 0 R >>", "<< /Type /Sig /SubFilter /ETSI.RFC3161 /ByteRange [0 5 9 4] /Contents <0102> /M (D:20240102030405+01'30') >>")
     r = catalogue.signatures(read(spark, f)).first()
     assert (r.sub_filter, r.byte_range, bytes(r.contents), r.signed_at, r.is_timestamp) == ("ETSI.RFC3161", [0, 5, 9, 4], b"\x01\x02", "2024-01-02T03:04:05+01:30", True)
+
+
+def test_forms_have_scopes_of_their_own(spark):
+    font, form = "<< /Type /Font /Subtype /Type1 /BaseFont /Times-Roman /Encoding /WinAnsiEncoding >>", "/Type /XObject /Subtype /Form"
+    differs = "<< /Type /Font /Subtype /Type1 /BaseFont /X /Encoding << /Differences [97 /alpha /uni03B2] >> >>"
+    file = pdf(
+        "<< /Type /Catalog /Pages 2 0 R >>",
+        "<< /Type /Pages /Kids 9 0 R /Resources 10 0 R >>",
+        "<< /Type /Page /Contents [4 0 R] >>",
+        stream("BT /A 8 Tf 10 90 Td (ab) Tj ET /P Do /P Do BT /A 8 Tf 10 10 Td (ab) Tj ET"),
+        stream("BT /A 8 Tf 10 70 Td (b) Tj ET /Q Do", f"{form} /Resources << /Font << /A {differs} >> /XObject << /Q 6 0 R >> >>"),
+        stream("BT /A 8 Tf 10 50 Td (b) Tj ET /P Do /Q Do", form),
+        font,
+        "<< /A 7 0 R >>",
+        "[3 0 R]",
+        "<< /Font 8 0 R /XObject << /P 5 0 R >> >>",
+    )
+    got = [(r.text, r.y) for r in text.runs(read(spark, file)).orderBy("run_seq").collect()]
+    # A form without resources sees those of the form that paints it; what is being painted isn't painted again.
+    assert got == [("ab", 90.0), ("β", 70.0), ("β", 50.0), ("β", 70.0), ("β", 50.0), ("ab", 10.0)]
+
+
+def test_indirect_and_broken_page_entries(spark):
+    good = pdf("<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids 4 0 R /MediaBox 5 0 R /Rotate 6 0 R >>", "<< /Type /Page /Parent 2 0 R /Contents 7 0 R >>", "[3 0 R]", "[0 0 10 20]", "90", "[8 0 R 9 0 R]", stream("q"), stream("Q"))
+    broken = [pdf("<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids {k} /MediaBox {k} >>", "(x)", "<< /Type /Page /MediaBox [1] /Contents (x) /Rotate [] >>") for k in ("7", "3 0 R", "99 0 R", "(s)", "<< >>", "[4 0 R 7 (x) [4 0 R]]")]
+    objects = read(spark, good, *broken)
+    rows = {r.doc_id: r for r in pages.pages(objects).collect()}
+    assert (rows[0].width, rows[0].height, rows[0].rotate, rows[0].contents) == (10.0, 20.0, 90, [8, 9])
+    assert sorted(rows) == [0, 6] and (rows[6].width, rows[6].rotate, rows[6].contents) == (595.0, 0, [])
+    issues = pages.hierarchy_issues(objects).where(F.col("message") == "Kids isn't an array")
+    assert sorted(r.doc_id for r in issues.collect()) == [1, 2, 3, 4, 5]
