@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,16 +18,19 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BROADCAST_ROWS = 200_000
 #: Rows that a task holds as Python objects at a time, and characters after which it stops adding rows.
 CHUNK_ROWS, CHUNK_CHARS = 256, 4_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's path below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """A new folder's path below spark.checkpoint.dir; a temporary one only where that is unset and the driver runs all tasks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
-    if not base:
-        base = tempfile.mkdtemp(prefix="quirel-")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="quirel-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -81,8 +85,11 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list], di
 
     make() runs once a task and returns a function from a list of values to a dict of lists;
     the function also gets the lists of the columns `also`. df must have no column named as an added one.
-    With drop, `column` and `also` aren't returned.
+    With drop, `column` and `also` aren't returned. Where the session has Spark's own number of rows in an Arrow batch, it is
+    set to BATCH_ROWS: ten thousand texts and what is made of them would be held at once.
     """
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, BATCH_ROWS)
     new = _parse_datatype_string(added)
     kept = [f for f in df.schema.fields if not (drop and f.name in (column, *also))]
     schema = StructType([*kept, *new.fields])
@@ -98,5 +105,7 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list], di
                 arrays = [part.column(n).cast(arrow.field(n).type) for n in names]
                 arrays += [pa.array(made[f.name], type=arrow.field(f.name).type) for f in new.fields]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        # The worker lives on for other tasks; what this one needed goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

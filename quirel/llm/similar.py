@@ -2,8 +2,8 @@
 
 Fingerprints only link the nearest copies early. What makes the result whole is a prefix join: in any
 fixed order of all shingles, two sets of Jaccard similarity t or more share one of each other's first
-n - ceil(t * n) + 1 shingles, so all pairs meet there. Rarest shingles go first, by frequencies of a sample; the sample
-decides the cost, never the result. Every pair that meets is verified on the whole sets.
+n - ceil(t * n) + 1 shingles, so all pairs meet there. Rarest shingles go first, by frequencies over a fixed share of the
+documents; those decide the cost, never the result. Every pair that meets is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .simhash import MOST, folded, shingle_hashes, trie_links
 WIDTH, FIFTHS = 5, 4
 #: Words of 64 parities of a set.
 WORDS = 16
-#: Documents and shingles that order the shingles by frequency.
-ORDER_DOCS, ORDER_SHINGLES = 4_000, 50_000
+#: One document in so many counts for the order of the shingles, in which a frequent one stands in so many of those, and so many are held last.
+ORDER_SHARE, ORDER_LEAST, ORDER_SHINGLES = 4, 3, 1_000_000
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -30,12 +30,12 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 
 def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that repeat most over a sample of the rows, sorted, and how often they do."""
-    share = max(1, rows.count() // ORDER_DOCS)
-    sample = rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(share)) == 0).select("body")
+    """Shingles that repeat most over a fixed share of the rows, sorted, and how often they do."""
+    sample = rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(ORDER_SHARE)) == 0).select("body")
     found = map_texts(sample, "body", lambda: lambda texts: {"s": [shingle_set(t) for t in texts]}, "s array<long>", as_bytes=True)
-    counts = found.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toPandas().sort_values("s")
-    return counts["s"].to_numpy("<i8"), counts["n"].to_numpy("<i8")
+    counts = found.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= ORDER_LEAST)
+    counts = counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toPandas().sort_values("s")
+    return counts["s"].to_numpy("<i8"), counts["n"].to_numpy("<i4")
 
 
 def _parities(found: np.ndarray) -> np.ndarray:
@@ -46,9 +46,11 @@ def _parities(found: np.ndarray) -> np.ndarray:
 
 def shingles(rows: DataFrame) -> DataFrame:
     """rows with cls (digest of the set of shingles), fp, size, bits, head (the prefix that is joined) in place of body."""
-    known, often = _common(rows)
+    carried = rows.sparkSession.sparkContext.broadcast(_common(rows))
 
     def make():
+        known, often = carried.value
+
         def apply(texts):
             out: dict[str, list] = {"cls": [], "fp": [], "size": [], "bits": [], "head": []}
             for t in texts:
@@ -115,9 +117,9 @@ def links_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """
     classes = stored(rows.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("bits").alias("bits")), "classes")
     heads = rows.select("cls", "size", F.posexplode("head").alias("pos", "token")).where("size > 0")
-    shared = stored(heads.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("token"), "shared")
-    posts = stored(heads.join(few(shared), "token").distinct(), "posts")
-    discard(shared)
+    same = Window.partitionBy("token")
+    heads = heads.withColumns({"least": F.min("cls").over(same), "most": F.max("cls").over(same)})
+    posts = stored(heads.where("least < most").select("token", "cls", "size", "pos").distinct(), "posts")
 
     # Fingerprints' links, and of each token the class that has it foremost.
     of = lambda n: classes.select(F.col("cls").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}"))
