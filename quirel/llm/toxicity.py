@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples, found exactly by TF-IDF cosine in a block-max inverted index.
 
-Terms are those whose presence tells the labels apart in a bounded sample of labelled rows; their
+Terms are all words whose presence tells the labels apart significantly in a bounded sample of labelled rows; their
 document frequencies are counted over all documents. The sample's vectors are the examples. Their index keeps, per
 block of examples and term, the largest weight; a query takes blocks by their upper bounds
 and stops when no block left can beat its k-th neighbour.
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import columns, map_texts, stored, text_or_empty
 
-#: Examples of a label and terms at most: together they bound the index to 2 * EXAMPLES * TERMS weights.
-EXAMPLES, TERMS = 1500, 1024
-#: Rows that a term must occur in, and the likelihood ratio statistic that it must reach (one word in a million does by chance).
+#: Examples of a label at most: with the words that they hold they bound the index.
+EXAMPLES = 1500
+#: What makes a word of the examples a term: rows that it must occur in, and the likelihood ratio statistic that it must
+#: reach (one word in a million does by chance). Every such word is one, however many there are.
 LEAST_ROWS, LEAST_G = 4, 24.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Votes of the base rate.
@@ -76,8 +77,8 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def telling_terms(labelled: DataFrame, sizes: dict[int, int], most: int = TERMS) -> list[str]:
-    """Terms of rows (y, terms) by their likelihood ratio against the label; counted on the executors, at most `most` are returned."""
+def telling_terms(labelled: DataFrame, sizes: dict[int, int]) -> list[str]:
+    """All terms of rows (y, terms) whose likelihood ratio against the label is significant; counted on the executors."""
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n0 or not n1:
         return []
@@ -85,7 +86,7 @@ def telling_terms(labelled: DataFrame, sizes: dict[int, int], most: int = TERMS)
     a, b, n = F.col("a"), F.col("b"), n0 + n1
     cells = ((a, (a + b) * (n1 / n)), (b, (a + b) * (n0 / n)), (n1 - a, (n - a - b) * (n1 / n)), (n0 - b, (n - a - b) * (n0 / n)))
     g = 2 * sum((F.when((x > 0) & (e > 0), x * F.log(x / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
-    return [r.term for r in seen.withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(most).collect()]
+    return [r.term for r in seen.withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").collect()]
 
 
 class BlockMaxIndex:
@@ -247,23 +248,27 @@ def _remembering(model: NeighbourVotes) -> Callable[[list[int], list[int]], tupl
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, score, predicted, evidence (array of id, cosine, label).
 
-    A text without any term, empty and null ones included, gets the rate of label 1 among such examples. Without examples of both
+    A text without any term, empty and null ones included, gets the rate of label 1 among such examples; long texts are
+    counted whole, and of equally near examples those of lower places vote. Without examples of both
     labels every score is the base rate. Equal texts get equal scores. Repeated rows are scored alike, null ids
     count as the id ''. Other columns are ignored. No rows give no rows.
     """
-    model, vectors = fit_votes(docs, labels, label, id_col, text_col)
+    model, _ = fit_votes(docs, labels, label, id_col, text_col)
     carried = docs.sparkSession.sparkContext.broadcast(model)
+    rows = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("body"))
 
     def make():
-        one = _remembering(carried.value)
+        one, count = _remembering(carried.value), _counted(carried.value.places)
 
-        def apply(terms, counts):
-            found = [one(t, c) for t, c in zip(terms, counts)]
+        def apply(texts):
+            counted = count(texts)
+            found = [one(t, c) for t, c in zip(counted["terms"], counted["counts"])]
             return {"score": [f[0] for f in found], "evidence": [[dict(zip(("id", "cosine", "label"), e)) for e in f[1]] for f in found]}
 
         return apply
 
-    scored = map_texts(vectors, "terms", make, "score double, evidence array<struct<id:long,cosine:double,label:int>>", also=("counts",))
+    # Counted anew from the texts: their tasks are as many as the table needs, where those of the small counts would be few.
+    scored = map_texts(rows, "body", make, "score double, evidence array<struct<id:long,cosine:double,label:int>>")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
