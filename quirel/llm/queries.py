@@ -66,7 +66,7 @@ def tokenizer_model() -> str:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spm.encode(table(spark, sf_dir, "documents"), tokenizer_model(), decoded=True)
-    return found.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

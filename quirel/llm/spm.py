@@ -147,12 +147,12 @@ class OffsetEncoder:
             out["ids_text"].append(" ".join(map(self.decimal.__getitem__, array.tolist())))
             out["ids"].append(ids)
             if spans:
-                begins, ends = self._project(text, array, source)
-                out["begins"].append(begins.tobytes())
-                out["ends"].append(ends.tobytes())
+                for name, places in zip(("begins", "ends"), self._project(text, array, source)):
+                    out[name].append(None if places is None else places.tobytes())
         return out
 
-    def _project(self, text: str, ids: np.ndarray, source: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def _project(self, text: str, ids: np.ndarray, source: np.ndarray | None) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Begins and ends; None where an unknown piece stands for what it doesn't spell, so that places can't be told."""
         sizes, lead = self.sizes[ids], 0
         if source is None and MARK not in text:
             # Only spaces change, each into a mark; the added one stands before the text.
@@ -167,7 +167,7 @@ class OffsetEncoder:
             if self.prefix:
                 source = np.concatenate(([0, 0, 0], source))
         if (ids == self.unknown).any() or (len(stops) and stops[-1] != (len(data) + lead if source is None else len(source) - 1)):
-            raise ValueError("pieces don't cover the normalised text")
+            return None, None
         if source is not None:
             return source[stops - sizes].astype("<i4"), source[stops].astype("<i4")
         return np.maximum(stops - sizes - lead, 0).astype("<i4"), np.maximum(stops - lead, 0).astype("<i4")
@@ -182,8 +182,10 @@ def _encoder(model_file: str, end_id: bool) -> OffsetEncoder:
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: bool = True, spans: bool = True, decoded: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, ids_text (decimal, joined by a space), ids, begins, ends (little-endian int32 arrays as bytes).
 
-    begins and ends are byte offsets in the text's UTF-8, end exclusive; null without spans. With decoded, a column has the
-    text that the ids decode to, by the same Python worker. model_file is read on every executor. Null text counts as empty and has the end id only. Other columns are ignored.
+    begins and ends are byte offsets in the text's UTF-8, end exclusive; null without spans, and for a text with pieces that the model
+    doesn't know. With decoded, a column has the text that the ids decode to, by the same Python worker. model_file is read on
+    every executor. Null text counts as empty and has the end id only; long texts are encoded whole. Rows that repeat are
+    encoded alike, ids may be null. Other columns are ignored, whatever their names. No rows give no rows.
     """
     rows = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("body"))
 
@@ -207,7 +209,8 @@ def _decoded(processor, ids: list[bytes | None]) -> list[str]:
 
 
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
-    """rows with `decoded`, the text of int32 id bytes; null ids decode to the empty text."""
+    """rows with `decoded`, the text of int32 id bytes; null ids decode to the empty text. A column of that name is replaced."""
+    rows = rows.drop("decoded") if ids_col != "decoded" else rows
 
     def make():
         processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
