@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df computed once: checkpointed where the session has a checkpoint folder, else kept by the executors (and computed anew if lost)."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+    """df computed once: checkpointed in the session's shared folder; kept in memory only where that is unset and the driver runs all tasks."""
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
         return df.checkpoint()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return df.persist()
