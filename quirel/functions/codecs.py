@@ -130,22 +130,36 @@ def unpredict(data: bytes, predictor: int, colors: int = 1, bits: int = 8, colum
         return np.cumsum(rows, axis=1, dtype=np.uint32).astype(kind).tobytes()
     if len(data) % (row + 1):
         raise FilterError("predictor: rows of another length")
-    above, out = bytearray(row), bytearray()
-    for at in range(0, len(data), row + 1):
-        tag, line = data[at], bytearray(data[at + 1 : at + 1 + row])
-        for i in range(row):
-            a, b, c = (line[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
-            if tag == 4:
-                p = a + b - c
-                guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-            elif tag < 4:
-                guess = (0, a, b, (a + b) >> 1)[tag]
-            else:
-                raise FilterError("predictor: unknown row")
-            line[i] = line[i] + guess & 255
-        out += line
-        above = line
-    return bytes(out)
+    rows = np.frombuffer(data, np.uint8).reshape(-1, row + 1)
+    if (rows[:, 0] > 4).any():
+        raise FilterError("predictor: unknown row")
+    out, above = np.empty((len(rows), row), np.uint8), np.zeros(row, np.uint8)
+    for k, (tag, line) in enumerate(zip(rows[:, 0].tolist(), rows[:, 1:])):
+        if tag == 1:
+            # Each of the step's byte places is a sum over its own bytes.
+            wide = np.zeros(-(-row // step) * step, np.uint8)
+            wide[:row] = line
+            above = np.cumsum(wide.reshape(-1, step), axis=0, dtype=np.uint8).ravel()[:row]
+        elif tag in (0, 2):
+            above = line + above if tag else line
+        else:
+            above = _by_neighbours(tag, line, above, step)
+        out[k] = above
+    return out.tobytes()
+
+
+def _by_neighbours(tag: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A row whose bytes are told from their mean neighbours (3) or the nearest of three (4): each needs the one before it."""
+    up = above.tolist()
+    got: list[int] = []
+    for i, x in enumerate(line.tolist()):
+        a, b, c = (got[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
+        guess = (a + b) >> 1
+        if tag == 4:
+            p = a + b - c
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+        got.append(x + guess & 255)
+    return np.array(got, np.uint8)
 
 
 #: Names and abbreviations of the filters.

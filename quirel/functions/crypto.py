@@ -87,6 +87,24 @@ def user_entry_r3(key: pd.Series, file_id: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(key, file_id)])
 
 
+@pandas_udf(BinaryType())
+def user_password(password: pd.Series, owner: pd.Series, revision: pd.Series, length: pd.Series) -> pd.Series:
+    """The padded user password that an owner entry holds, if this is the owner's password; revisions 2 to 4."""
+
+    def one(p, o, r, n):
+        if o is None or r not in (2, 3, 4):
+            return None
+        key = hashlib.md5((p + PADDING)[:32]).digest()
+        for _ in range(50 if r > 2 else 0):
+            key = hashlib.md5(key).digest()
+        key = key[: n if r > 2 else 5]
+        for turn in range(19 if r > 2 else 0, -1, -1):
+            o = _rc4(bytes(c ^ turn for c in key), o)
+        return o
+
+    return pd.Series([one(*x) for x in zip(password, owner, revision, length)])
+
+
 def user_entry_r2(key: Column) -> Column:
     """What U must be for a revision 2 file whose password gives this key."""
     return rc4(key, F.lit(PADDING))

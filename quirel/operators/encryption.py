@@ -1,49 +1,102 @@
-"""Streams of encrypted documents, unlocked with a password by column functions."""
+"""Streams of encrypted documents, unlocked with a user's or an owner's password by column functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from quirel.functions import crypto
-from quirel.functions.codecs import decoded
+from quirel.functions.codecs import FilterError, decode_chain
+from quirel.sources.objects import as_list, plain
 
 from .catalogue import follow
 
 
 def encryption(objects: DataFrame) -> DataFrame:
-    """(doc_id, version, revision, length, owner, user, permissions, file_id, method) of documents with an Encrypt entry."""
+    """(doc_id, version, revision, length, owner, user, permissions, file_id, method, encrypt_metadata) of documents with an Encrypt entry."""
     trailer = objects.where("obj_num = 0").select("doc_id", F.try_variant_get("value", "$.Encrypt", "variant").alias("e"), F.unhex(F.try_variant_get("value", "$.ID[0].s", "string")).alias("file_id"))
     held = follow(trailer.where("e is not null"), objects, "e")
     get = lambda p, k: F.try_variant_get("e", p, k)
     method = F.coalesce(get("$.CF.StdCF.CFM.n", "string"), F.lit("V2"))
-    return held.select("doc_id", get("$.V", "int").alias("version"), get("$.R", "int").alias("revision"), (F.coalesce(get("$.Length", "int"), F.lit(40)) / 8).cast("int").alias("length"), F.unhex(get("$.O.s", "string")).alias("owner"), F.unhex(get("$.U.s", "string")).alias("user"), get("$.P", "long").alias("permissions"), F.coalesce("file_id", F.lit(b"")).alias("file_id"), method.alias("method"))
+    return held.select(
+        "doc_id",
+        get("$.V", "int").alias("version"),
+        get("$.R", "int").alias("revision"),
+        (F.coalesce(get("$.Length", "int"), F.lit(40)) / 8).cast("int").alias("length"),
+        F.unhex(get("$.O.s", "string")).alias("owner"),
+        F.unhex(get("$.U.s", "string")).alias("user"),
+        get("$.P", "long").alias("permissions"),
+        F.coalesce("file_id", F.lit(b"")).alias("file_id"),
+        method.alias("method"),
+        F.coalesce(get("$.EncryptMetadata", "boolean"), F.lit(True)).alias("encrypt_metadata"),
+    )
 
 
-def file_keys(objects: DataFrame, password: bytes = b"") -> DataFrame:
-    """(doc_id, key, method, opened): keys of revisions 2 to 4, checked against the user entry."""
-    found = encryption(objects)
+def _key(password: Column) -> Column:
+    """The file key that a user's password gives under a document's revision."""
     key = F.lit(None).cast("binary")
-    for revision, length in ((2, 5), (3, 5), (3, 16), (4, 16)):
-        made = crypto.file_key(F.lit(password), F.col("owner"), F.col("permissions"), F.col("file_id"), revision, length)
-        key = F.when((F.col("revision") == revision) & ((F.col("length") == length) | (F.lit(revision) != 3)), made).otherwise(key)
-    keyed = found.withColumn("key", key)
-    expected = F.when(F.col("revision") == 2, crypto.user_entry_r2(F.col("key")) == F.col("user")).otherwise(crypto.user_entry_r3("key", "file_id") == F.substring("user", 1, 16))
-    return keyed.select("doc_id", "key", "method", F.coalesce(expected, F.lit(False)).alias("opened"))
+    for revision, length, metadata in ((2, 5, True), (3, 5, True), (3, 16, True), (4, 16, True), (4, 16, False)):
+        made = crypto.file_key(password, F.col("owner"), F.col("permissions"), F.col("file_id"), revision, length, metadata)
+        fits = (F.col("revision") == revision) & ((F.col("length") == length) | F.lit(revision != 3)) & ((F.col("encrypt_metadata") == metadata) | F.lit(revision != 4))
+        key = F.when(fits, made).otherwise(key)
+    return key
+
+
+def _opens(key: str) -> Column:
+    """Whether a key is the document's, by its user entry."""
+    met = F.when(F.col("revision") == 2, crypto.user_entry_r2(F.col(key)) == F.col("user")).otherwise(crypto.user_entry_r3(key, "file_id") == F.substring("user", 1, 16))
+    return F.coalesce(met, F.lit(False))
+
+
+def file_keys(objects: DataFrame, password: bytes = b"") -> DataFrame:
+    """(doc_id, key, method, opened, encrypt_metadata): keys of revisions 2 to 4; the password may be the user's or the owner's."""
+    found = encryption(objects).withColumn("as_user", _key(F.lit(password)))
+    found = found.withColumn("held", crypto.user_password(F.lit(password), "owner", "revision", "length")).withColumn("as_owner", _key(F.col("held")))
+    tested = found.withColumns({"user_opens": _opens("as_user"), "owner_opens": _opens("as_owner")})
+    key = F.when(F.col("owner_opens") & ~F.col("user_opens"), F.col("as_owner")).otherwise(F.col("as_user"))
+    return tested.select("doc_id", key.alias("key"), "method", (F.col("user_opens") | F.col("owner_opens")).alias("opened"), "encrypt_metadata")
+
+
+@pandas_udf(BinaryType())
+def _decoded(data: pd.Series, filters: pd.Series, params: pd.Series) -> pd.Series:
+    """Bytes through a stream's filters with their parameters (both as JSON); null where they can't be decoded."""
+
+    def one(d, f, p):
+        names = as_list(plain(json.loads(f or "null")))
+        given = as_list(plain(json.loads(p or "null")))
+        chain = [(n, given[i] if i < len(given) else None) for i, n in enumerate(names) if n != "Crypt"]
+        try:
+            return None if d is None else decode_chain(d, [n for n, _ in chain], [g for _, g in chain])
+        except (FilterError, ValueError, TypeError):
+            return None
+
+    return pd.Series([one(*x) for x in zip(data, filters, params)])
 
 
 def unlocked(objects: DataFrame, password: bytes = b"") -> DataFrame:
     """objects with the streams of encrypted documents decrypted and then decoded; where the password is wrong the error says so.
 
-    Strings inside dictionaries stay as they are stored.
+    A stream whose crypt filter is Identity (or has no name) stays as it is, and so does one of metadata in a document that
+    doesn't encrypt those. Strings inside dictionaries stay as they are stored.
     """
     keys = file_keys(objects, password)
     both = objects.join(keys, "doc_id", "left")
     aes = F.col("method").isin("AESV2", "AESV3")
-    own = F.when(aes, crypto.object_key(F.col("key"), F.col("obj_num"), F.lit(0), True)).otherwise(crypto.object_key(F.col("key"), F.col("obj_num"), F.lit(0), False))
-    filters = F.coalesce(F.transform(F.try_variant_get("value", "$.Filter", "array<variant>"), lambda f: F.try_variant_get(f, "$.n", "string")), F.array_compact(F.array(F.try_variant_get("value", "$.Filter.n", "string"))))
-    identity = F.array_contains(filters, "Crypt")
-    plain = crypto.decrypt(F.col("data"), identity, F.col("method"), own)
+    number, gen = F.col("obj_num"), F.coalesce("gen", F.lit(0))
+    own = F.when(aes, crypto.object_key(F.col("key"), number, gen, True)).otherwise(crypto.object_key(F.col("key"), number, gen, False))
+    entry = lambda k: F.try_variant_get("value", f"$.{k}", "variant")
+    listed = lambda k: F.coalesce(F.try_variant_get("value", f"$.{k}", "array<variant>"), F.array_compact(F.array(entry(k))))
+    names = F.transform(listed("Filter"), lambda f: F.coalesce(F.try_variant_get(f, "$.n", "string"), F.lit("")))
+    crypt = F.array_position(names, "Crypt")
+    named = F.try_variant_get(F.get(listed("DecodeParms"), (crypt - 1).cast("int")), "$.Name.n", "string")
+    clear = ~F.col("encrypt_metadata") & (F.try_variant_get("value", "$.Type.n", "string") == "Metadata")
+    identity = ((crypt > 0) & (F.coalesce(named, F.lit("Identity")) == "Identity")) | F.coalesce(clear, F.lit(False))
+    content = crypto.decrypt(F.col("data"), identity, F.col("method"), own)
     opened = F.coalesce(F.col("opened"), F.lit(False))
-    data = F.when(opened & F.col("data").isNotNull() & (F.col("obj_num") > 0), decoded(plain, F.filter(filters, lambda f: f != "Crypt"))).otherwise(F.col("data"))
-    return both.select("doc_id", "obj_num", "value", data.alias("data"), F.when(F.col("opened") == F.lit(False), "wrong password").otherwise(F.col("error")).alias("error"))
+    data = F.when(opened & F.col("data").isNotNull() & (number > 0), _decoded(content, F.to_json(entry("Filter")), F.to_json(entry("DecodeParms")))).otherwise(F.col("data"))
+    return both.select("doc_id", "obj_num", "value", data.alias("data"), F.when(F.col("opened") == F.lit(False), "wrong password").otherwise(F.col("error")).alias("error"), "gen")

@@ -129,16 +129,16 @@ def foreign_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pages(objects).join(texts, "doc_id").select("doc_id", "width", "height", "text")
 
 
-@query("""WITH named AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name || ' in a column of text, part ' || k AS t, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, k) - 1 AS i FROM nation, (SELECT unnest(range(2)) AS k))
-SELECT doc_id, 'Head over both of the columns that stand below' || chr(10) || string_agg(t, chr(10) ORDER BY i % 2, i) AS text FROM named GROUP BY doc_id""")
+@query("""WITH named AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name || ' has the number ' || n_nationkey || ', side ' || k AS t, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, k) - 1 AS i FROM nation, (SELECT unnest(range(2)) AS k))
+SELECT doc_id, string_agg(t, chr(10) ORDER BY i % 2, i) || chr(10) || 'These are all names of one region, each of them on two sides' AS text FROM named GROUP BY doc_id""")
 def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in two columns, the right one painted first and the head last, read head, left, right."""
+    """Lines in two columns, painted from the last to the first by turns, with a foot line over both of them in between; read left, right, foot."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), "n_nationkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "n_name")
-    lines = nation.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("n_nationkey", "k")) - 1)
-    op = Y.show(F.when(F.col("i") % 2 == 0, 60).otherwise(340), 700 - 12 * F.floor(F.col("i") / 2), _cat(F.col("n_name"), " in a column of text, part ", _text(F.col("k"))))
-    shows = lines.select("doc_id", F.lit(0).alias("page"), F.when(F.col("i") % 2 == 0, 100 + F.col("i")).otherwise(F.col("i")).alias("seq"), op.alias("op"))
-    head = lines.select("doc_id").distinct().select("doc_id", F.lit(0).alias("page"), F.lit(999).alias("seq"), Y.show(F.lit(180), F.lit(750), F.lit("Head over both of the columns that stand below")).alias("op"))
-    return R.layout_text(T.runs(_objects(Y.page_objects(Y.page_contents(shows.unionByName(head)))))).select("doc_id", "text")
+    lines = nation.withColumn("i", (F.row_number().over(Window.partitionBy("doc_id").orderBy("n_nationkey", "k")) - 1).cast("int"))
+    op = Y.show(F.when(F.col("i") % 2 == 0, 72).otherwise(331), 655 - 17 * F.floor(F.col("i") / 2), _cat(F.col("n_name"), " has the number ", _text(F.col("n_nationkey")), ", side ", _text(F.col("k"))))
+    shows = lines.select("doc_id", F.lit(0).alias("page"), (-2 * F.col("i")).alias("seq"), op.alias("op"))
+    foot = lines.select("doc_id").distinct().select("doc_id", F.lit(0).alias("page"), F.lit(-5).alias("seq"), Y.show(F.lit(140), F.lit(388), F.lit("These are all names of one region, each of them on two sides")).alias("op"))
+    return R.layout_text(T.runs(_objects(Y.page_objects(Y.page_contents(shows.unionByName(foot)))))).select("doc_id", "text")
 
 
 @query("SELECT conv_id AS doc_id, string_agg(text_line, chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, role || ' ' || turn AS text_line FROM conversations) GROUP BY conv_id")
@@ -178,13 +178,13 @@ def newest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.join(older, ["doc_id", "obj_num"])
 
 
-@query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS page_index, CASE n_regionkey % 3 WHEN 0 THEN 'A-' || (7 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)) WHEN 1 THEN (['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x'])[row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)] ELSE chr(CAST(64 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER)) END AS label FROM nation")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS page_index, CASE n_regionkey % 3 WHEN 0 THEN 'Part ' || (30 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)) WHEN 1 THEN (['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x'])[row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)] ELSE chr(CAST(64 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER)) END AS label FROM nation")
 def page_label_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per region with a page per nation, labelled by a range that is joined as of its start."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), "n_name", (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("page"))
     contents = nation.select("doc_id", "page", Y.show(F.lit(60), F.lit(700), F.col("n_name")).alias("content"))
     kind = F.max("doc_id") % 3
-    style = F.when(kind == 0, "/S /D /P (A-) /St 8").when(kind == 1, "/S /r").otherwise("/S /A")
+    style = F.when(kind == 0, "/S /D /P (Part ) /St 31").when(kind == 1, "/S /r").otherwise("/S /A")
     catalog = _cat("/PageLabels << /Kids [<< /Nums [0 << ", style, " >>] >>] >>")
     return C.page_labels(_objects(Y.page_objects(contents, catalog=catalog))).select("doc_id", F.col("page_index").cast("long").alias("page_index"), "label")
 

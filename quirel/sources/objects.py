@@ -243,7 +243,7 @@ class File:
 
 
 XREF = "rev int, rank int, obj_num long, kind string, offset long, gen long, error string"
-OBJECTS = "obj_num long, json string, data binary, error string"
+OBJECTS = "obj_num long, json string, data binary, error string, gen int"
 
 
 def _xref_rows(data: bytes) -> Iterator[tuple]:
@@ -259,19 +259,21 @@ def _object_rows(data: bytes) -> Iterator[tuple]:
     try:
         file = File(data)
     except broken as e:
-        yield (None, None, None, f"{type(e).__name__}: {e}")
+        yield (None, None, None, f"{type(e).__name__}: {e}", None)
         return
-    yield (0, json.dumps({k: v for k, v in file.trailer.items() if k in ("Root", "Info", "Size", "ID", "Encrypt")}), None, None)
+    yield (0, json.dumps({k: v for k, v in file.trailer.items() if k in ("Root", "Info", "Size", "ID", "Encrypt")}), None, None, 0)
     for number in sorted(n for n, (kind, _, _) in file.at.items() if kind != "free"):
+        kind, _, gen = file.at[number]
+        gen = gen if kind == "used" else 0
         try:
             value, body = file.get(number)
             value = value.decode("latin-1") if isinstance(value, bytes) else value
             # Encrypted streams are decoded once they are unlocked.
-            yield (number, json.dumps(value), body if body is None or "Encrypt" in file.trailer else file._decoded(value, body), None)
+            yield (number, json.dumps(value), body if body is None or "Encrypt" in file.trailer else file._decoded(value, body), None, gen)
         except FilterError as e:
-            yield (number, json.dumps(value), body, str(e))
+            yield (number, json.dumps(value), body, str(e), gen)
         except broken as e:
-            yield (number, None, None, f"{type(e).__name__}: {e}")
+            yield (number, None, None, f"{type(e).__name__}: {e}", gen)
 
 
 def _scan(raw: DataFrame, id_col: str, content_col: str, rows, ddl: str) -> DataFrame:
@@ -307,11 +309,11 @@ def newest(xref: DataFrame) -> DataFrame:
 
 
 def read_objects(raw: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """(doc_id, obj_num, value VARIANT, data, error): live objects with decoded streams; number 0 holds the trailer.
+    """(doc_id, obj_num, value VARIANT, data, error, gen): live objects with decoded streams; number 0 holds the trailer.
 
     A file or object that can't be read is a row with an error, never a failed job.
     """
-    return _scan(raw, id_col, content_col, _object_rows, OBJECTS).select("doc_id", "obj_num", F.parse_json("json").alias("value"), "data", "error")
+    return _scan(raw, id_col, content_col, _object_rows, OBJECTS).select("doc_id", "obj_num", F.parse_json("json").alias("value"), "data", "error", "gen")
 
 
 def read_pdf(spark, path: str) -> DataFrame:

@@ -1,9 +1,13 @@
+import functools
+import hashlib
 import random
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from quirel.operators import catalogue, pages, text
+from quirel.operators import catalogue, encryption, pages, text
 from quirel.sources import objects as O
 from quirel.sources import writer as W
 
@@ -21,11 +25,11 @@ def stream(data, entries=""):
     return f"<< /Length {len(data)} {entries} >>\nstream\n{data}\nendstream"
 
 
-FONT = "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 32 /Widths [" + "500 " * 95 + "] >>"
+FONT = "<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding /FirstChar 32 /Widths [" + "520 " * 95 + "] >>"
 
 
 def page(content, font=FONT, entries=""):
-    return pdf("<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F0 4 0 R >> >> /Contents 5 0 R {entries} >>", font, stream(content))
+    return pdf("<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 400 640] /Resources << /Font << /F0 4 0 R >> >> /Contents 5 0 R {entries} >>", font, stream(content))
 
 
 def read(spark, *files):
@@ -46,7 +50,7 @@ def test_parse_kinds():
 
 
 def test_text_of_a_page(spark):
-    assert lines(spark, "BT /F0 12 Tf 100 200 Td (Hello) Tj ET") == ["Hello"]
+    assert lines(spark, "BT /F0 9 Tf 41 333 Td (A first line) Tj ET") == ["A first line"]
 
 
 @pytest.mark.parametrize(
@@ -110,7 +114,7 @@ def test_tree_cycles_and_modes(spark):
 
 
 def test_broken_files_are_rows(spark):
-    good, rng = page("BT /F0 12 Tf 100 200 Td (Hello) Tj ET"), random.Random(4)
+    good, rng = page("BT /F0 9 Tf 41 333 Td (Still here) Tj ET"), random.Random(4)
     files = [b"", b"junk", good[:-30]]
     for _ in range(120):
         bad = bytearray(good)
@@ -120,7 +124,7 @@ def test_broken_files_are_rows(spark):
     objects = read(spark, *files, good)
     assert objects.where("error is not null").count() >= 3
     got = text.runs(objects).collect()
-    assert any(r.doc_id == len(files) and r.text == "Hello" for r in got)
+    assert any(r.doc_id == len(files) and r.text == "Still here" for r in got)
     assert O.read_xref(spark.createDataFrame([(1, bytearray(b"junk"))], "doc_id long, content binary")).first().error
 
 
@@ -173,3 +177,57 @@ def test_indirect_and_broken_page_entries(spark):
     assert sorted(rows) == [0, 6] and (rows[6].width, rows[6].rotate, rows[6].contents) == (595.0, 0, [])
     issues = pages.hierarchy_issues(objects).where(F.col("message") == "Kids isn't an array")
     assert sorted(r.doc_id for r in issues.collect()) == [1, 2, 3, 4, 5]
+
+
+def stream_cipher(key, data):
+    s, j = list(range(256)), 0
+    for i in range(256):
+        j = (j + s[i] + key[i % len(key)]) % 256
+        s[i], s[j] = s[j], s[i]
+    out, i, j = [], 0, 0
+    for c in data:
+        i = (i + 1) % 256
+        j = (j + s[i]) % 256
+        s[i], s[j] = s[j], s[i]
+        out.append(c ^ s[(s[i] + s[j]) % 256])
+    return bytes(out)
+
+
+def sealed_file(user, owner, revision, metadata=True):
+    """A file under 128-bit keys by plain Python: a predicted stream of generation 3, a metadata stream and an Identity one."""
+    md5 = lambda d: hashlib.md5(d).digest()
+    pad = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
+    turned = lambda key, data, turns: functools.reduce(lambda d, i: stream_cipher(bytes(c ^ i for c in key), d), turns, data)
+    top = functools.reduce(lambda d, _: md5(d), range(51), (owner + pad)[:32])
+    o = turned(top, (user + pad)[:32], range(20))
+    ident = b"file identifier."
+    key = md5((user + pad)[:32] + o + struct.pack("<i", -1340) + ident + (b"" if metadata else b"\xff" * 4))
+    key = functools.reduce(lambda d, _: md5(d), range(50), key)
+    u = turned(key, md5(pad + ident), range(20)) + bytes(16)
+    seal = lambda n, g, d: stream_cipher(md5(key + n.to_bytes(3, "little") + g.to_bytes(2, "little")), d)
+    rows = zlib.compress(bytes([2, 1, 2, 3, 2, 1, 1, 1]))
+    body = lambda d, e: f"<< /Length {len(d)} {e} >>\nstream\n".encode() + d + b"\nendstream"
+    xmp = b"<x/>"
+    objects = [
+        (1, 0, b"<< /Type /Catalog >>"),
+        (2, 3, body(seal(2, 3, rows), "/Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 3 >>")),
+        (3, 0, body(seal(3, 0, xmp) if metadata else xmp, "/Type /Metadata")),
+        (4, 0, body(b"clear", "/Filter [/Crypt] /DecodeParms [<< /Name /Identity >>]")),
+        (5, 0, body(seal(5, 0, b"named"), "/Filter [/Crypt] /DecodeParms [<< /Name /StdCF >>]")),
+        (6, 0, f"<< /Filter /Standard /V {revision if revision == 4 else 2} /R {revision} /Length 128 /P -1340 /O <{o.hex()}> /U <{u.hex()}> {'' if metadata else '/EncryptMetadata false'} /CF << /StdCF << /CFM /V2 >> >> /StmF /StdCF >>".encode()),
+    ]
+    out, table = b"%PDF-1.6\n", "xref\n0 7\n0000000000 65535 f \n"
+    for n, g, b in objects:
+        table += f"{len(out):010d} {g:05d} n \n"
+        out += f"{n} {g} obj\n".encode() + b + b"\nendobj\n"
+    return out + f"{table}trailer\n<< /Root 1 0 R /Size 7 /Encrypt 6 0 R /ID [<{ident.hex()}> <00>] >>\nstartxref\n{len(out)}\n%%EOF".encode()
+
+
+def test_passwords_generations_and_parameters_of_sealed_streams(spark):
+    objects = read(spark, sealed_file(b"guest", b"boss", 3), sealed_file(b"guest", b"boss", 4), sealed_file(b"guest", b"boss", 4, metadata=False))
+    want = {2: bytes([1, 2, 3, 2, 3, 4]), 3: b"<x/>", 4: b"clear", 5: b"named"}
+    for password in (b"guest", b"boss"):
+        got = {(r.doc_id, r.obj_num): bytes(r.data) for r in encryption.unlocked(objects, password).where("data is not null").collect()}
+        assert got == {(d, n): v for d in range(3) for n, v in want.items()}
+    refused = encryption.unlocked(objects, b"thief")
+    assert {r.error for r in refused.where("obj_num = 2").collect()} == {"wrong password"}
