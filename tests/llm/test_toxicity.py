@@ -1,4 +1,7 @@
+import json
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -77,6 +80,24 @@ def test_nulls_repeats_clashes_and_missing_labels(spark):
     assert toxicity.score_documents(docs.where("false"), labels).collect() == []
 
 
-def test_query(spark, sf_dir):
-    rows = queries.op4_toxicity(spark, sf_dir)
-    assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+def test_query_equals_exhaustive_votes(spark, sf_dir):
+    """Scores, labels and evidence of the query against all examples, compared one by one with the fitted model's terms."""
+    docs, labels = (queries.table(spark, sf_dir, n) for n in ("documents", "labels"))
+    model, _ = toxicity.fit_votes(docs, labels, "toxic", "doc_id", "text")
+    index, texts = model.index, {r.doc_id: r.text or "" for r in docs.collect()}
+    inverse = {p: t for t, p in model.places.items()}
+    rows = queries.op4_toxicity(spark, sf_dir).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        counts = Counter()
+        for w in texts[r.doc_id].lower().split():
+            w = w.strip(toxicity._EDGES)
+            counts.update([w, *(w[:n] + "~" for n in (4, 5) if len(w) > n)])
+        held = {p: (1 + math.log(counts[t])) * model.idf[p] for p, t in inverse.items() if counts[t]}
+        norm = math.sqrt(sum(w * w for w in held.values())) or 1.0
+        cosines = sorted(((sum(w / norm * float(index.dense[p, at]) for p, w in held.items()), -at) for at in range(len(index.order))), reverse=True)
+        near = [(c, -at) for c, at in cosines[: toxicity.NEIGHBOURS] if c > 1e-7]
+        share = [c**2 * index.weights[at] / index.weights.max() for c, at in near]
+        raw = (sum(s * index.ys[at] for s, (_, at) in zip(share, near)) + toxicity.PRIOR * model.base) / (sum(share) + toxicity.PRIOR) if near else -1.0
+        assert abs(r.score - model.calibrated(raw)) < 1e-3 and r.predicted == (r.score >= 0.5), r.doc_id
+        assert len(json.loads(r.evidence)) == min(3, len(near))
