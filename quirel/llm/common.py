@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 #: Side tables are broadcast up to this many rows of a few numbers each.
 BROADCAST_ROWS = 200_000
 #: Rows that a task holds as Python objects at a time, and characters after which it stops adding rows.
-CHUNK_ROWS, CHUNK_CHARS = 256, 4_000_000
+CHUNK_ROWS, CHUNK_CHARS = 64, 500_000
 #: Rows of an Arrow batch.
 BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 

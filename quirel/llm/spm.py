@@ -25,7 +25,7 @@ from .common import columns, map_texts, text_or_empty
 
 MARK = "▁"
 #: Different words that a task remembers.
-WORDS = 150_000
+WORDS = 50_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
