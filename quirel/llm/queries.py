@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, exact_dedup, html, media, mixing, pii, secrets, simhash, spm, toxicity
+from . import centroids, cotraining, exact_dedup, filter_audit, html, media, mixing, pii, secrets, simhash, spm, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,18 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"))
+
+
 OP3_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -141,10 +153,96 @@ ranked AS (
   FROM docs)
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked"""
 
+# The orders are followed one by one here; no transform and no closed form.
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+failing AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS fails
+  FROM docs),
+known AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+held AS (
+  SELECT f.part, f.fails, count(*) AS n, count(*) FILTER (k.good) AS good, count(*) FILTER (k.toxic) AS toxic
+  FROM failing f LEFT JOIN known k ON f.doc_id = k.doc_id GROUP BY f.part, f.fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x <> b.x AND a.x <> c.x AND a.x <> d.x AND a.x <> e.x AND b.x <> c.x AND b.x <> d.x AND b.x <> e.x AND c.x <> d.x AND c.x <> e.x AND d.x <> e.x),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+told AS (
+  SELECT h.part, s.filter_order, s.step, s.letter, h.n, h.good, h.toxic, length(h.fails) AS failures,
+    contains(h.fails, s.letter) AS here, length(translate(s.before, h.fails, '')) < length(s.before) AS earlier
+  FROM held h, steps s),
+summed AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT earlier), 0) AS removed,
+    coalesce(sum(n) FILTER (here AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (here AND failures = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (here AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT earlier), 0) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM summed"""
+
+
+def _op12_sql(rounds: int = 3) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+apart{r} AS (
+  SELECT v.row, c.cluster, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+  FROM kept v, centroids{r} c),
+placed{r} AS MATERIALIZED (
+  SELECT row, cluster, distance FROM (SELECT row, cluster, distance, row_number() OVER (PARTITION BY row ORDER BY distance, cluster) AS place FROM apart{r}) t WHERE place = 1)""")
+        if r < rounds:
+            steps.append(f"""
+sums{r} AS (
+  SELECT p.cluster, i.i, CAST(sum(v.q[i.i]) AS BIGINT) AS s, count(*) AS n
+  FROM placed{r} p JOIN kept v ON p.row = v.row CROSS JOIN (SELECT unnest(range(1, 65)) AS i) i GROUP BY p.cluster, i.i),
+moved{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM sums{r} GROUP BY cluster),
+centroids{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM centroids{r} c LEFT JOIN moved{r} m ON c.cluster = m.cluster)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+centroids0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY digest, q) - 1 AS INTEGER) AS cluster, q FROM (SELECT sha256('1:' || vec_id) AS digest, q FROM kept ORDER BY digest, q LIMIT 16) t),{",".join(steps)}
+SELECT v.vec_id, p.cluster, CAST(p.distance AS BIGINT) AS distance, CAST(sum(p.distance) OVER (PARTITION BY p.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(p.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM placed{rounds} p JOIN kept v ON p.row = v.row JOIN centroids{rounds} c ON p.cluster = c.cluster"""
+
+
+OP12_SQL = _op12_sql()
+
+OP13_SQL = r"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '://[^?#]*((?s:.*))', 1) AS rest
+  FROM pages),
+rules AS (SELECT unnest(['net', 'example.net', 'example.com', 'org']) AS rule_host, unnest(['/', '/en/', '/de/', '/fr/']) AS rule_path, unnest(['block', 'allow', 'block', 'allow']) AS says),
+judged AS (
+  SELECT p.page_id, p.host, p.path, '//' || p.host || p.path || p.rest AS address,
+    (SELECT max_by(struct_pack(rule := r.rule_host || r.rule_path, says := r.says), length(r.rule_host || r.rule_path)) FROM rules r
+     WHERE ends_with('.' || p.host, '.' || r.rule_host) AND starts_with(p.path, r.rule_path)) AS found
+  FROM parts p)
+SELECT page_id, host, path, found.rule AS rule,
+  CASE WHEN found IS NOT NULL THEN found.says
+    WHEN regexp_matches(address, '[^A-Za-z0-9](ads-track|free-bets|casino-win|adult-x|cheap-pills|spam-farm|casino|viagra|porn|xxx)([^A-Za-z0-9]|$)')
+      OR regexp_matches(address, '^//([^/?#]*\.)?(ads|adserver|doubleclick)\.') OR contains(address, '/affiliate/')
+      OR regexp_matches(address, '(?s)/banner.*/click([^A-Za-z0-9]|$)') OR regexp_matches(address, '(?s)/track.*pixel([^A-Za-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM judged"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_mixing, op4_toxicity, op5_exact_dedup, op6_quality, op7_sentencepiece, op8_media, op9_html, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_pii, op3_mixing, op4_toxicity, op5_exact_dedup, op6_quality, op7_sentencepiece, op8_media, op9_html, op10_secrets, op11_filter_audit, op12_centroids, op13_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op3_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op11_filter_audit": OP11_SQL, "op12_centroids": OP12_SQL, "op13_url_rules": OP13_SQL}
