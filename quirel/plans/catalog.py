@@ -18,7 +18,8 @@ from quirel.operators import pages as P
 from quirel.operators import reading as R
 from quirel.operators import scene as S
 from quirel.operators import text as T
-from quirel.plans.stages import materialize
+from quirel.plans.stages import materialize, shared_folder
+from quirel.sources import format as Z
 from quirel.sources import objects as O
 from quirel.sources import synthesis as Y
 from quirel.sources import writer as W
@@ -540,3 +541,18 @@ def file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").select(number.alias("doc_id"), content.alias("content"))
     found = files.select("doc_id", O.startxref("content").alias("start"), O.linearization("content").alias("lin"))
     return found.select("doc_id", "start", *[F.coalesce(c, F.lit(-1)).cast("long").alias(n) for n, c in (("length", F.col("lin.L")), ("hint", F.get("lin.H", F.lit(0))), ("pages", F.col("lin.N")))])
+
+
+@query("SELECT p_partkey // 64 AS file, 10 + p_partkey % 64 AS obj_num, p_name AS name, CAST(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS even FROM part WHERE p_partkey % 64 >= 8")
+def format_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as files of 64 and read back by the data source, with object numbers and types pushed down and streams left undecoded."""
+    part = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).alias("doc_id"), (10 + F.col("p_partkey") % 64).alias("obj_num"), "p_name", "p_size")
+    kind = F.when(F.col("p_size") % 2 == 0, "/Even").otherwise("/Odd")
+    body = W.stream(F.repeat(F.lit("undecoded "), 20), _cat("/Filter /FlateDecode /Type ", kind, " /Name ", W.text_string(F.col("p_name"))))
+    roots = part.select("doc_id").distinct().select("doc_id", F.lit(1).cast("long").alias("obj_num"), F.lit("<< /Type /Catalog >>").alias("body"))
+    folder = shared_folder(spark, "format")
+    Z.register(spark)
+    W.assemble(part.select("doc_id", "obj_num", body.alias("body")).unionByName(roots)).write.format("pdf").mode("append").save(folder)
+    found = Z.read(spark, folder, "path", "obj_num", "type", "json", "error").where("obj_num >= 18 and type in ('Even', 'Odd') and error is null")
+    name = strings.variant_text(F.parse_json("json"), "$.Name")
+    return found.select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("file"), "obj_num", name.alias("name"), (F.col("type") == "Even").cast("long").alias("even"))

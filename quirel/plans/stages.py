@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -15,3 +17,12 @@ def materialize(df: DataFrame) -> DataFrame:
     if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return df.persist()
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; a temporary one only where that is unset and the driver runs all tasks."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='quirel-')).rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -254,26 +254,45 @@ def _xref_rows(data: bytes) -> Iterator[tuple]:
         yield (None, None, None, None, None, None, f"{type(e).__name__}: {e}")
 
 
-def _object_rows(data: bytes) -> Iterator[tuple]:
-    broken = (PdfError, FilterError, KeyError, IndexError, TypeError, ValueError)
+#: What reading a broken file or object may raise.
+BROKEN = (PdfError, FilterError, KeyError, IndexError, TypeError, ValueError)
+
+
+def object_rows(data: bytes, wanted: Callable[[int], bool] | None = None, types: set[str] | None = None, decode: bool = True) -> Iterator[tuple]:
+    """Rows of OBJECTS for a file's live objects; a file that can't be read is one row with an error.
+
+    Only objects whose number is `wanted` are parsed, only those of `types` (by their Type entry) are returned, and without
+    `decode` no stream is decoded.
+    """
     try:
         file = File(data)
-    except broken as e:
+    except BROKEN as e:
         yield (None, None, None, f"{type(e).__name__}: {e}", None)
         return
-    yield (0, json.dumps({k: v for k, v in file.trailer.items() if k in ("Root", "Info", "Size", "ID", "Encrypt")}), None, None, 0)
-    for number in sorted(n for n, (kind, _, _) in file.at.items() if kind != "free"):
+    if types is None and (wanted is None or wanted(0)):
+        yield (0, json.dumps({k: v for k, v in file.trailer.items() if k in ("Root", "Info", "Size", "ID", "Encrypt")}), None, None, 0)
+    for number in sorted(n for n, (kind, _, _) in file.at.items() if kind != "free" and (wanted is None or wanted(n))):
         kind, _, gen = file.at[number]
-        gen = gen if kind == "used" else 0
+        gen, value, body = gen if kind == "used" else 0, None, None
         try:
             value, body = file.get(number)
             value = value.decode("latin-1") if isinstance(value, bytes) else value
+            if types is not None and object_type(value) not in types:
+                continue
             # Encrypted streams are decoded once they are unlocked.
-            yield (number, json.dumps(value), body if body is None or "Encrypt" in file.trailer else file._decoded(value, body), None, gen)
+            yield (number, json.dumps(value), (body if body is None or "Encrypt" in file.trailer else file._decoded(value, body)) if decode else None, None, gen)
         except FilterError as e:
-            yield (number, json.dumps(value), body, str(e), gen)
-        except broken as e:
-            yield (number, None, None, f"{type(e).__name__}: {e}", gen)
+            if types is None or object_type(value) in types:
+                yield (number, json.dumps(value), body, str(e), gen)
+        except BROKEN as e:
+            if types is None:
+                yield (number, None, None, f"{type(e).__name__}: {e}", gen)
+
+
+def object_type(value) -> str | None:
+    """The Type entry of a dictionary."""
+    kind = value.get("Type") if isinstance(value, dict) else None
+    return kind.get("n") if isinstance(kind, dict) else None
 
 
 def _scan(raw: DataFrame, id_col: str, content_col: str, rows, ddl: str) -> DataFrame:
@@ -313,7 +332,7 @@ def read_objects(raw: DataFrame, id_col: str = "doc_id", content_col: str = "con
 
     A file or object that can't be read is a row with an error, never a failed job.
     """
-    return _scan(raw, id_col, content_col, _object_rows, OBJECTS).select("doc_id", "obj_num", F.parse_json("json").alias("value"), "data", "error", "gen")
+    return _scan(raw, id_col, content_col, object_rows, OBJECTS).select("doc_id", "obj_num", F.parse_json("json").alias("value"), "data", "error", "gen")
 
 
 def read_pdf(spark, path: str) -> DataFrame:

@@ -20,7 +20,7 @@ def ingest(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuer
     """Writes the objects of a stream's files as Parquet, a folder per batch: a batch that is run again replaces its own."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        found = read_objects(batch).select("doc_id", "obj_num", F.to_json("value").alias("json"), "data", "error")
+        found = read_objects(batch).select("doc_id", "obj_num", F.to_json("value").alias("json"), "data", "error", "gen")
         found.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
