@@ -158,7 +158,8 @@ class PrunedReader(PdfReader):
 
 
 class PdfStream(_Rows, DataSourceStreamReader):
-    """Files by time of change and path: a batch takes those behind the last one's, at most maxFilesPerTrigger. Files must be moved into place whole, with a new time."""
+    """Files by time of change and path: a batch takes those behind the last one's, at most maxFilesPerTrigger if that is given (a run of
+    availableNow is one batch). Files must be moved into place whole, with a new time."""
 
     def __init__(self, schema: StructType, options: dict):
         super().__init__(schema, options)
@@ -172,7 +173,8 @@ class PdfStream(_Rows, DataSourceStreamReader):
         return [f for f in found if (start["time"], start["path"]) < (f[2], f[0]) and (end is None or (f[2], f[0]) <= (end["time"], end["path"]))]
 
     def latestOffset(self) -> dict:
-        new = self._between(self.last or self.initialOffset(), None)[: int(self.options.get("maxfilespertrigger", 1000))]
+        new = self._between(self.last or self.initialOffset(), None)
+        new = new[: int(self.options.get("maxfilespertrigger", len(new)))]
         if new:
             self.last = {"time": new[-1][2], "path": new[-1][0]}
         return self.last or self.initialOffset()

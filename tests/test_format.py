@@ -87,16 +87,17 @@ def test_stream_takes_new_files_once(spark, folder, tmp_path):
     grown = str(tmp_path / "grown")
     os.makedirs(grown)
 
-    def take():
-        stream = spark.readStream.format("pdf").schema("path string, obj_num long").option("maxFilesPerTrigger", "5").load(grown)
-        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema("path string, obj_num long").parquet(str(tmp_path / "out"))
-
-    for names in (range(0, 7), range(7, 12)):
+    def take(out="all", **options):
+        stream = spark.readStream.format("pdf").schema("path string, obj_num long").options(**options).load(grown)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / out)).option("checkpointLocation", str(tmp_path / f"{out}-state")).trigger(availableNow=True).start().awaitTermination()
+        found = spark.read.schema("path string, obj_num long").parquet(str(tmp_path / out))
+        assert found.count() == 4 * found.select("path").distinct().count()
+        return found.count() // 4
+
+    for names, held in ((range(0, 7), 7), (range(7, 12), 12), ((), 12)):
         for n in names:
             with open(f"{folder}/{n}.pdf", "rb") as f, open(f"{grown}/{n}.pdf.part", "wb") as g:
                 g.write(f.read())
             os.replace(f"{grown}/{n}.pdf.part", f"{grown}/{n}.pdf")
-        found = take()
-    assert found.count() == 48 and found.select("path").distinct().count() == 12
-    assert take().count() == 48
+        assert take() == held
+    assert [take("some", maxFilesPerTrigger="5") for _ in range(4)] == [5, 10, 12, 12]
