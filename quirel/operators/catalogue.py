@@ -33,7 +33,43 @@ def tree_entries(objects: DataFrame, start: DataFrame, leaf: str) -> DataFrame:
     return found
 
 
-def _from_catalog(objects: DataFrame, path: str, name: str = "node") -> DataFrame:
+def tree_lookup(objects: DataFrame, start: DataFrame, probes: DataFrame) -> DataFrame:
+    """(doc_id, key, entry, visited): what probes (doc_id, key BINARY) find in name trees; entry is null for names that aren't there.
+
+    All probes go down together, a level a join; a kid is joined only where its Limits hold the probe, and `visited` counts a
+    probe's nodes. A kid without Limits may hold anything. Of several equal names the first in tree order counts. Keys compare by bytes. Repeated
+    probes are answered once.
+    """
+    once = materialize(probes.select("doc_id", F.hex("key").alias("key")).distinct())
+    front = follow(start, objects, "node").join(once, "doc_id").select("doc_id", "key", "node", F.col("node_num"), F.array().cast("array<int>").alias("path"), F.array(F.coalesce("node_num", F.lit(0).cast("long"))).alias("above"))
+    raw = lambda column, path: F.upper(F.try_variant_get(column, f"{path}.s", "string"))
+    hits, visits = None, None
+    for _ in range(TREE_DEPTH):
+        front = materialize(front)
+        pairs = F.try_variant_get("node", "$.Names", "array<variant>")
+        count = F.when(F.size(pairs) > 1, F.floor(F.size(pairs) / 2)).otherwise(0).cast("int")
+        match = F.filter(F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)), lambda i: F.struct(i.alias("at"), F.upper(F.try_variant_get(F.get(pairs, 2 * i), "$.s", "string")).alias("key"))), lambda e: e["key"] == F.col("key"))
+        place = F.get(match, F.lit(0))["at"]
+        level = front.select("doc_id", "key", F.concat("path", F.array(F.lit(0), place)).alias("path"), F.get(pairs, 2 * place + 1).alias("entry")).where("entry is not null")
+        seen = front.groupBy("doc_id", "key").agg(F.count("*").alias("visited"))
+        hits, visits = (level, seen) if hits is None else (hits.unionByName(level), visits.unionByName(seen))
+        # Each node's kids are fetched once, for all probes that are at it.
+        at = front.where(F.try_variant_get("node", "$.Kids", "variant").isNotNull())
+        nodes = at.groupBy("doc_id", "path").agg(F.first("node").alias("node"), F.first("above").alias("above"))
+        kids = nodes.select("doc_id", "path", "above", F.posexplode(F.try_variant_get("node", "$.Kids", "array<variant>")).alias("place", "node"))
+        kids = follow(kids, objects, "node").where(~F.coalesce(F.array_contains("above", F.col("node_num")), F.lit(False)))
+        kids = kids.select("doc_id", F.col("path").alias("up"), F.concat("path", F.array(F.lit(1), "place")).alias("path"), F.concat("above", F.array(F.coalesce("node_num", F.lit(0)))).alias("above"), "node", "node_num", raw("node", "$.Limits[0]").alias("low"), raw("node", "$.Limits[1]").alias("high"))
+        p, k = at.select("doc_id", "key", F.col("path").alias("up")).alias("p"), kids.alias("k")
+        inside = (F.col("p.doc_id") == F.col("k.doc_id")) & (F.col("p.up") == F.col("k.up")) & F.coalesce(F.col("k.low") <= F.col("p.key"), F.lit(True)) & F.coalesce(F.col("p.key") <= F.col("k.high"), F.lit(True))
+        front = p.join(k, inside).select("p.doc_id", "p.key", "k.node", "k.node_num", "k.path", "k.above")
+        if front.isEmpty():
+            break
+    first = hits.groupBy("doc_id", "key").agg(F.min_by("entry", "path").alias("entry"))
+    found = once.join(visits.groupBy("doc_id", "key").agg(F.sum("visited").alias("visited")), ["doc_id", "key"], "left").join(first, ["doc_id", "key"], "left")
+    return found.select("doc_id", F.unhex("key").alias("key"), "entry", F.coalesce("visited", F.lit(0)).alias("visited"))
+
+
+def from_catalog(objects: DataFrame, path: str, name: str = "node") -> DataFrame:
     """(doc_id, name): the value at a catalogue path of one or two keys, references followed at each."""
     rows = catalogs(objects).select("doc_id", F.col("catalog").alias(name))
     for key in path.split("."):
@@ -64,8 +100,8 @@ def destination(dest: str, pages_by_obj: DataFrame, rows: DataFrame) -> DataFram
 
 def named_destinations(objects: DataFrame) -> DataFrame:
     """(doc_id, raw_name, name, dest_page, dest_kind, dest_args): the name tree's, and the old dictionary's where the tree has none."""
-    tree = tree_entries(objects, _from_catalog(objects, "Names.Dests"), "Names").select("doc_id", F.upper(F.try_variant_get("key", "$.s", "string")).alias("raw_name"), "entry", F.lit(0).alias("rank"))
-    old = _from_catalog(objects, "Dests").select("doc_id", F.explode(F.try_variant_get("node", "$", "map<string,variant>")).alias("k", "entry")).select("doc_id", F.hex(F.encode("k", "UTF-8")).alias("raw_name"), "entry", F.lit(1).alias("rank"))
+    tree = tree_entries(objects, from_catalog(objects, "Names.Dests"), "Names").select("doc_id", F.upper(F.try_variant_get("key", "$.s", "string")).alias("raw_name"), "entry", F.lit(0).alias("rank"))
+    old = from_catalog(objects, "Dests").select("doc_id", F.explode(F.try_variant_get("node", "$", "map<string,variant>")).alias("k", "entry")).select("doc_id", F.hex(F.encode("k", "UTF-8")).alias("raw_name"), "entry", F.lit(1).alias("rank"))
     both = follow(tree.unionByName(old).where("raw_name is not null"), objects, "entry").drop("entry_num")
     first = both.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "raw_name").orderBy("rank"))).where("turn = 1")
     dests = first.select("doc_id", "raw_name", text_string(F.unhex("raw_name")).alias("name"), F.coalesce(F.try_variant_get("entry", "$.D", "variant"), F.col("entry")).alias("dest"))
@@ -104,7 +140,7 @@ def outline(objects: DataFrame) -> DataFrame:
     items = objects.where(F.try_variant_get("value", "$.Title", "variant").isNotNull() & F.try_variant_get("value", "$.Parent.r[0]", "long").isNotNull())
     pointer = lambda k: F.coalesce(ref(F.col("value"), f"$.{k}"), F.lit(0)).alias(k.lower())
     links_ = items.select("doc_id", "obj_num", pointer("First"), pointer("Next"))
-    roots = _from_catalog(objects, "Outlines").select("doc_id", F.lit(0).cast("long").alias("obj_num"), F.coalesce(ref(F.col("node"), "$.First"), F.lit(0)).alias("first"), F.lit(0).cast("long").alias("next"))
+    roots = from_catalog(objects, "Outlines").select("doc_id", F.lit(0).cast("long").alias("obj_num"), F.coalesce(ref(F.col("node"), "$.First"), F.lit(0)).alias("first"), F.lit(0).cast("long").alias("next"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         at = {n: (f, x) for n, f, x in zip(rows["obj_num"], rows["first"], rows["next"])}
@@ -155,7 +191,7 @@ def outline_descendants(nodes: DataFrame) -> DataFrame:
 
 def label_ranges(objects: DataFrame) -> DataFrame:
     """(doc_id, start, style, prefix, first): ranges of page labels; of those with one start the first in tree order counts."""
-    found = follow(tree_entries(objects, _from_catalog(objects, "PageLabels"), "Nums"), objects, "entry").withColumn("start", F.try_variant_get("key", "$", "long")).where("start >= 0")
+    found = follow(tree_entries(objects, from_catalog(objects, "PageLabels"), "Nums"), objects, "entry").withColumn("start", F.try_variant_get("key", "$", "long")).where("start >= 0")
     first = found.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "start").orderBy("path"))).where("turn = 1")
     return first.select("doc_id", "start", F.try_variant_get("entry", "$.S.n", "string").alias("style"), variant_text(F.col("entry"), "$.P").alias("prefix"), F.greatest(F.coalesce(F.try_variant_get("entry", "$.St", "long"), F.lit(1)), F.lit(1)).alias("first"))
 
@@ -185,7 +221,7 @@ def appearances(found: DataFrame) -> DataFrame:
 
 def layers(objects: DataFrame) -> DataFrame:
     """(doc_id, obj_num, name, visible): optional content groups with the default configuration's base state, then ON, then OFF."""
-    held = _from_catalog(objects, "OCProperties")
+    held = from_catalog(objects, "OCProperties")
     groups = held.select("doc_id", F.explode(F.try_variant_get("node", "$.OCGs", "array<variant>")).alias("g")).select("doc_id", ref(F.col("g"), "$").alias("obj_num")).distinct()
     config = follow(held.select("doc_id", F.try_variant_get("node", "$.D", "variant").alias("config")), objects, "config")
     listed = lambda key: config.select("doc_id", F.explode(F.try_variant_get("config", f"$.{key}", "array<variant>")).alias("g")).select("doc_id", ref(F.col("g"), "$").alias("obj_num"), F.lit(True).alias(f"is_{key.lower()}")).distinct()
@@ -248,7 +284,7 @@ def expression_visible(expressions: DataFrame, states: DataFrame) -> DataFrame:
 
 def attachments(objects: DataFrame) -> DataFrame:
     """(doc_id, seq, name, mime, modified, relationship, bytes): embedded files in the tree's order."""
-    specs = follow(tree_entries(objects, _from_catalog(objects, "Names.EmbeddedFiles"), "Names"), objects, "entry")
+    specs = follow(tree_entries(objects, from_catalog(objects, "Names.EmbeddedFiles"), "Names"), objects, "entry")
     number = F.coalesce(ref(F.col("entry"), "$.EF.UF"), ref(F.col("entry"), "$.EF.F"))
     streams = objects.where("data is not null").select("doc_id", F.col("obj_num").alias("file_num"), F.col("value").alias("file"), "data")
     found = specs.withColumn("file_num", number).join(streams, ["doc_id", "file_num"])
@@ -297,7 +333,7 @@ def xmp_fields(packet: Column) -> dict[str, Column]:
 
 
 def xmp(objects: DataFrame) -> DataFrame:
-    held = _from_catalog(objects, "Metadata").select("doc_id", F.col("node_num").alias("obj_num")).join(objects.select("doc_id", "obj_num", "data"), ["doc_id", "obj_num"])
+    held = from_catalog(objects, "Metadata").select("doc_id", F.col("node_num").alias("obj_num")).join(objects.select("doc_id", "obj_num", "data"), ["doc_id", "obj_num"])
     packet = F.make_valid_utf8(F.col("data").cast("string"))
     return held.select("doc_id", *[c.alias(n) for n, c in xmp_fields(packet).items()])
 
@@ -333,7 +369,7 @@ def images(objects: DataFrame) -> DataFrame:
 
 def form_fields(objects: DataFrame) -> DataFrame:
     """(doc_id, path, field_num, name, value): form fields and their kids, a level a join, in tree order; name is a field's own part of it."""
-    held = follow(_from_catalog(objects, "AcroForm").select("doc_id", F.try_variant_get("node", "$.Fields", "variant").alias("fields")), objects, "fields")
+    held = follow(from_catalog(objects, "AcroForm").select("doc_id", F.try_variant_get("node", "$.Fields", "variant").alias("fields")), objects, "fields")
     front = held.select("doc_id", F.posexplode(F.try_variant_get("fields", "$", "array<variant>")).alias("place", "value")).withColumns({"path": F.array("place"), "above": F.array().cast("array<long>")})
     found = None
     for _ in range(TREE_DEPTH):
@@ -364,7 +400,7 @@ def action_sources(objects: DataFrame) -> DataFrame:
 
     heads, noted, fields = catalogs(objects), annotations(objects), materialize(form_fields(objects))
     of_note, of_field = F.concat_ws(".", "page_index", "seq"), F.concat(F.array_join(F.col("path").cast("array<string>"), "."), F.lit(" "), F.coalesce("name", F.lit("")))
-    scripts = tree_entries(objects, _from_catalog(objects, "Names.JavaScript"), "Names")
+    scripts = tree_entries(objects, from_catalog(objects, "Names.JavaScript"), "Names")
     parts = [
         own(heads, 0, "open", F.lit(""), F.try_variant_get("catalog", "$.OpenAction", "variant")),
         triggers(heads, 1, "document", F.lit(""), "catalog"),
@@ -419,7 +455,7 @@ def actions(objects: DataFrame) -> DataFrame:
 
 def structure_keys(objects: DataFrame) -> DataFrame:
     """(doc_id, seq, page_obj, mcid): marked content in the structure tree's order; pages are inherited, references to objects are passed over."""
-    front = _from_catalog(objects, "StructTreeRoot").select("doc_id", F.col("node").alias("item"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("long").alias("page_obj"))
+    front = from_catalog(objects, "StructTreeRoot").select("doc_id", F.col("node").alias("item"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("long").alias("page_obj"))
     found = None
     for _ in range(64):
         front = materialize(front)
@@ -457,7 +493,7 @@ def structure_text(objects: DataFrame, found: DataFrame) -> DataFrame:
 
 def threads(objects: DataFrame) -> DataFrame:
     """(doc_id, thread, bead_seq, page_index, rect, title): article threads, each ring of beads unrolled from its first."""
-    listed = _from_catalog(objects, "Threads").select("doc_id", F.posexplode(F.try_variant_get("node", "$", "array<variant>")).alias("thread", "value"))
+    listed = from_catalog(objects, "Threads").select("doc_id", F.posexplode(F.try_variant_get("node", "$", "array<variant>")).alias("thread", "value"))
     heads = follow(listed, objects, "value").select("doc_id", "thread", ref(F.col("value"), "$.F").alias("first"), variant_text(F.col("value"), "$.I.Title").alias("title"))
     beads = objects.where(F.try_variant_get("value", "$.N.r[0]", "long").isNotNull() & F.try_variant_get("value", "$.R", "variant").isNotNull()).select("doc_id", "obj_num", ref(F.col("value"), "$.N").alias("next"), ref(F.col("value"), "$.P").alias("page_obj"), F.try_variant_get("value", "$.R", "array<double>").alias("rect"))
 

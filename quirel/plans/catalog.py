@@ -22,6 +22,7 @@ from quirel.plans.stages import materialize, shared_folder
 from quirel.sources import format as Z
 from quirel.sources import objects as O
 from quirel.sources import synthesis as Y
+from quirel.sources import trees as B
 from quirel.sources import writer as W
 
 FLAGSHIP = "text_roundtrip"
@@ -202,14 +203,12 @@ def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").cast("long").alias("key"), "c_name").join(nation.select("nation"), "nation")
     people = people.withColumn("bucket", F.floor(F.col("key") / C.LEVEL_ITEMS))
     doc = (F.col("nation") * F.lit(1 << 32) + F.col("bucket")).alias("doc_id")
-    num = 1000 + F.col("key") - F.col("bucket") * C.LEVEL_ITEMS
-    in_part = Window.partitionBy("nation", "bucket").orderBy("key")
-    link = lambda name, num: F.coalesce(_cat(f" /{name} ", _text(num), " 0 R"), F.lit(""))
-    leaf = people.select(doc, num.alias("obj_num"), _cat("<< /Title ", W.text_string(F.col("c_name")), " /Parent 10 0 R", link("Next", F.lead(num).over(in_part)), " >>").alias("body"))
-    parts = nation.join(people.groupBy("nation", "bucket").agg(F.min(num).alias("first")), "nation", "left").withColumn("bucket", F.coalesce("bucket", F.lit(0)))
-    top = _cat("<< /Title ", W.literal_string(F.col("n_name")), " /Parent 2 0 R", link("First", F.col("first")), " >>")
-    tops = parts.select(doc, _rows((F.lit(1), F.lit("<< /Type /Catalog /Outlines 2 0 R >>")), (F.lit(2), F.lit("<< /Type /Outlines /First 10 0 R >>")), (F.lit(10), top))).select("doc_id", "o.*")
-    nodes = materialize(C.outline(_objects(leaf.unionByName(tops))))
+    parts = nation.join(people.select("nation", "bucket").distinct(), "nation", "left").withColumn("bucket", F.coalesce("bucket", F.lit(0)))
+    none = F.lit(None).cast("string").alias("dest")
+    tops = parts.select(doc, F.lit(1).cast("long").alias("item"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("place"), F.col("n_name").alias("title"), none, F.lit(True).alias("is_open"))
+    leaf = people.select(doc, (2 + F.col("key") - F.col("bucket") * C.LEVEL_ITEMS).alias("item"), F.lit(1).cast("long").alias("parent"), F.col("key").alias("place"), F.col("c_name").alias("title"), none, F.lit(True).alias("is_open"))
+    heads = parts.select(doc, F.lit(1).cast("long").alias("obj_num"), F.lit("<< /Type /Catalog /Outlines 2 0 R >>").alias("body"))
+    nodes = materialize(C.outline(_objects(B.outline_objects(tops.unionByName(leaf), 2).unionByName(heads))))
     nodes = nodes.join(C.outline_descendants(nodes), ["doc_id", "node_id"])
     # Documents are few; their places in the region follow from their numbers of nodes. A nation's bookmark counts in its first one.
     held = nodes.groupBy("doc_id").agg(F.count("*").alias("n")).join(parts.select("region", "nation", "bucket", doc), "doc_id")
@@ -241,13 +240,11 @@ def attached_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = rows.withColumn("at", F.row_number().over(Window.partitionBy("user", "block").orderBy("event_id")) - 1).join(sizes.select("user", "block", before.alias("before")), ["user", "block"]).withColumn("place", F.col("at") + F.col("before"))
     doc = F.shiftleft(F.col("user").cast("long"), 20) + F.floor(F.col("place") / FILES)
     events = events.select(doc.alias("doc_id"), "event_id", "props", "ts", (F.col("place") % FILES + 1).alias("k"))
-    spec, data = 10 + 2 * F.col("k"), 11 + 2 * F.col("k")
-    files = events.select("doc_id", _rows((spec, _cat("<< /Type /Filespec /UF ", W.text_string(_cat("event-", _text(F.col("event_id")))), " /EF << /F ", _text(data), " 0 R >> >>")), (data, W.stream(F.col("props"), _cat("/Subtype /application#2Fjson /Params << /ModDate ", W.literal_string(strings.iso_to_date(F.col("ts"))), " >>"))))).select("doc_id", "o.*")
-    names = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "event_id"))).alias("e"))
-    tree = F.array_join(F.transform("e", lambda e: _cat("(", F.lpad(e["k"].cast("string"), 8, "0"), ") ", (10 + 2 * e["k"]).cast("string"), " 0 R")), " ")
-    roots = names.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog /Names << /EmbeddedFiles 2 0 R >> >>")), (F.lit(2), _cat("<< /Names [", tree, "] >>")))).select("doc_id", "o.*")
+    rows = events.select("doc_id", F.encode(F.lpad(F.col("k").cast("string"), 8, "0"), "UTF-8").alias("key"), _cat("event-", _text(F.col("event_id"))).alias("name"), F.col("props").alias("data"), F.lit("application/json").alias("mime"), F.col("ts").alias("modified"), F.lit(None).cast("string").alias("description"))
+    files, root = B.attachment_objects(rows, 10)
+    heads = root.select("doc_id", F.lit(1).cast("long").alias("obj_num"), _cat("<< /Type /Catalog /Names << /EmbeddedFiles ", F.col("root"), " >> >>").alias("body"))
     seq = F.col("doc_id").bitwiseAND(F.lit((1 << 20) - 1)) * FILES + F.col("seq")
-    return C.attachments(_objects(files.unionByName(roots))).select(F.shiftright("doc_id", 20).alias("doc_id"), seq.cast("long").alias("seq"), "name", "mime", F.col("bytes").cast("string").alias("body"), "modified")
+    return C.attachments(_objects(files.unionByName(heads))).select(F.shiftright("doc_id", 20).alias("doc_id"), seq.cast("long").alias("seq"), "name", "mime", F.col("bytes").cast("string").alias("body"), "modified")
 
 
 @query("SELECT CAST(1 AS BIGINT) AS doc_id, n_name AS name, n_regionkey <> 2 AS visible FROM nation")
@@ -556,3 +553,54 @@ def format_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Z.read(spark, folder, "path", "obj_num", "type", "json", "error").where("obj_num >= 18 and type in ('Even', 'Odd') and error is null")
     name = strings.variant_text(F.parse_json("json"), "$.Name")
     return found.select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("file"), "obj_num", name.alias("name"), (F.col("type") == "Even").cast("long").alias("even"))
+
+
+@query("""WITH c AS (SELECT CAST(n_regionkey * 4294967296 + c_custkey // 10000 AS BIGINT) AS doc_id, c_name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM c)
+SELECT doc_id, c_name AS key, c_custkey AS value, CAST(CASE WHEN n <= 8 THEN 1 WHEN n <= 64 THEN 2 WHEN n <= 512 THEN 3 WHEN n <= 4096 THEN 4 ELSE 5 END AS BIGINT) AS visited FROM n
+UNION ALL SELECT doc_id, '~' || c_name, -1, 1 FROM n""")
+def name_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names as balanced name trees of regions; each name is looked up going down by limits, and another that isn't there."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("region"))
+    people = table(spark, sf_dir, "customer").join(F.broadcast(nation), "c_nationkey")
+    people = people.select((F.col("region") * F.lit(1 << 32) + F.floor(F.col("c_custkey") / 10_000)).alias("doc_id"), F.encode("c_name", "UTF-8").alias("key"), _text(F.col("c_custkey")).alias("value"))
+    tree = materialize(B.name_tree(people, 10, fan=8))
+    heads = B.root_refs(tree).select("doc_id", F.lit(1).cast("long").alias("obj_num"), _cat("<< /Type /Catalog /Names << /Dests ", F.col("root"), " >> >>").alias("body"))
+    objects = _objects(tree.select("doc_id", "obj_num", "body").unionByName(heads))
+    probes = people.select("doc_id", "key").unionByName(people.select("doc_id", F.concat(F.lit(b"~"), "key").alias("key")))
+    found = C.tree_lookup(objects, C.from_catalog(objects, "Names.Dests"), probes)
+    return found.select("doc_id", F.decode("key", "UTF-8").alias("key"), F.coalesce(F.try_variant_get("entry", "$", "long"), F.lit(-1)).alias("value"), "visited")
+
+
+@query("""WITH c AS (SELECT CAST(n_regionkey * 4294967296 + c_custkey // 1000 AS BIGINT) AS doc_id, n_nationkey, n_name, c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+n AS (SELECT doc_id, n_nationkey, n_name, count(*) AS held FROM c GROUP BY doc_id, n_nationkey, n_name)
+SELECT doc_id, 'Region' AS title, CAST(0 AS BIGINT) AS depth, CAST(sum(1 + CASE WHEN n_nationkey % 2 = 0 THEN held ELSE 0 END) AS BIGINT) AS count, CAST(0 AS BIGINT) AS dest_page FROM n GROUP BY doc_id
+UNION ALL SELECT doc_id, n_name, 1, CASE WHEN n_nationkey % 2 = 0 THEN held ELSE -held END, -1 FROM n
+UNION ALL SELECT doc_id, c_name, 2, 0, -1 FROM c""")
+def written_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and customers as bookmarks of three levels, every other nation closed, with the counts that the writer makes from below."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.col("n_regionkey").cast("long").alias("region"), "n_name")
+    people = table(spark, sf_dir, "customer").withColumn("nation", F.col("c_nationkey").cast("long")).join(F.broadcast(nation), "nation")
+    people = people.withColumns({"doc_id": F.col("region") * F.lit(1 << 32) + F.floor(F.col("c_custkey") / 1000)})
+    rows = lambda df, item, parent, place, title, is_open, dest=F.lit(None): df.select("doc_id", item.cast("long").alias("item"), parent.cast("long").alias("parent"), place.cast("long").alias("place"), title.alias("title"), dest.cast("string").alias("dest"), is_open.alias("is_open"))
+    leaf = rows(people, 1000 + F.col("c_custkey") % 1000, 100 + F.col("nation"), F.col("c_custkey"), F.col("c_name"), F.lit(True))
+    inner = rows(people.select("doc_id", "nation", "n_name").distinct(), 100 + F.col("nation"), F.lit(1), F.col("nation"), F.col("n_name"), F.col("nation") % 2 == 0)
+    docs = people.select("doc_id").distinct()
+    top = rows(docs, F.lit(1), F.lit(None), F.lit(0), F.lit("Region"), F.lit(True), F.lit("[4 0 R /Fit]"))
+    pages = Y.page_objects(docs.select("doc_id", F.lit(0).alias("page"), F.lit("").alias("content")), catalog=F.lit("/Outlines 10 0 R"))
+    found = C.outline(_objects(B.outline_objects(top.unionByName(inner).unionByName(leaf), 10).unionByName(pages.withColumn("obj_num", F.col("obj_num").cast("long")))))
+    return found.select("doc_id", "title", F.col("depth").cast("long").alias("depth"), "count", F.coalesce(F.col("dest_page").cast("long"), F.lit(-1)).alias("dest_page"))
+
+
+@query("""SELECT p_partkey AS doc_id, p_name AS title, p_brand AS author, 'x, ' || p_type AS keywords, '2020-01-02T03:04:05Z' AS created_at, 'http://parts/' || p_partkey AS uri, p_type || ' ü' AS contents, p_size + 0e0 AS wide FROM part""")
+def written_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' information, a link and a note by the writers, read back."""
+    part = table(spark, sf_dir, "part").withColumns({"doc_id": F.col("p_partkey"), "at": F.to_timestamp(F.lit("2020-01-02 03:04:05"))})
+    rect = F.array(F.lit(0), F.lit(0), F.col("p_size"), F.lit(9))
+    info = B.info_body(title=F.col("p_name"), author=F.col("p_brand"), keywords=F.array(F.lit("x"), F.col("p_type")), created=F.col("at"), subject=F.lit(None).cast("string"))
+    extra = part.select("doc_id", _rows((F.lit(100), B.link_body(rect, uri=_cat("http://parts/", _text(F.col("p_partkey"))))), (F.lit(101), B.note_body(rect, _cat(F.col("p_type"), " ü"), modified=F.col("at"), key=F.col("p_brand"))), (F.lit(102), info))).select("doc_id", F.col("o.obj_num").cast("int").alias("obj_num"), "o.body")
+    pages = Y.page_objects(part.select("doc_id", F.lit(0).alias("page"), F.lit("").alias("content")), F.lit("/Annots [100 0 R 101 0 R]"))
+    objects = _objects(pages.unionByName(extra), extra="/Info 102 0 R")
+    about = C.metadata(objects).select("doc_id", "title", "author", F.array_join("keywords", ", ").alias("keywords"), "created_at")
+    notes = C.annotations(objects).where("subtype = 'Text'").select("doc_id", "contents", F.element_at("rect", 3).alias("wide"))
+    return about.join(C.links(objects).select("doc_id", "uri"), "doc_id").join(notes, "doc_id")

@@ -26,3 +26,10 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(base or tempfile.mkdtemp(prefix='quirel-')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder, read again: unlike a checkpoint it can be joined to what is made of it."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

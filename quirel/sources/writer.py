@@ -6,7 +6,7 @@ ordered concatenation of its objects; the cross-reference table is a running sum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADER = "%PDF-1.7\n%âãÏÓ\n"
@@ -45,21 +45,25 @@ def assemble(objects: DataFrame, root: int = 1, extra: str = "", prefix: str | N
     """
     chunk = F.concat(F.col("obj_num").cast("string"), F.lit(" 0 obj\n"), F.col("body"), F.lit("\nendobj\n"))
     start = [F.first(prefix).alias("prefix")] if prefix else []
-    docs = objects.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("obj_num").cast("long").alias("n"), chunk.alias("t")))).alias("parts"), *start)
+    # Offsets are a running sum over a file's objects, made where they lie before they are collected.
+    rows = objects.withColumns({"_n": F.col("obj_num").cast("long"), "_t": chunk})
+    before = Window.partitionBy("doc_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_at", F.coalesce(F.sum(F.length("_t").cast("long")).over(before), F.lit(0).cast("long")))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_at").alias("at"), F.col("_t").alias("t")))).alias("parts"), *start)
     head = byte_text(F.col("prefix")) if prefix else F.lit(HEADER)
     begin = F.length(head).cast("long")
-    places = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.struct(F.element_at("parts", i + 1)["n"].alias("n"), F.element_at("sums", i + 1).alias("at")))
-    sums = F.aggregate("parts", F.array(begin), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p["t"]))))
+    places = F.transform("parts", lambda p: F.struct(p["n"].alias("n"), (begin + p["at"]).alias("at")))
+    end = begin + F.element_at("parts", -1)["at"] + F.length(F.element_at("parts", -1)["t"])
     entry = lambda p: F.concat(p["n"].cast("string"), F.lit(" 1\n"), F.lpad(p["at"].cast("string"), 10, "0"), F.lit(" 00000 n \n"))
     back = F.concat(F.lit(" /Prev "), F.regexp_extract(F.substring(head, -40, 40), r"startxref\s+(\d+)", 1)) if prefix else F.lit("")
     size = F.element_at("parts", -1)["n"] + 1
-    docs = docs.withColumn("sums", sums).withColumn("places", places)
+    docs = docs.withColumns({"places": places, "end": end})
     text = F.concat(
         head,
         F.array_join(F.transform("parts", lambda p: p["t"]), ""),
         F.lit("xref\n" if prefix else "xref\n0 1\n0000000000 65535 f \n"),
         F.array_join(F.transform("places", entry), ""),
-        F.concat(F.lit(f"trailer\n<< /Root {root} 0 R {extra} /Size "), size.cast("string"), back, F.lit(" >>\nstartxref\n"), F.element_at("sums", -1).cast("string"), F.lit("\n%%EOF\n")),
+        F.concat(F.lit(f"trailer\n<< /Root {root} 0 R {extra} /Size "), size.cast("string"), back, F.lit(" >>\nstartxref\n"), F.col("end").cast("string"), F.lit("\n%%EOF\n")),
     )
     return docs.select("doc_id", F.encode(text, "ISO-8859-1").alias("content"))
 
