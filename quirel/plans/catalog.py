@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirel.functions import calculator, codecs, colour, crypto, samples, strings
 from quirel.operators import catalogue as C
+from quirel.operators import cidmaps as I
 from quirel.operators import content as N
 from quirel.operators import encryption as E
 from quirel.operators import pages as P
@@ -604,3 +605,31 @@ def written_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = C.metadata(objects).select("doc_id", "title", "author", F.array_join("keywords", ", ").alias("keywords"), "created_at")
     notes = C.annotations(objects).where("subtype = 'Text'").select("doc_id", "contents", F.element_at("rect", 3).alias("wide"))
     return about.join(C.links(objects).select("doc_id", "uri"), "doc_id").join(notes, "doc_id")
+
+
+@query("""WITH codes AS (SELECT p_partkey AS doc_id, CAST(i AS BIGINT) AS place, CASE WHEN i % 2 = 0 THEN 1 ELSE 2 END AS width,
+    CASE i WHEN 0 THEN 32 + p_size WHEN 1 THEN 33088 + p_size WHEN 2 THEN 65 WHEN 3 THEN 57664 + p_size WHEN 4 THEN 127 ELSE 41280 END AS code FROM part, (SELECT unnest(range(6)) AS i)),
+cids AS (SELECT doc_id, place, CAST(width AS BIGINT) AS width, CAST(code AS BIGINT) AS code, CAST(CASE place WHEN 0 THEN CASE WHEN code = 65 THEN 900 ELSE code END WHEN 1 THEN 1000 + code - 33088 WHEN 2 THEN 900 WHEN 3 THEN 7 WHEN 4 THEN 0 ELSE 1256 END AS BIGINT) AS cid FROM codes)
+SELECT doc_id, place, width, code, cid, round(sum(CASE WHEN cid >= 1000 THEN 1e0 WHEN cid = 900 THEN 0.25 ELSE 0.5 END) OVER (PARTITION BY doc_id) * 10, 4) AS advance FROM cids""")
+def mixed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of one- and two-byte codes under a map that builds on another: their identifiers by an interval join, and the width that a page's walk gives them."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").cast("long").alias("n"))
+    own = "1 begincodespacerange <00> <7E> endcodespacerange 1 begincidchar <41> 900 endcidchar 1 beginnotdefrange <E100> <E1FF> 7 endnotdefrange"
+    # <7F> lies in no code space; identifiers of the second range go on by number, though trail bytes below 40 have none.
+    base = "2 begincodespacerange <8140> <9FFE> <A040> <E1FE> endcodespacerange % a remark <00>\n2 begincidrange <8140> <81FE> 1000 <A040> <A1FE> 1000 endcidrange 1 begincidrange <20> <7E> 32 endcidrange"
+    code = lambda n, width: F.lpad(F.hex(n), 2 * width, "0")
+    shown = _cat(code(32 + F.col("n"), 1), code(33088 + F.col("n"), 2), "41", code(57664 + F.col("n"), 2), "7F", "A140")
+    bodies = {
+        20: W.stream(F.lit(own), "/Type /CMap /CMapName /Own /UseCMap 21 0 R"),
+        21: W.stream(F.lit(base), "/Type /CMap /CMapName /Base"),
+        22: F.lit("<< /Type /Font /Subtype /Type0 /BaseFont /F /Encoding 20 0 R /DescendantFonts [23 0 R] >>"),
+        23: F.lit("<< /Type /Font /Subtype /CIDFontType0 /BaseFont /F /DW 500 /W [900 [250] 1000 1300 1000] >>"),
+    }
+    extra = part.select("doc_id", _rows(*[(F.lit(n), b) for n, b in bodies.items()])).select("doc_id", F.col("o.obj_num").cast("int").alias("obj_num"), "o.body")
+    pages = Y.page_objects(part.select("doc_id", F.lit(0).alias("page"), _cat("BT /G 10 Tf 50 50 Td <", shown, "> Tj ET").alias("content")), F.lit("/Resources << /Font << /G 22 0 R >> >>"))
+    objects = _objects(pages.unionByName(extra))
+    ranges = materialize(I.resolved_ranges(objects)).where("cmap = 20")
+    strings_ = part.select("doc_id", F.lit(20).cast("long").alias("cmap"), F.lit(0).cast("long").alias("key"), F.unhex(shown).alias("data"))
+    cids = I.code_cids(I.split_codes(strings_, ranges), ranges)
+    wide = T.runs(objects).select("doc_id", F.round("adv_x", 4).cast("double").alias("advance"))
+    return cids.join(wide, "doc_id").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("place", "width", "code", "cid")], F.round("advance", 4).alias("advance"))
