@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirel.functions.strings import expand_ligatures, join_hyphens, reorder_bidi
 
-from .text import BACKTRACK, SHIFT, WORD, with_geometry
+from .text import WORD, piece, spaced_text, starts_line, tracking, with_neighbours
 
 #: Fixed values, in em: gap that cuts a line, narrowest gutter, how far a line may reach over one, gaps that join neighbours of a row, and height of a row.
 CUT, GUTTER, OVERHANG, NEAR_LOW, NEAR_HIGH, ROW = 1.2, 0.6, 0.3, -0.25, 0.5, 0.4
@@ -21,18 +21,21 @@ SEGMENTS, LEVELS, STARTS, TRIED = 4000, 6, 3, 8
 
 
 def segments(found: DataFrame) -> DataFrame:
-    """(doc_id, page_index, seg_seq, s0, s1, t, em, text): runs in paint order, cut at baselines, steps back and wide gaps."""
+    """(doc_id, page_index, direction, seg_seq, s0, s1, t, em, text): runs in paint order, cut at baselines, steps back and wide gaps.
+
+    Places are in the frame of the line's first run, whose direction the segment has.
+    """
     page = Window.partitionBy("doc_id", "page_index").orderBy("run_seq")
-    kept = with_geometry(found.where(F.trim("text") != ""))
-    em, gap = F.lag("em").over(page), F.col("along") - F.lag("end_along").over(page)
-    cut = F.lag("run_seq").over(page).isNull() | (F.abs(F.col("across") - F.lag("across").over(page)) > SHIFT * em) | (gap < -BACKTRACK * em) | (gap > CUT * em)
-    kept = kept.withColumn("seg_seq", F.sum(cut.cast("int")).over(page) - 1)
-    inside = Window.partitionBy("doc_id", "page_index", "seg_seq").orderBy("run_seq")
-    space = F.coalesce((F.col("along") - F.lag("end_along").over(inside) >= WORD * F.lag("em").over(inside)) & ~F.lag("text").over(inside).rlike(r"\s$") & ~F.col("text").rlike(r"^\s"), F.lit(False))
-    pieces = kept.withColumn("piece", F.concat(F.when(space, " ").otherwise(""), F.col("text")))
-    end = F.greatest("end_along", F.col("along") + F.when(F.col("adv_x") == 0, 0.5 * F.length("text") * F.col("em")).otherwise(0.0))
-    grouped = pieces.groupBy("doc_id", "page_index", "seg_seq").agg(F.min("along").alias("s0"), F.max(end).alias("s1"), F.max_by("across", F.struct("em", -F.col("run_seq"))).alias("t"), F.max("em").alias("em"), F.array_sort(F.collect_list(F.struct("run_seq", "piece"))).alias("p"))
-    return grouped.select("doc_id", "page_index", "seg_seq", "s0", "s1", "t", "em", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
+    kept = with_neighbours(found).withColumn("line", F.last(F.when(starts_line(), F.col("frame")), ignorenulls=True).over(page))
+    kept = kept.withColumn("seg_seq", F.sum((starts_line() | (F.col("gap") > CUT * F.col("em_small"))).cast("int")).over(page) - 1)
+    start, end = F.col("x") * F.col("line.ux") + F.col("y") * F.col("line.uy"), (F.col("x") + F.col("adv_x")) * F.col("line.ux") + (F.col("y") + F.col("adv_y")) * F.col("line.uy")
+    across = F.col("x") * F.col("line.vx") + F.col("y") * F.col("line.vy")
+    grouped = kept.groupBy("doc_id", "page_index", "seg_seq").agg(F.first("line.direction").alias("direction"), F.min(F.least(start, end)).alias("s0"), F.max(F.greatest(start, end)).alias("s1"), F.max_by(across, F.struct("em", -F.col("run_seq"))).alias("t"), F.max("em").alias("em"), F.array_sort(F.collect_list(piece())).alias("p"))
+    grouped = grouped.withColumn("spacing", tracking(F.col("p")))
+    grouped = grouped.withColumn("text", spaced_text("p", "spacing"))
+    # Text of fonts without widths gets half an em a character.
+    s1 = F.when(F.col("s1") - F.col("s0") < 0.01 * F.col("em"), F.col("s0") + 0.5 * F.col("em") * F.length("text")).otherwise(F.col("s1"))
+    return grouped.select("doc_id", "page_index", "direction", "seg_seq", "s0", s1.alias("s1"), "t", "em", "text")
 
 
 class _Page:
@@ -96,18 +99,27 @@ class _Page:
 
 
 def reading_rows(found: DataFrame) -> DataFrame:
-    """(doc_id, page_index, row_seq, text): a page's rows in reading order; neighbours within half an em aren't set apart."""
+    """(doc_id, page_index, row_seq, text): a page's rows in reading order; neighbours within half an em aren't set apart.
 
-    def order(s: pd.DataFrame) -> pd.DataFrame:
+    Each direction of writing is laid out by itself, that with most text first.
+    """
+
+    def one(s: pd.DataFrame) -> list[str]:
         s = s.sort_values("seg_seq").reset_index(drop=True)
         page, out = _Page(s), []
-        for n, row in enumerate(page.rows):
+        for row in page.rows:
             text = ""
             for k, i in enumerate(row):
                 gap = (page.s0[i] - page.s1[row[k - 1]]) / page.em[i] if k else 0.0
                 text += (" " if k and not (NEAR_LOW <= gap < WORD) and not text.endswith(" ") else "") + s["text"][i]
-            out.append((n, text.rstrip()))
-        return pd.DataFrame({"doc_id": s["doc_id"].iloc[0], "page_index": s["page_index"].iloc[0], "row_seq": [o[0] for o in out], "text": [o[1] for o in out]})
+            out.append(text.rstrip())
+        return out
+
+    def order(s: pd.DataFrame) -> pd.DataFrame:
+        parts = [part for _, part in s.groupby("direction")]
+        parts.sort(key=lambda part: (-sum(len(t.encode()) for t in part["text"]), part["seg_seq"].min()))
+        rows = [text for part in parts for text in one(part)]
+        return pd.DataFrame({"doc_id": s["doc_id"].iloc[0], "page_index": s["page_index"].iloc[0], "row_seq": range(len(rows)), "text": rows})
 
     return segments(found).groupBy("doc_id", "page_index").applyInPandas(order, "doc_id long, page_index int, row_seq int, text string")
 

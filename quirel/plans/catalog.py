@@ -633,3 +633,68 @@ def mixed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cids = I.code_cids(I.split_codes(strings_, ranges), ranges)
     wide = T.runs(objects).select("doc_id", F.round("adv_x", 4).cast("double").alias("advance"))
     return cids.join(wide, "doc_id").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("place", "width", "code", "cid")], F.round("advance", 4).alias("advance"))
+
+
+def _page_file(rows: DataFrame, content: Column, fonts: str = "", extra: tuple = ()) -> DataFrame:
+    """Objects of documents of one page with this content."""
+    made = Y.page_objects(rows.select("doc_id", F.lit(0).alias("page"), content.alias("content")), F.lit(fonts))
+    more = rows.select("doc_id", _rows(*extra)).select("doc_id", F.col("o.obj_num").cast("int").alias("obj_num"), "o.body") if extra else None
+    return _objects(made.unionByName(more) if extra else made)
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS tracked, replace(p_name, ' ', '') AS glued, p_name AS single FROM part")
+def tracked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names laid down glyph by glyph: a spaced-out line keeps its words, one whose only gaps are as wide as those between letters has none, and one without spacing has its words."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.split("p_name", "").alias("c"))
+    part = part.withColumn("c", F.filter("c", lambda x: x != ""))
+
+    def glyphs(step, blank, y):
+        # Widths are half an em, so a step of 5 at size 10 is no gap. Each glyph is a show at a place of its own.
+        at = F.transform("c", lambda ch, i: F.aggregate(F.slice("c", F.lit(1), i), F.lit(50.0), lambda x, k: x + F.when(k == " ", blank).otherwise(step)))
+        shows = F.zip_with("c", at, lambda ch, x: F.when(ch != " ", _cat("BT /F0 10 Tf ", x.cast("string"), f" {y} Td ", W.literal_string(ch), " Tj ET")))
+        return F.array_join(F.array_compact(shows), " ")
+
+    content = _cat(glyphs(7.0, 7.0, 700), " ", glyphs(7.0, 0.0, 600), " ", glyphs(5.0, 5.0, 500))
+    lines = T.run_lines(T.runs(_page_file(part, content)))
+    at = lambda y: F.max(F.when(F.round("y") == y, F.col("text")))
+    return lines.groupBy("doc_id").agg(at(700).alias("tracked"), at(600).alias("glued"), at(500).alias("single"))
+
+
+@query("SELECT p_partkey AS doc_id, 'before ' || p_name || ' after' AS text, CAST(3 AS BIGINT) AS runs, 10e0 * length(p_brand) AS wide FROM part")
+def replaced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans with a text of their own: the first show takes it, the second only moves its end; an inner span without one changes nothing."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_brand")
+    shown = W.literal_string(F.col("p_brand"))
+    content = _cat("BT /F0 10 Tf 50 700 Td (before) Tj ET /Span << /ActualText ", W.text_string(F.col("p_name")), " >> BDC BT /F0 10 Tf 90 700 Td ", shown, " Tj /Span << /MCID 3 >> BDC ", shown, " Tj EMC ET EMC BT /F0 10 Tf ", _text(95 + 10 * F.length("p_brand")), " 700 Td (after) Tj ET")
+    found = materialize(T.runs(_page_file(part, content)))
+    wide = found.groupBy("doc_id").agg(F.count("*").alias("runs"), F.max(F.when(F.col("run_seq") == 1, F.round("adv_x", 3).cast("double"))).alias("wide"))
+    return T.run_lines(found).select("doc_id", "text").join(wide, "doc_id")
+
+
+@query("SELECT p_partkey AS doc_id, 'level ' || p_name || chr(10) || 'second line of it' || chr(10) || 'up ' || p_brand || chr(10) || 'next up' || chr(10) || 'mirrored' AS text FROM part")
+def turned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level, upright and mirrored text on a page, painted in turns; each direction is read by itself, that with most text first."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_brand")
+    show = lambda matrix, *t: _cat(f"BT /F0 10 Tf {matrix} Tm ", W.literal_string(_cat(*t)), " Tj ET ")
+    content = _cat(show("0 1 -1 0 320 300", "next up"), show("1 0 0 1 50 680", "second line of it"), show("-1 0 0 1 500 100", "mirrored"), show("0 1 -1 0 300 300", "up ", F.col("p_brand")), show("1 0 0 1 50 700", "level ", F.col("p_name")))
+    return R.layout_text(T.runs(_page_file(part, content))).select("doc_id", "text")
+
+
+@query("SELECT p_partkey AS doc_id, 'fünf café Ångström ' || p_brand AS text, '¨ apart' AS lone FROM part")
+def accented_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accents as glyphs of their own with the letter backed up under them; one that stands apart stays."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_brand")
+    font = "<< /Type /Font /Subtype /Type1 /BaseFont /Acc /FirstChar 32 /LastChar 126 /Widths [" + " ".join(["400"] * 95) + "] /Encoding << /Differences [33 /dieresis /acute /ring] >> >>"
+    line = lambda y, text: _cat(f"BT /G 10 Tf 50 {y} Td ", text, " TJ ET ")
+    parts, x = [], 50.0
+    # An accent, then the letter 3 units back (its accent is 4 wide), then the rest.
+    for text in ("f", "!", "unf caf", '"', "e ", "#", "Angstr", "!", "om "):
+        back = 3.0 if parts and parts[-1][1] in ("!", '"', "#") else 0.0
+        parts.append((x - back, text))
+        x += 4.0 * len(text) - back
+    shows = " ".join(f"BT /G 10 Tf {at:g} 700 Td ({text}) Tj ET" for at, text in parts)
+    content = _cat(shows, f" BT /G 10 Tf {x:g} 700 Td ", W.literal_string(F.col("p_brand").substr(F.lit(1), F.lit(40))), " Tj ET ", "BT /G 10 Tf 50 600 Td (!) Tj ET BT /G 10 Tf 60 600 Td (apart) Tj ET")
+    # The brand's own hash sign is a ring in this font.
+    lines = T.run_lines(T.runs(_page_file(part, content, "/Resources << /Font << /G 20 0 R >> >>", ((F.lit(20), F.lit(font)),))))
+    at = lambda y: F.max(F.when(F.round("y") == y, F.col("text")))
+    return lines.groupBy("doc_id").agg(F.replace(at(700), F.lit("˚"), F.lit("#")).alias("text"), at(600).alias("lone"))
