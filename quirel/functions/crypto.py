@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 #: What passwords are filled up with.
 PADDING = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
@@ -72,6 +72,12 @@ def rc4(key: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([_rc4(k, d) if k and d is not None else None for k, d in zip(key, data)])
 
 
+@pandas_udf(ArrayType(StringType()))
+def rc4_each(key: pd.Series, digits: pd.Series) -> pd.Series:
+    """Each of an array's byte strings, written as hexadecimal digits, under one key."""
+    return pd.Series([[_rc4(k, bytes.fromhex(h)).hex() for h in each] if k and each is not None else None for k, each in zip(key, digits)])
+
+
 @pandas_udf(BinaryType())
 def user_entry_r3(key: pd.Series, file_id: pd.Series) -> pd.Series:
     """The first 16 bytes that U must have from revision 3 on: the padding's digest through twenty rounds of changed keys."""

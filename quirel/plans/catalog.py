@@ -698,3 +698,27 @@ def accented_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = T.run_lines(T.runs(_page_file(part, content, "/Resources << /Font << /G 20 0 R >> >>", ((F.lit(20), F.lit(font)),))))
     at = lambda y: F.max(F.when(F.round("y") == y, F.col("text")))
     return lines.groupBy("doc_id").agg(F.replace(at(700), F.lit("˚"), F.lit("#")).alias("text"), at(600).alias("lone"))
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 3 THEN 'locked' ELSE c_name END AS body, CASE WHEN c_custkey % 4 = 3 THEN 'crypt filter: AESV9' ELSE 'none' END AS error, c_mktsegment AS title, c_name || ' plain' AS aside FROM customer")
+def crypt_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose streams and strings have filters of their own: AES, none, RC4 and one that nobody knows; a further stream names Identity itself."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name", "c_mktsegment", (F.col("c_custkey") % 4).alias("kind"))
+    owner, ident = F.lit(bytes(range(32))), F.unhex(F.md5(_text(F.col("doc_id")).cast("binary")))
+    keyed = people.withColumn("ident", ident).withColumn("key", crypto.file_key(F.lit(b""), owner, F.lit(-44), F.col("ident"), 4, 16))
+    own = lambda n, aes: crypto.object_key(F.col("key"), F.lit(n), F.lit(0), aes)
+    vector, name_, title = F.unhex(F.md5("c_name")), F.encode("c_name", "UTF-8"), F.encode("c_mktsegment", "UTF-8")
+    body = F.when(F.col("kind") == 0, crypto.encrypt_aes(name_, own(2, True), vector)).when(F.col("kind") == 1, name_).when(F.col("kind") == 2, crypto.rc4(own(2, False), name_)).otherwise(F.lit(b"locked"))
+    sealed = F.when(F.col("kind") % 2 == 0, crypto.encrypt_aes(title, own(4, True), vector)).otherwise(crypto.rc4(own(4, False), title))
+    made = materialize(keyed.select("doc_id", "c_name", "kind", "ident", crypto.user_entry_r3("key", "ident").alias("u"), body.alias("body"), sealed.alias("title")))
+    by_kind = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("kind") + 1).cast("int"))
+    filters = "/CF << /Aes << /CFM /AESV2 >> /Rc << /CFM /V2 >> /Odd << /CFM /AESV9 >> >>"
+    entry = _cat("<< /Filter /Standard /V 4 /R 4 /Length 128 /P -44 /O <", F.lit(bytes(range(32)).hex()), "> /U <", F.hex("u"), f"00000000000000000000000000000000> {filters} /StmF /", by_kind("Aes", "Identity", "Rc", "Odd"), " /StrF /", by_kind("Aes", "Rc", "Aes", "Rc"), " >>")
+    aside = W.stream(_cat(F.col("c_name"), " plain"), "/Filter /Crypt /DecodeParms << /Name /Identity >>")
+    parts = made.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog >>")), (F.lit(2), W.stream(W.byte_text(F.col("body")))), (F.lit(3), entry), (F.lit(4), _cat("<< /Title <", F.hex("title"), "> >>")), (F.lit(5), aside))).select("doc_id", "o.*")
+    files = W.assemble(parts, extra="/Encrypt 3 0 R").join(made.select("doc_id", "ident"), "doc_id")
+    content = F.encode(F.replace(W.byte_text(F.col("content")), F.lit("/Encrypt 3 0 R"), _cat("/Encrypt 3 0 R /ID [<", F.hex("ident"), "> <00>]")), "ISO-8859-1")
+    found = E.unlocked(materialize(O.read_objects(files.select("doc_id", content.alias("content")))))
+    at = lambda n, c: F.max(F.when(F.col("obj_num") == n, c))
+    text = F.col("data").cast("string")
+    return found.groupBy("doc_id").agg(at(2, text).alias("body"), F.coalesce(at(2, F.col("error")), F.lit("none")).alias("error"), at(4, strings.variant_text(F.col("value"), "$.Title")).alias("title"), at(5, text).alias("aside"))

@@ -254,6 +254,8 @@ def _xref_rows(data: bytes) -> Iterator[tuple]:
         yield (None, None, None, None, None, None, f"{type(e).__name__}: {e}")
 
 
+#: Error of an object in an encrypted object stream, before that stream's number.
+LOCKED = "locked in object stream "
 #: What reading a broken file or object may raise.
 BROKEN = (PdfError, FilterError, KeyError, IndexError, TypeError, ValueError)
 
@@ -282,11 +284,16 @@ def object_rows(data: bytes, wanted: Callable[[int], bool] | None = None, types:
             # Encrypted streams are decoded once they are unlocked.
             yield (number, json.dumps(value), (body if body is None or "Encrypt" in file.trailer else file._decoded(value, body)) if decode else None, None, gen)
         except FilterError as e:
-            if types is None or object_type(value) in types:
+            if value is None and kind == "packed" and "Encrypt" in file.trailer:
+                if types is None:
+                    yield (number, None, None, f"{LOCKED}{file.at[number][1]}", gen)
+            elif types is None or object_type(value) in types:
                 yield (number, json.dumps(value), body, str(e), gen)
         except BROKEN as e:
             if types is None:
-                yield (number, None, None, f"{type(e).__name__}: {e}", gen)
+                # What lies in an encrypted object stream waits for the stream to be unlocked.
+                locked = kind == "packed" and "Encrypt" in file.trailer
+                yield (number, None, None, f"{LOCKED}{file.at[number][1]}" if locked else f"{type(e).__name__}: {e}", gen)
 
 
 def object_type(value) -> str | None:
@@ -295,6 +302,20 @@ def object_type(value) -> str | None:
     return kind.get("n") if isinstance(kind, dict) else None
 
 
+def packed_rows(data: bytes, first: int) -> Iterator[tuple[int, str]]:
+    """(number, JSON) of the objects in an object stream's decoded bytes; what can't be read is left out."""
+    try:
+        heads = [int(x) for x in data[:first].split()]
+    except ValueError:
+        return
+    for number, at in zip(heads[::2], heads[1::2]):
+        try:
+            value, _ = parse(data, first + at)
+        except BROKEN:
+            continue
+        yield number, json.dumps(value.decode("latin-1") if isinstance(value, bytes) else value)
+
+
 def _scan(raw: DataFrame, id_col: str, content_col: str, rows, ddl: str) -> DataFrame:
     names = [x.split()[0] for x in ddl.split(",")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
