@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -207,21 +208,18 @@ def encoded85(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else base64.a85encode(d) + b"~>")
 
 
+_REPEATED = re.compile(rb"(.)\1{1,127}", re.DOTALL)
+
+
 def _packed_runs(d: bytes) -> bytes:
     out, at = bytearray(), 0
-    while at < len(d):
-        n = 1
-        while at + n < len(d) and n < 128 and d[at + n] == d[at]:
-            n += 1
-        if n > 1:
-            out += bytes([257 - n, d[at]])
-            at += n
-            continue
-        end = at + 1
-        while end < len(d) and end - at < 128 and not (end + 1 < len(d) and d[end] == d[end + 1]):
-            end += 1
-        out += bytes([end - at - 1]) + d[at:end]
-        at = end
+    for m in [*_REPEATED.finditer(d), None]:
+        for start in range(at, m.start() if m else len(d), 128):
+            part = d[start : min(start + 128, m.start() if m else len(d))]
+            out += bytes([len(part) - 1]) + part
+        if m:
+            out += bytes([257 - len(m[0])]) + m[1]
+            at = m.end()
     return bytes(out + b"\x80")
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quirel.functions.codecs import FilterError, decode_chain
 from quirel.sources.objects import PdfError, as_list, parse, plain
 
-from .text import page_inputs
+from .pages import pages
+from .text import page_contents
 
 #: Abbreviated keys and colour spaces of inline images, and their image codecs.
 SHORT = {"W": "Width", "H": "Height", "BPC": "BitsPerComponent", "CS": "ColorSpace", "F": "Filter", "DP": "DecodeParms", "IM": "ImageMask", "D": "Decode", "I": "Interpolate"}
@@ -66,7 +67,7 @@ def _inline(content: bytes) -> Iterator[tuple]:
 
 
 def _rows(objects: DataFrame, found: Callable[[bytes], Iterator[tuple]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    inputs = page_inputs(objects, resources=False)
+    inputs = page_contents(objects, pages(objects))
     arrow = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), ("seq", pa.int32()), *[(n, t) for n, _, t in fields]])
 
     def walk(batches):

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 
 from quirel.sources.objects import PdfError, parse
 
-from .text import _times, page_inputs
+from .pages import pages
+from .text import _times, page_contents
 
 NODE = "node_id int, depth int, fill string, stroke string, even_odd boolean, line_width double, path array<struct<op:string,p:array<double>>>, clip array<struct<op:string,p:array<double>>>, ctm array<double>"
 #: What paint operators do (fill, stroke, even-odd, close first), and components of the device colours.
@@ -76,7 +77,7 @@ def paint_nodes(content: bytes) -> list[dict]:
 
 def scene_nodes(objects: DataFrame, mode: str = "lenient") -> DataFrame:
     """(doc_id, page_index, node_id, depth, fill, stroke, even_odd, line_width, path, clip, ctm) in paint order."""
-    inputs = page_inputs(objects, mode, resources=False)
+    inputs = page_contents(objects, pages(objects, mode))
     steps = pa.list_(pa.struct([("op", pa.string()), ("p", pa.list_(pa.float64()))]))
     arrow = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), ("node_id", pa.int32()), ("depth", pa.int32()), ("fill", pa.string()), ("stroke", pa.string()), ("even_odd", pa.bool_()), ("line_width", pa.float64()), ("path", steps), ("clip", steps), ("ctm", pa.list_(pa.float64()))])
 

@@ -7,6 +7,7 @@ import re
 import string
 import struct
 import unicodedata
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -53,8 +54,8 @@ def _text_of(digits: str) -> str:
 class Scope:
     """The fonts, forms and property lists that names stand for in a page or a form."""
 
-    def __init__(self, names: dict, known: dict[str, Font]):
-        self.fonts = {k: known.get(f) or known.setdefault(f, Font(json.loads(f))) for k, f in (names.get("fonts") or {}).items()}
+    def __init__(self, names: dict, fonts: dict[int, Font]):
+        self.fonts = {k: fonts[int(n)] for k, n in (names.get("fonts") or {}).items() if int(n) in fonts}
         self.forms = {k: int(n) for k, n in (names.get("forms") or {}).items()}
         self.properties = {k: json.loads(v) for k, v in (names.get("properties") or {}).items()}
 
@@ -68,8 +69,8 @@ class Form(NamedTuple):
 class Walker:
     """The text state of a content stream; sequential by nature, so a page is one pass."""
 
-    def __init__(self, scope: Scope, forms: dict[int, Form]):
-        self.scope, self.forms, self.painting = scope, forms, []
+    def __init__(self, scope: Scope, form: Callable[[int], Form | None]):
+        self.scope, self.form, self.painting = scope, form, []
         self.runs: list[dict] = []
         self.ctm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
         self.state = {"font": None, "name": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Tr": 0, "Ts": 0.0}
@@ -147,7 +148,7 @@ class Walker:
             self.marks.pop()
         elif op == "Do" and args and isinstance(args[0], dict) and depth < FORM_DEPTH:
             number = self.scope.forms.get(args[0].get("n"))
-            form = self.forms.get(number)
+            form = self.form(number) if number is not None else None
             if form and number not in self.painting:
                 saved = self.ctm, dict(s), self.open, self.scope
                 self.ctm, self.scope = _times(form.matrix, self.ctm), form.scope or self.scope
@@ -239,11 +240,11 @@ def _joined(pieces: list[str], gaps: list[float], between: float) -> str:
     return text
 
 
-def resource_scopes(objects: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(doc_id, scope, fonts, forms, properties): names of resource dictionaries, as JSON by name.
+def resource_names(objects: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, scope, names) of resource dictionaries, and (doc_id, obj_num, json) of all fonts.
 
     A scope is a page (minus its index less one) or a form (its object number). Dictionaries, their sections and entries stand in
-    place or are referred to; `forms` gives object numbers.
+    place or are referred to. names is JSON: fonts and forms by name as object numbers, properties as texts.
     """
     stood = leaves.select("doc_id", (-F.col("page_index") - 1).cast("long").alias("scope"), F.try_parse_json("resources").alias("value"))
     of_forms = objects.where("data is not null").where(F.try_variant_get("value", "$.Subtype.n", "string") == "Form").select("doc_id", F.col("obj_num").alias("scope"), F.try_variant_get("value", "$.Resources", "variant").alias("value"))
@@ -252,78 +253,117 @@ def resource_scopes(objects: DataFrame, leaves: DataFrame) -> DataFrame:
     sections = follow(sections.where("value is not null"), objects, "value")
     entries = sections.select("doc_id", "scope", "section", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("key", "value"))
     entries = materialize(entries.withColumn("obj_num", ref_of("value")))
-    # A font that is no object gets a number of its own, below zero.
-    inline = entries.where("section = 'Font' and obj_num is null").select("doc_id", (-1 - F.shiftrightunsigned(F.xxhash64("doc_id", "scope", "key"), 1)).alias("obj_num"), "value", "scope", "key")
-    known = fonts(objects, inline.select("doc_id", "obj_num", "value")).withColumn("json", F.to_json("font"))
-    named = entries.where("section = 'Font' and obj_num is not null").select("doc_id", "scope", "key", "obj_num").unionByName(inline.select("doc_id", "scope", "key", "obj_num"))
-    named = named.join(known, ["doc_id", "obj_num"]).select("doc_id", "scope", F.lit("fonts").alias("section"), "key", "json")
+    # A font that is no object gets a number of its own, below zero; equal ones of a document share it.
+    inline = entries.where("section = 'Font' and obj_num is null").withColumn("obj_num", -1 - F.shiftrightunsigned(F.xxhash64("doc_id", F.to_json("value")), 1))
+    found = fonts(objects, inline.select("doc_id", "obj_num", "value").dropDuplicates(["doc_id", "obj_num"])).select("doc_id", "obj_num", F.to_json("font").alias("json"))
+    named = entries.where("section = 'Font' and obj_num is not null").unionByName(inline).select("doc_id", "scope", F.lit("fonts").alias("section"), "key", F.col("obj_num").cast("string").alias("json"))
     forms = entries.where("section = 'XObject' and obj_num is not null").select("doc_id", "scope", F.lit("forms").alias("section"), "key", F.col("obj_num").cast("string").alias("json"))
     properties = follow(entries.where("section = 'Properties'").select("doc_id", "scope", "key", "value"), objects, "value")
     properties = properties.select("doc_id", "scope", F.lit("properties").alias("section"), "key", F.to_json("value").alias("json"))
     of = lambda name: F.map_from_entries(F.collect_list(F.when(F.col("section") == name, F.struct("key", "json")))).alias(name)
-    return named.unionByName(forms).unionByName(properties).groupBy("doc_id", "scope").agg(of("fonts"), of("forms"), of("properties"))
+    names = named.unionByName(forms).unionByName(properties).groupBy("doc_id", "scope").agg(of("fonts"), of("forms"), of("properties"))
+    return names.select("doc_id", "scope", F.to_json(F.struct("fonts", "forms", "properties")).alias("names")), found
 
 
-def page_inputs(objects: DataFrame, mode: str = "lenient", resources: bool = True) -> DataFrame:
-    """(doc_id, page_index, page_obj, content, scope, forms): what a page's walk needs, joined from its resources.
-
-    scope holds the page's own names, forms the forms that it may paint, by object number, with the names of their own. A
-    form without resources of its own uses those of what paints it.
-    """
-    leaves = pages(objects, mode)
-    leaves = materialize(leaves) if resources else leaves
+def page_contents(objects: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(doc_id, page_index, page_obj, content): each page's streams, one behind the other."""
     streams = objects.where("data is not null").select("doc_id", F.col("obj_num").alias("stream_num"), "data")
     bodies = leaves.select("doc_id", "page_index", "page_obj", F.posexplode("contents").alias("place", "stream_num")).join(streams, ["doc_id", "stream_num"])
     bodies = bodies.groupBy("doc_id", "page_index", "page_obj").agg(F.array_sort(F.collect_list(F.struct("place", F.decode("data", "ISO-8859-1").alias("t")))).alias("parts"))
-    bodies = bodies.select("doc_id", "page_index", "page_obj", F.array_join(F.transform("parts", lambda p: p["t"]), "\n").alias("content"))
-    if not resources:
-        return bodies
-    scopes = materialize(resource_scopes(objects, leaves)).select("doc_id", "scope", F.struct("fonts", "forms", "properties").alias("names"))
-    is_form = objects.where("data is not null").where(F.try_variant_get("value", "$.Subtype.n", "string") == "Form")
-    forms = is_form.select("doc_id", F.col("obj_num").alias("form"), F.coalesce(F.try_variant_get("value", "$.Matrix", "array<double>"), F.array(*[F.lit(float(x)) for x in (1, 0, 0, 1, 0, 0)])).alias("matrix"), F.base64("data").alias("data"))
-    # Which forms a page reaches: its own, and those of these, a level a join.
-    edges = scopes.select("doc_id", "scope", F.explode(F.map_values("names.forms")).alias("form")).withColumn("form", F.col("form").cast("long")).distinct()
-    edges = materialize(edges.join(forms.select("doc_id", "form"), ["doc_id", "form"]))
-    front = edges.where("scope < 0").select("doc_id", (-F.col("scope") - 1).cast("int").alias("page_index"), "form")
-    reached = front
-    for _ in range(FORM_DEPTH - 1):
-        front = materialize(front.withColumnRenamed("form", "scope").join(edges, ["doc_id", "scope"]).select("doc_id", "page_index", "form").distinct().join(reached, ["doc_id", "page_index", "form"], "left_anti"))
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front)
-    painted = reached.distinct().join(forms, ["doc_id", "form"]).join(scopes.withColumnRenamed("scope", "form"), ["doc_id", "form"], "left")
-    form_map = painted.groupBy("doc_id", "page_index").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("form").cast("string"), F.struct("matrix", "data", "names"))))).alias("forms"))
-    own = scopes.where("scope < 0").select("doc_id", (-F.col("scope") - 1).cast("int").alias("page_index"), F.to_json("names").alias("scope"))
-    return bodies.join(own, ["doc_id", "page_index"], "left").join(form_map, ["doc_id", "page_index"], "left")
+    return bodies.select("doc_id", "page_index", "page_obj", F.array_join(F.transform("parts", lambda p: p["t"]), "\n").alias("content"))
+
+
+#: Pages that are walked by one task at least; a document's fonts and forms are sent once for each such block of it.
+BLOCK = 512
+#: Kinds of rows that a walk gets, in this order.
+_FONT, _SCOPE, _FORM, _PAGE = range(4)
+
+
+def page_inputs(objects: DataFrame, mode: str = "lenient") -> DataFrame:
+    """(doc_id, block, kind, num, text, matrix, data, page_obj): what the walks of a block of pages need, in the order in which they need it.
+
+    A block's fonts, names and forms come first, each once, and then its pages: nothing is copied to pages, and nothing is joined to them. A
+    document of many pages is several blocks, so that several tasks share it.
+    """
+    leaves = materialize(pages(objects, mode))
+    names, found = resource_names(objects, leaves)
+    block = lambda index: F.floor(index / BLOCK).cast("int")
+    none = {"text": F.lit(None).cast("string"), "matrix": F.lit(None).cast("array<double>"), "data": F.lit(None).cast("binary"), "page_obj": F.lit(None).cast("long")}
+    shape = lambda rows, kind, num, **held: rows.select("doc_id", "block", F.lit(kind).alias("kind"), num.cast("long").alias("num"), *[held.get(c, none[c]).alias(c) for c in none])
+    blocks = leaves.groupBy("doc_id").agg(F.max(block(F.col("page_index"))).alias("last"))
+    each = lambda rows: rows.join(blocks, "doc_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    names = materialize(names)
+    forms = objects.where("data is not null").where(F.try_variant_get("value", "$.Subtype.n", "string") == "Form")
+    matrix = F.coalesce(F.try_variant_get("value", "$.Matrix", "array<double>"), F.array(*[F.lit(float(x)) for x in (1, 0, 0, 1, 0, 0)]))
+    rows = [
+        shape(each(found), _FONT, F.col("obj_num"), text=F.col("json")),
+        shape(names.where("scope < 0").withColumn("block", block(-F.col("scope") - 1)), _SCOPE, F.col("scope"), text=F.col("names")),
+        shape(each(names.where("scope > 0")), _SCOPE, F.col("scope"), text=F.col("names")),
+        shape(each(forms.select("doc_id", "obj_num", matrix.alias("matrix"), "data")), _FORM, F.col("obj_num"), matrix=F.col("matrix"), data=F.col("data")),
+        shape(page_contents(objects, leaves).withColumn("block", block(F.col("page_index"))), _PAGE, F.col("page_index"), text=F.col("content"), page_obj=F.col("page_obj")),
+    ]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return every.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "kind")
 
 
 def ref_of(column: str):
     return F.try_variant_get(column, "$.r[0]", "long")
 
 
+class _Block:
+    """What the pages of a block share."""
+
+    def __init__(self, key: tuple):
+        self.key, self.fonts, self.names, self.scopes, self.forms = key, {}, {}, {}, {}
+
+    def scope(self, number: int) -> Scope | None:
+        """The scope of a page or a form, made when it is first asked for; null for a form without resources."""
+        if number not in self.scopes:
+            self.scopes[number] = Scope(json.loads(self.names[number]), self.fonts) if number in self.names else None if number > 0 else Scope({}, {})
+        return self.scopes[number]
+
+    def form(self, number: int) -> Form | None:
+        held = self.forms.get(number)
+        if isinstance(held, tuple) and not isinstance(held, Form):
+            held = self.forms[number] = Form(*held, self.scope(number))
+        return held
+
+
 def runs(objects: DataFrame, mode: str = "lenient") -> DataFrame:
     """(doc_id, page_index, page_obj, run_seq, text, x, y, …): text runs in paint order; a page's walk is its only Python."""
-    import base64
-
     inputs = page_inputs(objects, mode)
     schema = f"doc_id long, page_index int, page_obj long, {RUN}"
     names = [c.split()[0] for c in RUN.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.float32(), pa.float32(), pa.string(), pa.float32(), pa.int32(), pa.float32(), pa.list_(pa.float32()), pa.float32(), pa.float32(), pa.int64(), pa.bool_()]
+    arrow = pa.schema(list(zip(["doc_id", "page_index", "page_obj", *names], types)))
 
     def walk(batches):
         known: dict[str, Font] = {}
+        block, rows = _Block(()), []
         for batch in batches:
-            rows = []
             if len(known) > 2000:
                 known.clear()
             for r in batch.to_pylist():
-                forms = {int(k): Form(tuple(v["matrix"]), base64.b64decode(v["data"]), Scope(v["names"], known) if v.get("names") else None) for k, v in json.loads(r["forms"] or "{}").items()}
-                walker = Walker(Scope(json.loads(r["scope"] or "{}"), known), forms)
-                walker.run(r["content"].encode("latin-1"))
-                rows += [{"doc_id": r["doc_id"], "page_index": r["page_index"], "page_obj": r["page_obj"], **run} for run in walker.runs]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.float32(), pa.float32(), pa.string(), pa.float32(), pa.int32(), pa.float32(), pa.list_(pa.float32()), pa.float32(), pa.float32(), pa.int64(), pa.bool_()]
-            arrow = pa.schema(list(zip(["doc_id", "page_index", "page_obj", *names], types)))
-            for at in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_pylist(rows[at : at + 5000], schema=arrow)
+                if block.key != (r["doc_id"], r["block"]):
+                    block = _Block((r["doc_id"], r["block"]))
+                kind, num = r["kind"], r["num"]
+                if kind == _FONT:
+                    block.fonts[num] = known.get(r["text"]) or known.setdefault(r["text"], Font(json.loads(r["text"])))
+                elif kind == _SCOPE:
+                    block.names[num] = r["text"]
+                elif kind == _FORM:
+                    block.forms[num] = tuple(r["matrix"]), r["data"]
+                else:
+                    walker = Walker(block.scope(-num - 1), block.form)
+                    walker.run(r["text"].encode("latin-1"))
+                    rows += [{"doc_id": r["doc_id"], "page_index": num, "page_obj": r["page_obj"], **run} for run in walker.runs]
+                if len(rows) >= 5000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return inputs.mapInArrow(walk, schema)
 

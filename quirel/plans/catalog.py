@@ -174,11 +174,9 @@ def newest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = orders.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog /Status 3 0 R >>")), (F.lit(2), F.lit("null")), (F.lit(3), W.literal_string(F.col("o_orderstatus"))))).select("doc_id", "o.*")
     once = W.assemble(first)
     again = orders.join(once, "doc_id").select("doc_id", F.lit(3).cast("long").alias("obj_num"), W.literal_string(_cat(F.col("o_orderstatus"), "2")).alias("body"), "content")
-    files = materialize(W.assemble(again, prefix="content"))
-    # One scan of the tables serves both: of an object's entries the first is the newest, the others are under it.
-    older = O.ranked(O.read_xref(files)).where("place > 1 and kind = 'used'").groupBy("doc_id", "obj_num").agg(F.count("*").alias("older"))
-    status = O.read_objects(files).where("obj_num = 3").select("doc_id", "obj_num", strings.variant_text(F.col("value"), "$").alias("status"))
-    return status.join(older, ["doc_id", "obj_num"])
+    # Entries and objects come from one parse of a file.
+    found = O.read_revised(W.assemble(again, prefix="content")).where("obj_num = 3 and older > 0")
+    return found.select("doc_id", "obj_num", strings.variant_text(F.col("value"), "$").alias("status"), "older")
 
 
 @query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS page_index, CASE n_regionkey % 3 WHEN 0 THEN 'Part ' || (30 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)) WHEN 1 THEN (['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x'])[row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)] ELSE chr(CAST(64 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER)) END AS label FROM nation")

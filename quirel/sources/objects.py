@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -244,6 +245,7 @@ class File:
 
 XREF = "rev int, rank int, obj_num long, kind string, offset long, gen long, error string"
 OBJECTS = "obj_num long, json string, data binary, error string, gen int"
+REVISED = f"{OBJECTS}, older long"
 
 
 def _xref_rows(data: bytes) -> Iterator[tuple]:
@@ -260,14 +262,14 @@ LOCKED = "locked in object stream "
 BROKEN = (PdfError, FilterError, KeyError, IndexError, TypeError, ValueError)
 
 
-def object_rows(data: bytes, wanted: Callable[[int], bool] | None = None, types: set[str] | None = None, decode: bool = True) -> Iterator[tuple]:
+def object_rows(data: bytes, wanted: Callable[[int], bool] | None = None, types: set[str] | None = None, decode: bool = True, file: File | None = None) -> Iterator[tuple]:
     """Rows of OBJECTS for a file's live objects; a file that can't be read is one row with an error.
 
     Only objects whose number is `wanted` are parsed, only those of `types` (by their Type entry) are returned, and without
-    `decode` no stream is decoded.
+    `decode` no stream is decoded. `file` is the data's, where it is there already.
     """
     try:
-        file = File(data)
+        file = file or File(data)
     except BROKEN as e:
         yield (None, None, None, f"{type(e).__name__}: {e}", None)
         return
@@ -302,6 +304,20 @@ def object_type(value) -> str | None:
     return kind.get("n") if isinstance(kind, dict) else None
 
 
+def revised_rows(data: bytes) -> Iterator[tuple]:
+    """Rows of OBJECTS with how many older entries in use each object has under the one that counts; one parse of the file gives both."""
+    try:
+        file = File(data)
+    except BROKEN:
+        file = None
+    found, under = set(), Counter()
+    for _, _, number, kind, _, _ in sorted(file.rows, key=lambda r: r[:2]) if file else ():
+        under[number] += number in found and kind == "used"
+        found.add(number)
+    for row in object_rows(data, file=file):
+        yield (*row, under[row[0]])
+
+
 def packed_rows(data: bytes, first: int) -> Iterator[tuple[int, str]]:
     """(number, JSON) of the objects in an object stream's decoded bytes; what can't be read is left out."""
     try:
@@ -356,6 +372,11 @@ def read_objects(raw: DataFrame, id_col: str = "doc_id", content_col: str = "con
     return _scan(raw, id_col, content_col, object_rows, OBJECTS).select("doc_id", "obj_num", F.parse_json("json").alias("value"), "data", "error", "gen")
 
 
+def read_revised(raw: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """read_objects with `older`: how many entries of older revisions (or of a lower rank) are under an object's own."""
+    return _scan(raw, id_col, content_col, revised_rows, REVISED).select("doc_id", "obj_num", F.parse_json("json").alias("value"), "data", "error", "gen", "older")
+
+
 def read_pdf(spark, path: str) -> DataFrame:
     """(doc_id, path, length, content) of files; doc_id is a hash of the path, equal in every run."""
     files = spark.read.format("binaryFile").load(path)

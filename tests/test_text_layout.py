@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from quirel.operators import fonts, reading
 from quirel.operators import text as T
+from quirel.sources import objects as O
+from quirel.sources import writer as W
 
 FONT = json.dumps({"subtype": "Type1", "encoding": "WinAnsiEncoding", "first": 32, "widths": [500] * 224})
 RUN = "doc_id long, page_index int, page_obj long, " + T.RUN
 
 
 def walked(content, properties=None):
-    walker = T.Walker(T.Scope({"fonts": {"F": FONT}, "properties": properties or {}}, {}), {})
+    walker = T.Walker(T.Scope({"fonts": {"F": "1"}, "properties": properties or {}}, {1: fonts.Font(json.loads(FONT))}), lambda n: None)
     walker.run(content.encode("latin-1"))
     return walker.runs
 
@@ -106,3 +108,20 @@ def test_widths_of_base_fonts_and_names_by_rule():
     assert fonts.Font({"base_font": "TimesNewRoman,Bold"}).measure(b"a ")[0] == 0.444 + 0.25 and fonts.Font({"base_font": "Courier"}).measure(b"iW")[0] == 1.2
     assert fonts.Font({"base_font": "Own"}).measure(b"iW")[0] == 1.0 and fonts.Font({"base_font": "Helvetica", "first": 65, "widths": [100]}).measure(b"AB")[0] == 0.1 + 0.667
     assert [fonts.glyph_text(n) for n in ("omega", "Lambda", "afii10017", "afii10071", "afii10097", "afii10100", "beta1", "dieresis", "f_i.alt")] == ["ω", "Λ", "А", "ё", "я", None, None, "¨", "fi"]
+
+
+def test_fonts_and_forms_are_sent_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 50)
+    stream = lambda d, e="": f"<< /Length {len(d)} {e} >>\nstream\n{d}\nendstream"
+    kids = " ".join(f"{100 + i} 0 R" for i in range(120))
+    bodies = {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{kids}] /Count 120 /Resources << /Font << /F 3 0 R >> /XObject << /X 4 0 R >> >> >>", 3: "<< /Type /Font /Subtype /Type1 /BaseFont /Courier >>"}
+    bodies[4] = stream("BT /F 10 Tf 50 700 Td (letterhead) Tj ET " + " " * 100_000, "/Type /XObject /Subtype /Form")
+    for i in range(120):
+        bodies[100 + i] = f"<< /Type /Page /Parent 2 0 R /Contents {300 + i} 0 R >>"
+        bodies[300 + i] = stream(f"/X Do BT /F 10 Tf 50 600 Td (page {i}) Tj ET")
+    objects = O.read_objects(W.assemble(spark.createDataFrame([(1, n, b) for n, b in bodies.items()], "doc_id long, obj_num int, body string"))).checkpoint()
+    sent = {(r.kind, r.block): (r.n, r.size) for r in T.page_inputs(objects).groupBy("kind", "block").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("data"), F.lit(0))).alias("size")).collect()}
+    assert {k[1] for k in sent} == {0, 1, 2} and all(sent[0, b] == (1, 0) and sent[2, b][0] == 1 for b in range(3))
+    assert sum(n for _, n in sent.values()) < 4 * 100_100 and sum(n for (k, _), (n, _) in sent.items() if k == 3) == 120
+    found = T.page_texts(T.run_lines(T.runs(objects))).orderBy("page_index").collect()
+    assert [r.text for r in found] == [f"letterhead\npage {i}" for i in range(120)]
