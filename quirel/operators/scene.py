@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from quirel.functions import colour
+from quirel.plans.stages import materialize
 from quirel.sources.objects import PdfError, parse
 
-from .pages import pages
-from .text import _times, page_contents
+from .catalogue import annotations
+from .pages import follow, pages, ref
+from .text import FORM_DEPTH, _times, page_contents, resource_names
 
 NODE = "node_id int, depth int, fill string, stroke string, even_odd boolean, line_width double, path array<struct<op:string,p:array<double>>>, clip array<struct<op:string,p:array<double>>>, ctm array<double>"
 #: What paint operators do (fill, stroke, even-odd, close first), and components of the device colours.
@@ -26,9 +30,17 @@ def _hex(values: list[float]) -> str:
     return "#" + "".join(f"{int(min(max(v, 0.0), 1.0) * 255 + 0.5):02x}" for v in values)
 
 
-def paint_nodes(content: bytes) -> list[dict]:
-    """The paint operators of a content stream, in order; the graphics state is walked once."""
-    state = {"fill": "#000000", "stroke": "#000000", "width": 1.0, "ctm": (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), "clip": None}
+#: Stands for the colour or width of what paints a form, which its own content hasn't set.
+INHERITED = "inherited"
+
+
+def paint_nodes(content: bytes, form: bool = False) -> list[dict]:
+    """The paint operators of a content stream, in order; the graphics state is walked once.
+
+    Of a form, colours and widths that it doesn't set are INHERITED and null. An entry with `do` paints the named form there, in the state that the entry has.
+    """
+    start = (INHERITED, None) if form else ("#000000", 1.0)
+    state = {"fill": start[0], "stroke": start[0], "width": start[1], "ctm": (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), "clip": None}
     stack, path, clipping, out, args, at = [], [], False, [], [], 0
     while True:
         try:
@@ -65,27 +77,123 @@ def paint_nodes(content: bytes) -> list[dict]:
             fill, stroke, even, close = PAINT[op]
             path = [*path, {"op": "h", "p": []}] if close and path else path
             if path and (fill or stroke):
-                out.append({"node_id": len(out), "depth": len(stack), "fill": state["fill"] if fill else None, "stroke": state["stroke"] if stroke else None, "even_odd": bool(even), "line_width": state["width"], "path": path, "clip": state["clip"], "ctm": list(state["ctm"])})
+                out.append({"node_id": len(out), "do": None, "depth": len(stack), "fill": state["fill"] if fill else None, "stroke": state["stroke"] if stroke else None, "even_odd": bool(even), "line_width": state["width"], "path": path, "clip": state["clip"], "ctm": list(state["ctm"])})
             if clipping:
                 state["clip"], clipping = path, False
             path = []
+        elif op == "Do" and args and isinstance(args[-1], dict) and "n" in args[-1]:
+            out.append({"node_id": len(out), "do": args[-1]["n"], "depth": len(stack), "fill": state["fill"], "stroke": state["stroke"], "even_odd": None, "line_width": state["width"], "path": None, "clip": state["clip"], "ctm": list(state["ctm"])})
         elif op == "BI":
             end = re.compile(rb"\sEI(?=\s|\Z)").search(content, at)
             at = end.end() if end else len(content)
         args = []
 
 
-def scene_nodes(objects: DataFrame, mode: str = "lenient") -> DataFrame:
-    """(doc_id, page_index, node_id, depth, fill, stroke, even_odd, line_width, path, clip, ctm) in paint order."""
-    inputs = page_contents(objects, pages(objects, mode))
+def _nodes(contents: DataFrame, form: bool) -> DataFrame:
+    """(doc_id, source, node_id, do, depth, fill, …) of rows (doc_id, source, content): each content is walked once, however often it is painted."""
     steps = pa.list_(pa.struct([("op", pa.string()), ("p", pa.list_(pa.float64()))]))
-    arrow = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), ("node_id", pa.int32()), ("depth", pa.int32()), ("fill", pa.string()), ("stroke", pa.string()), ("even_odd", pa.bool_()), ("line_width", pa.float64()), ("path", steps), ("clip", steps), ("ctm", pa.list_(pa.float64()))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("do", pa.string()), ("node_id", pa.int32()), ("depth", pa.int32()), ("fill", pa.string()), ("stroke", pa.string()), ("even_odd", pa.bool_()), ("line_width", pa.float64()), ("path", steps), ("clip", steps), ("ctm", pa.list_(pa.float64()))])
 
     def walk(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                rows = [{"doc_id": r["doc_id"], "page_index": r["page_index"], **n} for n in paint_nodes(r["content"].encode("latin-1"))]
+                rows = [{"doc_id": r["doc_id"], "source": r["source"], **n} for n in paint_nodes(r["content"].encode("latin-1"), form)]
                 for at in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_pylist(rows[at : at + 2000], schema=arrow)
 
-    return inputs.mapInArrow(walk, f"doc_id long, page_index int, {NODE}")
+    return contents.select("doc_id", "source", "content").mapInArrow(walk, f"doc_id long, source long, do string, {NODE}")
+
+
+def scene_nodes(objects: DataFrame, mode: str = "lenient") -> DataFrame:
+    """(doc_id, page_index, node_id, depth, fill, stroke, even_odd, line_width, path, clip, ctm) of the pages' own content, in paint order."""
+    inputs = page_contents(objects, pages(objects, mode)).withColumn("source", F.col("page_index").cast("long"))
+    own = _nodes(inputs, False).where("do is null").withColumn("page_index", F.col("source").cast("int"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("node_id")) - 1
+    return own.withColumn("node_id", place.cast("int")).select("doc_id", "page_index", *[c.split()[0] for c in NODE.split(", ")])
+
+
+def _matrix(column: str) -> Column:
+    """An array of six numbers as a matrix; anything else is the identity."""
+    at = lambda i: F.when(F.size(column) == 6, F.get(column, F.lit(i))).otherwise(float(i in (0, 3)))
+    return colour.matrix(*[at(i) for i in range(6)])
+
+
+def _numbers(m: Column) -> Column:
+    return F.array(*[m[k] for k in "abcdef"])
+
+
+def _onto(box: Column, matrix: Column, rect: Column) -> Column:
+    """The matrix that takes a form's box, through the form's own matrix, onto an annotation's rectangle; of an empty box, one that only moves."""
+    corner = [colour.apply(matrix, F.get(box, i), F.get(box, j)) for i in (0, 2) for j in (1, 3)]
+    x0, x1 = F.least(*[c["x"] for c in corner]), F.greatest(*[c["x"] for c in corner])
+    y0, y1 = F.least(*[c["y"] for c in corner]), F.greatest(*[c["y"] for c in corner])
+    left, right, low, high = F.least(F.get(rect, 0), F.get(rect, 2)), F.greatest(F.get(rect, 0), F.get(rect, 2)), F.least(F.get(rect, 1), F.get(rect, 3)), F.greatest(F.get(rect, 1), F.get(rect, 3))
+    sx, sy = F.when(x1 > x0, (right - left) / (x1 - x0)).otherwise(1.0), F.when(y1 > y0, (high - low) / (y1 - y0)).otherwise(1.0)
+    return colour.matrix(sx, F.lit(0.0), F.lit(0.0), sy, left - x0 * sx, low - y0 * sy)
+
+
+def shown_appearances(objects: DataFrame) -> DataFrame:
+    """(doc_id, page_index, seq, form, rect): the normal appearances of annotations that are neither hidden nor kept off the screen; one with states is that of AS."""
+    found = annotations(objects).where((F.col("flags").bitwiseAND(F.lit(2 | 32)) == 0) & (F.size("rect") == 4) & F.coalesce(F.col("subtype") != "Popup", F.lit(True)))
+    found = found.withColumns({"normal": F.try_variant_get("value", "$.AP.N", "variant"), "state": F.try_variant_get("value", "$.AS.n", "string")})
+    states = follow(found.withColumn("held", F.col("normal")), objects, "held")
+    by_state = F.try_element_at(F.try_variant_get("held", "$", "map<string,variant>"), F.col("state"))
+    streams = objects.where("data is not null").select("doc_id", F.col("obj_num").alias("form"))
+    form = F.coalesce(ref(by_state, "$"), ref(F.col("normal"), "$"))
+    return states.select("doc_id", "page_index", "seq", form.alias("form"), "rect").join(streams, ["doc_id", "form"])
+
+
+def spliced_nodes(objects: DataFrame, mode: str = "lenient", appearances: bool = True) -> DataFrame:
+    """(doc_id, page_index, node_id, level, form, fill, stroke, even_odd, line_width, path, clip, ctm) of whole pages, forms and appearances spliced in, in paint order.
+
+    Forms come in level by level through joins: paint-order keys grow by an item, matrices are composed, and what a form's content hasn't set is what its painter
+    has. A form that is open already isn't painted again within itself. Annotations' appearances follow the page's content in their order.
+    """
+    leaves = materialize(pages(objects, mode))
+    names, _ = resource_names(objects, leaves)
+    held = F.explode(F.from_json(F.get_json_object("names", "$.forms"), "map<string,string>"))
+    names = materialize(names)
+    named = materialize(names.select("doc_id", "scope", held.alias("do", "form")).select("doc_id", "scope", "do", F.col("form").cast("long").alias("form")))
+    with_names = names.where("scope > 0").select("doc_id", F.col("scope").alias("form"), F.lit(True).alias("own"))
+    forms = objects.where("data is not null").where((F.try_variant_get("value", "$.Subtype.n", "string") == "Form") | F.try_variant_get("value", "$.BBox", "variant").isNotNull())
+    forms = materialize(forms.select("doc_id", F.col("obj_num").alias("form"), F.try_variant_get("value", "$.Matrix", "array<double>").alias("matrix"), F.try_variant_get("value", "$.BBox", "array<double>").alias("box"), F.decode("data", "ISO-8859-1").alias("content")))
+    inside = materialize(_nodes(forms.withColumnRenamed("form", "source"), True).withColumnsRenamed({"source": "form"}))
+    forms = forms.drop("content").join(with_names, ["doc_id", "form"], "left")
+
+    page = _nodes(page_contents(objects, leaves).withColumn("source", F.col("page_index").cast("long")), False)
+    keep = ["doc_id", "page_index", "order", "above", "scope", "level", "form", "do", "fill", "stroke", "even_odd", "line_width", "path", "clip", "ctm"]
+    front = page.select("*", F.col("source").cast("int").alias("page_index"), F.array("node_id").alias("order"), F.array().cast("array<long>").alias("above"), (-F.col("source") - 1).alias("scope"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("form")).select(keep)
+
+    def painted(at: DataFrame) -> DataFrame:
+        """The nodes of forms that rows (…, form, base) paint."""
+        met = at.join(forms, ["doc_id", "form"]).withColumn("scope", F.when(F.col("own"), F.col("form")).otherwise(F.col("scope"))).drop("own", "matrix", "box")
+        nodes = inside.select("doc_id", "form", F.col("node_id").alias("n"), F.col("do").alias("n_do"), F.col("fill").alias("n_fill"), F.col("stroke").alias("n_stroke"), F.col("even_odd").alias("n_even_odd"), F.col("line_width").alias("n_width"), F.col("path").alias("n_path"), F.col("clip").alias("n_clip"), F.col("ctm").alias("n_ctm"))
+        got = met.join(nodes, ["doc_id", "form"])
+        colour_of = lambda own, outer: F.when(F.col(own) == INHERITED, F.col(outer)).otherwise(F.col(own))
+        ctm = _numbers(colour.compose(_matrix("n_ctm"), _matrix("base")))
+        return got.select("doc_id", "page_index", F.concat("order", F.array("n")).alias("order"), F.concat("above", F.array("form")).alias("above"), "scope", (F.col("level") + 1).alias("level"), "form", F.col("n_do").alias("do"), colour_of("n_fill", "fill").alias("fill"), colour_of("n_stroke", "stroke").alias("stroke"), F.col("n_even_odd").alias("even_odd"), F.coalesce("n_width", "line_width").alias("line_width"), F.col("n_path").alias("path"), F.coalesce("n_clip", "clip").alias("clip"), ctm.alias("ctm"))
+
+    first = None
+    if appearances:
+        shown = shown_appearances(objects).join(forms.select("doc_id", "form", "matrix", "box"), ["doc_id", "form"]).where(F.size("box") == 4)
+        # Matrices are computed before they are composed further: each is used many times in the next.
+        shown = materialize(shown.select("doc_id", "page_index", "seq", "form", _numbers(_matrix("matrix")).alias("matrix"), "box", "rect"))
+        shown = materialize(shown.withColumn("fit", _onto(F.col("box"), _matrix("matrix"), F.col("rect"))))
+        base = _numbers(colour.compose(_matrix("matrix"), F.col("fit")))
+        # Behind every operator of the page's own content.
+        first = shown.select("doc_id", "page_index", F.array(F.lit(1 << 30) + F.col("seq")).alias("order"), F.array().cast("array<long>").alias("above"), (-F.col("page_index") - 1).cast("long").alias("scope"), F.lit(0).alias("level"), "form", F.lit("#000000").alias("fill"), F.lit("#000000").alias("stroke"), F.lit(1.0).alias("line_width"), F.lit(None).cast(page.schema["clip"].dataType).alias("clip"), base.alias("base"))
+        first = materialize(first)
+        front = front.unionByName(painted(first).select(keep))
+    found = None
+    for _ in range(FORM_DEPTH + 1):
+        front = materialize(front)
+        own = front.where("do is null")
+        found = own if found is None else found.unionByName(own)
+        calls = front.where("do is not null").drop("form").join(named, ["doc_id", "scope", "do"]).where(~F.array_contains("above", F.col("form")))
+        calls = calls.join(forms.select("doc_id", "form", "matrix"), ["doc_id", "form"])
+        calls = materialize(calls.withColumn("base", _numbers(colour.compose(_matrix("matrix"), _matrix("ctm")))).drop("matrix", "path", "even_odd", "do", "ctm"))
+        if calls.isEmpty():
+            break
+        front = painted(calls).select(keep)
+    place = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("order")) - 1
+    return found.select("doc_id", "page_index", place.cast("int").alias("node_id"), "level", "form", "fill", "stroke", "even_odd", "line_width", "path", "clip", "ctm")

@@ -720,3 +720,23 @@ def crypt_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda n, c: F.max(F.when(F.col("obj_num") == n, c))
     text = F.col("data").cast("string")
     return found.groupBy("doc_id").agg(at(2, text).alias("body"), F.coalesce(at(2, F.col("error")), F.lit("none")).alias("error"), at(4, strings.variant_text(F.col("value"), "$.Title")).alias("title"), at(5, text).alias("aside"))
+
+
+@query("""WITH shape(node_id, level, fill, stroke, scale, shift, x0) AS (VALUES (0, 0, '#ff0000', NULL, 0, 0, 0), (1, 1, '#ff0000', NULL, 2, 10, 0), (2, 2, '#ff0000', '#0000ff', 2, 10, 3), (3, 1, NULL, '#0000ff', 2, 10, 0),
+  (4, 1, '#00ff00', NULL, 1, 0, 0), (5, 2, '#00ff00', '#0000ff', 1, 0, 3), (6, 1, NULL, '#0000ff', 1, 0, 0), (7, 0, NULL, '#000000', 0, 1, 0), (8, 1, '#808080', NULL, 0, 114, 0))
+SELECT p_partkey AS doc_id, CAST(node_id AS BIGINT) AS node_id, CAST(level AS BIGINT) AS level, fill, stroke, CAST(scale * (x0 + p_size) + shift AS DOUBLE) AS x FROM part, shape""")
+def spliced_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form painted twice with another inside that tries to paint itself, colours inherited, and a turned appearance fitted into its annotation."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_size")
+    content = F.lit("1 0 0 rg 0 0 5 5 re f q 2 0 0 2 10 0 cm /X Do Q 0 1 0 rg /X Do 1 1 m 2 2 l S /Gone Do")
+    bodies = (
+        (F.lit(30), W.stream(F.lit("0 0 1 1 re f 0 0 1 RG /Y Do 0 0 m 9 9 l S"), _cat("/Type /XObject /Subtype /Form /BBox [0 0 9 9] /Matrix [1 0 0 1 ", _text(F.col("p_size")), " 0] /Resources << /XObject << /Y 31 0 R >> >>"))),
+        (F.lit(31), W.stream(F.lit("3 0 1 1 re B /Y Do"), "/Type /XObject /Subtype /Form /BBox [0 0 9 9]")),
+        (F.lit(32), W.stream(F.lit("0.5 g 2 3 m 4 4 l f"), "/Subtype /Form /BBox [0 0 10 10] /Matrix [0 1 -1 0 0 0]")),
+        (F.lit(40), F.lit("<< /Subtype /Stamp /Rect [120 110 100 100] /AS /On /AP << /N << /On 32 0 R /Off 31 0 R >> >> >>")),
+        (F.lit(41), F.lit("<< /Subtype /Stamp /F 2 /Rect [0 0 9 9] /AP << /N 32 0 R >> >>")),
+    )
+    nodes = S.spliced_nodes(_page_file(part, content, "/Annots [40 0 R 41 0 R] /Resources << /XObject << /X 30 0 R >> >>", bodies))
+    first = F.get("path", 0)["p"]
+    x = F.get("ctm", 0) * F.get(first, 0) + F.get("ctm", 2) * F.get(first, 1) + F.get("ctm", 4)
+    return nodes.select("doc_id", F.col("node_id").cast("long").alias("node_id"), F.col("level").cast("long").alias("level"), "fill", "stroke", F.round(x, 6).alias("x"))
