@@ -82,6 +82,62 @@ def sampled(x: Column, samples: list[float], domain: tuple[float, float]) -> Col
     return F.get(table, low.cast("int")) * (1 - (at - low)) + F.get(table, high.cast("int")) * (at - low)
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _taps(x: Column, domain: tuple[float, float], encode: tuple[float, float], size: int, order: int) -> Column:
+    """Samples of an axis that x lies between, as an array of (at, weight): two, or four of a cubic through them where the axis has as many."""
+    low, high = domain
+    inside = F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+    place = F.lit(float(encode[0])) if high == low else encode[0] + (inside - low) * ((encode[1] - encode[0]) / (high - low))
+    place = F.least(F.greatest(place, F.lit(0.0)), F.lit(float(size - 1)))
+    tap = lambda at, weight: F.struct(F.least(F.greatest(at, F.lit(0)), F.lit(size - 1)).cast("int").alias("at"), weight.cast("double").alias("weight"))
+
+    def around(e: Column) -> Column:
+        first = F.floor(e)
+        t = e - first
+        if order != 3 or size < 4:
+            return F.array(tap(first, 1 - t), tap(first + 1, t))
+        # The cubic whose slope at a sample is that between its neighbours.
+        cubic = ((-t + 2 * t * t - t * t * t) / 2, (2 - 5 * t * t + 3 * t * t * t) / 2, (t + 4 * t * t - 3 * t * t * t) / 2, (t * t * t - t * t) / 2)
+        return F.array(*[tap(first + k - 1, w) for k, w in enumerate(cubic)])
+
+    return _bound(place, around)
+
+
+def sampled_nd(xs: list[Column], samples: Column, sizes: list[int], domains: list[tuple[float, float]], ranges: list[tuple[float, float]], encode: list[tuple[float, float]] | None = None, decode: list[tuple[float, float]] | None = None, order: int = 1) -> Column:
+    """Function type 0 of any inputs and outputs: an array of outputs.
+
+    samples is an array of numbers from 0 to 1, those of one place together and the first input's places next to each other. Between places it is linear in
+    each input, with order 3 cubic. Missing encodings are the whole of an axis, missing decodings the ranges.
+    """
+    outputs = len(ranges)
+    taps = [_taps(x, d, encode[i] if encode else (0.0, n - 1.0), n, order) for i, (x, d, n) in enumerate(zip(xs, domains, sizes))]
+    # One axis after another multiplies the places that take part: 2 or 4 to the power of the inputs, whatever the table's size.
+    def crossed(places: Column, axis: Column, stride: int) -> Column:
+        both = lambda p, t: F.struct((p["at"] + t["at"] * stride).alias("at"), (p["weight"] * t["weight"]).alias("weight"))
+        return F.flatten(F.transform(places, lambda p: F.transform(axis, lambda t: both(p, t))))
+
+    places, stride = taps[0], sizes[0]
+    for axis, n in zip(taps[1:], sizes[1:]):
+        places, stride = crossed(places, axis, stride), stride * n
+
+    def output(j: int) -> Column:
+        value = lambda p: F.aggregate(F.transform(p, lambda t: t["weight"] * F.get(samples, t["at"] * outputs + j)), F.lit(0.0), lambda total, v: total + v)
+        low, high = decode[j] if decode else ranges[j]
+        return F.least(F.greatest(low + value(places) * (high - low), F.lit(float(ranges[j][0]))), F.lit(float(ranges[j][1])))
+
+    return F.array(*[output(j) for j in range(outputs)])
+
+
+def gradient_stops(colour_at, domain: tuple[Column, Column], n: int = 64) -> Column:
+    """An array of n colours, evenly over the domain from its first to its last value; colour_at(t) gives the colour of a value."""
+    t0, t1 = domain
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: colour_at(t0 + (t1 - t0) * (k / F.lit(float(max(n - 1, 1))))))
+
+
 def matrix(*values) -> Column:
     return F.struct(*[(v if isinstance(v, Column) else F.lit(float(v))).alias(n) for n, v in zip("abcdef", values)])
 

@@ -231,6 +231,40 @@ def layers(objects: DataFrame) -> DataFrame:
     return joined.select("doc_id", "obj_num", "name", F.when(F.col("is_off"), False).when(F.col("is_on"), True).otherwise(F.coalesce("base", F.lit(True))).alias("visible"))
 
 
+def layer_configurations(objects: DataFrame) -> DataFrame:
+    """(doc_id, config, name, base, on, off, locked, radio): the default configuration as 0 and the others from 1 on; groups are object numbers, radio lists of them."""
+    held = from_catalog(objects, "OCProperties")
+    others = follow(held.select("doc_id", F.try_variant_get("node", "$.Configs", "variant").alias("configs")).where("configs is not null"), objects, "configs")
+    others = others.select("doc_id", F.posexplode(F.try_variant_get("configs", "$", "array<variant>")).alias("config", "value")).withColumn("config", F.col("config") + 1)
+    rows = follow(held.select("doc_id", F.lit(0).alias("config"), F.try_variant_get("node", "$.D", "variant").alias("value")).unionByName(others).where("value is not null"), objects, "value")
+    numbers = lambda v, path: F.array_compact(F.transform(F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>")), lambda g: ref(g, "$")))
+    radio = F.transform(F.coalesce(F.try_variant_get("value", "$.RBGroups", "array<variant>"), F.array().cast("array<variant>")), lambda g: numbers(g, "$"))
+    return rows.select("doc_id", "config", variant_text(F.col("value"), "$.Name").alias("name"), F.coalesce(F.try_variant_get("value", "$.BaseState.n", "string"), F.lit("ON")).alias("base"), numbers("value", "$.ON").alias("on"), numbers("value", "$.OFF").alias("off"), numbers("value", "$.Locked").alias("locked"), F.filter(radio, lambda g: F.size(g) > 0).alias("radio"))
+
+
+def layers_by_configuration(objects: DataFrame, configurations: DataFrame) -> DataFrame:
+    """(doc_id, config, obj_num, name, visible, locked): each group under each configuration: base state, then ON, then OFF; a base of Unchanged is on."""
+    groups = from_catalog(objects, "OCProperties").select("doc_id", F.explode(F.try_variant_get("node", "$.OCGs", "array<variant>")).alias("g")).select("doc_id", ref(F.col("g"), "$").alias("obj_num")).distinct()
+    named = objects.select("doc_id", "obj_num", variant_text(F.col("value"), "$.Name").alias("name"))
+    both = groups.join(named, ["doc_id", "obj_num"]).join(configurations.drop("name"), "doc_id")
+    has = lambda c: F.array_contains(c, F.col("obj_num"))
+    return both.select("doc_id", "config", "obj_num", "name", F.when(has("off"), False).when(has("on"), True).otherwise(F.col("base") != "OFF").alias("visible"), has("locked").alias("locked"))
+
+
+def switched_layers(states: DataFrame, configurations: DataFrame, picks: DataFrame) -> DataFrame:
+    """states after picks (doc_id, config, seq, obj_num, on), in the order of seq: a group is as it was picked last.
+
+    A group that is turned on turns off the others of its radio groups, so of several the last one stays on. Locked groups don't
+    answer to picks of their own. Picks and radio groups meet by equality on their members, and a group's last event is an aggregate.
+    """
+    free = picks.join(states.where("locked").select("doc_id", "config", "obj_num"), ["doc_id", "config", "obj_num"], "left_anti")
+    members = configurations.select("doc_id", "config", F.posexplode("radio").alias("radio", "all")).select("doc_id", "config", F.explode("all").alias("obj_num"), "all")
+    others = free.where("on").join(members, ["doc_id", "config", "obj_num"]).select("doc_id", "config", "seq", F.explode(F.array_except("all", F.array("obj_num"))).alias("obj_num"), F.lit(False).alias("on"))
+    events = free.select("doc_id", "config", "seq", "obj_num", "on").unionByName(others)
+    last = events.groupBy("doc_id", "config", "obj_num").agg(F.max_by("on", F.struct("seq", "on")).alias("last"))
+    return states.join(last, ["doc_id", "config", "obj_num"], "left").withColumn("visible", F.coalesce("last", "visible")).drop("last")
+
+
 def membership_visible(members: DataFrame, states: DataFrame) -> DataFrame:
     """(doc_id, member_id, visible) of rows (doc_id, member_id, policy, obj_num) by AllOn, AnyOn, AllOff or AnyOff; without groups it is visible."""
     known = members.join(states.select("doc_id", "obj_num", "visible"), ["doc_id", "obj_num"], "left")

@@ -18,6 +18,7 @@ from quirel.operators import encryption as E
 from quirel.operators import pages as P
 from quirel.operators import reading as R
 from quirel.operators import scene as S
+from quirel.operators import shadings as G
 from quirel.operators import text as T
 from quirel.plans.stages import materialize, shared_folder
 from quirel.sources import format as Z
@@ -740,3 +741,52 @@ def spliced_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.get("path", 0)["p"]
     x = F.get("ctm", 0) * F.get(first, 0) + F.get("ctm", 2) * F.get(first, 1) + F.get("ctm", 4)
     return nodes.select("doc_id", F.col("node_id").cast("long").alias("node_id"), F.col("level").cast("long").alias("level"), "fill", "stroke", F.round(x, 6).alias("x"))
+
+
+@query("""WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, n_name AS name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS back FROM nation)
+SELECT doc_id, CAST(0 AS BIGINT) AS config, name, true AS before, n_nationkey % 2 = 0 AS visible FROM n
+UNION ALL SELECT doc_id, 1, name, n_nationkey % 3 = 0 AS before, CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey % 3 = 0 ELSE back = (SELECT min(m.back) FROM n m WHERE m.doc_id = n.doc_id AND m.n_nationkey % 5 > 0) END FROM n""")
+def layer_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as layers under two configurations: in the first, odd ones are turned off; in the second, a radio group, each is turned on in turn, but for locked ones."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").cast("long").alias("n"), "n_name")
+    groups = nation.select("doc_id", (10 + F.col("n")).alias("obj_num"), _cat("<< /Type /OCG /Name ", W.literal_string(F.col("n_name")), " >>").alias("body"))
+    listed = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.col("n")))), lambda n: _cat((10 + n).cast("string"), " 0 R")), " ")
+    heads = nation.groupBy("doc_id").agg(listed(F.lit(True)).alias("every"), listed(F.col("n") % 3 == 0).alias("third"), listed(F.col("n") % 5 == 0).alias("fifth"), listed(F.col("n") % 5 > 0).alias("radio"))
+    other = _cat("<< /Name (Other) /BaseState /OFF /ON [", F.col("third"), "] /Locked [", F.col("fifth"), "] /RBGroups [[", F.col("radio"), "]] >>")
+    roots = heads.select("doc_id", _rows((F.lit(1), _cat("<< /Type /Catalog /OCProperties << /OCGs [", F.col("every"), "] /D << /Name (First) >> /Configs [2 0 R] >> >>")), (F.lit(2), other))).select("doc_id", "o.*")
+    objects = _objects(groups.unionByName(roots))
+    configurations = materialize(C.layer_configurations(objects))
+    states = materialize(C.layers_by_configuration(objects, configurations))
+    odd = nation.where("n % 2 = 1").select("doc_id", F.lit(0).alias("config"), F.col("n").alias("seq"), (10 + F.col("n")).alias("obj_num"), F.lit(False).alias("on"))
+    on = nation.select("doc_id", F.lit(1).alias("config"), F.col("n").alias("seq"), (10 + F.col("n")).alias("obj_num"), F.lit(True).alias("on"))
+    after = C.switched_layers(states, configurations, odd.unionByName(on)).select("doc_id", "config", "name", "visible")
+    before = states.select("doc_id", "config", "name", F.col("visible").alias("before"))
+    return before.join(after, ["doc_id", "config", "name"]).withColumn("config", F.col("config").cast("long"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS doc_id, p_size / 100e0 AS a, CAST(unnest(range(5)) AS INTEGER) AS k FROM part)
+SELECT doc_id, 'axial' AS kind, CAST(k AS BIGINT) AS k, lower(printf('#%02x%02x%02x', CAST(floor(k / 4e0 * 255 + 0.5) AS INTEGER), CAST(floor((a + k / 4e0 * (0 - a)) * 255 + 0.5) AS INTEGER), CAST(0 AS INTEGER))) AS colour FROM s
+UNION ALL SELECT doc_id, 'radial', k, lower(printf('#%02x%02x%02x', v, v, v)) FROM (SELECT doc_id, k, CAST(floor(CASE WHEN k < 2 THEN a * (k / 2e0) * (k / 2e0) ELSE a + (1 - a) * (1 - (k - 2) / 2e0) END * 255 + 0.5) AS INTEGER) AS v FROM s) t""")
+def gradient_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An axial gradient of three functions, a component each, and a radial one inside a pattern of two stitched functions, the second turned round."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _text(F.col("p_size") / 100.0).alias("a"))
+    of = lambda c0, c1, n="1": _cat("<< /FunctionType 2 /Domain [0 1] /N ", n, " /C0 [", c0, "] /C1 [", c1, "] >>")
+    axial = _cat("<< /ShadingType 2 /ColorSpace /DeviceRGB /Coords [0 0 1 1] /Function [", of("0", "1"), " 5 0 R ", of("0", "0"), "] >>")
+    stitched = _cat("<< /FunctionType 3 /Domain [0 1] /Bounds [0.5] /Encode [0 1 1 0] /Functions [", of("0", F.col("a"), "2"), " 6 0 R] >>")
+    radial = _cat("<< /PatternType 2 /Shading << /ShadingType 3 /ColorSpace /DeviceGray /Coords [0 0 0 1 1 9] /Extend [true false] /Function ", stitched, " >> >>")
+    rows = part.select("doc_id", _rows((F.lit(1), F.lit("<< /Type /Catalog >>")), (F.lit(3), axial), (F.lit(4), radial), (F.lit(5), of(F.col("a"), "0")), (F.lit(6), of(F.col("a"), "1")))).select("doc_id", "o.*")
+    found = G.gradients(_objects(rows), 5)
+    return found.select("doc_id", "kind", F.posexplode("stops").alias("k", "colour")).withColumn("k", F.col("k").cast("long"))
+
+
+@query("""WITH q AS (SELECT p_partkey AS doc_id, p_size / 50e0 AS x, (p_size % 7) / 7e0 AS y FROM part)
+SELECT doc_id, round(x * (1 - y) + y * (1 - x), 6) AS mixed, round(x, 6) AS first, round(2 * x - 1, 6) AS line FROM q""")
+def sampled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions given by samples: two inputs and outputs, linear between four corners, and a cubic over evenly spaced samples of a line."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_size") / 50.0).alias("x"), ((F.col("p_size") % 7) / 7.0).alias("y"))
+    numbers = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    # Corners (0, 0), (1, 0), (0, 1), (1, 1), with two outputs each.
+    corners = colour.sampled_nd([F.col("x"), F.col("y")], numbers(0, 0, 1, 1, 1, 0, 0, 1), [2, 2], [(0, 1), (0, 1)], [(0, 1), (0, 1)])
+    # The line goes on behind both ends of the domain, so that the cubic has all of its samples.
+    line = colour.sampled_nd([F.col("x")], numbers(0, 0.25, 0.5, 0.75, 1), [5], [(-0.5, 1.5)], [(-2, 2)], decode=[(-2, 2)], order=3)
+    return part.select("doc_id", F.round(corners[0], 6).alias("mixed"), F.round(corners[1], 6).alias("first"), F.round(line[0], 6).alias("line"))
