@@ -98,19 +98,19 @@ def destination(dest: str, pages_by_obj: DataFrame, rows: DataFrame) -> DataFram
     return rows.withColumns({"dest_kind": F.when(known, kind), "dest_args": F.when(known, args), "dest_page": F.when(known, F.col("dest_page"))})
 
 
-def named_destinations(objects: DataFrame) -> DataFrame:
-    """(doc_id, raw_name, name, dest_page, dest_kind, dest_args): the name tree's, and the old dictionary's where the tree has none."""
+def named_destinations(objects: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(doc_id, raw_name, name, dest_page, dest_kind, dest_args): the name tree's, and the old dictionary's where the tree has none; index is page_index's, if it is there already."""
     tree = tree_entries(objects, from_catalog(objects, "Names.Dests"), "Names").select("doc_id", F.upper(F.try_variant_get("key", "$.s", "string")).alias("raw_name"), "entry", F.lit(0).alias("rank"))
     old = from_catalog(objects, "Dests").select("doc_id", F.explode(F.try_variant_get("node", "$", "map<string,variant>")).alias("k", "entry")).select("doc_id", F.hex(F.encode("k", "UTF-8")).alias("raw_name"), "entry", F.lit(1).alias("rank"))
     both = follow(tree.unionByName(old).where("raw_name is not null"), objects, "entry").drop("entry_num")
     first = both.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "raw_name").orderBy("rank"))).where("turn = 1")
     dests = first.select("doc_id", "raw_name", text_string(F.unhex("raw_name")).alias("name"), F.coalesce(F.try_variant_get("entry", "$.D", "variant"), F.col("entry")).alias("dest"))
-    return destination("dest", page_index(objects), dests).drop("dest")
+    return destination("dest", page_index(objects) if index is None else index, dests).drop("dest")
 
 
-def annotations(objects: DataFrame) -> DataFrame:
-    """(doc_id, page_index, seq, obj_num, subtype, rect, contents, name, modified, flags, value): the annotations of all pages."""
-    listed = pages(objects, "navigation").select("doc_id", "page_index", F.try_variant_get("value", "$.Annots", "variant").alias("annots"))
+def annotations(objects: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_index, seq, obj_num, subtype, rect, contents, name, modified, flags, value): the annotations of all pages (leaves, if they are there already)."""
+    listed = (pages(objects, "navigation") if leaves is None else leaves).select("doc_id", "page_index", F.try_variant_get("value", "$.Annots", "variant").alias("annots"))
     listed = follow(listed.where("annots is not null"), objects, "annots")
     single = listed.select("doc_id", "page_index", F.posexplode(F.try_variant_get("annots", "$", "array<variant>")).alias("seq", "value"))
     found = follow(single, objects, "value")
@@ -122,13 +122,16 @@ def annotations(objects: DataFrame) -> DataFrame:
 
 def links(objects: DataFrame) -> DataFrame:
     """(doc_id, page_index, seq, rect, uri, dest_name, dest_page, dest_kind): link annotations, names joined to their destinations."""
-    found = annotations(objects).where("subtype = 'Link'")
+    # One walk of the page tree serves annotations, direct and named destinations.
+    leaves = materialize(pages(objects, "navigation").select("doc_id", "page_obj", "page_index", "value"))
+    index = leaves.select("doc_id", "page_obj", "page_index")
+    found = annotations(objects, leaves).where("subtype = 'Link'")
     found = follow(found.withColumn("action", F.try_variant_get("value", "$.A", "variant")), objects, "action")
     target = F.coalesce(F.try_variant_get("value", "$.Dest", "variant"), F.when(F.try_variant_get("action", "$.S.n", "string") == "GoTo", F.try_variant_get("action", "$.D", "variant")))
     found = found.withColumns({"dest": target, "uri": text_string(F.unhex(F.try_variant_get("action", "$.URI.s", "string")))})
     raw = F.coalesce(F.upper(F.try_variant_get("dest", "$.s", "string")), F.hex(F.encode(F.try_variant_get("dest", "$.n", "string"), "UTF-8")))
-    named = named_destinations(objects).select("doc_id", F.col("raw_name").alias("_raw"), F.col("dest_page").alias("named_page"), F.col("dest_kind").alias("named_kind"))
-    direct = destination("dest", page_index(objects), found.withColumn("_raw", raw)).join(named, ["doc_id", "_raw"], "left")
+    named = named_destinations(objects, index).select("doc_id", F.col("raw_name").alias("_raw"), F.col("dest_page").alias("named_page"), F.col("dest_kind").alias("named_kind"))
+    direct = destination("dest", index, found.withColumn("_raw", raw)).join(named, ["doc_id", "_raw"], "left")
     return direct.select("doc_id", "page_index", "seq", "rect", "uri", text_string(F.unhex("_raw")).alias("dest_name"), F.coalesce("dest_page", "named_page").alias("dest_page"), F.coalesce("dest_kind", "named_kind").alias("dest_kind"))
 
 
@@ -161,8 +164,9 @@ def outline(objects: DataFrame) -> DataFrame:
     action = follow(found.withColumn("action", F.try_variant_get("value", "$.A", "variant")), objects, "action")
     dest = F.coalesce(F.try_variant_get("value", "$.Dest", "variant"), F.try_variant_get("action", "$.D", "variant"))
     raw = F.coalesce(F.upper(F.try_variant_get("dest", "$.s", "string")), F.hex(F.encode(F.try_variant_get("dest", "$.n", "string"), "UTF-8")))
-    named = named_destinations(objects).select("doc_id", F.col("raw_name").alias("_raw"), F.col("dest_page").alias("named_page"), F.col("dest_kind").alias("named_kind"))
-    placed = destination("dest", page_index(objects), action.withColumn("dest", dest).withColumn("_raw", raw)).join(named, ["doc_id", "_raw"], "left")
+    index = materialize(page_index(objects))
+    named = named_destinations(objects, index).select("doc_id", F.col("raw_name").alias("_raw"), F.col("dest_page").alias("named_page"), F.col("dest_kind").alias("named_kind"))
+    placed = destination("dest", index, action.withColumn("dest", dest).withColumn("_raw", raw)).join(named, ["doc_id", "_raw"], "left")
     return placed.select("doc_id", "node_id", F.when(F.col("parent_id") >= 0, F.col("parent_id")).alias("parent_id"), "depth", variant_text(F.col("value"), "$.Title").alias("title"), F.coalesce(F.try_variant_get("value", "$.Count", "long"), F.lit(0)).alias("count"), text_string(F.unhex("_raw")).alias("dest_name"), F.coalesce("dest_page", "named_page").alias("dest_page"), F.coalesce("dest_kind", "named_kind").alias("dest_kind"))
 
 
