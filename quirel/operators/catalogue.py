@@ -10,6 +10,7 @@ from quirel.functions.strings import date_to_iso, page_label, text_string, varia
 from quirel.plans.stages import materialize
 
 from .pages import catalogs, follow, pages, ref
+from .reading import reading_rows
 
 #: Levels of name and number trees, outline levels, items of a level, beads of a thread, actions of a chain.
 TREE_DEPTH, OUTLINE_DEPTH, LEVEL_ITEMS, BEADS, CHAIN = 32, 64, 10_000, 10_000, 32
@@ -513,20 +514,23 @@ def structure_keys(objects: DataFrame) -> DataFrame:
 def structure_text(objects: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, place, text): runs joined to the structure tree's keys, first use of a key only; runs outside the tree come behind their page's last group.
 
-    A document whose tree covers less than half of its text has no rows; read those by geometry.
+    A document whose tree covers less than half of its text, or that has none, is read by geometry, row by row.
     """
     keys = structure_keys(objects)
     first = keys.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "page_obj", "mcid").orderBy("seq"))).where("turn = 1").drop("turn")
     body = found.where("not artifact")
     weight = F.length("text")
     placed = body.join(first, ["doc_id", "page_obj", "mcid"])
-    covered = placed.groupBy("doc_id").agg(F.sum(weight).alias("inside")).join(body.groupBy("doc_id").agg(F.sum(weight).alias("total")), "doc_id").where("2 * inside >= total").select("doc_id")
+    covered = materialize(placed.groupBy("doc_id").agg(F.sum(weight).alias("inside")).join(body.groupBy("doc_id").agg(F.sum(weight).alias("total")), "doc_id").where("2 * inside >= total").select("doc_id"))
     tail = placed.groupBy("doc_id", "page_obj").agg(F.max("seq").alias("seq"))
     loose = found.join(first, ["doc_id", "page_obj", "mcid"], "left_anti").join(tail, ["doc_id", "page_obj"])
     every = placed.select("doc_id", "seq", F.lit(0).alias("loose"), "page_index", "run_seq", "text").unionByName(loose.select("doc_id", "seq", F.lit(1).alias("loose"), "page_index", "run_seq", "text")).join(covered, "doc_id", "left_semi")
     groups = every.groupBy("doc_id", "seq", "loose").agg(F.array_sort(F.collect_list(F.struct("page_index", "run_seq", "text"))).alias("runs"))
     order = Window.partitionBy("doc_id").orderBy("seq", "loose")
-    return groups.select("doc_id", (F.row_number().over(order) - 1).alias("place"), F.array_join(F.transform("runs", lambda r: r["text"]), " ").alias("text"))
+    tagged = groups.select("doc_id", (F.row_number().over(order) - 1).alias("place"), F.array_join(F.transform("runs", lambda r: r["text"]), " ").alias("text"))
+    rows = reading_rows(found.join(covered, "doc_id", "left_anti"))
+    in_order = Window.partitionBy("doc_id").orderBy("page_index", "row_seq")
+    return tagged.unionByName(rows.select("doc_id", (F.row_number().over(in_order) - 1).alias("place"), "text"))
 
 
 def threads(objects: DataFrame) -> DataFrame:

@@ -790,3 +790,17 @@ def sampled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The line goes on behind both ends of the domain, so that the cubic has all of its samples.
     line = colour.sampled_nd([F.col("x")], numbers(0, 0.25, 0.5, 0.75, 1), [5], [(-0.5, 1.5)], [(-2, 2)], decode=[(-2, 2)], order=3)
     return part.select("doc_id", F.round(corners[0], 6).alias("mixed"), F.round(corners[1], 6).alias("first"), F.round(line[0], 6).alias("line"))
+
+
+@query("""SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'second tagged' || chr(10) || p_name ELSE p_name || chr(10) || 'second tagged' END AS text FROM part""")
+def partly_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are read by their structure tree, ones whose tree holds too little of them, and ones without a tree, which are read by geometry."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", (F.col("p_partkey") % 3).alias("kind"))
+    # The tree's order is another one than that on the page; in the second kind it holds the shorter part alone.
+    content = _cat("/P << /MCID 0 >> BDC BT /F0 10 Tf 50 700 Td ", W.literal_string(F.col("p_name")), " Tj ET EMC ", F.when(F.col("kind") == 0, "/P << /MCID 1 >> BDC BT /F0 10 Tf 50 600 Td (second tagged) Tj ET EMC").otherwise("BT /F0 10 Tf 50 600 Td (second tagged) Tj ET"))
+    pages = Y.page_objects(part.select("doc_id", F.lit(0).alias("page"), content.alias("content"), F.when(F.col("kind") < 2, "/StructTreeRoot 9 0 R").otherwise("").alias("tree")), catalog=F.first("tree"))
+    kids = F.when(F.col("kind") == 0, "1 0").otherwise("")
+    tree = part.select("doc_id", F.lit(9).alias("obj_num"), _cat("<< /Type /StructTreeRoot /K << /S /P /Pg 4 0 R /K [", kids, "] >> >>").alias("body"))
+    objects = _objects(pages.unionByName(tree))
+    places = C.structure_text(objects, materialize(T.runs(objects)))
+    return places.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
