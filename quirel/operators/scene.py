@@ -16,7 +16,7 @@ from .catalogue import annotations
 from .pages import follow, pages, ref
 from .text import FORM_DEPTH, _times, page_contents, resource_names
 
-NODE = "node_id int, depth int, fill string, stroke string, even_odd boolean, line_width double, path array<struct<op:string,p:array<double>>>, clip array<struct<op:string,p:array<double>>>, ctm array<double>"
+NODE = "node_id int, depth int, fill string, stroke string, even_odd boolean, line_width double, line_cap int, line_join int, miter double, dash array<double>, dash_phase double, path array<struct<op:string,p:array<double>>>, clip array<struct<op:string,p:array<double>>>, ctm array<double>"
 #: What paint operators do (fill, stroke, even-odd, close first), and components of the device colours.
 PAINT = {"f": (1, 0, 0, 0), "F": (1, 0, 0, 0), "f*": (1, 0, 1, 0), "S": (0, 1, 0, 0), "s": (0, 1, 0, 1), "B": (1, 1, 0, 0), "B*": (1, 1, 1, 0), "b": (1, 1, 0, 1), "b*": (1, 1, 1, 1), "n": (0, 0, 0, 0)}
 COLOURS = {"g": (1, False), "G": (1, True), "rg": (3, False), "RG": (3, True), "k": (4, False), "K": (4, True)}
@@ -30,6 +30,8 @@ def _hex(values: list[float]) -> str:
     return "#" + "".join(f"{int(min(max(v, 0.0), 1.0) * 255 + 0.5):02x}" for v in values)
 
 
+#: Columns of the line state besides the width.
+LINE = ("line_cap", "line_join", "miter", "dash", "dash_phase")
 #: Stands for the colour or width of what paints a form, which its own content hasn't set.
 INHERITED = "inherited"
 
@@ -39,8 +41,9 @@ def paint_nodes(content: bytes, form: bool = False) -> list[dict]:
 
     Of a form, colours and widths that it doesn't set are INHERITED and null. An entry with `do` paints the named form there, in the state that the entry has.
     """
-    start = (INHERITED, None) if form else ("#000000", 1.0)
-    state = {"fill": start[0], "stroke": start[0], "width": start[1], "ctm": (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), "clip": None}
+    start = (INHERITED, *[None] * 5) if form else ("#000000", 1.0, 0, 10.0, [], 0.0)
+    state = {"fill": start[0], "stroke": start[0], "width": start[1], "cap": start[2], "join": start[2], "miter": start[3], "dash": start[4], "phase": start[5], "ctm": (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), "clip": None}
+    line = lambda s: {"line_cap": s["cap"], "line_join": s["join"], "miter": s["miter"], "dash": s["dash"], "dash_phase": s["phase"]}
     stack, path, clipping, out, args, at = [], [], False, [], [], 0
     while True:
         try:
@@ -60,6 +63,12 @@ def paint_nodes(content: bytes, form: bool = False) -> list[dict]:
             state["ctm"] = _times(tuple(n), state["ctm"])
         elif op == "w" and n:
             state["width"] = n[0]
+        elif op in ("J", "j") and n and n[0] in (0, 1, 2):
+            state["cap" if op == "J" else "join"] = int(n[0])
+        elif op == "M" and n:
+            state["miter"] = n[0]
+        elif op == "d" and args and isinstance(args[0], list) and len(n) == 1:
+            state["dash"], state["phase"] = [float(x) for x in args[0] if isinstance(x, (int, float)) and x >= 0], n[0]
         elif op in COLOURS and len(n) == COLOURS[op][0]:
             state["stroke" if COLOURS[op][1] else "fill"] = _hex(n)
         elif op in ("sc", "scn", "SC", "SCN") and len(n) in (1, 3, 4):
@@ -77,12 +86,12 @@ def paint_nodes(content: bytes, form: bool = False) -> list[dict]:
             fill, stroke, even, close = PAINT[op]
             path = [*path, {"op": "h", "p": []}] if close and path else path
             if path and (fill or stroke):
-                out.append({"node_id": len(out), "do": None, "depth": len(stack), "fill": state["fill"] if fill else None, "stroke": state["stroke"] if stroke else None, "even_odd": bool(even), "line_width": state["width"], "path": path, "clip": state["clip"], "ctm": list(state["ctm"])})
+                out.append({"node_id": len(out), "do": None, "depth": len(stack), "fill": state["fill"] if fill else None, "stroke": state["stroke"] if stroke else None, "even_odd": bool(even), "line_width": state["width"], **line(state), "path": path, "clip": state["clip"], "ctm": list(state["ctm"])})
             if clipping:
                 state["clip"], clipping = path, False
             path = []
         elif op == "Do" and args and isinstance(args[-1], dict) and "n" in args[-1]:
-            out.append({"node_id": len(out), "do": args[-1]["n"], "depth": len(stack), "fill": state["fill"], "stroke": state["stroke"], "even_odd": None, "line_width": state["width"], "path": None, "clip": state["clip"], "ctm": list(state["ctm"])})
+            out.append({"node_id": len(out), "do": args[-1]["n"], "depth": len(stack), "fill": state["fill"], "stroke": state["stroke"], "even_odd": None, "line_width": state["width"], **line(state), "path": None, "clip": state["clip"], "ctm": list(state["ctm"])})
         elif op == "BI":
             end = re.compile(rb"\sEI(?=\s|\Z)").search(content, at)
             at = end.end() if end else len(content)
@@ -92,7 +101,7 @@ def paint_nodes(content: bytes, form: bool = False) -> list[dict]:
 def _nodes(contents: DataFrame, form: bool) -> DataFrame:
     """(doc_id, source, node_id, do, depth, fill, …) of rows (doc_id, source, content): each content is walked once, however often it is painted."""
     steps = pa.list_(pa.struct([("op", pa.string()), ("p", pa.list_(pa.float64()))]))
-    arrow = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("do", pa.string()), ("node_id", pa.int32()), ("depth", pa.int32()), ("fill", pa.string()), ("stroke", pa.string()), ("even_odd", pa.bool_()), ("line_width", pa.float64()), ("path", steps), ("clip", steps), ("ctm", pa.list_(pa.float64()))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("do", pa.string()), ("node_id", pa.int32()), ("depth", pa.int32()), ("fill", pa.string()), ("stroke", pa.string()), ("even_odd", pa.bool_()), ("line_width", pa.float64()), ("line_cap", pa.int32()), ("line_join", pa.int32()), ("miter", pa.float64()), ("dash", pa.list_(pa.float64())), ("dash_phase", pa.float64()), ("path", steps), ("clip", steps), ("ctm", pa.list_(pa.float64()))])
 
     def walk(batches):
         for batch in batches:
@@ -105,7 +114,7 @@ def _nodes(contents: DataFrame, form: bool) -> DataFrame:
 
 
 def scene_nodes(objects: DataFrame, mode: str = "lenient") -> DataFrame:
-    """(doc_id, page_index, node_id, depth, fill, stroke, even_odd, line_width, path, clip, ctm) of the pages' own content, in paint order."""
+    """(doc_id, page_index, node_id, depth, fill, stroke, …, path, clip, ctm) of the pages' own content, in paint order; the columns are NODE's."""
     inputs = page_contents(objects, pages(objects, mode)).withColumn("source", F.col("page_index").cast("long"))
     own = _nodes(inputs, False).where("do is null").withColumn("page_index", F.col("source").cast("int"))
     place = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("node_id")) - 1
@@ -144,7 +153,7 @@ def shown_appearances(objects: DataFrame) -> DataFrame:
 
 
 def spliced_nodes(objects: DataFrame, mode: str = "lenient", appearances: bool = True) -> DataFrame:
-    """(doc_id, page_index, node_id, level, form, fill, stroke, even_odd, line_width, path, clip, ctm) of whole pages, forms and appearances spliced in, in paint order.
+    """(doc_id, page_index, node_id, level, form, fill, stroke, even_odd, line_width, line_cap, line_join, miter, dash, dash_phase, path, clip, ctm) of whole pages, forms and appearances spliced in, in paint order.
 
     Forms come in level by level through joins: paint-order keys grow by an item, matrices are composed, and what a form's content hasn't set is what its painter
     has. A form that is open already isn't painted again within itself. Annotations' appearances follow the page's content in their order.
@@ -161,17 +170,17 @@ def spliced_nodes(objects: DataFrame, mode: str = "lenient", appearances: bool =
     forms = forms.drop("content").join(with_names, ["doc_id", "form"], "left")
 
     page = _nodes(page_contents(objects, leaves).withColumn("source", F.col("page_index").cast("long")), False)
-    keep = ["doc_id", "page_index", "order", "above", "scope", "level", "form", "do", "fill", "stroke", "even_odd", "line_width", "path", "clip", "ctm"]
+    keep = ["doc_id", "page_index", "order", "above", "scope", "level", "form", "do", "fill", "stroke", "even_odd", "line_width", *LINE, "path", "clip", "ctm"]
     front = page.select("*", F.col("source").cast("int").alias("page_index"), F.array("node_id").alias("order"), F.array().cast("array<long>").alias("above"), (-F.col("source") - 1).alias("scope"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("form")).select(keep)
 
     def painted(at: DataFrame) -> DataFrame:
         """The nodes of forms that rows (…, form, base) paint."""
         met = at.join(forms, ["doc_id", "form"]).withColumn("scope", F.when(F.col("own"), F.col("form")).otherwise(F.col("scope"))).drop("own", "matrix", "box")
-        nodes = inside.select("doc_id", "form", F.col("node_id").alias("n"), F.col("do").alias("n_do"), F.col("fill").alias("n_fill"), F.col("stroke").alias("n_stroke"), F.col("even_odd").alias("n_even_odd"), F.col("line_width").alias("n_width"), F.col("path").alias("n_path"), F.col("clip").alias("n_clip"), F.col("ctm").alias("n_ctm"))
+        nodes = inside.select("doc_id", "form", F.col("node_id").alias("n"), F.col("do").alias("n_do"), F.col("fill").alias("n_fill"), F.col("stroke").alias("n_stroke"), F.col("even_odd").alias("n_even_odd"), F.col("line_width").alias("n_width"), *[F.col(c).alias(f"n_{c}") for c in LINE], F.col("path").alias("n_path"), F.col("clip").alias("n_clip"), F.col("ctm").alias("n_ctm"))
         got = met.join(nodes, ["doc_id", "form"])
         colour_of = lambda own, outer: F.when(F.col(own) == INHERITED, F.col(outer)).otherwise(F.col(own))
         ctm = _numbers(colour.compose(_matrix("n_ctm"), _matrix("base")))
-        return got.select("doc_id", "page_index", F.concat("order", F.array("n")).alias("order"), F.concat("above", F.array("form")).alias("above"), "scope", (F.col("level") + 1).alias("level"), "form", F.col("n_do").alias("do"), colour_of("n_fill", "fill").alias("fill"), colour_of("n_stroke", "stroke").alias("stroke"), F.col("n_even_odd").alias("even_odd"), F.coalesce("n_width", "line_width").alias("line_width"), F.col("n_path").alias("path"), F.coalesce("n_clip", "clip").alias("clip"), ctm.alias("ctm"))
+        return got.select("doc_id", "page_index", F.concat("order", F.array("n")).alias("order"), F.concat("above", F.array("form")).alias("above"), "scope", (F.col("level") + 1).alias("level"), "form", F.col("n_do").alias("do"), colour_of("n_fill", "fill").alias("fill"), colour_of("n_stroke", "stroke").alias("stroke"), F.col("n_even_odd").alias("even_odd"), F.coalesce("n_width", "line_width").alias("line_width"), *[F.coalesce(f"n_{c}", c).alias(c) for c in LINE], F.col("n_path").alias("path"), F.coalesce("n_clip", "clip").alias("clip"), ctm.alias("ctm"))
 
     first = None
     if appearances:
@@ -181,7 +190,7 @@ def spliced_nodes(objects: DataFrame, mode: str = "lenient", appearances: bool =
         shown = materialize(shown.withColumn("fit", _onto(F.col("box"), _matrix("matrix"), F.col("rect"))))
         base = _numbers(colour.compose(_matrix("matrix"), F.col("fit")))
         # Behind every operator of the page's own content.
-        first = shown.select("doc_id", "page_index", F.array(F.lit(1 << 30) + F.col("seq")).alias("order"), F.array().cast("array<long>").alias("above"), (-F.col("page_index") - 1).cast("long").alias("scope"), F.lit(0).alias("level"), "form", F.lit("#000000").alias("fill"), F.lit("#000000").alias("stroke"), F.lit(1.0).alias("line_width"), F.lit(None).cast(page.schema["clip"].dataType).alias("clip"), base.alias("base"))
+        first = shown.select("doc_id", "page_index", F.array(F.lit(1 << 30) + F.col("seq")).alias("order"), F.array().cast("array<long>").alias("above"), (-F.col("page_index") - 1).cast("long").alias("scope"), F.lit(0).alias("level"), "form", F.lit("#000000").alias("fill"), F.lit("#000000").alias("stroke"), F.lit(1.0).alias("line_width"), F.lit(0).alias("line_cap"), F.lit(0).alias("line_join"), F.lit(10.0).alias("miter"), F.array().cast("array<double>").alias("dash"), F.lit(0.0).alias("dash_phase"), F.lit(None).cast(page.schema["clip"].dataType).alias("clip"), base.alias("base"))
         first = materialize(first)
         front = front.unionByName(painted(first).select(keep))
     found = None
@@ -196,4 +205,4 @@ def spliced_nodes(objects: DataFrame, mode: str = "lenient", appearances: bool =
             break
         front = painted(calls).select(keep)
     place = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("order")) - 1
-    return found.select("doc_id", "page_index", place.cast("int").alias("node_id"), "level", "form", "fill", "stroke", "even_odd", "line_width", "path", "clip", "ctm")
+    return found.select("doc_id", "page_index", place.cast("int").alias("node_id"), "level", "form", "fill", "stroke", "even_odd", "line_width", *LINE, "path", "clip", "ctm")

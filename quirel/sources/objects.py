@@ -23,6 +23,8 @@ from quirel.functions.codecs import FilterError, decode_chain
 
 #: Nesting of an object, hops between revisions, bytes searched for startxref.
 DEPTH, HOPS, TAIL = 256, 32, 4096
+#: Fixed value: references that an object may lead through.
+CHASE = 16
 
 _SPACE = rb"\x00\t\n\x0c\r "
 _TOKEN = re.compile(
@@ -243,6 +245,16 @@ class File:
         return parse(raw, first + places[number])[0], None
 
 
+    def chased(self, number: int):
+        """get(), with an object that is nothing but a reference replaced by what that leads to."""
+        value, body = self.get(number)
+        for _ in range(CHASE):
+            if not (isinstance(value, dict) and value.keys() == {"r"}):
+                break
+            value, body = self.get(value["r"][0]) if value["r"][0] in self.at else (None, None)
+        return value, body
+
+
 XREF = "rev int, rank int, obj_num long, kind string, offset long, gen long, error string"
 OBJECTS = "obj_num long, json string, data binary, error string, gen int"
 REVISED = f"{OBJECTS}, older long"
@@ -279,7 +291,7 @@ def object_rows(data: bytes, wanted: Callable[[int], bool] | None = None, types:
         kind, _, gen = file.at[number]
         gen, value, body = gen if kind == "used" else 0, None, None
         try:
-            value, body = file.get(number)
+            value, body = file.chased(number)
             value = value.decode("latin-1") if isinstance(value, bytes) else value
             if types is not None and object_type(value) not in types:
                 continue
