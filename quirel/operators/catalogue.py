@@ -136,12 +136,12 @@ def links(objects: DataFrame) -> DataFrame:
     return direct.select("doc_id", "page_index", "seq", "rect", "uri", text_string(F.unhex("_raw")).alias("dest_name"), F.coalesce("dest_page", "named_page").alias("dest_page"), F.coalesce("dest_kind", "named_kind").alias("dest_kind"))
 
 
-def outline(objects: DataFrame) -> DataFrame:
-    """(doc_id, node_id, parent_id, depth, title, count, dest_name, dest_page, dest_kind): bookmarks in reading order.
+def _outline_items(objects: DataFrame) -> DataFrame:
+    return objects.where(F.try_variant_get("value", "$.Title", "variant").isNotNull() & F.try_variant_get("value", "$.Parent.r[0]", "long").isNotNull())
 
-    Items are joined to nothing but their own first and next pointers, which a small function follows for one document at a time.
-    """
-    items = objects.where(F.try_variant_get("value", "$.Title", "variant").isNotNull() & F.try_variant_get("value", "$.Parent.r[0]", "long").isNotNull())
+
+def _outline_order(objects: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, obj_num, node_id, parent_id, depth) of the items that are reached within the limits."""
     pointer = lambda k: F.coalesce(ref(F.col("value"), f"$.{k}"), F.lit(0)).alias(k.lower())
     links_ = items.select("doc_id", "obj_num", pointer("First"), pointer("Next"))
     roots = from_catalog(objects, "Outlines").select("doc_id", F.lit(0).cast("long").alias("obj_num"), F.coalesce(ref(F.col("node"), "$.First"), F.lit(0)).alias("first"), F.lit(0).cast("long").alias("next"))
@@ -160,7 +160,23 @@ def outline(objects: DataFrame) -> DataFrame:
             stack.append((at[num][0], len(out) - 1, depth + 1, 1))
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "obj_num": [o[0] for o in out], "node_id": [o[1] for o in out], "parent_id": [o[2] for o in out], "depth": [o[3] for o in out]})
 
-    order = links_.unionByName(roots).groupBy("doc_id").applyInPandas(walk, "doc_id long, obj_num long, node_id long, parent_id long, depth int")
+    return links_.unionByName(roots).groupBy("doc_id").applyInPandas(walk, "doc_id long, obj_num long, node_id long, parent_id long, depth int")
+
+
+def outline_issues(objects: DataFrame) -> DataFrame:
+    """(doc_id, obj_num, severity, message): bookmarks that outline() doesn't reach, behind the limits of a level or of depth, or by a broken chain."""
+    items = _outline_items(objects).select("doc_id", "obj_num", "value")
+    lost = items.join(_outline_order(objects, items), ["doc_id", "obj_num"], "left_anti")
+    return lost.select("doc_id", "obj_num", F.lit("error").alias("severity"), F.lit("bookmark isn't reached").alias("message"))
+
+
+def outline(objects: DataFrame) -> DataFrame:
+    """(doc_id, node_id, parent_id, depth, title, count, dest_name, dest_page, dest_kind): bookmarks in reading order.
+
+    Items are joined to nothing but their own first and next pointers, which a small function follows for one document at a time.
+    """
+    items = _outline_items(objects)
+    order = _outline_order(objects, items)
     found = order.join(items.select("doc_id", "obj_num", "value"), ["doc_id", "obj_num"])
     action = follow(found.withColumn("action", F.try_variant_get("value", "$.A", "variant")), objects, "action")
     dest = F.coalesce(F.try_variant_get("value", "$.Dest", "variant"), F.try_variant_get("action", "$.D", "variant"))

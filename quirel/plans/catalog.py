@@ -20,6 +20,7 @@ from quirel.operators import reading as R
 from quirel.operators import scene as S
 from quirel.operators import shadings as G
 from quirel.operators import text as T
+from quirel.operators import validity as V
 from quirel.plans.stages import materialize, shared_folder
 from quirel.sources import format as Z
 from quirel.sources import objects as O
@@ -311,7 +312,9 @@ def certificates_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("version"))
     store = store.withColumns({"low": F.make_date((1992 + 2 * F.col("version")).cast("int"), F.lit(1), F.lit(1)), "high": F.make_date((1993 + 2 * F.col("version")).cast("int"), F.lit(12), F.lit(31))})
     sent = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.to_date("l_shipdate").alias("day"))
-    return sent.join(store, "doc_id").where("day between low and high").groupBy("doc_id", "version").agg(F.count("*").alias("valid"))
+    # Versions hold two years, and so do the buckets by which days meet them.
+    found = V.in_force(sent, store, ["doc_id"], V.day_number(F.col("day")), V.day_number(F.col("low")), V.day_number(F.col("high")), 731)
+    return found.groupBy("doc_id", "version").agg(F.count("*").alias("valid"))
 
 
 @query("SELECT n_nationkey AS doc_id, 'error' AS severity, 'Count 7 over 2 pages' AS message FROM nation WHERE n_nationkey % 2 = 1")
