@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .writer import literal_string, stream
 
-FONT = "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 32 /LastChar 126 /Widths [" + " ".join(["500"] * 95) + "] >>"
+FONT = "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 32 /LastChar 255 /Widths [" + " ".join(["500"] * 224) + "] >>"
 
 
 def numbered_lines(docs: DataFrame, per_page: int) -> DataFrame:
