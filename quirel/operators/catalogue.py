@@ -408,10 +408,10 @@ def pdfa(objects: DataFrame) -> DataFrame:
 
 
 def signatures(objects: DataFrame) -> DataFrame:
-    """(doc_id, field_num, sub_filter, byte_range, contents, signed_at, is_timestamp): signature fields with values; type comes from parents if need be."""
-    fields = objects.where(F.try_variant_get("value", "$.V.r[0]", "long").isNotNull()).select("doc_id", F.col("obj_num").alias("field_num"), F.try_variant_get("value", "$.FT.n", "string").alias("kind"), ref(F.col("value"), "$.Parent").alias("parent"), ref(F.col("value"), "$.V").alias("obj_num"))
-    above = objects.select("doc_id", F.col("obj_num").alias("parent"), F.try_variant_get("value", "$.FT.n", "string").alias("parent_kind"))
-    signed = fields.join(above, ["doc_id", "parent"], "left").where(F.coalesce("kind", "parent_kind") == "Sig").join(objects.select("doc_id", "obj_num", "value"), ["doc_id", "obj_num"])
+    """(doc_id, field_num, sub_filter, byte_range, contents, signed_at, is_timestamp): signature fields with values; a field of the form may have its type from any field above it."""
+    fields = objects.where(F.try_variant_get("value", "$.V.r[0]", "long").isNotNull()).select("doc_id", F.col("obj_num").alias("field_num"), F.try_variant_get("value", "$.FT.n", "string").alias("own"), ref(F.col("value"), "$.V").alias("obj_num"))
+    inherited = form_fields(objects).where("kind = 'Sig' and field_num is not null").select("doc_id", "field_num", "kind").dropDuplicates(["doc_id", "field_num"])
+    signed = fields.join(inherited, ["doc_id", "field_num"], "left").where(F.coalesce("kind", "own") == "Sig").join(objects.select("doc_id", "obj_num", "value"), ["doc_id", "obj_num"])
     get = lambda p, k: F.try_variant_get("value", p, k)
     return signed.select("doc_id", "field_num", get("$.SubFilter.n", "string").alias("sub_filter"), get("$.ByteRange", "array<long>").alias("byte_range"), F.unhex(get("$.Contents.s", "string")).alias("contents"), date_to_iso(variant_text(F.col("value"), "$.M")).alias("signed_at"), ((get("$.Type.n", "string") == "DocTimeStamp") | (get("$.SubFilter.n", "string") == "ETSI.RFC3161")).alias("is_timestamp"))
 
@@ -423,19 +423,27 @@ def images(objects: DataFrame) -> DataFrame:
 
 
 def form_fields(objects: DataFrame) -> DataFrame:
-    """(doc_id, path, field_num, name, value): form fields and their kids, a level a join, in tree order; name is a field's own part of it."""
-    held = follow(from_catalog(objects, "AcroForm").select("doc_id", F.try_variant_get("node", "$.Fields", "variant").alias("fields")), objects, "fields")
-    front = held.select("doc_id", F.posexplode(F.try_variant_get("fields", "$", "array<variant>")).alias("place", "value")).withColumns({"path": F.array("place"), "above": F.array().cast("array<long>")})
+    """(doc_id, path, field_num, name, full_name, kind, flags, held, value): form fields and their kids, a level a join, in tree order.
+
+    name is a field's own part of its full name, whose parts are joined by dots; type, flags and held value are those of the nearest field
+    above where a field has none of its own.
+    """
+    form = follow(from_catalog(objects, "AcroForm").select("doc_id", F.try_variant_get("node", "$.Fields", "variant").alias("fields")), objects, "fields")
+    handed = {"full_name": "string", "kind": "string", "flags": "long", "held": "variant"}
+    front = form.select("doc_id", F.posexplode(F.try_variant_get("fields", "$", "array<variant>")).alias("place", "value")).withColumns({"path": F.array("place"), "above": F.array().cast("array<long>"), **{c: F.lit(None).cast(t) for c, t in handed.items()}})
     found = None
     for _ in range(TREE_DEPTH):
         front = follow(front.drop("place"), objects, "value").where(~F.coalesce(F.array_contains("above", F.col("value_num")), F.lit(False)))
-        front = materialize(front.withColumn("above", F.concat("above", F.array(F.coalesce("value_num", F.lit(0))))))
+        get = lambda k, kind: F.try_variant_get("value", f"$.{k}", kind)
+        name = F.nullif(F.concat_ws(".", "full_name", variant_text(F.col("value"), "$.T")), F.lit(""))
+        front = front.withColumns({"above": F.concat("above", F.array(F.coalesce("value_num", F.lit(0)))), "full_name": name, "kind": F.coalesce(get("FT.n", "string"), F.col("kind")), "flags": F.coalesce(get("Ff", "long"), F.col("flags")), "held": F.coalesce(get("V", "variant"), F.col("held"))})
+        front = materialize(front)
         if found is not None and front.isEmpty():
             break
-        level = front.select("doc_id", "path", F.col("value_num").alias("field_num"), variant_text(F.col("value"), "$.T").alias("name"), "value")
+        level = front.select("doc_id", "path", F.col("value_num").alias("field_num"), variant_text(F.col("value"), "$.T").alias("name"), *handed, "value")
         found = level if found is None else found.unionByName(level)
-        below = follow(front.select("doc_id", "path", "above", F.try_variant_get("value", "$.Kids", "variant").alias("kids")).where("kids is not null"), objects, "kids")
-        front = below.select("doc_id", "path", "above", F.posexplode(F.try_variant_get("kids", "$", "array<variant>")).alias("place", "value")).withColumn("path", F.concat("path", F.array("place")))
+        below = follow(front.select("doc_id", "path", "above", *handed, get("Kids", "variant").alias("kids")).where("kids is not null"), objects, "kids")
+        front = below.select("doc_id", "path", "above", *handed, F.posexplode(F.try_variant_get("kids", "$", "array<variant>")).alias("place", "value")).withColumn("path", F.concat("path", F.array("place")))
     return found
 
 
@@ -472,8 +480,8 @@ def action_sources(objects: DataFrame) -> DataFrame:
     return every.where("action is not null")
 
 
-def actions(objects: DataFrame) -> DataFrame:
-    """(doc_id, source_rank, source, place, depth, kind, target): actions of all sources, with their chains of up to CHAIN.
+def action_rows(objects: DataFrame) -> DataFrame:
+    """(doc_id, source_rank, source, place, id, action, depth): actions of all sources, with their chains of up to CHAIN.
 
     Sources' own actions always count. One that is chained to counts once in a document, for the first source that leads
     to it, so cycles end. An action that stands in another is named by that and its place there.
@@ -500,9 +508,13 @@ def actions(objects: DataFrame) -> DataFrame:
     if chained is not None:
         once = chained.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("source_rank", "source", "place", "depth")))
         found = first.unionByName(once.where("turn = 1").drop("turn"))
-    kind = F.try_variant_get("action", "$.S.n", "string")
-    target = F.coalesce(variant_text(F.col("action"), "$.URI"), variant_text(F.col("action"), "$.D"), variant_text(F.col("action"), "$.N"), variant_text(F.col("action"), "$.JS"), variant_text(F.col("action"), "$.F"))
-    return found.select(*source, "depth", kind.alias("kind"), target.alias("target"))
+    return found
+
+
+def actions(objects: DataFrame) -> DataFrame:
+    """(doc_id, source_rank, source, place, depth, kind, target): the rows of action_rows with one text for what each leads to."""
+    target = F.coalesce(*[variant_text(F.col("action"), f"$.{k}") for k in ("URI", "D", "N", "JS", "F")])
+    return action_rows(objects).select("doc_id", "source_rank", "source", "place", "depth", F.try_variant_get("action", "$.S.n", "string").alias("kind"), target.alias("target"))
 
 
 # ---- structure ----

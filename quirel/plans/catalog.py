@@ -20,6 +20,7 @@ from quirel.operators import reading as R
 from quirel.operators import scene as S
 from quirel.operators import shadings as G
 from quirel.operators import text as T
+from quirel.operators import typed as D
 from quirel.operators import validity as V
 from quirel.plans.stages import materialize, shared_folder
 from quirel.sources import format as Z
@@ -807,3 +808,48 @@ def partly_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = _objects(pages.unionByName(tree))
     places = C.structure_text(objects, materialize(T.runs(objects)))
     return places.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS doc_id, p_size, p_name, p_brand, unnest(['note', 'markup', 'widget', 'line', 'ink']) AS family FROM part)
+SELECT doc_id, family, CASE WHEN family = 'widget' THEN 'part.name' WHEN family = 'note' THEN p_brand END AS named, CASE WHEN family = 'widget' THEN p_name WHEN family = 'note' THEN 'Help' END AS held,
+  CASE family WHEN 'markup' THEN p_size + 3e0 WHEN 'line' THEN p_size + 2e0 WHEN 'ink' THEN p_size + 1e0 END AS reach, CASE WHEN family = 'note' AND p_size % 2 = 0 THEN 'hidden,print' WHEN family = 'note' THEN 'print' ELSE '' END AS flags FROM n""")
+def typed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of five kinds for each part, with the columns of their kinds; the widget has its type and value from the field above it."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_brand", _text(F.col("p_size")).alias("n"), "p_size")
+    bodies = (
+        (F.lit(40), _cat("<< /Subtype /Text /Name /Help /T ", W.literal_string(F.col("p_brand")), " /F ", _text(F.when(F.col("p_size") % 2 == 0, 6).otherwise(4)), " >>")),
+        (F.lit(41), _cat("<< /Subtype /Highlight /QuadPoints [0 1 ", _text(F.col("p_size") + 3), " 1 0 0 1 0] >>")),
+        (F.lit(42), F.lit("<< /Subtype /Widget /T (name) /Parent 45 0 R >>")),
+        (F.lit(43), _cat("<< /Subtype /Line /L [0 0 ", _text(F.col("p_size") + 2), " 0] >>")),
+        (F.lit(44), _cat("<< /Subtype /Ink /InkList [[0 0] [", _text(F.col("p_size") + 1), " 1]] >>")),
+        (F.lit(45), _cat("<< /T (part) /FT /Tx /V ", W.literal_string(F.col("p_name")), " /Kids [42 0 R] >>")),
+    )
+    extra = part.select("doc_id", _rows(*bodies)).select("doc_id", F.col("o.obj_num").cast("int").alias("obj_num"), "o.body")
+    pages = Y.page_objects(part.select("doc_id", F.lit(0).alias("page"), F.lit("").alias("content")), F.lit("/Annots [40 0 R 41 0 R 42 0 R 43 0 R 44 0 R]"), F.lit("/AcroForm << /Fields [45 0 R] >>"))
+    found = D.typed_annotations(_objects(pages.unionByName(extra)))
+    return found.select("doc_id", "family", F.coalesce("author", "field_name").alias("named"), F.coalesce("icon", "field_value").alias("held"), F.coalesce(F.get("quads", 2), F.get("ends", 2), F.get(F.get("strokes", 1), 0)).alias("reach"), F.array_join("flags", ",").alias("flags"))
+
+
+@query("""WITH a AS (SELECT CAST(s_suppkey AS BIGINT) AS doc_id, s_name, s_nationkey, unnest(['GoTo', 'URI', 'SubmitForm', 'SetOCGState', 'JavaScript', 'GoToR']) AS kind FROM supplier)
+SELECT doc_id, kind, CASE kind WHEN 'GoTo' THEN 'here' WHEN 'URI' THEN 'http://s/' || doc_id WHEN 'SubmitForm' THEN 'XFDF http://t a' WHEN 'SetOCGState' THEN 'OFF ' || (50 + s_nationkey) || ' ON 49' WHEN 'JavaScript' THEN s_name ELSE s_name || '.pdf' END AS leads,
+  CAST(CASE kind WHEN 'GoTo' THEN 0 WHEN 'GoToR' THEN s_nationkey ELSE -1 END AS BIGINT) AS dest_page FROM a""")
+def action_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of six kinds of each supplier with the columns of their kinds: one chain from the opening of the document."""
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), "s_name", "s_nationkey")
+    name = F.col("s_name")
+    bodies = (
+        (F.lit(40), F.lit("<< /S /GoTo /D (here) /Next [41 0 R 42 0 R 43 0 R 44 0 R << /S /GoToR /D 46 0 R /F 45 0 R >>] >>")),
+        (F.lit(41), _cat("<< /S /URI /URI (http://s/", _text(F.col("doc_id")), ") >>")),
+        (F.lit(42), F.lit("<< /S /SubmitForm /F << /FS /URL /F (http://t) >> /Flags 32 /Fields [(a)] >>")),
+        (F.lit(43), _cat("<< /S /SetOCGState /State [/OFF ", _text(50 + F.col("s_nationkey")), " 0 R /ON 49 0 R] >>")),
+        (F.lit(44), F.lit("<< /S /JavaScript /JS 47 0 R >>")),
+        (F.lit(45), _cat("<< /F (old) /UF ", W.literal_string(_cat(name, ".pdf")), " >>")),
+        (F.lit(46), _cat("[", _text(F.col("s_nationkey")), " /Fit]")),
+        (F.lit(47), W.stream(name)),
+    )
+    extra = supplier.select("doc_id", _rows(*bodies)).select("doc_id", F.col("o.obj_num").cast("int").alias("obj_num"), "o.body")
+    pages = Y.page_objects(supplier.select("doc_id", F.lit(0).alias("page"), F.lit("").alias("content")), catalog=F.lit("/OpenAction 40 0 R /Names << /Dests << /Names [(here) [4 0 R /Fit]] >> >>"))
+    found = D.typed_actions(_objects(pages.unionByName(extra)))
+    switched = F.array_join(F.transform("layers", lambda s: F.concat_ws(" ", s["state"], s["obj_num"])), " ")
+    sent = F.when(F.col("kind") == "SubmitForm", F.concat_ws(" ", "format", "url", F.array_join(F.transform("fields", lambda f: f["name"]), ",")))
+    return found.select("doc_id", "kind", F.coalesce("dest_name", sent, "url", switched, "script", "file").alias("leads"), F.coalesce(F.col("dest_page").cast("long"), F.lit(-1)).alias("dest_page"))
