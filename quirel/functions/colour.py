@@ -82,7 +82,7 @@ def sampled(x: Column, samples: list[float], domain: tuple[float, float]) -> Col
     return F.get(table, low.cast("int")) * (1 - (at - low)) + F.get(table, high.cast("int")) * (at - low)
 
 
-def _bound(value: Column, body) -> Column:
+def bound(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -104,7 +104,7 @@ def _taps(x: Column, domain: tuple[float, float], encode: tuple[float, float], s
         cubic = ((-t + 2 * t * t - t * t * t) / 2, (2 - 5 * t * t + 3 * t * t * t) / 2, (t + 4 * t * t - 3 * t * t * t) / 2, (t * t * t - t * t) / 2)
         return F.array(*[tap(first + k - 1, w) for k, w in enumerate(cubic)])
 
-    return _bound(place, around)
+    return bound(place, around)
 
 
 def sampled_nd(xs: list[Column], samples: Column, sizes: list[int], domains: list[tuple[float, float]], ranges: list[tuple[float, float]], encode: list[tuple[float, float]] | None = None, decode: list[tuple[float, float]] | None = None, order: int = 1) -> Column:

@@ -45,17 +45,25 @@ def functions_of(objects: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     return joined.withColumns({"parts": F.coalesce(single, several), "bounds": F.coalesce(numbers("Bounds"), F.array().cast("array<double>")), "encode": F.coalesce(numbers("Encode"), F.array().cast("array<double>")), "span": F.coalesce(numbers("Domain"), F.array(F.lit(0.0), F.lit(1.0)))}).drop("kids", "good", "all")
 
 
-def _at(t: Column) -> Column:
-    """The outputs at t of the function in parts, bounds, encode and span: the part whose interval holds t, on t in that part's own inputs."""
-    x = F.least(F.greatest(t, F.get("span", 0)), F.get("span", 1))
-    i = F.least(F.size(F.filter("bounds", lambda b: b <= x)), F.size("parts") - 1)
-    edges = F.concat(F.array(F.get("span", 0)), "bounds", F.array(F.get("span", 1)))
-    low, high = F.get(edges, i), F.get(edges, i + 1)
-    e0, e1 = F.coalesce(F.get("encode", 2 * i), low), F.coalesce(F.get("encode", 2 * i + 1), high)
-    return _between(F.get("parts", i), F.when(high > low, e0 + (x - low) / (high - low) * (e1 - e0)).otherwise(e0))
+def function_at(t: Column, held=F.col) -> Column:
+    """The outputs at t of the function in parts, bounds, encode and span: the part whose interval holds t, on t in that part's own inputs.
+
+    held gives these four by name: columns, or fields of a struct.
+    """
+    parts, bounds, encode, span = (held(k) for k in ("parts", "bounds", "encode", "span"))
+    edges = F.concat(F.array(F.get(span, 0)), bounds, F.array(F.get(span, 1)))
+
+    def within(x: Column, i: Column) -> Column:
+        low, high = F.get(edges, i), F.get(edges, i + 1)
+        span_of = F.struct(low.alias("low"), high.alias("high"), F.coalesce(F.get(encode, 2 * i), low).alias("e0"), F.coalesce(F.get(encode, 2 * i + 1), high).alias("e1"))
+        moved = colour.bound(span_of, lambda e: F.when(e["high"] > e["low"], e["e0"] + (x - e["low"]) / (e["high"] - e["low"]) * (e["e1"] - e["e0"])).otherwise(e["e0"]))
+        return colour.bound(moved, lambda m: _between(F.get(parts, i), m))
+
+    inside = F.least(F.greatest(t, F.get(span, 0)), F.get(span, 1))
+    return colour.bound(inside, lambda x: colour.bound(F.least(F.size(F.filter(bounds, lambda b: b <= x)), F.size(parts) - 1), lambda i: within(x, i)))
 
 
-def _hex(c: Column, components: Column) -> Column:
+def hex_colour(c: Column, components: Column) -> Column:
     """A colour of a device space as #rrggbb."""
     byte = lambda v: F.lpad(F.hex(F.floor(_clamped(v) * 255 + 0.5).cast("int")), 2, "0")
     ink = lambda i: 1 - F.least(F.get(c, i) + F.get(c, 3), F.lit(1.0))
@@ -77,10 +85,10 @@ def gradients(objects: DataFrame, stops: int = STOPS) -> DataFrame:
     several = F.try_variant_get("function", "$", "array<variant>")
     each = found.select("doc_id", "obj_num", "domain", F.posexplode(F.coalesce(several, F.array("function"))).alias("place", "f"))
     known = materialize(functions_of(objects, each.withColumn("key", F.struct("obj_num", "place")), "f").where("parts is not null").select("doc_id", "obj_num", "place", "domain", "parts", "bounds", "encode", "span"))
-    values = known.select("doc_id", "obj_num", "place", colour.gradient_stops(_at, (F.get("domain", 0), F.get("domain", 1)), stops).alias("values"))
+    values = known.select("doc_id", "obj_num", "place", colour.gradient_stops(function_at, (F.get("domain", 0), F.get("domain", 1)), stops).alias("values"))
     rows = values.groupBy("doc_id", "obj_num").agg(F.array_sort(F.collect_list(F.struct("place", "values"))).alias("f"))
     # Several functions give a component each.
     whole = rows.select("doc_id", "obj_num", F.transform(F.sequence(F.lit(0), F.lit(stops - 1)), lambda k: F.flatten(F.transform("f", lambda f: F.get(f["values"], k)))).alias("colours"))
     joined = found.join(whole, ["doc_id", "obj_num"], "left")
     good = F.col("components").isNotNull() & F.forall("colours", lambda c: F.size(c) >= F.col("components"))
-    return joined.select("doc_id", "obj_num", "kind", "coords", "extend", "components", F.when(good, F.transform("colours", lambda c: _hex(c, F.col("components")))).alias("stops"))
+    return joined.select("doc_id", "obj_num", "kind", "coords", "extend", "components", F.when(good, F.transform("colours", lambda c: hex_colour(c, F.col("components")))).alias("stops"))

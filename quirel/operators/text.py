@@ -240,19 +240,23 @@ def _joined(pieces: list[str], gaps: list[float], between: float) -> str:
     return text
 
 
+def resource_entries(objects: DataFrame, leaves: DataFrame, sections: tuple[str, ...]) -> DataFrame:
+    """(doc_id, scope, section, key, value): the entries of sections of resource dictionaries; these and their sections stand in place or are referred to."""
+    stood = leaves.select("doc_id", (-F.col("page_index") - 1).cast("long").alias("scope"), F.try_parse_json("resources").alias("value"))
+    of_forms = objects.where("data is not null").where(F.try_variant_get("value", "$.Subtype.n", "string") == "Form").select("doc_id", F.col("obj_num").alias("scope"), F.try_variant_get("value", "$.Resources", "variant").alias("value"))
+    held = follow(stood.unionByName(of_forms).where("value is not null"), objects, "value")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.try_variant_get("value", f"$.{k}", "variant").alias("value")) for k in sections]))
+    found = follow(held.select("doc_id", "scope", each.alias("s")).select("doc_id", "scope", "s.section", "s.value").where("value is not null"), objects, "value")
+    return found.select("doc_id", "scope", "section", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("key", "value"))
+
+
 def resource_names(objects: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, scope, names) of resource dictionaries, and (doc_id, obj_num, json) of all fonts.
 
     A scope is a page (minus its index less one) or a form (its object number). Dictionaries, their sections and entries stand in
     place or are referred to. names is JSON: fonts and forms by name as object numbers, properties as texts.
     """
-    stood = leaves.select("doc_id", (-F.col("page_index") - 1).cast("long").alias("scope"), F.try_parse_json("resources").alias("value"))
-    of_forms = objects.where("data is not null").where(F.try_variant_get("value", "$.Subtype.n", "string") == "Form").select("doc_id", F.col("obj_num").alias("scope"), F.try_variant_get("value", "$.Resources", "variant").alias("value"))
-    held = follow(stood.unionByName(of_forms).where("value is not null"), objects, "value")
-    sections = held.select("doc_id", "scope", F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.try_variant_get("value", f"$.{k}", "variant").alias("value")) for k in ("Font", "XObject", "Properties")])).alias("s")).select("doc_id", "scope", "s.section", "s.value")
-    sections = follow(sections.where("value is not null"), objects, "value")
-    entries = sections.select("doc_id", "scope", "section", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("key", "value"))
-    entries = materialize(entries.withColumn("obj_num", ref_of("value")))
+    entries = materialize(resource_entries(objects, leaves, ("Font", "XObject", "Properties")).withColumn("obj_num", ref_of("value")))
     # A font that is no object gets a number of its own, below zero; equal ones of a document share it.
     inline = entries.where("section = 'Font' and obj_num is null").withColumn("obj_num", -1 - F.shiftrightunsigned(F.xxhash64("doc_id", F.to_json("value")), 1))
     found = fonts(objects, inline.select("doc_id", "obj_num", "value").dropDuplicates(["doc_id", "obj_num"])).select("doc_id", "obj_num", F.to_json("font").alias("json"))

@@ -853,3 +853,25 @@ def action_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     switched = F.array_join(F.transform("layers", lambda s: F.concat_ws(" ", s["state"], s["obj_num"])), " ")
     sent = F.when(F.col("kind") == "SubmitForm", F.concat_ws(" ", "format", "url", F.array_join(F.transform("fields", lambda f: f["name"]), ",")))
     return found.select("doc_id", "kind", F.coalesce("dest_name", sent, "url", switched, "script", "file").alias("leads"), F.coalesce(F.col("dest_page").cast("long"), F.lit(-1)).alias("dest_page"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS doc_id, p_size, CAST(floor((1 + p_size / 100e0 * (0 - 1)) * 255 + 0.5) AS INTEGER) AS g FROM part)
+SELECT doc_id, CAST(0 AS BIGINT) AS node_id, '#ff' || lower(printf('%02x%02x', g, g)) AS colour, p_size + 0e0 AS line_width, round(p_size / 50e0, 6) AS alpha, 'Multiply' AS blend FROM p
+UNION ALL SELECT doc_id, 1, CASE p_size % 2 WHEN 0 THEN '#0000ff' ELSE '#00ff00' END, 7e0, 1e0, 'Multiply' FROM p
+UNION ALL SELECT doc_id, 2, '#000000', 1e0, 1e0, 'Normal' FROM p""")
+def named_paints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tint of a spot colour under a graphics state, a line in an indexed colour whose width is set behind that state, and a line outside of it."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_size")
+    size = _text(F.col("p_size"))
+    content = _cat("q /G gs /Spot cs ", _text(F.col("p_size") / 100.0), " scn 0 0 1 1 re f /Idx CS ", _text(F.col("p_size") % 2), " SCN 7 w 0 0 m 1 1 l S Q 0 0 m 2 2 l S")
+    bodies = (
+        (F.lit(30), _cat("<< /LW ", size, " /ca ", _text(F.col("p_size") / 50.0), " /BM /Multiply >>")),
+        (F.lit(31), F.lit("[/Separation /Red 33 0 R << /FunctionType 2 /Domain [0 1] /N 1 /C0 [1 1 1] /C1 [1 0 0] >>]")),
+        (F.lit(32), F.lit("[/Indexed [/ICCBased 34 0 R] 1 <0000FF00FF00>]")),
+        (F.lit(33), F.lit("[/ICCBased 34 0 R]")),
+        (F.lit(34), W.stream(F.lit("profile"), "/N 3")),
+    )
+    resources = "/Resources << /ExtGState << /G 30 0 R >> /ColorSpace << /Spot 31 0 R /Idx 32 0 R >> >>"
+    nodes = S.scene_nodes(_page_file(part, content, resources, bodies))
+    alpha = F.when(F.col("fill").isNotNull(), F.col("fill_alpha")).otherwise(F.col("stroke_alpha"))
+    return nodes.select("doc_id", F.col("node_id").cast("long").alias("node_id"), F.coalesce("fill", "stroke").alias("colour"), "line_width", F.round(alpha, 6).alias("alpha"), "blend")
