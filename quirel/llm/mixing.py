@@ -61,7 +61,8 @@ def source_rates(sizes: DataFrame, **targets) -> DataFrame:
 
     full + part is the rate's fraction in units of 1 / TURNS. Independent draws of few documents miss the target by chance, so each
     source's draws are all turned by the same amount, the one of TURNS that brings its words nearest to the target
-    (the smallest such). Each draw alone stays uniform. Words are summed by source and unit of the draw first.
+    (the smallest such). The turn is chosen from the draws themselves, so a document's chance of a further copy is
+    near the fraction, not exactly it; with few documents in a source it may be decided. Words are summed by source and unit of the draw first.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     fraction = (F.col("rate") - F.floor("rate")) * TURNS
