@@ -48,17 +48,17 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return side.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, files: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
     Tasks first contract the edges that they hold; the star operations then run until nothing changes, each round written
-    to the shared folder. They halve the distance to the root, so a run that isn't done after `rounds` is an error. Nodes
+    to the shared folder (in `files` files, see stored). They halve the distance to the root, so a run that isn't done after `rounds` is an error. Nodes
     without edges aren't returned.
     """
-    stars = stored(edges.select("a", "b").where("a != b").mapInArrow(_forest, "a long, b long"), "stars")
+    stars = stored(edges.select("a", "b").where("a != b").mapInArrow(_forest, "a long, b long"), "stars", files)
     mark = None
     for _ in range(rounds):
-        before, stars = stars, stored(_stars(_stars(stars, True), False), "stars")
+        before, stars = stars, stored(_stars(_stars(stars, True), False), "stars", files)
         discard(before)
         row = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(row) == mark:

@@ -65,16 +65,16 @@ def _level(tries: DataFrame, depth: int) -> DataFrame:
     return tries.groupBy("trie", prefix.alias("node")).agg(F.count("*").alias("leaves"), F.min("key").alias("leaf"))
 
 
-def trie_links(keys: DataFrame, most: int = MOST, step: int = 8) -> DataFrame:
+def trie_links(keys: DataFrame, most: int = MOST, step: int = 8, files: int | None = None) -> DataFrame:
     """Pairs (a, b) of different keys that differ in at most `most` bits; keys: one column `key` of distinct 64-bit numbers.
 
     A level takes `step` bits. A pair of nodes is joined to the children of the one, and each child to those
     of the other that an error mask within the room left gives, both by equality. A pair
-    of nodes with one leaf each is compared at once and leaves the walk; it ends when no pair is left.
+    of nodes with one leaf each is compared at once and leaves the walk; it ends when no pair is left. files: see stored.
     """
     half, first, levels = BITS // 2, most // 2, []
     swapped = F.shiftleft("key", half).bitwiseOR(F.shiftrightunsigned("key", half))
-    tries = stored(keys.select(F.lit(0).alias("trie"), "key").unionByName(keys.select(F.lit(1).alias("trie"), swapped.alias("key"))), "tries")
+    tries = stored(keys.select(F.lit(0).alias("trie"), "key").unionByName(keys.select(F.lit(1).alias("trie"), swapped.alias("key"))), "tries", files)
     masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in range(1 << step) if m.bit_count() <= k]) for k in range(most + 1)])
     pairs, links = None, []
     for depth in range(step, BITS + 1, step):
@@ -88,7 +88,7 @@ def trie_links(keys: DataFrame, most: int = MOST, step: int = 8) -> DataFrame:
         other = level.select("trie", F.col("node").alias("b"), F.col("leaves").alias("leaves_b"), F.col("leaf").alias("leaf_b"))
         apart = F.bit_count(F.col("leaf_a").bitwiseXOR(F.col("leaf_b")))
         alone = (F.col("leaves_a") == 1) & (F.col("leaves_b") == 1)
-        met = stored(grown.join(other, ["trie", "b"]).where(~alone | (F.col("leaf_a") != F.col("leaf_b")) & (apart <= most)).withColumn("done", alone), f"level{depth}")
+        met = stored(grown.join(other, ["trie", "b"]).where(~alone | (F.col("leaf_a") != F.col("leaf_b")) & (apart <= most)).withColumn("done", alone), f"level{depth}", files)
         levels.append(met)
         links.append(met.where("done").select("trie", "leaf_a", "leaf_b"))
         pairs = met.where("not done").select("trie", F.col("a").alias("up_a"), F.col("b").alias("up_b"), "errors")
@@ -99,7 +99,7 @@ def trie_links(keys: DataFrame, most: int = MOST, step: int = 8) -> DataFrame:
         found = found.unionByName(x)
     back = lambda c: F.when(F.col("trie") == 0, F.col(c)).otherwise(F.shiftleft(c, half).bitwiseOR(F.shiftrightunsigned(c, half)))
     a, b = back("leaf_a"), back("leaf_b")
-    found = stored(found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "trie-links")
+    found = stored(found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "trie-links", files)
     discard(tries, *levels)
     return found
 

@@ -23,6 +23,8 @@ WIDTH, FIFTHS = 5, 4
 WORDS = 16
 #: One document in so many counts for the order of the shingles, in which a frequent one stands in so many of those, and so many are held last.
 ORDER_SHARE, ORDER_LEAST, ORDER_SHINGLES = 4, 3, 1_000_000
+#: Documents for which a table of links, classes or ids gets another file, and files of postings for one of those.
+FILE_ROWS, POSTS = 200_000, 4
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -96,55 +98,55 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.where((5 + FIFTHS) * common >= FIFTHS * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
-def _checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, files: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar, by their whole sets; only the texts of those classes are read for that."""
-    pairs = stored(pairs.where("a <> b").distinct(), "pairs")
-    wanted = stored(classes.select("cls", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"), "wanted")
+    pairs = stored(pairs.where("a <> b").distinct(), "pairs", files)
+    wanted = stored(classes.select("cls", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"), "wanted", files)
     bodies = texts.join(few(wanted.select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
     sets = map_texts(bodies, "body", lambda: lambda found: {"set": [shingle_set(t) for t in found]}, "set array<long>", as_bytes=True)
     sets = stored(sets.join(wanted, "digest").select("cls", "set"), "sets")
-    links = stored(_verified(pairs, sets), "links")
+    links = stored(_verified(pairs, sets), "links", files)
     discard(pairs, wanted, sets)
     return links
 
 
-def links_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def links_of(rows: DataFrame, texts: DataFrame, files: int) -> DataFrame:
     """(a, b): links between the classes of shingles()'s rows, whose components are those of all similar pairs; texts: (digest, body).
 
     Pairs of a large group of copies would be its size squared. So each class is first compared to one other for each
     of its prefix's shingles, that which has the shingle foremost: in a group of copies those with the fewest changes. Then
-    only pairs that the links found don't yet connect are compared.
+    only pairs that the links found don't yet connect are compared. files: how many the smaller tables are written to.
     """
-    classes = stored(rows.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("bits").alias("bits")), "classes")
+    classes = stored(rows.groupBy("cls").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("bits").alias("bits")), "classes", files)
     heads = rows.select("cls", "size", F.posexplode("head").alias("pos", "token")).where("size > 0")
     same = Window.partitionBy("token")
     heads = heads.withColumns({"least": F.min("cls").over(same), "most": F.max("cls").over(same)})
-    posts = stored(heads.where("least < most").select("token", "cls", "size", "pos").distinct(), "posts")
+    posts = stored(heads.where("least < most").select("token", "cls", "size", "pos").distinct(), "posts", POSTS * files)
 
     # Fingerprints' links, and of each token the class that has it foremost.
     of = lambda n: classes.select(F.col("cls").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}"))
     first = classes.groupBy("fp").agg(F.min("cls").alias("first"))
-    ends = trie_links(first.select(F.col("fp").alias("key")), MOST)
+    ends = trie_links(first.select(F.col("fp").alias("key")), MOST, files=files)
     end = lambda n: first.select(F.col("fp").alias(f"fp_{n}"), F.col("first").alias(n))
     near = ends.toDF("fp_a", "fp_b").join(end("a"), "fp_a").join(end("b"), "fp_b").select("a", "b")
     near = near.unionByName(classes.join(first, "fp").select(F.col("cls").alias("a"), F.col("first").alias("b")))
     lead = posts.groupBy("token").agg(F.min(F.struct("pos", "cls", "size")).alias("lead"))
     common = F.floor((4 * (F.col("size") + F.col("lead.size")) + 8) / 9)
     met = posts.join(lead, "token").where((F.col("pos") <= F.col("size") - common) & (F.col("lead.pos") <= F.col("lead.size") - common))
-    tried = stored(near.unionByName(met.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"))).where("a <> b").distinct(), "tried")
-    links = _checked(tried.join(of("a"), "a").join(of("b"), "b").where(_may_link("a", "b", places=False)).select("a", "b"), classes, texts)
+    tried = stored(near.unionByName(met.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"))).where("a <> b").distinct(), "tried", files)
+    links = _checked(tried.join(of("a"), "a").join(of("b"), "b").where(_may_link("a", "b", places=False)).select("a", "b"), classes, texts, files)
     discard(tried, ends)
 
     # What is left: pairs in different components that meet in a token.
-    member = components(links).withColumnRenamed("node", "cls")
+    member = components(links, files=files).withColumnRenamed("node", "cls")
     held = stored(posts.join(member, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "held")
     groups = held.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots"))
-    open_ = held.join(few(stored(groups.where("roots > 1").drop("roots"), "groups")), "token").join(classes.select("cls", "bits"), "cls")
+    open_ = held.join(few(stored(groups.where("roots > 1").drop("roots"), "groups", files)), "token").join(classes.select("cls", "bits"), "cls")
     open_ = stored(open_, "open")
     side = lambda n: open_.select("token", "major", *[F.col(c).alias(f"{c}_{n}") for c in ("cls", "size", "pos", "root", "bits")])
     a, b = side("a").where("root_a <> major"), side("b").drop("major")
     pairs = a.join(b, (a["token"] == b["token"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major")) | (F.col("cls_a") < F.col("cls_b"))) & _may_link("a", "b"))
-    rest = _checked(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), classes, texts)
+    rest = _checked(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), classes, texts, files)
     discard(posts, held, open_, classes)
     return links.unionByName(rest)
 
@@ -159,10 +161,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = columns(docs, id_col, text_col).where(key.isNotNull()).select(key.alias("id"), digest.alias("digest"), text_or_empty(text_col).alias("body"))
     texts = rows.select("digest", "body")
     rows = stored(shingles(rows), "shingles")
-    member = components(links_of(rows, texts)).withColumnRenamed("node", "cls")
-    held = stored(rows.select("id", "digest", "cls").join(member, "cls", "left").select("id", "digest", F.coalesce("root", "cls").alias("root")), "groups")
+    files = 1 + rows.count() // FILE_ROWS
+    member = components(links_of(rows, texts, files), files=files).withColumnRenamed("node", "cls")
+    held = stored(rows.select("id", "digest", "cls").join(member, "cls", "left").select("id", "digest", F.coalesce("root", "cls").alias("root")), "groups", files)
     kept = held.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("k")).select("k.*")
-    named = lambda keys: few(stored(keys.distinct().toDF("kept id", "kept digest"), "keys"))
+    named = lambda keys: few(stored(keys.distinct().toDF("kept id", "kept digest"), "keys", files))
     marked = docs.where(key.isNotNull()).withColumn("kept digest of", digest)
     same = (key == F.col("kept id")) & (F.col("kept digest of") == F.col("kept digest"))
     stays = marked.join(named(held.select("id", "digest").join(kept, ["id", "digest"], "left_anti")), same, "left_anti")

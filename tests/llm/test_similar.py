@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from quirel.llm import queries, similar
+from quirel.llm import components, queries, similar, simhash
 from tests.llm.test_simhash import brute_fingerprint
 
 
@@ -75,3 +75,29 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(str, similar.drop_similar(docs).collect())) == sorted(map(str, [docs.collect()[i] for i in (0, 1, 3, 4, 5)]))
     assert similar.drop_similar(docs.where("false")).collect() == []
+
+
+def test_small_tables_are_few_files_however_many_tasks_make_them(spark, monkeypatch):
+    written = {}
+
+    def noted(*tables):
+        for t in tables:
+            written.setdefault(t.stored_at.rsplit("/", 1)[1][:-33], []).append(len(t.inputFiles()))
+
+    for module in (similar, components, simhash):
+        monkeypatch.setattr(module, "discard", noted)
+    many = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    texts = texts_with_copies()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        kept = sorted(r.doc_id for r in similar.drop_similar(docs).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == brute_kept(texts)
+    assert {"classes", "tries", "level8", "pairs", "wanted", "stars", "tried"} <= written.keys()
+    assert all(n == 1 for name, counts in written.items() if name not in ("posts", "sets", "held", "open") for n in counts), written
+    assert max(written["posts"]) <= similar.POSTS
