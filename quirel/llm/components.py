@@ -51,20 +51,20 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60, files: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
-    Tasks first contract the edges that they hold; the star operations then run until nothing changes, each round written
-    to the shared folder (in `files` files, see stored). They halve the distance to the root, so a run that isn't done after `rounds` is an error. Nodes
+    Tasks first contract the edges that they hold; the star operations then run until every node has one root and no root
+    has another, which one grouping of the stars tells. Each round is written to the shared folder (in `files` files, see
+    stored). They halve the distance to the root, so a run that isn't done after `rounds` is an error. Nodes
     without edges aren't returned.
     """
     stars = stored(edges.select("a", "b").where("a != b").mapInArrow(_forest, "a long, b long"), "stars", files)
-    mark = None
-    for _ in range(rounds):
-        before, stars = stars, stored(_stars(_stars(stars, True), False), "stars", files)
-        discard(before)
-        row = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(row) == mark:
-            break
-        mark = tuple(row)
-    else:
-        raise RuntimeError(f"components haven't settled after {rounds} rounds")
-    nodes = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    for done in range(rounds + 1):
+        ends = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), "b"))
+        nodes = stored(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"), F.max("b").alias("most")), "nodes", files)
+        if nodes.where("root < most").isEmpty():
+            discard(stars)
+            return nodes.select("node", "root")
+        discard(nodes)
+        if done < rounds:
+            before, stars = stars, stored(_stars(_stars(stars, True), False), "stars", files)
+            discard(before)
+    raise RuntimeError(f"components haven't settled after {rounds} rounds")

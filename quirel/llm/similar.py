@@ -147,8 +147,10 @@ def links_of(rows: DataFrame, texts: DataFrame, files: int) -> DataFrame:
     a, b = side("a").where("root_a <> major"), side("b").drop("major")
     pairs = a.join(b, (a["token"] == b["token"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major")) | (F.col("cls_a") < F.col("cls_b"))) & _may_link("a", "b"))
     rest = _checked(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), classes, texts, files)
-    discard(posts, held, open_, classes)
-    return links.unionByName(rest)
+    # Dealt anew, so that a task contracts links of both.
+    found = stored(links.unionByName(rest), "all-links", files)
+    discard(posts, held, open_, classes, links, rest)
+    return found
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -90,3 +91,24 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).collect() == []
     assert simhash.drop_near_duplicates(empty).collect() == []
+
+
+def test_components_take_no_round_where_tasks_have_settled_them(spark, monkeypatch):
+    from quirel.llm import components as module
+
+    rounds = []
+    stars = module._stars
+    monkeypatch.setattr(module, "_stars", lambda edges, large: rounds.append(large) or stars(edges, large))
+    edges = [(i, i + 1) for i in range(300) if i % 50 != 49] + [(400, 400), (7, 3), (3, 7)]
+    want = {i: i // 50 * 50 for i in range(300)}
+    together = spark.createDataFrame(edges, "a long, b long").repartition(1)
+    # The same edges twice, in two tasks: each node is still returned once.
+    for df in (together, together.union(together)):
+        rows = components(df).collect()
+        assert len(rows) == len(want) and {r.node: r.root for r in rows} == want
+    assert rounds == []
+    apart = spark.createDataFrame([(1, 2)], "a long, b long").union(spark.createDataFrame([(2, 3)], "a long, b long"))
+    assert {r.node: r.root for r in components(apart).collect()} == {1: 1, 2: 1, 3: 1} and rounds
+    with pytest.raises(RuntimeError):
+        components(apart, rounds=0)
+    assert components(apart.where("false")).collect() == []
