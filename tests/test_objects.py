@@ -231,3 +231,12 @@ def test_passwords_generations_and_parameters_of_sealed_streams(spark):
         assert got == {(d, n): v for d in range(3) for n, v in want.items()}
     refused = encryption.unlocked(objects, b"thief")
     assert {r.error for r in refused.where("obj_num = 2").collect()} == {"wrong password"}
+
+
+def test_repeated_objects_are_read_as_others_are():
+    for body, value in ((b" (a endobj b)\n", {"s": b"a endobj b".hex()}), (b" [1 % ]\n]\n", [1]), (b" << /A 5 % >>\n>>\n", {"A": 5}), (b" true ", True), (b"<41>", {"s": "41", "h": True})):
+        head = b"%PDF-1.7\n1 0 obj" + body + b"endobj\n"
+        data = head + b"xref\n0 2\n0000000000 65535 f \n0000000009 00000 n \ntrailer\n<< /Root 1 0 R >>\nstartxref\n%d\n" % len(head)
+        O._repeated.cache_clear()
+        assert [O.File(data).get(1) for _ in range(2)] == [(value, None)] * 2
+    assert O._repeated.cache_info().hits == 1
