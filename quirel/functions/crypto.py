@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,49 +67,96 @@ def _rc4(key: bytes, data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Rows whose ciphers run side by side, from how many on they do, and bytes that these may have.
+ROWS, FEW, ROWS_BYTES = 1024, 64, 16_000_000
+
+
+def _rc4_block(keys: list[bytes], datas: list[bytes]) -> list[bytes]:
+    """RC4 of several rows side by side: each step is one for all of them."""
+    n, long = len(keys), max(map(len, datas))
+    # A key that comes round to its beginning is as long as the states are.
+    filled = {k: (k * (256 // len(k) + 1))[:256] for k in set(keys)}
+    turn = np.frombuffer(b"".join(filled[k] for k in keys), np.uint8).reshape(n, 256).T.copy()
+    s, base, j = np.tile(np.arange(256, dtype=np.uint8), n), np.arange(n) * 256, np.zeros(n, np.uint8)
+    for i in range(256):
+        here = s[base + i]
+        j = j + here + turn[i]
+        s[base + i] = s[base + j]
+        s[base + j] = here
+    out, j = np.zeros((n, long), np.uint8), np.zeros(n, np.uint8)
+    for t in range(long):
+        at = base + (t + 1 & 255)
+        here = s[at]
+        j = j + here
+        there = s[base + j]
+        s[at] = there
+        s[base + j] = here
+        out[:, t] = s[base + (here + there)]
+    out ^= np.frombuffer(b"".join(d.ljust(long, b"\0") for d in datas), np.uint8).reshape(n, long)
+    return [row[: len(d)].tobytes() for row, d in zip(out, datas)]
+
+
+def rc4_rows(keys: list, datas: list) -> list:
+    """RC4 of each key and data; null where the key is null or empty, or the data null. Rows of like lengths run side by side."""
+    out: list = [None] * len(keys)
+    left = sorted((i for i, (k, d) in enumerate(zip(keys, datas)) if k and d is not None), key=lambda i: len(datas[i]))
+    while left:
+        most = 2 * len(datas[left[0]]) + 64
+        n = 0
+        while n < min(len(left), ROWS) and len(datas[left[n]]) <= most and (n + 1) * len(datas[left[n]]) <= ROWS_BYTES:
+            n += 1
+        block, left = left[: max(n, 1)], left[max(n, 1) :]
+        if len(block) < FEW:
+            made = [_rc4(keys[i], datas[i]) for i in block]
+        else:
+            made = _rc4_block([keys[i] for i in block], [datas[i] for i in block])
+        for i, d in zip(block, made):
+            out[i] = d
+    return out
+
+
 @pandas_udf(BinaryType())
 def rc4(key: pd.Series, data: pd.Series) -> pd.Series:
     """The same both ways; null or empty keys give null."""
-    return pd.Series([_rc4(k, d) if k and d is not None else None for k, d in zip(key, data)])
+    return pd.Series(rc4_rows(list(key), list(data)))
 
 
 @pandas_udf(ArrayType(StringType()))
 def rc4_each(key: pd.Series, digits: pd.Series) -> pd.Series:
     """Each of an array's byte strings, written as hexadecimal digits, under one key."""
-    return pd.Series([[_rc4(k, bytes.fromhex(h)).hex() for h in each] if k and each is not None else None for k, each in zip(key, digits)])
+    held = [[bytes.fromhex(h) for h in each] if k and each is not None else [] for k, each in zip(key, digits)]
+    made = iter(rc4_rows([k for k, each in zip(key, held) for _ in each], [d for each in held for d in each]))
+    return pd.Series([[next(made).hex() for _ in own] if k and each is not None else None for k, each, own in zip(key, digits, held)])
 
 
 @pandas_udf(BinaryType())
 def user_entry_r3(key: pd.Series, file_id: pd.Series) -> pd.Series:
     """The first 16 bytes that U must have from revision 3 on: the padding's digest through twenty rounds of changed keys."""
 
-    def one(k, i):
-        if not k:
-            return None
-        data = hashlib.md5(PADDING + (i or b"")).digest()
-        for turn in range(20):
-            data = _rc4(bytes(c ^ turn for c in k), data)
-        return data
-
-    return pd.Series([one(*x) for x in zip(key, file_id)])
+    data = [hashlib.md5(PADDING + (i or b"")).digest() for i in file_id]
+    for turn in range(20):
+        data = rc4_rows([k and bytes(c ^ turn for c in k) for k in key], data)
+    return pd.Series(data)
 
 
 @pandas_udf(BinaryType())
 def user_password(password: pd.Series, owner: pd.Series, revision: pd.Series, length: pd.Series) -> pd.Series:
     """The padded user password that an owner entry holds, if this is the owner's password; revisions 2 to 4."""
 
-    def one(p, o, r, n):
+    def made(p, o, r, n):
         if o is None or r not in (2, 3, 4):
             return None
         key = hashlib.md5((p + PADDING)[:32]).digest()
         for _ in range(50 if r > 2 else 0):
             key = hashlib.md5(key).digest()
-        key = key[: n if r > 2 else 5]
-        for turn in range(19 if r > 2 else 0, -1, -1):
-            o = _rc4(bytes(c ^ turn for c in key), o)
-        return o
+        return key[: int(n) if r > 2 else 5]
 
-    return pd.Series([one(*x) for x in zip(password, owner, revision, length)])
+    keys, data = [made(*x) for x in zip(password, owner, revision, length)], list(owner)
+    for turn in range(19, -1, -1):
+        # Revision 2 has the last round alone.
+        rounds = [k and bytes(c ^ turn for c in k) if r > 2 or turn == 0 else None for k, r in zip(keys, revision)]
+        data = [d if k and not now else new for k, now, d, new in zip(keys, rounds, data, rc4_rows(rounds, data))]
+    return pd.Series(data)
 
 
 def user_entry_r2(key: Column) -> Column:
@@ -118,7 +166,10 @@ def user_entry_r2(key: Column) -> Column:
 
 def decrypt(data: Column, identity: Column, method: Column, key: Column) -> Column:
     """Identity streams stay; AESV2 and AESV3 are CBC, V2 is RC4."""
-    return F.when(identity, data).when(method.isin("AESV2", "AESV3"), decrypt_aes(data, key)).otherwise(rc4(key, data))
+    aes = method.isin("AESV2", "AESV3")
+    # Each row is sent to the function; one without a key costs nothing there.
+    other = F.when(~F.coalesce(identity | aes, F.lit(False)), key)
+    return F.when(identity, data).when(aes, decrypt_aes(data, key)).otherwise(rc4(other, data))
 
 
 def signed_bytes(content: Column, byte_range: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType
 
 from quirel.functions import crypto
 from quirel.functions.codecs import FilterError, decode_chain
-from quirel.plans.stages import materialize
+from quirel.plans.stages import materialize, spread
 from quirel.sources.objects import LOCKED, as_list, packed_rows, plain
 
 from .catalogue import follow
@@ -62,15 +62,17 @@ def _key(password: Column) -> Column:
 
 def _opens(key: str) -> Column:
     """Whether a key is the document's, by its user entry."""
-    met = F.when(F.col("revision") == 2, crypto.user_entry_r2(F.col(key)) == F.col("user")).otherwise(crypto.user_entry_r3(key, "file_id") == F.substring("user", 1, 16))
+    met = F.when(F.col("revision") == 2, crypto.user_entry_r2(F.when(F.col("revision") == 2, F.col(key))) == F.col("user")).otherwise(crypto.user_entry_r3(key, "file_id") == F.substring("user", 1, 16))
     return F.coalesce(met, F.lit(False))
 
 
 def file_keys(objects: DataFrame, password: bytes = b"") -> DataFrame:
     """(doc_id, key, method, string_method, methods, opened, encrypt_metadata, encrypt_num): keys of revisions 2 to 4; the password may be the user's or the owner's."""
-    found = encryption(objects).withColumn("as_user", _key(F.lit(password)))
-    found = found.withColumn("held", crypto.user_password(F.lit(password), "owner", "revision", "length")).withColumn("as_owner", _key(F.col("held")))
-    tested = found.withColumns({"user_opens": _opens("as_user"), "owner_opens": _opens("as_owner")})
+    found = spread(encryption(objects), "doc_id").withColumn("as_user", _key(F.lit(password)))
+    # Where the user's key opens the document, the owner's isn't made.
+    found = found.withColumn("user_opens", _opens("as_user"))
+    found = found.withColumn("held", crypto.user_password(F.lit(password), F.when(~F.col("user_opens"), F.col("owner")), "revision", "length"))
+    tested = found.withColumn("as_owner", F.when(F.col("held").isNotNull(), _key(F.col("held")))).withColumn("owner_opens", _opens("as_owner"))
     key = F.when(F.col("owner_opens") & ~F.col("user_opens"), F.col("as_owner")).otherwise(F.col("as_user"))
     return tested.select("doc_id", key.alias("key"), "method", "string_method", "methods", (F.col("user_opens") | F.col("owner_opens")).alias("opened"), "encrypt_metadata", "encrypt_num")
 
@@ -127,15 +129,15 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("error").isNull() | ~F.col("error").startswith(LOCKED)).unionByName(opened)
 
 
-def unlocked(objects: DataFrame, password: bytes = b"") -> DataFrame:
+def unlocked(objects: DataFrame, password: bytes = b"", keys: DataFrame | None = None) -> DataFrame:
     """objects with the streams of encrypted documents decrypted and then decoded, their strings decrypted, and what was packed in such
     streams unpacked; where the password is wrong the error says so, and where a crypt filter isn't known.
 
     Streams follow StmF or the filter that they name themselves, strings StrF; Identity leaves them as they are, and so do metadata in a document that doesn't
-    encrypt those, cross-reference streams, the encryption dictionary and the signed bytes of a signature.
+    encrypt those, cross-reference streams, the encryption dictionary and the signed bytes of a signature. keys are file_keys() of these, where they are there already.
     """
-    keys = file_keys(objects, password)
-    both = objects.join(keys, "doc_id", "left")
+    keys = file_keys(objects, password) if keys is None else keys
+    both = spread(objects, "doc_id").join(spread(keys, "doc_id"), "doc_id", "left")
     number, gen = F.col("obj_num"), F.coalesce("gen", F.lit(0))
     own = lambda method: F.when(method == "AESV2", crypto.object_key(F.col("key"), number, gen, True)).otherwise(crypto.object_key(F.col("key"), number, gen, False))
     entry = lambda k: F.try_variant_get("value", f"$.{k}", "variant")
