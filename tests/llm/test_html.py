@@ -214,3 +214,19 @@ def test_long_wrappers_begin_their_hosts_parts(spark, monkeypatch):
     near = sorted(map(str, html.main_text(pages).collect()))
     monkeypatch.setattr(html, "LONG", 0)
     assert sorted(map(str, html.main_text(pages).collect())) == near and len(near) == 62
+
+
+def test_large_trees_are_matched_as_well_as_small_ones():
+    rng = random.Random(9)
+    for _ in range(150):
+        a, b = (html.Tree(html.parse(random_page(rng))) for _ in range(2))
+        found = html.tree_match(*as_rows(a), *as_rows(b), limit=0)
+        assert len(found) == brute_size(a, b)
+        check_order(a, b, found)
+    # A block more in front of many takes none of their places, however many there are.
+    block = lambda k: f"<div class=c{k % 7}><p>x</p>{'<ul><li>y</ul>' * (k % 3 > 0)}</div>"
+    rows = "".join(block(k) for k in range(900))
+    a, b = html.Tree(html.parse(rows)), html.Tree(html.parse(block(3) + block(5) + rows + block(2)))
+    found = html.tree_match(*as_rows(a), *as_rows(b))
+    assert len(found) == len({*a.canon})
+    check_order(a, b, found)
